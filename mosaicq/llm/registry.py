@@ -1,8 +1,10 @@
 """The queries of this subpackage and their SQL."""
 
-from mosaicq.llm import quality
+from mosaicq.llm import license_scan, pii, quality
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
+    "op2_license_scan": license_scan.op2_license_scan,
     "op8_quality_rules": quality.op8_quality_rules,
 }
 ORACLE = {
