@@ -1,10 +1,11 @@
 """The queries of this subpackage and their SQL."""
 
-from mosaicq.llm import license_scan, pii, quality
+from mosaicq.llm import license_scan, packing, pii, quality
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_license_scan": license_scan.op2_license_scan,
+    "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op8_quality_rules": quality.op8_quality_rules,
 }
 ORACLE = {
