@@ -1,13 +1,17 @@
 """The queries of this subpackage and their SQL."""
 
-from mosaicq.llm import license_scan, packing, pii, quality
+from mosaicq.llm import license_scan, line_dedup, packing, pii, quality, warc
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_license_scan": license_scan.op2_license_scan,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op8_quality_rules": quality.op8_quality_rules,
+    "op9_warc": warc.op9_warc,
+    "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 ORACLE = {
     "op8_quality_rules": quality.ORACLE_SQL,
+    "op9_warc": warc.ORACLE_SQL,
+    "op10_line_dedup": line_dedup.ORACLE_SQL,
 }
