@@ -1,11 +1,12 @@
 """The queries of this subpackage and their SQL."""
 
-from mosaicq.llm import language_id, license_scan, line_dedup, packing, pii, quality, warc
+from mosaicq.llm import decontam, language_id, license_scan, line_dedup, packing, pii, quality, warc
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_license_scan": license_scan.op2_license_scan,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
+    "op6_decontamination": decontam.op6_decontamination,
     "op7_language_id": language_id.op7_language_id,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_warc": warc.op9_warc,
