@@ -1,10 +1,11 @@
 """The queries of this subpackage and their SQL."""
 
-from mosaicq.llm import decontam, language_id, license_scan, line_dedup, ngram_join, packing, pii, quality, warc
+from mosaicq.llm import decontam, language_id, license_scan, line_dedup, ngram_join, packing, pii, quality, quote_links, warc
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_license_scan": license_scan.op2_license_scan,
+    "op3_quote_linking": quote_links.op3_quote_linking,
     "op4_ngram_jaccard_join": ngram_join.op4_ngram_jaccard_join,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_decontamination": decontam.op6_decontamination,
