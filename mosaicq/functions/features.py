@@ -175,20 +175,20 @@ def cut(x: Column, edges: list[float], labels: list | None = None) -> Column:
 
 def graded(x: Column, lower_bounds: dict, default=-2) -> Column:
     """The grade with the highest lower bound that x reaches."""
-    out = None
+    out = F
     for grade, low in sorted(lower_bounds.items(), key=lambda kv: -kv[1]):
-        out = (out or F).when(x >= low, F.lit(grade))
+        out = out.when(x >= low, F.lit(grade))
     return out.otherwise(F.lit(default))
 
 
 def boxes(rules: list[tuple[str, dict[str, tuple[float, float]]]], default: str = "Other") -> Column:
     """Name of the last rule whose closed ranges all hold."""
-    out = None
+    out = F
     for name, box in reversed(rules):
         hit = F.lit(True)
         for col, (lo, hi) in box.items():
             hit = hit & F.col(col).between(lo, hi)
-        out = (out or F).when(hit, F.lit(name))
+        out = out.when(hit, F.lit(name))
     return out.otherwise(F.lit(default))
 
 

@@ -63,7 +63,7 @@ def exploded_members(df: DataFrame, col: str, separator: str = "+") -> DataFrame
 
 def pivot_counts(df: DataFrame, row: str, col: str, values: list, prefix: str = "") -> DataFrame:
     """Counts in wide form with the listed columns, absent ones 0."""
-    wide = df.groupBy(row).pivot(col, values).agg(F.count("*")).na.fill(0)
+    wide = df.groupBy(row).pivot(col, values).agg(F.count(F.lit(1))).na.fill(0)
     return wide.select(row, *[F.col(f"`{v}`").alias(f"{prefix}{v}") for v in values])
 
 
