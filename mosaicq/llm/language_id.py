@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import io
 import re
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -38,7 +37,7 @@ EPOCHS, RATE = 4, 2.0
 CALIBRATION_SHARE = 0.2
 #: Accepted answers of the calibration part are right in at least this share.
 ACCEPT_PRECISION = 0.99
-CACHED_WORDS = 150_000
+CACHED_WORDS, CHUNK_WORDS = 300_000, 100_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -49,18 +48,34 @@ def words(text: str) -> list[str]:
     return found if any(any(map(str.isalpha, w)) for w in found) else []
 
 
-@lru_cache(maxsize=50_000)
-def subwords(word: str) -> tuple[int, ...]:
-    """Buckets of the n-grams of a word with its edges marked."""
-    marked = f"<{word}>"
-    return tuple(zlib.crc32(marked[i : i + n].encode("utf-8", "surrogatepass")) % BUCKETS for n in GRAMS for i in range(max(1, len(marked) - n + 1)))
+def subwords(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, place of its word in found) of the n-grams of all words, their edges marked."""
+    codes = np.frombuffer("".join(f"<{w}>" for w in found).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    owner = np.repeat(np.arange(len(found)), [len(w) + 2 for w in found])
+    buckets, owners = [], []
+    for n in GRAMS:
+        m = max(0, len(codes) - n + 1)
+        h = np.full(m, n, np.uint64)
+        for k in range(n):
+            h = (h ^ codes[k : k + m]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        inside = owner[:m] == owner[n - 1 : n - 1 + m]
+        buckets.append((h[inside] % np.uint64(BUCKETS)).astype(np.int64))
+        owners.append(owner[:m][inside])
+    return np.concatenate(buckets), np.concatenate(owners)
 
 
 def _bag(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    ids, counts = np.unique(np.fromiter((b for w in found for b in subwords(w)), np.int64), return_counts=True)
+    ids, counts = np.unique(subwords(found)[0], return_counts=True)
     return ids, (counts / counts.sum()).astype(np.float32)
 
 
+def _sums(rows: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sums of consecutive rows; ends[k] is where the k-th stretch ends."""
+    total = np.concatenate([np.zeros((1, rows.shape[1])), np.cumsum(rows, axis=0, dtype=np.float64)])
+    return total[ends] - total[np.concatenate([[0], ends[:-1]])]
+
+
 class Model:
     """Scores per bucket, classes, temperature and the least accepted score."""
 
@@ -70,34 +85,45 @@ class Model:
 
     def _reset(self) -> None:
         self.known: dict[str, int] = {}
-        self.rows = np.zeros((1024, len(self.classes) + 1), np.float32)
-
-    def _row(self, word: str) -> int:
-        at = self.known.get(word)
-        if at is None:
-            at = self.known[word] = len(self.known)
-            if at == len(self.rows):
-                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            ids = subwords(word)
-            self.rows[at, :-1] = self.table[list(ids)].sum(0)
-            self.rows[at, -1] = len(ids)
-        return at
-
-    def logits(self, found: list[str]) -> np.ndarray:
+        self.rows = np.zeros((0, len(self.classes) + 1))
+
+    def _learn(self, fresh: list[str]) -> None:
+        """Remember the summed scores and the number of the subwords of words not seen yet."""
+        buckets, owner = subwords(fresh)
+        order = np.argsort(owner, kind="stable")
+        counts = np.bincount(owner, minlength=len(fresh))
+        self.rows = np.concatenate([self.rows, np.column_stack([_sums(self.table[buckets[order]], np.cumsum(counts)), counts])])
+        self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh))))
+
+    def logits(self, bags: list[list[str]]) -> np.ndarray:
+        """A row of class scores for each list of words, none of them empty."""
         if len(self.known) > CACHED_WORDS:
             self._reset()
-        known, row = self.known, self._row
-        at = [known[w] if w in known else row(w) for w in found]
-        total = self.rows[at].sum(0, dtype=np.float64)
-        return total[:-1] / total[-1] + self.bias
-
-    def predict(self, text: str | None) -> tuple[str, float, bool]:
-        found = words(text) if text else []
-        if not found or not self.classes:
-            return UNKNOWN, 0.0, False
-        p = _softmax(self.logits(found) / self.temperature)
-        k = int(p.argmax())
-        return self.classes[k], float(p[k]), bool(p[k] >= self.accept)
+        flat = [w for found in bags for w in found]
+        if fresh := sorted(set(flat) - self.known.keys()):
+            self._learn(fresh)
+        at = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        total = _sums(self.rows[at], np.cumsum([len(found) for found in bags]))
+        return total[:, :-1] / total[:, -1:] + self.bias
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
+        """(class, score, accepted) of each text."""
+        out: list[tuple[str, float, bool]] = [(UNKNOWN, 0.0, False)] * len(texts)
+        where, bags, n = [], [], 0
+        for i, text in enumerate(texts):
+            found = words(text) if text and self.classes else []
+            if found:
+                where.append(i)
+                bags.append(found)
+                n += len(found)
+            if bags and (n > CHUNK_WORDS or i + 1 == len(texts)):
+                x = self.logits(bags) / self.temperature
+                p = np.exp(x - x.max(1, keepdims=True))
+                p /= p.sum(1, keepdims=True)
+                for j, k, best in zip(where, p.argmax(1), p.max(1)):
+                    out[j] = self.classes[k], float(best), bool(best >= self.accept)
+                where, bags, n = [], [], 0
+        return out
 
     def dump(self) -> bytes:
         out = io.BytesIO()
@@ -110,6 +136,12 @@ class Model:
         return cls([str(x) for x in z["classes"]], z["table"], z["bias"], *map(float, z["rest"]))
 
 
+@lru_cache(maxsize=2)
+def _loaded(raw: bytes) -> Model:
+    """A worker's model, with the words that it has met in earlier tasks."""
+    return Model.load(raw)
+
+
 def _softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max())
     return e / e.sum()
@@ -159,7 +191,7 @@ def fit(rows: list[tuple[str, str]], seed: int = 0) -> Model:
 
 def _calibrate(model: Model, rows: list[tuple[list[str], int]]) -> None:
     """Temperature of least log loss; least score above which answers are precise enough."""
-    x, y = np.array([model.logits(w) for w, _ in rows]), np.array([k for _, k in rows])
+    x, y = model.logits([w for w, _ in rows]), np.array([k for _, k in rows])
 
     def scores(t: float) -> np.ndarray:
         e = np.exp((x - x.max(1, keepdims=True)) / t)
@@ -205,9 +237,9 @@ def predict(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model.load(shared.value)
+        own = _loaded(shared.value)
         for batch in batches:
-            got = [own.predict(x.as_py()) for x in batch.column(1)]
+            got = own.predict(batch.column(1).to_pylist())
             lang, score, accepted = zip(*got) if got else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(accepted, pa.bool_())], names=["id", "lang_pred", "score", "accepted"])
 
