@@ -33,7 +33,8 @@ UNKNOWN = "und"
 #: Whole texts learned from, of each language; the most languages that are learned (the commonest).
 PER_LANGUAGE, MAX_LANGUAGES = 1000, 256
 BUCKETS, DIM, GRAMS = 1 << 15, 16, (2, 3, 4)
-EPOCHS, RATE = 4, 2.0
+#: Passes over the sample; a small sample is passed until so many texts were seen.
+EPOCHS, LEAST_SEEN, RATE = 4, 4000, 2.0
 CALIBRATION_SHARE = 0.2
 #: Accepted answers of the calibration part are right in at least this share.
 ACCEPT_PRECISION = 0.99
@@ -161,8 +162,9 @@ def fit(rows: list[tuple[str, str]], seed: int = 0) -> Model:
     n_held = int(len(rows) * CALIBRATION_SHARE) if len(rows) >= 20 else 0
     held, train = order[:n_held], order[n_held:]
     whole = {int(i): _bag(rows[i][0]) for i in train}
-    steps, step = EPOCHS * len(train) * 2, 0
-    for _ in range(EPOCHS):
+    epochs = max(EPOCHS, -(-LEAST_SEEN // max(1, len(train))))
+    steps, step = epochs * len(train) * 2, 0
+    for _ in range(epochs):
         for i in rng.permutation(train):
             found, lang = rows[i]
             k = number[lang]
