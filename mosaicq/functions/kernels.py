@@ -483,3 +483,37 @@ def inside_hull(points: np.ndarray, grid: np.ndarray, samples: int = 400) -> np.
     normals = np.column_stack([np.cos(turn) * np.sin(polar), np.sin(turn) * np.sin(polar), np.cos(polar)])
     normals = np.concatenate([normals, np.eye(3), -np.eye(3)])
     return (grid @ normals.T <= (points @ normals.T).max(0) + 1e-9).all(1)
+
+
+# ---------------------------------------------------------------- curves and rendering
+
+
+def max_projection(stack: np.ndarray, z: int, half: int) -> np.ndarray:
+    """Largest value of the planes around z."""
+    return stack[max(0, z - half) : z + half + 1].max(axis=0)
+
+
+def rendered(points: np.ndarray, values: np.ndarray, shape: tuple[int, ...], radius: int = 1) -> np.ndarray:
+    """Points drawn as balls whose grey is their value over the largest."""
+    only = np.zeros(shape)
+    at = np.rint(points).astype(int)
+    inside = ((at >= 0) & (at < np.array(shape))).all(1)
+    top = values.max() if len(values) else 1.0
+    np.maximum.at(only, tuple(at[inside].T), values[inside] / (top if top > 0 else 1.0))
+    return rank_filter(only, ellipse((2 * radius + 1,) * len(shape)), True)
+
+
+def peak_intervals(x: np.ndarray, y: np.ndarray, centres: list[float], z: float = 1.28) -> list[tuple[float, float, float]]:
+    """(height, low, high) of a sum of Gaussians fitted to a curve: each interval is mean -+ z sigma."""
+    k = len(centres)
+    span = float(np.ptp(x)) or 1.0
+
+    def residual(p: np.ndarray) -> np.ndarray:
+        h, m, s = p[:k, None], p[k : 2 * k, None], p[2 * k :, None]
+        return (h * np.exp(-0.5 * ((x - m) / s) ** 2)).sum(0) - y
+
+    first = np.concatenate([np.interp(centres, x, y), centres, np.full(k, span / (4 * k))])
+    lower = np.concatenate([np.zeros(k), np.full(k, x.min()), np.full(k, span / 1000)])
+    upper = np.concatenate([np.full(k, 3 * max(float(y.max()), 1e-9)), np.full(k, x.max()), np.full(k, span)])
+    p, _ = least_squares(residual, first, lower, upper, rounds=200)
+    return [(float(p[i]), float(p[k + i] - z * p[2 * k + i]), float(p[k + i] + z * p[2 * k + i])) for i in np.argsort(p[k : 2 * k])]

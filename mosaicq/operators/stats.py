@@ -148,13 +148,22 @@ def mean_expression(df: DataFrame, cluster: str, gene: str, value: str, share: s
 
 
 def ecdf(df: DataFrame, value: str, grid: DataFrame) -> DataFrame:
-    """Share of values strictly below each grid value: counts by value, running sums, one ordered pass."""
-    n = df.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    steps = n.unionByName(grid.select(F.col("g").alias("v"), F.lit(0).cast("long").alias("n"))).groupBy("v").agg(F.sum("n").alias("n"))
-    total = F.sum("n").over(Window.partitionBy(F.lit(0)))
-    below = F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1))
-    cum = steps.select("v", (F.coalesce(below, F.lit(0)) / total).alias("ecdf"))
-    return grid.join(cum, F.col("g") == F.col("v")).select("g", "ecdf")
+    """Share of values strictly below each value g of a small grid.
+
+    Values are counted by the number of grid values at or below them, before any shuffle; what is
+    ordered and summed is the grid alone.
+    """
+    points = sorted(r["g"] for r in grid.select("g").distinct().collect())
+    if not points:
+        return grid.select("g", F.lit(None).cast("double").alias("ecdf"))
+    at = F.size(F.filter(F.array(*[F.lit(float(p)) for p in points]), lambda p: p <= F.col(value).cast("double")))
+    n = df.where(F.col(value).isNotNull()).groupBy(at.alias("k")).agg(F.count("*").alias("n"))
+    steps = df.sparkSession.createDataFrame([(k, p) for k, p in enumerate(points)], ["k", "p"])
+    every = df.sparkSession.range(len(points) + 1).select(F.col("id").cast("int").alias("k")).join(n, "k", "left").na.fill(0, ["n"])
+    total = F.sum("n").over(Window.orderBy("k").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    below = F.sum("n").over(Window.orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    share = every.select("k", (below / total).alias("ecdf")).join(steps, "k").select("p", "ecdf")
+    return grid.join(F.broadcast(share), F.col("g") == F.col("p")).select("g", "ecdf")
 
 
 def local_extrema(curve: DataFrame, order_col: str, y: str, order: int = 1, maxima: bool = False) -> DataFrame:

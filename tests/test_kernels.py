@@ -116,3 +116,13 @@ def test_registration_operator(spark):
     offsets, moved = I.registered(df, 1, "cy3")
     row = offsets.first()
     assert (row.cycle, row.tile, row.dy, row.dx) == (3, 7, -4, 2) and moved.count() == 2
+
+
+def test_curves_and_rendering():
+    x = np.linspace(0, 10, 200)
+    y = 3 * np.exp(-0.5 * ((x - 2) / 0.4) ** 2) + 1.5 * np.exp(-0.5 * ((x - 6) / 0.8) ** 2)
+    (h1, a1, b1), (h2, a2, b2) = K.peak_intervals(x, y, [2.3, 5.5], z=1.0)
+    assert np.allclose([h1, a1, b1, h2, a2, b2], [3, 1.6, 2.4, 1.5, 5.2, 6.8], atol=0.02)
+    drawn = K.rendered(np.array([[3.0, 3.0], [50.0, 1.0]]), np.array([2.0, 1.0]), (8, 8))
+    assert drawn[3, 3] == drawn[2, 3] == 1.0 and drawn[0, 0] == 0
+    assert K.max_projection(np.arange(4)[:, None, None] * np.ones((4, 2, 2)), 1, 1).max() == 2

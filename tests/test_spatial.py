@@ -96,3 +96,12 @@ def test_last_region_wins_and_shifts(spark):
     moved = spark.createDataFrame([(1, 1, 10, 10), (3, 1, 10, 10), (5, 2, 10, 10)], "cycle int, tile int, y int, x int")
     offsets = spark.createDataFrame([(1, 1, 9, 9), (3, 1, -3, 12)], "cycle int, tile int, dy int, dx int")
     assert {(r.cycle, r.y, r.x) for r in spatial.shifted_by_cycle(moved, offsets).collect()} == {(1, 10, 10), (3, 7, 22), (5, 10, 10)}
+
+
+def test_hashed_neighbours_are_near(spark):
+    rng = random.Random(2)
+    rows = [(i, [rng.gauss(c * 20, 1) for _ in range(6)]) for i in range(90) for c in [i % 3]]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    exact = {(r.src, r.dst) for r in spatial.knn(df, 3, blocks=3).collect()}
+    got = {(r.src, r.dst) for r in spatial.knn_hashed(df, 3, width=8.0, tables=12, projections=2).collect()}
+    assert len(exact & got) / len(exact) >= 0.9
