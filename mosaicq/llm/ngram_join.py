@@ -264,7 +264,11 @@ def _enough(k: Column, x: Column, y: Column) -> Column:
 
 
 def whole_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, grams) of the wanted nodes (and a few more): rows pass a filter of fixed size by id."""
+    """(node, grams) of the wanted nodes: rows pass a filter of fixed size by id.
+
+    Few others pass it too, and a node may come twice (of repeated ids): neither does harm in a join
+    whose result is a set of links, and so the sets are shuffled there alone.
+    """
     words = wanted.select(F.explode(F.array(*[_bit(F.col("id"), s) for s in (1, 2)])).alias("bit")).groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("bit", F.lit(64)).cast("int"))).alias("bits"))
     got = words.toArrow()
     table = np.zeros(FILTER_BITS // 64, np.int64)
@@ -331,27 +335,32 @@ def similar_sets(rows: DataFrame, sig: DataFrame) -> DataFrame:
     lengthy = blocks.where("kind = 'long'").select("gram", "a", "x", "y").distinct()
     n_long = lengthy.groupBy("a").agg(F.count("*").alias("n"))
     n_short = blocks.where("kind = 'node'").groupBy("a").agg(F.sum("k").alias("n"))
+    n_any = n_long.unionByName(n_short).groupBy("a").agg(F.sum("n").alias("n"))
 
-    def spare(df: DataFrame, stats: DataFrame) -> DataFrame:
-        """With e: the columns that a and b may share beside those accumulated."""
+    def may_share(df: DataFrame, stats: DataFrame, k: Column | int) -> DataFrame:
+        """Pairs (a, b, x, y) whose k accumulated columns, with the least that stats grants either, are enough."""
         left = stats.select(F.col("a"), F.col("n").alias("na"))
         right = stats.select(F.col("a").alias("b"), F.col("n").alias("nb"))
-        return df.join(left, "a", "left").join(right, "b", "left").withColumn("e", F.least(F.coalesce("na", F.lit(0)), F.coalesce("nb", F.lit(0))))
+        more = F.least(F.coalesce("na", F.lit(0)), F.coalesce("nb", F.lit(0)))
+        return df.join(left, "a", "left").join(right, "b", "left").where(_enough(more + k, F.col("x"), F.col("y"))).select("a", "b")
 
     def sized(x: str, y: str) -> Column:
         return F.least(x, y) * 4 >= F.greatest(x, y) * 3
 
-    near = spare(pairs, n_long).where(_enough(F.col("k") + F.col("e"), F.col("x"), F.col("y"))).select("a", "b")
+    near = may_share(pairs, n_long, F.col("k"))
     ends = lengthy.groupBy("gram").agg(F.min(F.struct("a", "x")).alias("lo"), F.max(F.struct("a", "x")).alias("hi"))
-    stars = lengthy.join(ends, "gram").select("a", "x", F.explode(F.array("lo", "hi")).alias("l")).select(F.least("a", "l.a").alias("a"), F.greatest("a", "l.a").alias("b"), "x", F.col("l.x").alias("y"))
-    stars = stars.where(sized("x", "y") & (F.col("a") != F.col("b"))).select("a", "b")
+    stars = lengthy.join(ends, "gram").select("a", "x", F.explode(F.array("lo", "hi")).alias("l")).where(F.col("a") != F.col("l.a"))
+    stars = stars.select(F.least("a", "l.a").alias("a"), F.greatest("a", "l.a").alias("b"), "x", F.col("l.x").alias("y")).where(sized("x", "y"))
+    stars = may_share(stars.groupBy("a", "b").agg(F.max("x").alias("x"), F.max("y").alias("y")), n_any, 0)
     first = materialise(near.unionByName(stars).distinct(), "ngram-pairs")
-
-    nodes = first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node"))).unionByName(lengthy.select(F.col("a").alias("node"))).distinct()
     keyed = sig.where("node is not null").groupBy("node").agg(F.min("id").alias("id"))
-    sets = materialise(whole_sets(rows, keyed.join(nodes, "node")).dropDuplicates(["node"]).join(nodes, "node", "left_semi"), "ngram-sets")
-    links = materialise(verified(first, sets).select("a", "b"), "ngram-links")
-    labels = components(links)
+
+    def linked(some: DataFrame) -> DataFrame:
+        """The similar ones of some pairs (a, b)."""
+        nodes = some.select(F.col("a").alias("node")).unionByName(some.select(F.col("b").alias("node"))).distinct()
+        return verified(some, materialise(whole_sets(rows, keyed.join(nodes, "node")), "ngram-sets")).select("a", "b")
+
+    labels = components(materialise(linked(first), "ngram-links"))
     if lengthy.isEmpty():
         return labels
 
@@ -362,10 +371,11 @@ def similar_sets(rows: DataFrame, sig: DataFrame) -> DataFrame:
     few = open_.where("c <> major").select("gram", *[F.col(k).alias(f"{k}1") for k in "axyc"])
     cross = few.join(open_, "gram").where((F.col("c1") != F.col("c")) & ((F.col("c") == F.col("major")) | (F.col("a1") < F.col("a"))) & sized("x", "x1"))
     early = F.least(F.col("x") - F.col("y"), F.col("x1") - F.col("y1")) >= F.floor((3 * (F.col("x") + F.col("x1")) + 6) / 7)
-    second = cross.groupBy(F.least("a", "a1").alias("a"), F.greatest("a", "a1").alias("b")).agg(F.max(F.col("x")).alias("x"), F.max("x1").alias("y"), F.count("*").alias("k"), F.max(early).alias("ok")).where("ok")
-    second = spare(second, n_short).where(_enough(F.col("k") + F.col("e"), F.col("x"), F.col("y"))).select("a", "b").join(first, ["a", "b"], "left_anti")
-    more = verified(second, sets).select("a", "b")
-    return components(more.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    second = cross.groupBy(F.least("a", "a1").alias("a"), F.greatest("a", "a1").alias("b")).agg(F.max("x").alias("x"), F.max("x1").alias("y"), F.count("*").alias("k"), F.max(early).alias("ok")).where("ok")
+    second = materialise(may_share(second, n_short, F.col("k")).join(first, ["a", "b"], "left_anti"), "ngram-pairs")
+    if second.isEmpty():
+        return labels
+    return components(linked(second).unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
