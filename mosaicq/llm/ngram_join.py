@@ -9,12 +9,15 @@ What the sizes of two sets demand bounds the work:
   only the first ``n - ceil(3 n / 4) + 1`` columns of a row enter the product (in an order of all
   columns in which frequent ones come last; any order is right, this one is fast);
 * a pair is discarded if its accumulated overlap, with all it could share outside the columns
-  accumulated, stays below its need, or if no shared column stands early enough in both rows.
+  accumulated, stays below its need, or if no shared column stands early enough in both rows;
+* two sets differ in at least as many n-grams as their parity sketches differ in cells: a pair of a
+  long column whose sketches differ in more cells than its need allows is discarded.
 
 The pairs that remain are counted exactly on the whole sets. A column with many rows (a copied passage,
-a large group of near copies) isn't squared: its rows are first linked to two leaders; what is one
-component then needs no further pair, and only pairs between different components of a column are
-multiplied, the smaller components against all. So components are exact without all pairs of a group.
+a large group of near copies) isn't squared: its rows are first linked to two leaders, then those outside
+its largest component to members of that; what is one component then needs no further pair, and only
+pairs between different components of a column are multiplied, the smaller ones against all. So
+components are exact without all pairs of a group.
 
 N-grams and sets are 64-bit hashes: two given texts are confused with a chance of about 2^-64 a pair.
 
@@ -39,9 +42,11 @@ SHINGLE = 5
 #: Columns with up to so many rows are multiplied at once.
 SHORT = 16
 #: N-grams of a text chunk whose counts are looked at together, and the least count that is reported.
-CHUNK_GRAMS, REPORT = 1 << 20, 4
+CHUNK_GRAMS, REPORT = 1 << 20, 2
 #: The most frequent n-grams that the column order knows (a fixed size, 16 bytes each).
-FREQUENT = 1 << 18
+FREQUENT = 1 << 19
+#: Longs of a set's sketch: the parity of its n-grams in each of so many times 64 cells.
+SKETCH = 32
 #: Bits of the filter of row ids whose sets are needed whole (a fixed size).
 FILTER_BITS = 1 << 26
 WORD_CACHE = 300_000
@@ -50,6 +55,9 @@ SEEN_NODES = 500_000
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
+_SKETCH = [f"s{k}" for k in range(SKETCH)]
+
+
 class _Hashes(dict):
     """64-bit hashes of words, remembered."""
 
@@ -87,6 +95,12 @@ def node_of(grams: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(grams.tobytes(), len(grams))).astype(np.int64))
 
 
+def sketch_of(grams: np.ndarray) -> np.ndarray:
+    """Parity of the n-grams of each cell, as SKETCH longs."""
+    odd = np.bincount((grams >> np.uint64(20)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def prefix_size(n):
     return n - (3 * n + 3) // 4 + 1
 
@@ -107,7 +121,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def signatures(rows: DataFrame) -> DataFrame:
-    """(id, n, node) of every row, and (gram, count) of n-grams that are frequent in some chunk."""
+    """(id, n, node, sketch) of every row, and (gram, count) of n-grams that some chunk has repeatedly."""
     id_type = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,13 +134,16 @@ def signatures(rows: DataFrame) -> DataFrame:
             grams, counts = grams[counts >= REPORT], counts[counts >= REPORT]
             held.clear()
             none = pa.nulls(len(grams), kind)
-            return pa.RecordBatch.from_arrays([none, pa.nulls(len(grams), pa.int64()), pa.nulls(len(grams), pa.int64()), pa.array(grams.astype(np.int64)), pa.array(counts, pa.int64())], names=names)
+            empty = pa.nulls(len(grams), pa.int64())
+            return pa.RecordBatch.from_arrays([none, empty, empty, pa.array(grams.astype(np.int64)), pa.array(counts, pa.int64()), *[empty] * SKETCH], names=names)
 
-        names, kind = ["id", "n", "node", "gram", "count"], None
+        names, kind = ["id", "n", "node", "gram", "count", *_SKETCH], None
         for batch, sets in _sets(batches, 1):
             kind = batch.column(0).type
             nodes = [node_of(s) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.nulls(len(sets), pa.int64()), pa.nulls(len(sets), pa.int64())], names=names)
+            empty = pa.nulls(len(sets), pa.int64())
+            sketches = np.array([sketch_of(s) for s in sets], np.int64).reshape(len(sets), SKETCH)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), empty, empty, *[pa.array(sketches[:, k]) for k in range(SKETCH)]], names=names)
             for node, s in zip(nodes, sets):
                 if node is not None and node not in seen:
                     if len(seen) > SEEN_NODES:
@@ -140,7 +157,7 @@ def signatures(rows: DataFrame) -> DataFrame:
         if held:
             yield frequent()
 
-    return rows.mapInArrow(run, f"id {id_type}, n long, node long, gram long, count long")
+    return rows.mapInArrow(run, f"id {id_type}, n long, node long, gram long, count long, " + ", ".join(f"{c} long" for c in _SKETCH))
 
 
 def incidence(rows: DataFrame, grams: np.ndarray, counts: np.ndarray) -> DataFrame:
@@ -263,6 +280,12 @@ def _enough(k: Column, x: Column, y: Column) -> Column:
     return k + F.floor((rest + 3) / 4) - 1 >= F.floor((3 * (x + y) + 6) / 7)
 
 
+def _alike(x: Column, y: Column, left: str, right: str) -> Column:
+    """Whether the sketches (columns with these prefixes) allow sets of sizes x and y to be similar."""
+    cells = sum((F.bit_count(F.col(f"{left}{c}").bitwiseXOR(F.col(f"{right}{c}"))) for c in _SKETCH[1:]), F.bit_count(F.col(f"{left}{_SKETCH[0]}").bitwiseXOR(F.col(f"{right}{_SKETCH[0]}"))))
+    return cells <= x + y - 2 * F.floor((3 * (x + y) + 6) / 7)
+
+
 def whole_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, grams) of the wanted nodes: rows pass a filter of fixed size by id.
 
@@ -347,13 +370,14 @@ def similar_sets(rows: DataFrame, sig: DataFrame) -> DataFrame:
     def sized(x: str, y: str) -> Column:
         return F.least(x, y) * 4 >= F.greatest(x, y) * 3
 
+    keyed = sig.where("node is not null").groupBy("node").agg(F.min("id").alias("id"))
+
     near = may_share(pairs, n_long, F.col("k"))
     ends = lengthy.groupBy("gram").agg(F.min(F.struct("a", "x")).alias("lo"), F.max(F.struct("a", "x")).alias("hi"))
     stars = lengthy.join(ends, "gram").select("a", "x", F.explode(F.array("lo", "hi")).alias("l")).where(F.col("a") != F.col("l.a"))
     stars = stars.select(F.least("a", "l.a").alias("a"), F.greatest("a", "l.a").alias("b"), "x", F.col("l.x").alias("y")).where(sized("x", "y"))
     stars = may_share(stars.groupBy("a", "b").agg(F.max("x").alias("x"), F.max("y").alias("y")), n_any, 0)
     first = materialise(near.unionByName(stars).distinct(), "ngram-pairs")
-    keyed = sig.where("node is not null").groupBy("node").agg(F.min("id").alias("id"))
 
     def linked(some: DataFrame) -> DataFrame:
         """The similar ones of some pairs (a, b)."""
@@ -364,18 +388,40 @@ def similar_sets(rows: DataFrame, sig: DataFrame) -> DataFrame:
     if lengthy.isEmpty():
         return labels
 
+    def more(labels: DataFrame, links: DataFrame) -> DataFrame:
+        return components(links.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+
+    def open_rows(labels: DataFrame) -> DataFrame:
+        """Rows of the long columns that hold several components c, with the largest one (major) and sketches."""
+        told = lengthy.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("c", F.coalesce("component", "a")).drop("component")
+        groups = told.groupBy("gram", "c").agg(F.count("*").alias("n")).groupBy("gram").agg(F.count("*").alias("groups"), F.max(F.struct("n", "c")).alias("m")).where("groups > 1")
+        rows = told.join(groups.select("gram", F.col("m.c").alias("major")), "gram")
+        nodes = rows.select(F.col("a").alias("node")).distinct()
+        sketches = sig.where("node is not null").join(nodes, "node", "left_semi").select(F.col("node").alias("a"), *_SKETCH).dropDuplicates(["a"])
+        return materialise(rows.join(sketches, "a"), "ngram-open")
+
+    def renamed(rows: DataFrame, mark: str, cells: str) -> DataFrame:
+        return rows.select("gram", *[F.col(k).alias(k + mark) for k in "axyc"], *[F.col(c).alias(cells + c) for c in _SKETCH])
+
+    # One member of a column's largest component, another in every column, meets the rows outside it ...
     labels = materialise(labels, "ngram-labels")
-    told = lengthy.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("c", F.coalesce("component", "a")).drop("component")
-    groups = told.groupBy("gram", "c").agg(F.count("*").alias("n")).groupBy("gram").agg(F.count("*").alias("groups"), F.max(F.struct("n", "c")).alias("m")).where("groups > 1")
-    open_ = materialise(told.join(groups.select("gram", F.col("m.c").alias("major")), "gram"), "ngram-open")
-    few = open_.where("c <> major").select("gram", *[F.col(k).alias(f"{k}1") for k in "axyc"])
-    cross = few.join(open_, "gram").where((F.col("c1") != F.col("c")) & ((F.col("c") == F.col("major")) | (F.col("a1") < F.col("a"))) & sized("x", "x1"))
+    open_ = open_rows(labels)
+    heads = open_.where("c = major").groupBy("gram").agg(F.max_by("a", F.xxhash64("a", "gram")).alias("a"))
+    heads = renamed(open_.join(heads, ["gram", "a"], "left_semi"), "", "")
+    few = renamed(open_.where("c <> major"), "1", "l")
+    alike = sized("x", "x1") & _alike(F.col("x"), F.col("x1"), "l", "")
+    pair = (F.least("a", "a1").alias("a"), F.greatest("a", "a1").alias("b"))
+    tried = materialise(few.join(heads, "gram").where(alike).select(*pair).distinct().join(first, ["a", "b"], "left_anti"), "ngram-pairs")
+    labels = materialise(more(labels, linked(tried)), "ngram-labels")
+    # ... and then the components that are left in a column meet all of it. A similar pair's first shared
+    # column stands early in both; in that one column it is enough to meet.
+    open_ = open_rows(labels)
+    few = renamed(open_.where("c <> major"), "1", "l")
     early = F.least(F.col("x") - F.col("y"), F.col("x1") - F.col("y1")) >= F.floor((3 * (F.col("x") + F.col("x1")) + 6) / 7)
-    second = cross.groupBy(F.least("a", "a1").alias("a"), F.greatest("a", "a1").alias("b")).agg(F.max("x").alias("x"), F.max("x1").alias("y"), F.count("*").alias("k"), F.max(early).alias("ok")).where("ok")
-    second = materialise(may_share(second, n_short, F.col("k")).join(first, ["a", "b"], "left_anti"), "ngram-pairs")
-    if second.isEmpty():
-        return labels
-    return components(linked(second).unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    apart = (F.col("c1") != F.col("c")) & ((F.col("c") == F.col("major")) | (F.col("a1") < F.col("a")))
+    rest = few.join(open_, "gram").where(apart & early & alike).select(*pair).distinct()
+    rest = materialise(rest.join(first.unionByName(tried), ["a", "b"], "left_anti"), "ngram-pairs")
+    return labels if rest.isEmpty() else more(labels, linked(rest))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
