@@ -184,7 +184,7 @@ p AS (SELECT k, n, label, component, exp(-(((q - mq) * (q - mq) * ee - 2 * (q -
 
 
 def _p_values(spark, sf):
-    df = table(spark, sf, "lineitem").where("l_orderkey % 7 = 0").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_returnflag").alias("label"), F.col("l_quantity").alias("q"), (F.col("l_extendedprice") / 1000).alias("e"))
+    df = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_returnflag").alias("label"), F.col("l_quantity").alias("q"), (F.col("l_extendedprice") / 1000).alias("e"))
     return decode.label_p_values(df, "label", ["q", "e"])
 
 
@@ -211,7 +211,7 @@ o AS (SELECT threshold, label, component, avg(CAST(p > threshold AS DOUBLE)) AS
 s AS (SELECT threshold, label, sum(frac) FILTER (WHERE label = component) AS d, sum(frac) AS s FROM o GROUP BY 1, 2)
 SELECT round(threshold, 6) AS threshold, round(avg(CASE WHEN s > 0 THEN d / s END), 5) AS accuracy FROM s GROUP BY 1""")
 def accuracy_curve(spark, sf):
-    return stats.accuracy_curve(_p_values(spark, sf), 20).select(r6("threshold").alias("threshold"), F.round("accuracy", 5).alias("accuracy"))
+    return stats.accuracy_curve(_p_values(spark, sf)).select(r6("threshold").alias("threshold"), F.round("accuracy", 5).alias("accuracy"))
 
 
 COUNTS = "WITH c AS (SELECT c_nationkey AS cell_id, c_mktsegment AS gene, count(*) AS cnt FROM customer GROUP BY 1, 2)"
