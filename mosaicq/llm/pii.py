@@ -6,8 +6,9 @@ patterns. On the graph of patterns and instances, Spark alternates two scores: a
 trustworthy as the share of its places that hold trusted instances, an instance as trustworthy as its
 patterns leave no doubt. Candidates above the limit become additional spans of kind ``ctx_<kind>``.
 
-The texts are read once; spans and mentions go to a table in the shared folder, and the graph is made
-of counts (pattern, instance), aggregated before they are shuffled. The joins of a very frequent
+The texts are read for spans and mentions, which go to a table in the shared folder, and again for the
+places of the patterns that can have support, in all texts; the graph is made of counts (pattern,
+instance), aggregated before they are shuffled. The joins of a very frequent
 pattern are inner joins with one row per pattern, which adaptive execution can split.
 
 Defined results: null and empty texts have no spans; repeated rows are scanned one by one and count
@@ -17,6 +18,7 @@ once as evidence (distinct instances); only id and text are read; an empty table
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,6 +39,9 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TOKEN_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-.@:/+")
 _DIGIT = re.compile(r"[0-9]")
 _UNIT = re.compile(r"\w+|[^\w\s]")
+_INSIDE = re.compile(r"\w\w")
+#: So many patterns at a time are sent to the tasks that count their places.
+SHARD = 200_000
 #: A candidate has at least so many characters and digits.
 MIN_TOKEN, MIN_DIGITS = 6, 3
 
@@ -101,22 +106,33 @@ def candidates(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int,
     return out
 
 
-def contexts(text: str, start: int) -> list[tuple[str, int]]:
-    """Lexical patterns in front of start, and how often each stands in the text."""
-    near = text[max(0, start - 120) : start]
-    units = list(_UNIT.finditer(near))
-    out = []
-    for n in (2, 3):
-        if len(units) >= n:
-            raw = near[units[-n].start() :]
-            out.append((" ".join(u[0].lower() for u in units[-n:]), max(1, text.count(raw))))
-    return out
+def contexts(text: str, start: int) -> list[str]:
+    """Lexical patterns in front of start, which must not stand inside a word."""
+    if _INSIDE.match(text[max(0, start - 1) : start + 1]):
+        return []
+    lo = max(0, start - 120)
+    units = _UNIT.findall(text[lo:start])
+    if lo and _INSIDE.match(text[lo - 1 : lo + 1]):
+        units = units[1:]  # cut by the window
+    return [" ".join(units[-n:]).lower() for n in (2, 3) if len(units) >= n]
+
+
+def pattern_places(text: str, patterns: set[str], tails: set[tuple[str, str]]) -> Iterator[str]:
+    """Every occurrence of the patterns, whatever its case and spacing; tails are their last two units."""
+    units = [u.lower() for u in _UNIT.findall(text)]
+    for i, tail in enumerate(zip(units, units[1:])):
+        if tail in tails:
+            pair = " ".join(tail)
+            if pair in patterns:
+                yield pair
+            if i and (three := f"{units[i - 1]} {pair}") in patterns:
+                yield three
 
 
-MENTION = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("instance", pa.string()), ("pattern", pa.string()), ("places", pa.int64())])
+MENTION = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("instance", pa.string()), ("pattern", pa.string())])
 SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 _SPANS = "array<struct<kind:string,start:long,end:long>>"
-_MENTIONS = "array<struct<kind:string,start:long,end:long,instance:string,pattern:string,places:long>>"
+_MENTIONS = "array<struct<kind:string,start:long,end:long,instance:string,pattern:string>>"
 
 
 def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -132,8 +148,8 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 bases.append([{"kind": k, "start": a, "end": b} for a, b, k in spans])
                 found = []
                 for a, b, kind in [*spans, *((a, b, None) for a, b in candidates(text, spans))]:
-                    for pattern, places in contexts(text, a):
-                        found.append({"kind": kind, "start": a, "end": b, "instance": text[a:b], "pattern": pattern, "places": places})
+                    for pattern in contexts(text, a):
+                        found.append({"kind": kind, "start": a, "end": b, "instance": text[a:b], "pattern": pattern})
                 mentions.append(found)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bases, pa.list_(SPAN)), pa.array(mentions, pa.list_(MENTION))], names=["id", "base", "mentions"])
 
@@ -141,17 +157,36 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, f"id {id_type}, base {_SPANS}, mentions {_MENTIONS}").withColumn("row", F.monotonically_increasing_id())
 
 
-def score_graph(mentions: DataFrame, rounds: int, min_support: int, min_confidence: float) -> DataFrame:
+def count_places(docs: DataFrame, text_col: str, patterns: DataFrame) -> DataFrame:
+    """(pattern, places): how often each of the patterns stands in all texts."""
+    texts = docs.select(F.col(text_col).cast("string").alias("text"))
+    shards = -(-patterns.count() // SHARD)
+    out = docs.sparkSession.createDataFrame([], "pattern string, places long")
+    for k in range(shards):
+        wanted = {r.pattern for r in patterns.where(F.pmod(F.xxhash64("pattern"), F.lit(shards)) == k).collect()}
+        tails = {tuple(p.split(" ")[-2:]) for p in wanted}
+
+        def run(batches: Iterator[pa.RecordBatch], wanted=wanted, tails=tails) -> Iterator[pa.RecordBatch]:
+            n = Counter()
+            for batch in batches:
+                for text in batch.column(0):
+                    n.update(pattern_places(text.as_py() or "", wanted, tails))
+            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["pattern", "places"])
+
+        found = texts.mapInArrow(run, "pattern string, places long").groupBy("pattern").agg(F.sum("places").alias("places"))
+        out = out.unionByName(materialise(found, "pii-places"))
+    return out
+
+
+def score_graph(mentions: DataFrame, docs: DataFrame, text_col: str, rounds: int, min_support: int, min_confidence: float) -> DataFrame:
     """(instance, kind, confidence) of the candidates that the graph trusts.
 
-    mentions: row, kind (null for candidates), instance, pattern, places. A pattern needs min_support
-    distinct trusted instances of one kind, which fill at least min_confidence of its places (in the
-    texts where it occurs before an identifier).
+    mentions: row, kind (null for candidates), instance, pattern. A pattern needs min_support distinct
+    trusted instances of one kind, which fill at least min_confidence of its places in all texts.
     """
-    per_doc = mentions.groupBy("row", "pattern").agg(F.max("places").alias("places"))
-    places = per_doc.groupBy("pattern").agg(F.sum("places").alias("places"))
-    edges = mentions.groupBy("pattern", "instance", "kind").agg(F.count("*").alias("n"))
-    edges = materialise(edges.join(places, "pattern"), "pii-edges")
+    edges = materialise(mentions.groupBy("pattern", "instance", "kind").agg(F.count("*").alias("n")), "pii-counts")
+    able = materialise(edges.groupBy("pattern").agg(F.count_distinct("instance").alias("n")).where(F.col("n") >= min_support).select("pattern"), "pii-patterns")
+    edges = materialise(edges.join(count_places(docs, text_col, able), "pattern"), "pii-edges")
     trusted = edges.where("kind is not null").select("instance", "kind", F.lit(1.0).alias("confidence")).distinct()
     for _ in range(rounds):
         held = edges.select("pattern", "instance", "n", "places").join(trusted, "instance")
@@ -179,7 +214,7 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rou
     """id, base (spans of the formats) and added (spans that contexts revealed, with confidence)."""
     rows = materialise(scan(docs, id_col, text_col), "pii-scan")
     mentions = rows.select("row", F.explode("mentions").alias("m")).select("row", "m.*")
-    found = score_graph(mentions, rounds, min_support, min_confidence)
+    found = score_graph(mentions, docs, text_col, rounds, min_support, min_confidence)
     spans = mentions.where("kind is null").select("row", "start", "end", "instance").distinct()
     added = (
         spans.join(found, "instance")
