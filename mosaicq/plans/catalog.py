@@ -349,7 +349,7 @@ def co_occurrence(spark, sf):
 @query("""WITH b AS (SELECT p_partkey AS box, p_partkey * 7 % 1400 AS y0, p_partkey * 13 % 9000 AS x0, 20 AS h, 50 AS w FROM part WHERE p_size <= 10)
 SELECT box, o_orderkey FROM orders JOIN b ON o_custkey >= y0 AND o_custkey < y0 + h AND o_orderkey % 9000 >= x0 AND o_orderkey % 9000 < x0 + w""")
 def point_in_box(spark, sf):
-    p = table(spark, sf, "part").where("p_size <= 10")
+    p = table(spark, sf, "part")
     b = p.select(F.col("p_partkey").alias("box"), (F.col("p_partkey") * 7 % 1400).alias("y0"), (F.col("p_partkey") * 13 % 9000).alias("x0"), F.lit(20).alias("h"), F.lit(50).alias("w"))
     o = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("y"), (F.col("o_orderkey") % 9000).alias("x"))
     return spatial.points_in_boxes(o, b, 50).select("box", "o_orderkey")
@@ -580,7 +580,7 @@ def label_centroids(spark, sf):
 @query("""WITH RECURSIVE e AS (SELECT vec_id AS a, (vec_id * 7 + 3) % 500 AS b FROM embeddings WHERE vec_id % 3 = 0), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r AS (SELECT a AS node, a AS c FROM u UNION SELECT u.b, r.c FROM r JOIN u ON u.a = r.node) SELECT node, min(c) AS component FROM r GROUP BY 1""")
 def seam_components(spark, sf):
-    e = table(spark, sf, "embeddings").where("vec_id % 3 = 0").select(F.col("vec_id").alias("src"), ((F.col("vec_id") * 7 + 3) % 500).alias("dst"))
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("src"), ((F.col("vec_id") * 7 + 3) % 500).alias("dst"))
     return graph.connected_components(e)
 
 

@@ -39,3 +39,26 @@ s AS (SELECT threshold, label, sum(frac) FILTER (WHERE label = component) AS d,
 SELECT threshold, avg(CASE WHEN s > 0 THEN d / s END) FROM s GROUP BY 1 ORDER BY 1""").fetchall()
     assert len(got) == len(want) == 50
     assert all(abs(a[0] - b[0]) < 1e-6 and abs(a[1] - b[1]) < 2e-5 for a, b in zip(got, want))
+
+
+def test_components_of_all_edges(spark, sf_dir, duck):
+    edges = duck.sql("SELECT vec_id, (vec_id * 7 + 3) % 500 FROM embeddings").fetchall()
+    least = {n: n for e in edges for n in e}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in edges:
+            c = min(least[a], least[b])
+            changed |= least[a] != c or least[b] != c
+            least[a] = least[b] = c
+    got = catalog.QUERIES["seam_components"](spark, sf_dir).collect()
+    assert len(got) == len(least) and {r.node: r.component for r in got} == least
+
+
+def test_boxes_of_all_parts(spark, sf_dir, duck):
+    want = duck.sql("""WITH b AS (SELECT p_partkey AS box, p_partkey * 7 % 1400 AS y0, p_partkey * 13 % 9000 AS x0 FROM part)
+SELECT box, o_orderkey FROM orders JOIN b ON o_custkey >= y0 AND o_custkey < y0 + 20 AND o_orderkey % 9000 >= x0 AND o_orderkey % 9000 < x0 + 50""").fetchall()
+    got = sorted((r.box, r.o_orderkey) for r in catalog.QUERIES["point_in_box"](spark, sf_dir).collect())
+    assert got == sorted(want)
+    large = {r[0] for r in duck.sql("SELECT p_partkey FROM part WHERE p_size > 10").fetchall()}
+    assert any(box in large for box, _ in got)
