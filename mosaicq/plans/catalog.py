@@ -332,7 +332,7 @@ def morans_i(spark, sf):
 @query()
 def neighbourhood_enrichment(spark, sf):
     labels = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label")
-    return spatial.enrichment(_knn(spark, sf), labels, permutations=20)
+    return spatial.enrichment(_knn(spark, sf), labels)
 
 
 CO = """WITH p AS (SELECT event_id AS id, user_id AS y, value * 4 AS x, event_type AS label FROM events),
@@ -544,7 +544,7 @@ def gmm_em_step(spark, sf):
 @query()
 def gmm_labels(spark, sf):
     f = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") / 50).alias("x"), (F.col("l_extendedprice") / 100000).alias("y"), (F.col("l_linenumber") % 2).alias("g_layer"))
-    return decode.fit_layers(f, ["x", "y"], {0: [[0.2, 0.2], [0.8, 0.6]], 1: [[0.2, 0.2], [0.8, 0.6]]}, rounds=3).select("l_orderkey", "l_linenumber", "label")
+    return decode.fit_layers(f, ["x", "y"], {0: [[0.2, 0.2], [0.8, 0.6]], 1: [[0.2, 0.2], [0.8, 0.6]]}).select("l_orderkey", "l_linenumber", "label")
 
 
 # ---------------------------------------------------------------- cells

@@ -1,8 +1,10 @@
 """Queries that must read every row and use their operators' defaults, against DuckDB over whole tables and plain Python."""
 
 import duckdb
+import numpy as np
 import pytest
 
+from mosaicq.operators import spatial
 from mosaicq.plans import catalog
 
 P_VALUES = """WITH f AS (SELECT l_orderkey AS k, l_linenumber AS n, l_returnflag AS label, l_quantity AS q, l_extendedprice / 1000 AS e FROM lineitem),
@@ -62,3 +64,41 @@ SELECT box, o_orderkey FROM orders JOIN b ON o_custkey >= y0 AND o_custkey < y0
     assert got == sorted(want)
     large = {r[0] for r in duck.sql("SELECT p_partkey FROM part WHERE p_size > 10").fetchall()}
     assert any(box in large for box, _ in got)
+
+
+def plain_labels(x, first, tolerance=1e-3, rounds=100):
+    """Expectation and maximisation in full arrays, to the tolerance; the labels start at 0."""
+
+    def logs():
+        return np.log(w) - ((x[:, None] - m) ** 2 / (2 * v) + np.log(2 * np.pi * v) / 2).sum(-1)
+
+    m, w, last = np.array(first), np.full(len(first), 1 / len(first)), None
+    v = np.tile(np.maximum(x.var(0), 1e-6), (len(first), 1))
+    for _ in range(rounds):
+        l = logs()
+        total = np.logaddexp.reduce(l, 1)
+        r = np.exp(l - total[:, None])
+        n = r.sum(0)[:, None]
+        w, m = r.mean(0), r.T @ x / n
+        v = np.maximum(r.T @ x**2 / n - m**2, 0) + 1e-6
+        if last is not None and abs(total.mean() - last) < tolerance:
+            break
+        last = total.mean()
+    return logs().argmax(1)
+
+
+def test_mixture_runs_to_its_tolerance(spark, sf_dir, duck):
+    rows = duck.sql("SELECT l_orderkey, l_linenumber, l_quantity / 50, l_extendedprice / 100000, l_linenumber % 2 FROM lineitem").fetchall()
+    want = []
+    for layer in (0, 1):
+        part = [r for r in rows if r[4] == layer]
+        labels = plain_labels(np.array([[float(r[2]), float(r[3])] for r in part]), [[0.2, 0.2], [0.8, 0.6]])
+        want += [(r[0], r[1], int(k) + 2 * layer + 1) for r, k in zip(part, labels)]
+    assert sorted(tuple(r) for r in catalog.QUERIES["gmm_labels"](spark, sf_dir).collect()) == sorted(want)
+
+
+def test_enrichment_uses_the_default_permutations(spark, sf_dir, monkeypatch):
+    seen = []
+    monkeypatch.setattr(spatial, "enrichment", lambda *a, **options: seen.append((len(a), options)))
+    catalog.QUERIES["neighbourhood_enrichment"](spark, sf_dir)
+    assert seen == [(2, {})]
