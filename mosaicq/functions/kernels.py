@@ -452,11 +452,10 @@ def watershed(a: np.ndarray, block: int = 51, min_area: int = 20, min_distance:
     return np.where(small[seeds], 0, seeds)
 
 
-def inside_hull(points: np.ndarray, grid: np.ndarray, samples: int = 400) -> np.ndarray:
+def inside_hull(points: np.ndarray, grid: np.ndarray) -> np.ndarray:
     """Which grid points the convex hull of the points contains.
 
-    In the plane by the exact edges; in space by supporting planes of many even directions and of the
-    hull's own facets among them, which shrink onto the hull as directions are added.
+    In the plane by the exact edges, in space by the exact facets of an incremental hull.
     """
     points, grid = points.astype(float), grid.astype(float)
     d = points.shape[1]
@@ -478,11 +477,80 @@ def inside_hull(points: np.ndarray, grid: np.ndarray, samples: int = 400) -> np.
         for a, b in zip(hull, np.roll(hull, -1, axis=0)):
             ok &= (b[0] - a[0]) * (grid[:, 1] - a[1]) - (b[1] - a[1]) * (grid[:, 0] - a[0]) >= -1e-9
         return ok
-    k = np.arange(samples) + 0.5
-    polar, turn = np.arccos(1 - 2 * k / samples), np.pi * (1 + 5**0.5) * k
-    normals = np.column_stack([np.cos(turn) * np.sin(polar), np.sin(turn) * np.sin(polar), np.cos(polar)])
-    normals = np.concatenate([normals, np.eye(3), -np.eye(3)])
-    return (grid @ normals.T <= (points @ normals.T).max(0) + 1e-9).all(1)
+    left = np.arange(len(grid))
+    if len(points) == 0:
+        return np.zeros(len(grid), bool)
+    exact = (points == np.rint(points)).all() and (grid == np.rint(grid)).all()
+    if exact:
+        points, grid = points.astype(np.int64), grid.astype(np.int64)
+    pts = _line_ends(points)
+    tol = 0 if exact else 1e-9 * max(1.0, float(np.ptp(pts, axis=0).max()) ** 3)
+    first = _tetrahedron(pts, tol)
+    if len(first) < 3:  # all on one line
+        way, off = pts[first[-1]] - pts[first[0]], grid - pts[first[0]]
+        return (np.abs(np.cross(off, way)) <= tol).all(1) & ((grid >= pts.min(0)) & (grid <= pts.max(0))).all(1)
+    if len(first) < 4:  # all in one plane: its shadow along the steepest axis
+        normal = np.cross(pts[first[1]] - pts[first[0]], pts[first[2]] - pts[first[0]])
+        axes = np.delete(np.arange(3), np.abs(normal).argmax())
+        return (np.abs((grid - pts[first[0]]) @ normal) <= tol) & inside_hull(pts[:, axes], grid[:, axes])
+    for normal, offset in _facets(pts, first, tol):
+        left = left[grid[left] @ normal <= offset + tol]
+    out = np.zeros(len(grid), bool)
+    out[left] = True
+    return out
+
+
+def _line_ends(points: np.ndarray) -> np.ndarray:
+    """The points that are first or last on their lines along each axis: the hull's corners among them."""
+    pts = np.unique(points, axis=0)
+    for axis in range(3):
+        a, b = np.delete(np.arange(3), axis)
+        pts = pts[np.lexsort((pts[:, axis], pts[:, b], pts[:, a]))]
+        new = (pts[1:, [a, b]] != pts[:-1, [a, b]]).any(1)
+        pts = pts[np.concatenate([[True], new]) | np.concatenate([new, [True]])]
+    return pts
+
+
+def _tetrahedron(pts: np.ndarray, tol: float) -> list[int]:
+    """Indices of up to four points that span as many dimensions as all of them."""
+    out = [0]
+    for _ in range(3):
+        off = pts - pts[0]
+        if len(out) == 1:
+            size = np.abs(off).sum(1)
+        elif len(out) == 2:
+            size = np.abs(np.cross(off, off[out[1]])).sum(1)
+        else:
+            size = np.abs(off @ np.cross(off[out[1]], off[out[2]]))
+        if size.max() <= tol:
+            break
+        out.append(int(size.argmax()))
+    return out
+
+
+def _facets(pts: np.ndarray, first: list[int], tol: float) -> list[tuple[np.ndarray, float]]:
+    """(outer normal, offset) of the hull's triangles, point by point; whole numbers stay exact."""
+    middle = pts[first].sum(0)  # four times an inner point
+
+    def plane(face: tuple[int, int, int]) -> tuple[tuple[int, int, int], np.ndarray, float]:
+        a, b, c = face
+        normal = np.cross(pts[b] - pts[a], pts[c] - pts[a])
+        if normal @ middle > 4 * (normal @ pts[a]):
+            return (a, c, b), -normal, -(normal @ pts[a])
+        return face, normal, normal @ pts[a]
+
+    made = [plane(tuple(first[:i] + first[i + 1 :])) for i in range(4)]
+    faces, normals, offsets = [f for f, _, _ in made], np.array([n for _, n, _ in made]), np.array([o for _, _, o in made])
+    for p in np.random.default_rng(0).permutation(len(pts)):
+        seen = normals @ pts[p] > offsets + tol
+        if not seen.any():
+            continue
+        edges = {(f[i], f[(i + 1) % 3]) for k in np.flatnonzero(seen) for f in [faces[k]] for i in range(3)}
+        made = [plane((a, b, int(p))) for a, b in edges if (b, a) not in edges]
+        faces = [f for f, gone in zip(faces, seen) if not gone] + [f for f, _, _ in made]
+        normals = np.concatenate([normals[~seen], [n for _, n, _ in made]])
+        offsets = np.concatenate([offsets[~seen], [o for _, _, o in made]])
+    return list(zip(normals, offsets))
 
 
 # ---------------------------------------------------------------- curves and rendering
