@@ -24,11 +24,14 @@ def connected_components(edges: DataFrame, a: str = "src", b: str = "dst") -> Da
 
 
 def merged_labels(pixels: DataFrame) -> DataFrame:
-    """Labels of overlapping blocks made one: pixels (block, y, x, label) that meet in the overlap join their labels."""
-    keyed = pixels.select("block", "y", "x", "label", F.concat_ws(":", "block", "label").alias("node"))
-    seen = keyed.groupBy("y", "x").agg(F.min("node").alias("a"), F.max("node").alias("b"))
-    seams = connected_components(seen.where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct())
-    out = seen.select("y", "x", F.col("a").alias("node")).join(seams, "node", "left")
+    """Labels of overlapping blocks made one: pixels (block, y, x, label) that meet in the overlap join their labels.
+
+    Every label of a pixel is linked to the least one there; a pixel belongs to as many blocks as overlap in it.
+    """
+    keyed = pixels.select("y", "x", F.concat_ws(":", "block", "label").alias("node"))
+    seen = keyed.groupBy("y", "x").agg(F.min("node").alias("a"), F.collect_set("node").alias("all"))
+    links = seen.select(F.col("a").alias("src"), F.explode("all").alias("dst")).where("src <> dst").distinct()
+    out = seen.select("y", "x", F.col("a").alias("node")).join(connected_components(links), "node", "left")
     return out.select("y", "x", F.coalesce("component", "node").alias("label"))
 
 

@@ -167,12 +167,19 @@ def ecdf(df: DataFrame, value: str, grid: DataFrame) -> DataFrame:
 
 
 def local_extrema(curve: DataFrame, order_col: str, y: str, order: int = 1, maxima: bool = False) -> DataFrame:
-    """Rows strictly below (above) their neighbours up to order places away; the edges never count."""
+    """Rows of a curve strictly below (above) their neighbours up to order places away.
+
+    Neighbours beyond an end are the end row itself, so the ends never count. A curve is ordered as a
+    whole, in one task: it is the small result of a histogram or of a density, not a table of spots.
+    """
     w = Window.orderBy(order_col)
+    ends = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first, last = F.first(y).over(ends), F.last(y).over(ends)
+    at, n = F.row_number().over(w), F.count("*").over(ends)
     ok = F.lit(True)
     for k in range(1, order + 1):
-        for shift in (F.lag(y, k).over(w), F.lead(y, k).over(w)):
-            ok = ok & (F.col(y) > shift if maxima else F.col(y) < shift)
+        for beside in (F.when(at > k, F.lag(y, k).over(w)).otherwise(first), F.when(at + k <= n, F.lead(y, k).over(w)).otherwise(last)):
+            ok = ok & (F.col(y) > beside if maxima else F.col(y) < beside)
     return curve.withColumn("_ok", F.coalesce(ok, F.lit(False))).where("_ok").drop("_ok")
 
 

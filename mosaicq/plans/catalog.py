@@ -36,7 +36,6 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-
 def r6(c):
     return F.round(c, 6)
 
@@ -177,7 +176,7 @@ def label_cov(spark, sf):
     return out.select("l_returnflag", *[r6(c).alias(c) for c in out.columns[1:]])
 
 
-P_VALUES = """WITH f AS (SELECT l_orderkey AS k, l_linenumber AS n, l_returnflag AS label, l_quantity AS q, l_extendedprice / 1000 AS e FROM lineitem WHERE l_orderkey % 7 = 0),
+P_VALUES = """WITH f AS (SELECT l_orderkey AS k, l_linenumber AS n, l_returnflag AS label, l_quantity AS q, l_extendedprice / 1000 AS e FROM lineitem),
 m AS (SELECT label AS component, avg(q) AS mq, avg(e) AS me, covar_samp(q, q) AS qq, covar_samp(q, e) AS qe, covar_samp(e, e) AS ee FROM f GROUP BY 1),
 p AS (SELECT k, n, label, component, exp(-(((q - mq) * (q - mq) * ee - 2 * (q - mq) * (e - me) * qe + (e - me) * (e - me) * qq) / (qq * ee - qe * qe)) / 2) AS p FROM f, m)
 """
@@ -206,7 +205,7 @@ def confident_spots(spark, sf):
     return decode.confident(_p_values(spark, sf), "label", 0.3).select("k", "n", "label")
 
 
-@query(P_VALUES + """, t AS (SELECT label, component, range / 20.0 AS threshold, p FROM p, range(20)),
+@query(P_VALUES + """, t AS (SELECT label, component, range / 50.0 AS threshold, p FROM p, range(50)),
 o AS (SELECT threshold, label, component, avg(CAST(p > threshold AS DOUBLE)) AS frac FROM t GROUP BY 1, 2, 3),
 s AS (SELECT threshold, label, sum(frac) FILTER (WHERE label = component) AS d, sum(frac) AS s FROM o GROUP BY 1, 2)
 SELECT round(threshold, 6) AS threshold, round(avg(CASE WHEN s > 0 THEN d / s END), 5) AS accuracy FROM s GROUP BY 1""")
@@ -273,10 +272,8 @@ def zscore_normalise_total(spark, sf):
 # ---------------------------------------------------------------- space
 
 
-def _points(spark, sf, mod=None):
-    e = table(spark, sf, "events")
-    e = e.where(F.col("event_id") % mod == 0) if mod else e
-    return e.select(F.col("event_id").alias("id"), F.col("user_id").alias("y"), (F.col("value") * 4).alias("x"), F.col("value").alias("sum"), "event_type")
+def _points(spark, sf):
+    return table(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("y"), (F.col("value") * 4).alias("x"), F.col("value").alias("sum"), "event_type")
 
 
 @query("""WITH p AS (SELECT event_id AS id, user_id AS y, value * 4 AS x FROM events), c AS (SELECT c_custkey AS cell_id, c_custkey % 150 AS y, abs(c_acctbal) % 400 AS x FROM customer),
@@ -346,7 +343,7 @@ def co_occurrence(spark, sf):
     return spatial.co_occurrence(_points(spark, sf).withColumnRenamed("event_type", "label"), 4, 3).withColumn("ratio", r6("ratio"))
 
 
-@query("""WITH b AS (SELECT p_partkey AS box, p_partkey * 7 % 1400 AS y0, p_partkey * 13 % 9000 AS x0, 20 AS h, 50 AS w FROM part WHERE p_size <= 10)
+@query("""WITH b AS (SELECT p_partkey AS box, p_partkey * 7 % 1400 AS y0, p_partkey * 13 % 9000 AS x0, 20 AS h, 50 AS w FROM part)
 SELECT box, o_orderkey FROM orders JOIN b ON o_custkey >= y0 AND o_custkey < y0 + h AND o_orderkey % 9000 >= x0 AND o_orderkey % 9000 < x0 + w""")
 def point_in_box(spark, sf):
     p = table(spark, sf, "part")
@@ -485,6 +482,13 @@ def local_extrema(spark, sf):
     return stats.local_extrema(_daily(spark, sf), "day", "v")
 
 
+@query(DAILY + """, n AS (SELECT day, v, row_number() OVER (ORDER BY day) AS i, count(*) OVER () AS n FROM d),
+k AS (SELECT a.day, a.v, bool_and(a.v < b.v) AS ok FROM n a JOIN range(-5, 6) s ON s.range <> 0 JOIN n b ON b.i = greatest(1, least(a.n, a.i + s.range)) GROUP BY 1, 2)
+SELECT day, v FROM k WHERE ok""")
+def local_extrema_order5(spark, sf):
+    return stats.local_extrema(_daily(spark, sf), "day", "v", order=5)
+
+
 @query(DAILY + ", m AS (SELECT day FROM (SELECT day, v, lag(v) OVER (ORDER BY day) AS p, lead(v) OVER (ORDER BY day) AS q FROM d) WHERE v < p AND v < q) SELECT lo, hi FROM (SELECT lag(day) OVER (ORDER BY day) AS lo, day AS hi FROM m) WHERE lo IS NOT NULL")
 def extrema_ranges(spark, sf):
     return stats.between_extrema(local_extrema(spark, sf), "day")
@@ -577,7 +581,7 @@ def label_centroids(spark, sf):
     return cells.label_centroids(cells.small_labels_dropped(px, 60))
 
 
-@query("""WITH RECURSIVE e AS (SELECT vec_id AS a, (vec_id * 7 + 3) % 500 AS b FROM embeddings WHERE vec_id % 3 = 0), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+@query("""WITH RECURSIVE e AS (SELECT vec_id AS a, (vec_id * 7 + 3) % 500 AS b FROM embeddings), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r AS (SELECT a AS node, a AS c FROM u UNION SELECT u.b, r.c FROM r JOIN u ON u.a = r.node) SELECT node, min(c) AS component FROM r GROUP BY 1""")
 def seam_components(spark, sf):
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("src"), ((F.col("vec_id") * 7 + 3) % 500).alias("dst"))

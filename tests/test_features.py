@@ -93,7 +93,8 @@ def test_matrix_round_trip(spark):
 def test_curves(spark):
     df = spark.createDataFrame([(i, float(v)) for i, v in enumerate([5, 3, 4, 1, 2, 2, 0, 6])], "i int, v double")
     assert [r.i for r in stats.local_extrema(df, "i", "v").orderBy("i").collect()] == [1, 3, 6]
-    assert [r.i for r in stats.local_extrema(df, "i", "v", order=2).collect()] == []
+    assert [r.i for r in stats.local_extrema(df, "i", "v", order=2).orderBy("i").collect()] == [3, 6]
+    assert [r.i for r in stats.local_extrema(df, "i", "v", order=9).collect()] == [6]
     assert [r.i for r in stats.local_extrema(df, "i", "v", maxima=True).collect()] == [2]
     assert stats.first_crossing(df, "i", "v", 2.5).first().i == 2
     assert stats.histogram(df, "v", 3).orderBy("bin").collect()[-1].bin == 2
