@@ -3,7 +3,7 @@
 For each host, the share of its pages that contain a line; lines above the boilerplate ratio are
 dropped from all pages of that host. Lines are compared whole, by a 64-bit hash, and counted once a
 page; blank lines are neither counted nor dropped. A host has at most (distinct lines a page / ratio)
-such lines, so they travel as one array a host; whether these arrays are broadcast is decided by
+such lines, so they travel as one array a host, of which a text keeps those it has; whether these arrays are broadcast is decided by
 their measured size, and beyond the bound a shuffled join takes over, whose hot hosts adaptive
 execution splits. Counts are combined before the shuffle, and texts are not shuffled for counting.
 
@@ -20,8 +20,7 @@ from pyspark.sql import functions as F
 from mosaicq.workspace import materialise
 
 RATIO_PERCENT = 2
-MIN_PAGES = 20
-#: The registered queries let the ratio decide at every host size; a line on one page is not repeated.
+#: A line that one page alone has is not repeated, however few pages its host has; the ratio decides all else.
 REPEATED = 2
 BROADCAST_BYTES = 8 << 20
 _BLANKS = " \t\n\x0b\x0c\r"
@@ -35,7 +34,7 @@ def _filled(line: Column) -> Column:
     return F.btrim(line, F.lit(_BLANKS)) != ""
 
 
-def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio_percent: int = RATIO_PERCENT, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio_percent: int = RATIO_PERCENT, min_pages: int = REPEATED) -> DataFrame:
     """(host, line hash, pages with the line, pages of the host) of the lines above the ratio."""
     rows = docs.select(F.col(host_col).alias("host"), F.col(text_col).alias("text"))
     totals = rows.groupBy("host").agg(F.count("*").alias("n_pages"))
@@ -49,7 +48,7 @@ def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text
     )
 
 
-def dedup(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio_percent: int = RATIO_PERCENT, min_pages: int = MIN_PAGES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def dedup(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio_percent: int = RATIO_PERCENT, min_pages: int = REPEATED, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(r: the input row, n_lines, n_dropped, text: what is left) of every row."""
     found = materialise(boilerplate(docs, host_col, text_col, ratio_percent, min_pages).groupBy("host").agg(F.collect_list("line").alias("drop")), "line-dedup")
     size = found.agg(F.coalesce(F.sum(F.size("drop") * 8 + F.coalesce(F.octet_length(F.col("host").cast("string")), F.lit(0)) + 64), F.lit(0))).first()[0]
@@ -57,11 +56,14 @@ def dedup(docs: DataFrame, host_col: str = "source", text_col: str = "text", rat
     rows = docs.select(F.struct("*").alias("r"))
     joined = rows.join(side.withColumnRenamed("host", "_host"), F.col(f"r.{host_col}").eqNullSafe(F.col("_host")), "left")
     text = F.col(f"r.{text_col}")
+    # A hash join of the text's lines and the host's: only those that this text has are looked up line by line.
+    joined = joined.withColumn("drop", F.array_intersect(F.transform(_lines(text), lambda x: F.xxhash64(x)), F.col("drop")))
+    touched = F.size("drop") > 0
     kept = F.filter(_lines(text), lambda x: ~(_filled(x) & F.array_contains("drop", F.xxhash64(x))))
-    left = F.when(F.col("drop").isNull(), text).otherwise(F.array_join(kept, "\n"))
+    left = F.when(touched, F.array_join(kept, "\n")).otherwise(text)
     n_lines = F.coalesce(F.size(F.filter(_lines(text), _filled)), F.lit(0)).cast("long")
-    out = joined.select("r", n_lines.alias("n_lines"), F.coalesce(F.when(F.col("drop").isNull(), 0).otherwise(F.size(_lines(text)) - F.size(kept)), F.lit(0)).cast("long").alias("n_dropped"), left.alias("text"))
-    return out
+    n_dropped = F.when(touched, F.size(_lines(text)) - F.size(kept)).otherwise(0)
+    return joined.select("r", n_lines.alias("n_lines"), n_dropped.cast("long").alias("n_dropped"), left.alias("text"))
 
 
 def cleaned(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
@@ -73,17 +75,18 @@ def cleaned(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
     """Every document with its site's boilerplate lines dropped."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    return dedup(docs, min_pages=REPEATED).select("r.doc_id", "n_lines", "n_dropped", "text")
+    return dedup(docs).select("r.doc_id", "n_lines", "n_dropped", "text")
 
 
 ORACLE_SQL = r"""
-WITH l AS (SELECT doc_id, source, i, ls[i] AS line FROM (SELECT doc_id, source, string_split(text, chr(10)) AS ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)),
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT row, source, i, ls[i] AS line FROM (SELECT row, source, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)),
 f AS (SELECT *, regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g') <> '' AS filled FROM l),
 t AS (SELECT source, count(*) AS n_pages FROM documents GROUP BY source),
-c AS (SELECT source, line, count(DISTINCT doc_id) AS n FROM f WHERE filled GROUP BY source, line),
-b AS (SELECT c.source, c.line FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source WHERE n >= 20 AND n * 100 > n_pages * 2),
-m AS (SELECT f.*, b.line IS NOT NULL AND f.filled AS dropped FROM f LEFT JOIN b ON f.source IS NOT DISTINCT FROM b.source AND f.line = b.line)
-SELECT doc_id, CAST(sum(CAST(filled AS INTEGER)) AS BIGINT) AS n_lines, CAST(sum(CAST(dropped AS INTEGER)) AS BIGINT) AS n_dropped,
-  coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT dropped), '') AS text
-FROM m GROUP BY doc_id
+c AS (SELECT source, line, count(DISTINCT row) AS n FROM f WHERE filled GROUP BY source, line),
+b AS (SELECT c.source, c.line FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source WHERE n >= 2 AND n * 100 > n_pages * 2),
+m AS (SELECT f.*, b.line IS NOT NULL AND f.filled AS dropped FROM f LEFT JOIN b ON f.source IS NOT DISTINCT FROM b.source AND f.line = b.line),
+g AS (SELECT row, sum(CAST(filled AS INTEGER)) AS n_lines, sum(CAST(dropped AS INTEGER)) AS n_dropped, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT dropped) AS rest FROM m GROUP BY row)
+SELECT doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_dropped, 0) AS BIGINT) AS n_dropped, CASE WHEN text IS NOT NULL THEN coalesce(rest, '') END AS text
+FROM d LEFT JOIN g ON d.row = g.row
 """
