@@ -8,7 +8,8 @@ and spills), so what it holds is the open bins alone, however long the block.
 Texts are tokenised once, the pieces' sizes and checksums go to a table in the shared folder, and only
 these small rows are dealt out: evenly, by no key, so no source, text or copy can overload a task.
 
-Defined results: null and empty texts become the single end id; repeated rows are packed one by one
+Defined results: null and empty texts become the single end id; the string of an added token of the
+vocabulary is that token; repeated rows are packed one by one
 (``row`` tells them apart); only id and text are read; an empty table gives an empty table.
 """
 
@@ -18,6 +19,7 @@ import base64
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -28,6 +30,8 @@ from mosaicq.workspace import materialise
 
 CAPACITY = 2048
 END_ID = 0
+#: Fixed value: the token that byte_bpe_50k.json adds to its ranks, with its id.
+ADDED_TOKENS = {"<|endoftext|>": 50256}
 #: Bins open at a time in a task.
 OPEN_BINS = 4096
 #: Pieces that one task packs, and pieces of a batch: the long ones of a batch must find their bins open.
@@ -35,20 +39,21 @@ BLOCK, BATCH = 1 << 16, 1 << 13
 
 
 def default_ranks() -> str:
-    """The byte-level vocabulary as ranks; its ids equal those of byte_bpe_50k.json."""
+    """The byte-level vocabulary as ranks; its ids, with ADDED_TOKENS, equal those of byte_bpe_50k.json."""
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def load_encoder(ranks_path: str, pattern: str | None = None):
-    """An encoder over a file of base64 tokens and ranks; strings of special tokens are ordinary text."""
+def load_encoder(ranks_path: str, pattern: str | None = None, added: dict[str, int] = ADDED_TOKENS):
+    """A function from text to ids, over a file of base64 tokens and ranks; added tokens are split off first."""
     import public_tokenizers
     import tiktoken
 
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
-    return tiktoken.Encoding("ranks", pat_str=pattern or public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    found = tiktoken.Encoding("ranks", pat_str=pattern or public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+    return partial(found.encode, allowed_special=set(added), disallowed_special=())
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -100,7 +105,7 @@ def tokenise(docs: DataFrame, id_col: str, text_col: str, capacity: int, ranks_p
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = load_encoder(ranks_path).encode_ordinary
+        encode = load_encoder(ranks_path)
         for batch in batches:
             at, piece, start, length, crc = [], [], [], [], []
             for i, text in enumerate(batch.column(1)):

@@ -29,7 +29,6 @@ def check_packed(rows, texts):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True  # their strings are ordinary text
     pieces, bins = collections.defaultdict(list), collections.defaultdict(list)
     for r in rows:
         pieces[r.doc_id].append(r)
@@ -58,9 +57,11 @@ def test_packing_round_trip(spark, sf_dir):
 
 
 def test_packing_edge_cases(spark):
-    texts = {1: None, 2: "", 3: "word " * 2047, 4: "word " * 2046, 5: "word " * 9000, 6: "ü𝛼 <|endoftext|> " * 3}
+    texts = {1: None, 2: "", 3: "word " * 2047, 4: "word " * 2046, 5: "word " * 9000, 6: "ü𝛼 <|endoftext|> " * 3, 7: "<|endoftext|>", 8: "<|endoftext|>  at  the start", 9: "at the  end <|endoftext|>", 10: "<|endoftext|><|endoftext|>\n\n <|endoftext |>", 11: "x" * 40_000}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumns({"row": F.lit("x"), "length": F.lit(1), "sequence_id": F.lit(2)})
     check_packed(packing.pack(df).collect(), texts)
+    twice = packing.pack(df.unionByName(df)).collect()
+    assert len({(r.row, r.piece) for r in twice}) == len(twice) == 2 * packing.pack(df).count()
     assert packing.pack(df.limit(0)).count() == 0
 
 
@@ -111,10 +112,28 @@ def test_line_dedup_rules(spark):
         assert out.columns == docs.columns
         got = {r.doc_id: r.text for r in out.collect()}
         assert len(got) == len(rows)
-        assert got[5] == "own 5\n" and got[1003] == "menu\nown 3" and got[2000] == "" and got[3000] is None and got[3001] == ""
+        assert got[5] == "own 5\n" and got[1003] == "own 3" and got[2000] == "" and got[3000] is None and got[3001] == ""
     assert line_dedup.cleaned(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_sql_with_nulls_and_repeats(spark, tmp_path):
+    rows = [(i, "a" if i % 2 else None, t) for i, t in enumerate(["m\nx", "m\n\ny", "m", "", None, "m\nm\nz ", "z ", "q"])] * 2 + [(None, "three", "m\n1"), (90, "three", "m\n2"), (91, "three", "n\n3")]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got = [(r.doc_id, r.n_lines, r.n_dropped, r.text) for r in line_dedup.op10_line_dedup(spark, str(tmp_path)).collect()]
+    want = con.sql(f"SELECT doc_id, n_lines, n_dropped, text FROM ({registry.ORACLE['op10_line_dedup']})").fetchall()
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    assert {(90, 2, 1, "2"), (91, 2, 0, "n\n3"), (4, 0, 0, None), (3, 0, 0, "")} <= set(got)
+
+
+def test_line_dedup_of_very_long_texts(spark):
+    long = "\n".join(f"line {i % 5000}" for i in range(60_000))
+    docs = spark.createDataFrame([(1, "h", long), (2, "h", long + "\nown")], "doc_id long, source string, text string")
+    got = {r.r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in line_dedup.dedup(docs).collect()}
+    assert got == {1: (60_000, 60_000, ""), 2: (60_001, 60_000, "own")}
+
+
 def test_pipeline_against_plain_stages(spark, sf_dir):
     """Each stage against a plain version of it, on what its predecessor kept."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
