@@ -3,9 +3,11 @@
 A word's subwords are its character n-grams, hashed into buckets; a text is the mean of all its
 subwords' embeddings, a linear layer and a softmax follow. Embeddings and layer are trained by
 stochastic gradient descent in numpy, inside one task, on a bounded sample: at most ``per_language``
-whole texts of each language, chosen by a hash of the id. A held-back part of the sample fits the
-softmax temperature (calibrated scores) and the score below which an answer should be rejected;
-whole texts and short extracts take part in both.
+whole texts of each language, whatever the number of languages, chosen by a hash of the id. What that
+task receives of a text are its subword counts (at most one entry a bucket) and those of a few short
+extracts, made where the text is: its memory is bounded by the sample's rows, not by their lengths. A
+held-back part of the sample fits the softmax temperature (calibrated scores) and the score below
+which an answer should be rejected; whole texts and short extracts take part in both.
 
 As mean and layer are linear, a trained model is one row of class scores per bucket (a fixed size,
 whatever the corpus), and a word's row is computed once and cached; prediction is one scan of whole
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import io
 import re
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,12 +32,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mosaicq.workspace import materialise
+
 UNKNOWN = "und"
-#: Whole texts learned from, of each language; the most languages that are learned (the commonest).
-PER_LANGUAGE, MAX_LANGUAGES = 1000, 256
+#: Whole texts learned from, of each language: the bound of the sample.
+PER_LANGUAGE = 1000
+#: Short extracts learned from, of each text, and their most words.
+EXTRACTS, EXTRACT_WORDS = 8, 12
 BUCKETS, DIM, GRAMS = 1 << 15, 16, (2, 3, 4)
-#: Passes over the sample; a small sample is passed until so many texts were seen.
-EPOCHS, LEAST_SEEN, RATE = 4, 4000, 2.0
+#: Passes over the sample; a small sample is passed until so many texts, in all and of each class, were seen.
+EPOCHS, LEAST_SEEN, LEAST_OF_CLASS, RATE = 4, 4000, 200, 2.0
 CALIBRATION_SHARE = 0.2
 #: Accepted answers of the calibration part are right in at least this share.
 ACCEPT_PRECISION = 0.99
@@ -148,10 +155,19 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum()
 
 
-def fit(rows: list[tuple[str, str]], seed: int = 0) -> Model:
-    """Train on (text, language) rows; the same rows in the same order give the same model."""
-    rows = [(w, lang) for w, lang in ((words(t), lang) for t, lang in rows) if w]
-    classes = sorted({lang for _, lang in rows})
+def sample_bags(text: str) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The bags of a text with letters: of all of it, then of EXTRACTS short extracts; none without letters."""
+    found = words(text)
+    if not found:
+        return []
+    rng = np.random.default_rng(zlib.crc32(text.encode("utf-8", "surrogatepass")))
+    starts, sizes = rng.integers(len(found), size=EXTRACTS), 1 + rng.integers(EXTRACT_WORDS, size=EXTRACTS)
+    return [_bag(found), *(_bag(found[a : a + n]) for a, n in zip(starts, sizes))]
+
+
+def fit(rows: list[tuple[str, list[tuple[np.ndarray, np.ndarray]]]], seed: int = 0) -> Model:
+    """Train on (language, bags of a text) rows; the same rows in the same order give the same model."""
+    classes = sorted({lang for lang, _ in rows})
     if not classes:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
     number = {c: i for i, c in enumerate(classes)}
@@ -161,16 +177,13 @@ def fit(rows: list[tuple[str, str]], seed: int = 0) -> Model:
     order = rng.permutation(len(rows))
     n_held = int(len(rows) * CALIBRATION_SHARE) if len(rows) >= 20 else 0
     held, train = order[:n_held], order[n_held:]
-    whole = {int(i): _bag(rows[i][0]) for i in train}
-    epochs = max(EPOCHS, -(-LEAST_SEEN // max(1, len(train))))
+    epochs = max(EPOCHS, -(-max(LEAST_SEEN, LEAST_OF_CLASS * len(classes)) // max(1, len(train))))
     steps, step = epochs * len(train) * 2, 0
     for _ in range(epochs):
         for i in rng.permutation(train):
-            found, lang = rows[i]
+            lang, bags = rows[i]
             k = number[lang]
-            a = int(rng.integers(len(found)))
-            short = _bag(found[a : a + 1 + int(rng.integers(12))])
-            for ids, weight in (whole[int(i)], short):
+            for ids, weight in (bags[0], bags[1 + int(rng.integers(EXTRACTS))]):
                 rate = np.float32(RATE * (1 - step / steps))
                 step += 1
                 mean = weight @ emb[ids]
@@ -182,18 +195,13 @@ def fit(rows: list[tuple[str, str]], seed: int = 0) -> Model:
                 emb[ids] -= rate * weight[:, None] * back
     model = Model(classes, emb @ layer, bias.astype(np.float64))
     if n_held:
-        pairs = []
-        for i in held:
-            found, lang = rows[i]
-            a = int(rng.integers(len(found)))
-            pairs += [(found, number[lang]), (found[a : a + 1 + int(rng.integers(12))], number[lang])]
-        _calibrate(model, pairs)
+        pairs = [(bag, number[rows[i][0]]) for i in held for bag in rows[i][1][:2]]
+        _calibrate(model, np.array([w @ model.table[ids] + model.bias for (ids, w), _ in pairs], np.float64), np.array([k for _, k in pairs]))
     return model
 
 
-def _calibrate(model: Model, rows: list[tuple[list[str], int]]) -> None:
-    """Temperature of least log loss; least score above which answers are precise enough."""
-    x, y = model.logits([w for w, _ in rows]), np.array([k for _, k in rows])
+def _calibrate(model: Model, x: np.ndarray, y: np.ndarray) -> None:
+    """Temperature of least log loss; least score above which answers are precise enough (scores x, classes y)."""
 
     def scores(t: float) -> np.ndarray:
         e = np.exp((x - x.max(1, keepdims=True)) / t)
@@ -217,20 +225,30 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("id")) != held_out))
     draw = (F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit(""))), F.lit(1 << 30)) / F.lit(float(1 << 30))).alias("draw")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    if not counts:
-        return fit([]).dump()
-    # A little more than wanted is drawn, the window makes it exact.
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 1.3 * per_language / r["count"] + 1e-9))])
-    drawn = rows.withColumn("draw", draw).withColumn("share", F.try_element_at(share, F.col("lang"))).where("draw < share")
+    # A little more than wanted is drawn, so that few texts are ordered; the window makes it exact.
+    counts = rows.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("n"))
+    drawn = rows.withColumn("draw", draw).join(counts, F.col("lang") == F.col("of")).where(F.col("draw") * F.col("n") < 1.3 * per_language + 20)
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "id", "text"))
-    sample = drawn.withColumn("nth", nth).where(F.col("nth") <= per_language).select("text", "lang", "nth").coalesce(1)
+    sample = drawn.withColumn("nth", nth).where(F.col("nth") <= per_language).select("text", "lang", "nth")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = sorted((lang, nth, text) for b in batches for text, lang, nth in zip(*(c.to_pylist() for c in b.columns)))
-        yield pa.RecordBatch.from_arrays([pa.array([fit([(t, lang) for lang, _, t in got]).dump()], pa.binary())], names=["model"])
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(lang, nth, k, ids.astype("<i4").tobytes(), weight.astype("<f4").tobytes()) for text, lang, nth in zip(*(c.to_pylist() for c in batch.columns)) for k, (ids, weight) in enumerate(sample_bags(text))]
+            cols = zip(*out) if out else ((),) * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["lang", "nth", "k", "ids", "weight"])
 
-    return bytes(sample.mapInArrow(run, "model binary").first()["model"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts: dict[tuple[str, int], list] = {}
+        for b in batches:
+            for lang, nth, k, ids, weight in zip(*(c.to_pylist() for c in b.columns)):
+                texts.setdefault((lang, nth), []).append((k, np.frombuffer(ids, "<i4"), np.frombuffer(weight, "<f4")))
+        got = [(lang, [(i, w) for _, i, w in sorted(texts[lang, nth], key=lambda x: x[0])]) for lang, nth in sorted(texts)]
+        yield pa.RecordBatch.from_arrays([pa.array([fit(got).dump()], pa.binary())], names=["model"])
+
+    whole = materialise(sample.mapInArrow(bags, "lang string, nth int, k int, ids binary, weight binary"), "language-sample")
+    if whole.isEmpty():
+        return fit([]).dump()
+    return bytes(whole.repartition(1).mapInArrow(run, "model binary").first()["model"])
 
 
 def predict(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,6 +1,7 @@
 """PII, licences, languages, quality, decontamination: exact checks and held-out accuracy."""
 
 import hashlib
+import math
 import re
 
 from pyspark.sql import functions as F
@@ -118,6 +119,51 @@ def test_language_edge_cases(spark):
     assert {r.lang_pred for r in nothing.collect()} == {"und"}
 
 
+def plain_logits(model, text):
+    """The mean of the table's rows of all n-grams of all words, one by one."""
+    total, n = [0.0] * len(model.classes), 0
+    for w in re.findall(r"[^\W\d_]+", text.lower()):
+        marked = f"<{w}>"
+        for size in language_id.GRAMS:
+            for i in range(len(marked) - size + 1):
+                h = size
+                for c in marked[i : i + size]:
+                    h = (h ^ ord(c)) * 0x9E3779B97F4A7C15 % 2**64
+                    h ^= h >> 29
+                row = model.table[h % language_id.BUCKETS]
+                total = [a + float(b) for a, b in zip(total, row)]
+                n += 1
+    return [a / n + b for a, b in zip(total, model.bias)]
+
+
+def test_language_scores_equal_a_plain_scorer(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = language_id.Model.load(language_id.train(docs))
+    texts = [r.text for r in docs.where("length(text) < 4000").collect() if r.text and language_id.words(r.text)][:60]
+    for text, got in zip(texts, model.predict(texts)):
+        x = plain_logits(model, text)
+        e = [math.exp((v - max(x)) / model.temperature) for v in x]
+        best = max(range(len(x)), key=lambda k: x[k])
+        assert got[0] == model.classes[best] and abs(got[1] - e[best] / sum(e)) < 1e-6
+
+
+def test_many_languages_are_learned(spark):
+    rows = [(k * 4 + j, " ".join(chr(0x4E00 + 30 * k + (i * 7 + j) % 20) * 3 for i in range(30)), f"l{k:03d}") for k in range(300) for j in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(df, language_id.train(df)).collect()}
+    assert len(set(got.values())) == 300 and sum(got[i] == lang for i, _, lang in rows) > 0.99 * len(rows)
+
+
+def test_language_of_repeated_long_and_no_rows(spark):
+    rows = [(i, ("the of and " if i % 2 else "der die das ") * 20, "en" if i % 2 else "de") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(df)
+    odd = spark.createDataFrame([(1, "the of", None), (1, "the of", None), (2, "die das " * 150_000, None), (3, "x" * 300_000, None)], df.schema)
+    got = sorted((r.doc_id, r.lang_pred) for r in language_id.predict(odd, model).collect())
+    assert got[:3] == [(1, "en"), (1, "en"), (2, "de")] and got[3][1] in ("de", "en")
+    assert language_id.predict(df.limit(0), model).count() == 0
+
+
 def plain_measures(text):
     w = [x for x in re.split(r"[\x20\x09-\x0D]+", text) if x]
     seen, covered = {}, set()
