@@ -148,7 +148,7 @@ def test_language_scores_equal_a_plain_scorer(spark, sf_dir):
 
 
 def test_many_languages_are_learned(spark):
-    rows = [(k * 4 + j, " ".join(chr(0x4E00 + 30 * k + (i * 7 + j) % 20) * 3 for i in range(30)), f"l{k:03d}") for k in range(300) for j in range(4)]
+    rows = [(k * 8 + j, " ".join(chr(0x4E00 + 30 * k + (i * 7 + j) % 20) * 3 for i in range(30)), f"l{k:03d}") for k in range(300) for j in range(8)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = {r.doc_id: r.lang_pred for r in language_id.predict(df, language_id.train(df)).collect()}
     assert len(set(got.values())) == 300 and sum(got[i] == lang for i, _, lang in rows) > 0.99 * len(rows)
