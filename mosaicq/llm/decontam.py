@@ -8,26 +8,34 @@ for all windows of a batch at once, and where some block's bound reaches the thr
 WAND over the postings finds every item at or above it. What is found is verified: the words of the item that lie in 5-word shingles of the window,
 as shares of its question and of its answer.
 
-The index is built of bounded shards of items, whose bytes are broadcast one by one; document
-frequencies and lengths are counted over all items first. Documents are never shuffled, so frequent
-leaks, sources or copies cannot overload a task.
+The index is built of bounded shards of items, by tasks, as files in the shared folder; document
+frequencies and lengths are counted over all items first. Documents are read once, however many shards
+there are: a task numbers the words of a batch and passes these numbers through one shard after the
+other, a few of which it keeps loaded. Documents are never shuffled, so frequent leaks, sources or
+copies cannot overload a task.
 
 Defined results: null and empty texts hold no item, items without words are never found; repeated
-items and rows are reported one by one; without items nothing is found; a text's other columns are
-not read by ``find`` and come back unchanged from ``without_leaks``.
+items and rows are reported one by one; ids of any type; without items nothing is found; a text's other
+columns are not read by ``find`` and come back unchanged from ``without_leaks``.
 """
 
 from __future__ import annotations
 
 import math
 import pickle
+import re
+import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mosaicq.llm.shared_files import open_shared
+from mosaicq.workspace import fresh_path, materialise
+
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5
 QUESTION_SHARE, ANSWER_SHARE = 0.6, 0.4
@@ -35,6 +43,9 @@ SHINGLE = 5
 STRIDE = 32
 SHARD_ITEMS, WIDE_BLOCKS, NARROW_BLOCKS = 2048, 25, 256
 CHUNK_WORDS = 100_000
+#: Shards that a task keeps loaded.
+LOADED_SHARDS = 4
+_MARKS = (re.compile("answer:", re.IGNORECASE | re.ASCII), re.compile(r"\?"))
 
 #: Digits and letters stay, A-Z are lower-cased, bytes of non-ASCII letters stay, the rest separates.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
@@ -46,18 +57,25 @@ def words_of(raw: bytes) -> list[bytes]:
 
 def split_item(text: str) -> int:
     """How many words of an item are its question: up to the last question mark or answer mark, else two thirds."""
-    for mark in ("answer:", "?"):
-        at = text.lower().rfind(mark)
-        if at >= 0:
-            n = len(words_of(text[: at + 1].encode()))
-            if 0 < n < len(words_of(text.encode())):
-                return n
     n = len(words_of(text.encode()))
+    for mark in _MARKS:
+        at = max((m.start() for m in mark.finditer(text)), default=-1)
+        if at >= 0 and 0 < (head := len(words_of(text[: at + 1].encode()))) < n:
+            return head
     return max(1, n - n // 3)
 
 
+class Batch:
+    """Texts as numbers of their words, which are numbered in order of appearance."""
+
+    def __init__(self, texts: list[bytes]):
+        numbers: dict[bytes, int] = {}
+        self.rows = [np.array([numbers.setdefault(w, len(numbers)) for w in words_of(t)], np.int32) for t in texts]
+        self.words = list(numbers)
+
+
 class Index:
-    """Postings of one shard with block maxima; picklable."""
+    """Postings of one shard with block maxima, which are made anew when it is unpickled."""
 
     def __init__(self, items: list[tuple[int, str]], df: dict[bytes, int], n_items: int, mean_length: float):
         rows = [(key, words_of(text.encode()), split_item(text)) for key, text in items]
@@ -82,15 +100,27 @@ class Index:
                 if term == len(self.postings):
                     self.postings.append([])
                 self.postings[term].append((i, x / own))
-        n_blocks = max(1, -(-len(rows) // self.block))
+        self._bound()
+
+    def _bound(self) -> None:
+        """The largest impacts of each term: in narrow blocks, in wide ones, in all."""
+        n_blocks = max(1, -(-len(self.keys) // self.block))
         self.block_max = np.zeros((len(self.postings) + 1, n_blocks), np.float32)
-        for term, entries in enumerate(self.postings):
-            for i, x in entries:
-                self.block_max[term, i // self.block] = max(self.block_max[term, i // self.block], x)
+        sizes = [len(p) for p in self.postings]
+        if sizes:
+            item, impact = (np.array(c) for c in zip(*(e for p in self.postings for e in p)))
+            np.maximum.at(self.block_max, (np.repeat(np.arange(len(sizes)), sizes), item // self.block), impact.astype(np.float32))
         per_wide = -(-n_blocks // WIDE_BLOCKS)
         self.wide_max = np.maximum.reduceat(self.block_max, np.arange(0, n_blocks, per_wide), axis=1)
         self.list_max = [max(x for _, x in p) for p in self.postings]
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("block_max", "wide_max", "list_max")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._bound()
+
     def retrieve(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """(item, score) of all items at or above the threshold: block-max WAND, document at a time."""
         end = len(self.keys)
@@ -146,21 +176,23 @@ class Index:
         question, answer = covered[:q], covered[q:]
         return sum(question) / len(question), sum(answer) / len(answer) if answer else 1.0
 
-    def search(self, texts: list[bytes], threshold: float) -> list[list[tuple[int, float, int, int]]]:
+    def search(self, batch: Batch, threshold: float) -> list[list[tuple[int, float, int, int]]]:
         """For each text, (item, score, first word, words) of every window and item at or above the threshold."""
         out: list[list[tuple[int, float, int, int]]] = []
+        none = len(self.postings)
+        terms = np.array([self.vocab.get(w, none) for w in batch.words], np.int32)
         at = 0
-        while at < len(texts):
+        while at < len(batch.rows):
             group, n = [], 0
-            while at < len(texts) and (not group or n < CHUNK_WORDS):
-                group.append(words_of(texts[at]))
+            while at < len(batch.rows) and (not group or n < CHUNK_WORDS):
+                group.append(terms[batch.rows[at]])
                 n += len(group[-1])
                 at += 1
             out += self._search(group, threshold)
         return out
 
-    def _search(self, group: list[list[bytes]], threshold: float) -> list[list[tuple[int, float, int, int]]]:
-        get, none = self.vocab.get, len(self.postings)
+    def _search(self, group: list[np.ndarray], threshold: float) -> list[list[tuple[int, float, int, int]]]:
+        none = len(self.postings)
         span = -(-self.longest // STRIDE) + 1
         segments = [-(-len(g) // STRIDE) for g in group]
         first = np.concatenate([[0], np.cumsum(segments)]).astype(np.int64)
@@ -169,7 +201,7 @@ class Index:
             return found
         ids = np.full(first[-1] * STRIDE, none, np.int32)
         for g, s in zip(group, first):
-            ids[s * STRIDE : s * STRIDE + len(g)] = [get(w, none) for w in g]
+            ids[s * STRIDE : s * STRIDE + len(g)] = g
         # A word counts once a segment; sums of each segment, then of each window of segments inside its text.
         rows = np.sort(ids.reshape(-1, STRIDE), axis=1)
         rows[:, 1:][rows[:, 1:] == rows[:, :-1]] = none
@@ -196,84 +228,113 @@ class Index:
                 found[doc] += [(item, score, lo, min(int(ends[s] - s) * STRIDE, len(group[doc]) - lo)) for item, score in hits]
         return found
 
-    def leaks(self, texts: list[bytes], threshold: float) -> list[list[tuple[int, float, float, float, int, int]]]:
+    def leaks(self, batch: Batch, threshold: float) -> list[list[tuple[int, float, float, float, int, int]]]:
         """For each text, the verified items: (item, score, question and answer shares, window), best window each."""
         out = []
-        for raw, hits in zip(texts, self.search(texts, threshold)):
+        for row, hits in zip(batch.rows, self.search(batch, threshold)):
             best: dict[int, tuple[int, float, float, float, int, int]] = {}
-            found = words_of(raw) if hits else []
             for item, score, lo, n in hits:
-                q, a = self.overlap(item, found[lo : lo + n])
-                row = (item, score, q, a, lo, n)
+                q, a = self.overlap(item, [batch.words[w] for w in row[lo : lo + n]])
+                found = (item, score, q, a, lo, n)
                 if q >= QUESTION_SHARE and a >= ANSWER_SHARE and (item not in best or (q + a, score) > (best[item][2] + best[item][3], best[item][1])):
-                    best[item] = row
+                    best[item] = found
             out.append([best[i] for i in sorted(best)])
         return out
 
 
-def shards(items: DataFrame, id_col: str = "item_id", text_col: str = "text", shard_items: int = SHARD_ITEMS) -> Iterator[bytes]:
-    """Pickled indexes of at most shard_items items each, with statistics over all items."""
+@lru_cache(maxsize=LOADED_SHARDS)
+def _loaded(uri: str) -> tuple[Index, pa.Array]:
+    """A shard and its items' ids."""
+    with open_shared(uri) as f:
+        index = pickle.loads(f.read())
+    return index, pa.array(index.keys, index.key_type)
+
+
+def shards(items: DataFrame, id_col: str = "item_id", text_col: str = "text", shard_items: int = SHARD_ITEMS) -> list[str]:
+    """The files of the indexes of about shard_items items each, with statistics over all items."""
     rows = items.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     bare = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    bag = F.filter(F.split(bare, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")
-    sizes = rows.select(F.size(bag).alias("n")).where("n > 0").agg(F.count("*"), F.avg("n")).first()
-    if not sizes[0]:
-        return
-    df = rows.select("id", "text", F.explode(F.array_distinct(bag)).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    parts = -(-sizes[0] // shard_items)
-    shard = F.pmod(F.xxhash64("text", F.col("id").cast("string")), F.lit(parts))
-    for k in range(parts):
-        part = rows.where(shard == k)
-        found = [(r["id"], r["text"]) for r in part.toLocalIterator()]
-        needed = part.select(F.explode(F.array_distinct(bag)).alias("word")).distinct()
-        counts = {r["word"].encode(): r["df"] for r in df.join(needed, "word").toLocalIterator()}
-        yield pickle.dumps(Index(sorted(found, key=lambda x: (x[0] is None, x[0] or 0, x[1])), counts, sizes[0], sizes[1]))
-
-
-def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", threshold: float = THRESHOLD) -> DataFrame:
+    bag = F.array_distinct(F.filter(F.split(bare, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != ""))
+    length = F.size(F.filter(F.split(bare, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != ""))
+    rows = materialise(rows.where(length > 0).withColumns({"n": length, "row": F.monotonically_increasing_id()}), "decontam-items")
+    n_items, mean = rows.agg(F.count("*"), F.avg("n")).first()
+    if not n_items:
+        return []
+    words = rows.select("row", F.explode(bag).alias("word"))
+    df = words.groupBy("word").agg(F.count("*").alias("df"))
+    counts = words.join(df, "word").groupBy("row").agg(F.collect_list("word").alias("words"), F.collect_list("df").alias("dfs"))
+    parts = -(-n_items // shard_items)
+    folder = fresh_path(items.sparkSession, "decontam-index")
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, list[dict]] = {}
+        names, key_type = [], None
+        for batch in batches:
+            key_type = batch.schema.field("id").type
+            for r in batch.to_pylist():
+                found.setdefault(r["shard"], []).append(r)
+        for part in found.values():
+            part.sort(key=lambda r: (r["text"], str(r["id"])))
+            known = {w.encode(): n for r in part for w, n in zip(r["words"], r["dfs"])}
+            index = Index([(r["id"], r["text"]) for r in part], known, n_items, mean)
+            index.key_type = key_type
+            names.append(f"{folder}/{uuid.uuid4().hex}")
+            with open_shared(names[-1], write=True) as f:
+                f.write(pickle.dumps(index))
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["file"])
+
+    shard = F.pmod(F.xxhash64("text", "row"), F.lit(parts))
+    dealt = rows.join(counts, "row").withColumn("shard", shard).select("shard", "id", "text", "words", "dfs").repartition(parts, "shard")
+    files = materialise(dealt.mapInArrow(build, "file string"), "decontam-shards")
+    return sorted(r["file"] for r in files.collect())
+
+
+def _texts(column: pa.Array) -> Batch:
+    return Batch([x or b"" for x in column.cast(pa.binary()).to_pylist()])
+
+
+def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", threshold: float = THRESHOLD, shard_items: int = SHARD_ITEMS) -> DataFrame:
     """One row for each text and item it holds: scores, shares and the window in words."""
     id_type, item_type = docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = f"id {id_type}, item {item_type}, score double, question_overlap double, answer_overlap double, first_word long, n_words long"
-    spark = docs.sparkSession
-    out = spark.createDataFrame([], schema)
-    for packed in shards(items, item_col):
-        shared = spark.sparkContext.broadcast(packed)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = pickle.loads(shared.value)
-            for batch in batches:
-                texts = [x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()]
-                found = [(i, *row) for i, rows in enumerate(index.leaks(texts, threshold)) for row in rows]
-                at, item, score, q, a, lo, n = zip(*found) if found else ((),) * 7
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(at, pa.int64())), pa.array([index.keys[i] for i in item], kind_of(item_type)), pa.array(score, pa.float64()), pa.array(q, pa.float64()), pa.array(a, pa.float64()), pa.array(lo, pa.int64()), pa.array(n, pa.int64())],
-                    names=["id", "item", "score", "question_overlap", "answer_overlap", "first_word", "n_words"],
-                )
-
-        out = out.unionByName(rows.mapInArrow(run, schema))
-    return out.withColumnsRenamed({"id": id_col, "item": item_col})
-
-
-def kind_of(name: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[name]
-
-
-def without_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", threshold: float = THRESHOLD) -> DataFrame:
+    files = shards(items, item_col, shard_items=shard_items)
+    if not files:
+        return docs.sparkSession.createDataFrame([], schema).withColumnsRenamed({"id": id_col, "item": item_col})
+    kinds = (pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int64())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = _texts(batch.column(1))
+            for file in files:
+                index, keys = _loaded(file)
+                found = [(i, *row) for i, some in enumerate(index.leaks(texts, threshold)) for row in some]
+                if found:
+                    at, item, *rest = zip(*found)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(pa.array(at, pa.int64())), keys.take(pa.array(item, pa.int64())), *(pa.array(c, k) for c, k in zip(rest, kinds))],
+                        names=["id", "item", "score", "question_overlap", "answer_overlap", "first_word", "n_words"],
+                    )
+
+    return rows.mapInArrow(run, schema).withColumnsRenamed({"id": id_col, "item": item_col})
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", threshold: float = THRESHOLD, shard_items: int = SHARD_ITEMS) -> DataFrame:
     """The rows of docs that hold no item, columns unchanged."""
     at = docs.columns.index(text_col)
-    out = docs
-    for packed in shards(items, item_col):
-        shared = docs.sparkSession.sparkContext.broadcast(packed)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = pickle.loads(shared.value)
-            for batch in batches:
-                texts = [x or b"" for x in batch.column(at).cast(pa.binary()).to_pylist()]
-                yield batch.filter(pa.array([not rows for rows in index.leaks(texts, threshold)], pa.bool_()))
-
-        out = out.mapInArrow(run, docs.schema)
-    return out
+    files = shards(items, item_col, shard_items=shard_items)
+    if not files:
+        return docs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = _texts(batch.column(at))
+            clean = np.ones(batch.num_rows, bool)
+            for file in files:
+                clean &= [not found for found in _loaded(file)[0].leaks(texts, threshold)]
+            yield batch.filter(pa.array(clean))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op6_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -91,6 +91,13 @@ def test_archive_round_trip(spark, tmp_path):
     assert warc.read_archive(warc.write_archive(pages.limit(0), f"file://{tmp_path}/e")).count() == 0
 
 
+def test_archive_of_text_ids(spark, tmp_path):
+    rows = [("a\r\nWARC-Type: x", "u", "same"), ("50%25>", "u", "same"), ("ü b", "http://h/%20?q=<1>", "same"), ("ü b", "http://h/%20?q=<1>", "same")]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string")
+    got = warc.read_archive(warc.write_archive(pages, f"file://{tmp_path}/w")).collect()
+    assert sorted((r.record, r.url, r.record_type, r.refers_to) for r in got) == sorted((i, u, "response" if i == "50%25>" else "revisit", None if i == "50%25>" else "50%25>") for i, u, _ in rows)
+
+
 def test_bundles_are_plain_zstandard(spark, tmp_path):
     import zstandard
 

@@ -241,7 +241,7 @@ def test_search_equals_scoring_every_window():
             w[at:at] = rng.choice(items)[1].split()
         texts.append(" ".join(w).encode())
     span = (-(-index.longest // decontam.STRIDE) + 1) * decontam.STRIDE
-    for text, hits in zip(texts, index.search(texts, 0.5)):
+    for text, hits in zip(texts, index.search(decontam.Batch(texts), 0.5)):
         w = text.split()
         want = set()
         for lo in range(0, len(w), decontam.STRIDE):
@@ -268,3 +268,31 @@ def test_decontamination_edge_cases(spark):
     assert got == {(1, 1), (1, 4)}
     assert decontam.find(docs, items.limit(0)).count() == 0 and decontam.without_leaks(docs, items.limit(0)).count() == 5
     assert decontam.find(docs.limit(0), items).count() == 0
+
+
+def test_decontamination_ids_of_any_type(spark):
+    texts = ["What is the largest moon of Saturn called? It is Titan by far.", "Name the author of the long play. ANSWER: a writer nobody knows today"]
+    docs = spark.createDataFrame([("a", texts[0]), ("b", texts[1]), ("b", texts[1]), ("", "clean words")], "doc_id string, text string")
+    for kind in ("smallint", "decimal(9,2)", "string", "date", "timestamp", "double"):
+        rows = spark.range(3).select((F.col("id") * 1000).alias("n"), F.element_at(F.array(*map(F.lit, texts), F.lit("")), (F.col("id") + 1).cast("int")).alias("text"))
+        key = {"string": F.when(F.col("n") > 0, F.lit("x")).otherwise(""), "date": F.date_from_unix_date(F.col("n").cast("int")), "timestamp": F.timestamp_seconds("n")}.get(kind, F.col("n").cast(kind))
+        got = decontam.find(docs, rows.select(key.alias("item_id"), "text"))
+        assert got.schema["item_id"].dataType.simpleString() == kind
+        assert sorted(r.doc_id for r in got.collect()) == ["a", "b", "b"] and len({r.item_id for r in got.collect()}) == 2
+    assert decontam.split_item(texts[1]) == 8 and decontam.split_item("İİİİ? yes") == 1 and decontam.split_item("a b c") == 2
+
+
+def test_many_shards_are_one_scan(spark):
+    import random
+
+    rng = random.Random(6)
+    vocab = [f"v{i}" for i in range(4000)]
+    items = [(i, " ".join(rng.choices(vocab, k=rng.randrange(9, 25)))) for i in range(400)]
+    docs = [(d, " ".join([*rng.choices(vocab, k=300), items[d][1], *rng.choices(vocab, k=200)])) for d in range(80)] + [(99, " ".join(rng.choices(vocab, k=50_000)))]
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = decontam.find(docs, items, shard_items=50)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    got = sorted((r.doc_id, r.item_id, round(r.score, 9), r.first_word) for r in found.collect())
+    assert {(d, d) for d in range(80)} <= {r[:2] for r in got}
+    assert got == sorted((r.doc_id, r.item_id, round(r.score, 9), r.first_word) for r in decontam.find(docs, items).collect())
+    assert {r.doc_id for r in decontam.without_leaks(docs, items, shard_items=50).collect()} == {99} - {r[0] for r in got}
