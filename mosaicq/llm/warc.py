@@ -23,12 +23,14 @@ import re
 import struct
 import uuid
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mosaicq.llm.shared_files import open_shared
 from mosaicq.workspace import fresh_path, materialise
 
 FRAME_BYTES = 256 << 10
@@ -40,6 +42,7 @@ SKIPPABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A5E, 0x8F92EAB1
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 _CONTROL = re.compile(r"[\x00-\x20\x7f]")
+_RESERVED = re.compile(r"[%<>\x00-\x20\x7f]")
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -118,16 +121,26 @@ class Reader:
         return self.last[1]
 
 
+def _escaped(m: re.Match) -> str:
+    return f"%{ord(m[0]):02X}"
+
+
 def _uri(text: str) -> str:
-    return _CONTROL.sub(lambda m: f"%{ord(m[0]):02X}", text)
+    """An address without what could end its header."""
+    return _CONTROL.sub(_escaped, text)
+
+
+def _name(text: str) -> str:
+    """An id as part of an urn, from which it can be read back."""
+    return _RESERVED.sub(_escaped, text)
 
 
 def encode_record(page: str, url: str, digest: str, n_bytes: int, first: str | None, payload: bytes) -> bytes:
     """One WARC 1.1 record; first names the response that a revisit refers to."""
     kind = "response" if first is None else "revisit"
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page}>", f"WARC-Target-URI: {_uri(url)}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {n_bytes}"]
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{_name(page)}>", f"WARC-Target-URI: {_uri(url)}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {n_bytes}"]
     if first is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{first}>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{_name(first)}>"]
         payload = b""
     head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(payload)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n"
@@ -146,16 +159,6 @@ def decode_record(record: bytes) -> tuple[dict[str, str], bytes]:
     return headers, payload
 
 
-def _open(uri: str, write: bool):
-    from pyarrow import fs
-
-    store, path = fs.FileSystem.from_uri(uri)
-    if not write:
-        return store.open_input_file(path)
-    store.create_dir(path.rpartition("/")[0], recursive=True)
-    return store.open_output_stream(path, compression=None)
-
-
 def write_archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
     """Write one record a row; returns the index: record, bundle, frame, offset, length."""
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary")
@@ -166,7 +169,7 @@ def write_archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
     roles = light.join(firsts, ["digest", "n_bytes"]).where(F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")))
     roles = roles.select(F.col("id").alias("r_id"), F.col("digest").alias("r_digest"), F.col("n_bytes").alias("r_bytes"), F.col("first").cast("string").alias("first"))
     same = F.col("id").eqNullSafe(F.col("r_id")) & (F.col("digest") == F.col("r_digest")) & (F.col("n_bytes") == F.col("r_bytes"))
-    told = rows.join(roles.hint("shuffle_hash"), same, "left").select("page", "url", "digest", "n_bytes", "first", F.when(F.col("first").isNull(), F.col("payload")).alias("payload"))
+    told = rows.join(roles, same, "left").select("page", "url", "digest", "n_bytes", "first", F.when(F.col("first").isNull(), F.col("payload")).alias("payload"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
@@ -176,7 +179,7 @@ def write_archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
             for page, url, digest, n_bytes, first, body in zip(*(c.to_pylist() for c in batch.columns)):
                 if bundle is None:
                     name, n = f"{folder}/bundle-{own}-{n:04d}.warc.zst", n + 1
-                    bundle = Bundle(_open(name, True), frame_bytes)
+                    bundle = Bundle(open_shared(name, write=True), frame_bytes)
                 out.append((page, name, *bundle.add(encode_record(page or "", url, digest, n_bytes, first, body or b""))))
                 if bundle.size >= bundle_bytes:
                     bundle.close()
@@ -200,15 +203,19 @@ def read_archive(index: DataFrame, with_payload: bool = True) -> DataFrame:
             cols: list[list] = [[] for _ in range(6 + with_payload)]
             for bundle, frame, offset, length in zip(*(batch.column(c).to_pylist() for c in ("bundle", "frame", "offset", "length"))):
                 if bundle != name:
-                    name, reader = bundle, Reader(_open(bundle, False))
+                    if reader:
+                        reader.file.close()
+                    name, reader = bundle, Reader(open_shared(bundle))
                 head, payload = decode_record(reader.frame(frame)[offset : offset + length])
                 refers = head.get("WARC-Refers-To")
-                values = (head["WARC-Record-ID"][10:-1] or None, head["WARC-Target-URI"], int(head["X-Payload-Length"]), head["WARC-Payload-Digest"][5:], head["WARC-Type"], refers and refers[10:-1], payload)
+                values = (unquote(head["WARC-Record-ID"][10:-1]) or None, head["WARC-Target-URI"], int(head["X-Payload-Length"]), head["WARC-Payload-Digest"][5:], head["WARC-Type"], refers and unquote(refers[10:-1]), payload)
                 for col, v in zip(cols, values):
                     col.append(v)
             kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
             names = ["record", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names[: len(cols)])
+        if reader:
+            reader.file.close()
 
     schema = "record string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string" + ", payload binary" * with_payload
     return index.repartition(parts, "bundle").sortWithinPartitions("bundle", "frame", "offset").mapInArrow(run, schema)
