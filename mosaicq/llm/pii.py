@@ -1,15 +1,27 @@
 """PII by bootstrapped contextual extraction.
 
 Seed identifiers (email, ip, card, phone by their formats) induce lexical patterns: the two or three
-tokens before an identifier. Identifier-like tokens that no format covers are candidates with the same
-patterns. On the graph of patterns and instances, Spark alternates two scores: a pattern is as
-trustworthy as the share of its places that hold trusted instances, an instance as trustworthy as its
-patterns leave no doubt. Candidates above the limit become additional spans of kind ``ctx_<kind>``.
-
-The texts are read for spans and mentions, which go to a table in the shared folder, and again for the
-places of the patterns that can have support, in all texts; the graph is made of counts (pattern,
-instance), aggregated before they are shuffled. The joins of a very frequent
-pattern are inner joins with one row per pattern, which adaptive execution can split.
+units (words or marks) before or after an identifier, the units on both sides, and the unit before
+together with the identifier's shape. Whatever stands in a pattern's slot fills it: a piece of text
+between blanks without its outer marks, or a run of digit groups. On the graph of patterns and the
+instances that fill them, Spark scores both in turn, until a round finds nothing new:
+
+* a pattern is as trustworthy as the places, in all texts, that trusted instances fill, against those
+  that ordinary pieces fill: words, and what mostly stands elsewhere. What is neither may be an unseen
+  identifier and weighs ``UNKNOWN_WEIGHT`` of that. A pattern needs ``min_support`` distinct instances;
+* an instance is trusted if its patterns leave no more doubt than ``1 - min_confidence`` (one side of it
+  counts as one witness) and at least ``min_share`` of its mentions, in all texts, stand in trusted
+  patterns. An instance of letters alone may be an ordinary word: it needs two witnesses.
+
+Trusted instances that no format covers become additional spans of kind ``ctx_<kind>`` wherever they
+are mentioned, and their contexts the next round's patterns.
+
+A round reads the texts for the places of new patterns, for how often new candidates are mentioned and,
+of those that can reach their share, for the mentions: each time with a bounded shard of patterns or
+instances as a look-up set, and counts are combined before they are shuffled. What is mentioned often
+but seldom in trusted places never leaves its task but as a count. Tables of a round go to the shared
+folder. The joins of a very frequent pattern or instance are inner joins with one row per key on the
+other side, which adaptive execution can split.
 
 Defined results: null and empty texts have no spans; repeated rows are scanned one by one and count
 once as evidence (distinct instances); only id and text are read; an empty table gives an empty table.
@@ -18,8 +30,9 @@ once as evidence (distinct instances); only id and text are read; an empty table
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -28,6 +41,9 @@ from pyspark.sql import functions as F
 from mosaicq.workspace import materialise
 
 KINDS = ("email", "ip", "card", "phone")
+MIN_SUPPORT, MIN_CONFIDENCE, MIN_SHARE, UNKNOWN_WEIGHT = 5, 0.8, 0.5, 0.1
+#: So many patterns or instances at a time are looked up by the tasks.
+SHARD = 200_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -36,14 +52,15 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-_TOKEN_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-.@:/+")
 _DIGIT = re.compile(r"[0-9]")
 _UNIT = re.compile(r"\w+|[^\w\s]")
 _INSIDE = re.compile(r"\w\w")
-#: So many patterns at a time are sent to the tasks that count their places.
-SHARD = 200_000
-#: A candidate has at least so many characters and digits.
-MIN_TOKEN, MIN_DIGITS = 6, 3
+_LETTERS = re.compile(r"[^\W\d_]+")
+#: Digit groups one blank apart, else what stands between blanks.
+_PIECE = re.compile(r"[(+]?[0-9][0-9()./-]*+(?: [(+]?[0-9][0-9()./-]*+(?=[.,;:!?]*+(?!\S)))++|\S+")
+_OPENING, _CLOSING = "\"'([{<", ".,;:!?\"'>]}"
+
+Span = tuple[int, int, str]
 
 
 def luhn(digits: str) -> bool:
@@ -84,145 +101,309 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return [(a, b, KINDS[k]) for a, b, k in sorted(out, key=lambda x: (x[0], x[2], x[1]))]
 
 
-def candidates(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
-    """Identifier-like tokens that touch no span: long enough, with digits."""
-    out, floor, taken = [], 0, sorted((a, b) for a, b, _ in spans)
-    k = 0
-    m = _DIGIT.search(text)
-    while m:
-        lo, hi = m.start(), m.end()
-        while lo > floor and text[lo - 1] in _TOKEN_CHARS:
-            lo -= 1
-        while hi < len(text) and text[hi] in _TOKEN_CHARS:
-            hi += 1
-        floor = hi
-        token = text[lo:hi].rstrip(".:/-+@").lstrip(".:/-+@")
-        lo += text[lo:hi].find(token) if token else 0
-        while k < len(taken) and taken[k][1] <= lo:
+def fillers(text: str, spans: list[Span]) -> list[tuple[int, int, str | None]]:
+    """(start, end, kind) of the spans and, without a kind, of every other piece that touches none."""
+    out: list[tuple[int, int, str | None]] = list(spans)
+    taken, k = sorted((a, b) for a, b, _ in spans), 0
+    for m in _PIECE.finditer(text):
+        raw = m[0]
+        core = raw.lstrip(_OPENING)
+        lo = m.start() + len(raw) - len(core)
+        core = core.rstrip(_CLOSING)
+        if core.endswith(")") and "(" not in core:
+            core = core.rstrip(_CLOSING + ")")
+        hi = lo + len(core)
+        while k < len(taken) and taken[k][1] <= m.start():
             k += 1
-        if len(token) >= MIN_TOKEN and len(_DIGIT.findall(token)) >= MIN_DIGITS and not any(a < lo + len(token) for a, b in taken[k : k + 4] if b > lo):
-            out.append((lo, lo + len(token)))
-        m = _DIGIT.search(text, hi)
+        if core and not (k < len(taken) and taken[k][0] < hi) and any(map(str.isalnum, core)):
+            out.append((lo, hi, None))
     return out
 
 
-def contexts(text: str, start: int) -> list[str]:
-    """Lexical patterns in front of start, which must not stand inside a word."""
-    if _INSIDE.match(text[max(0, start - 1) : start + 1]):
+class Units:
+    """The units of a text and the patterns around a stretch of it."""
+
+    def __init__(self, text: str):
+        found = [(m.start(), m[0].lower()) for m in _UNIT.finditer(text)]
+        self.text = text
+        self.starts = [a for a, _ in found]
+        self.units = ["", "", "", *(u for _, u in found), "", "", ""]  # none stands beyond the ends
+
+    def around(self, a: int, b: int) -> tuple[int, int] | None:
+        """Where, in units, the stretch begins and ends; None if it cuts a word."""
+        if _INSIDE.match(self.text[max(0, a - 1) : a + 1]) and a or _INSIDE.match(self.text[b - 1 : b + 1]):
+            return None
+        return bisect_left(self.starts, a) + 3, bisect_left(self.starts, b) + 3
+
+    def patterns(self, a: int, b: int) -> list[str]:
+        """All patterns whose slot is the stretch."""
+        at = self.around(a, b)
+        if not at:
+            return []
+        (i, j), u = at, self.units
+        out = []
+        if u[i - 2]:
+            out.append(f"{u[i - 2]} {u[i - 1]} <>")
+            if u[i - 3]:
+                out.append(f"{u[i - 3]} {out[0]}")
+        if u[j + 1]:
+            right = f"<> {u[j]} {u[j + 1]}"
+            out.append(right)
+            if u[j + 2]:
+                out.append(f"{right} {u[j + 2]}")
+        if u[i - 1]:
+            if u[j]:
+                out.append(f"{u[i - 1]} <> {u[j]}")
+            if shape := shape_of(self.text[a:b]):
+                out.append(f"{u[i - 1]} <{shape}>")
+        return out
+
+
+def shape_of(instance: str) -> str | None:
+    """Letters as one a, each digit as 0, blanks as _; None of letters alone, and of what is too long to repeat."""
+    if instance.isalpha() or len(instance) > 200:
+        return None
+    return re.sub(r"[0-9]", "0", _LETTERS.sub("a", instance)).replace(" ", "_")
+
+
+def side_of(pattern: Column) -> Column:
+    """Which witness of an instance a pattern is: the left or right side, both, or the shape."""
+    return F.when(pattern.endswith(" <>"), "left").when(pattern.startswith("<> "), "right").when(pattern.contains(" <> "), "both").otherwise("shape")
+
+
+class Wanted:
+    """Patterns to look for, with what lets most stretches be passed over."""
+
+    def __init__(self, patterns: set[str]):
+        self.patterns = patterns
+        split = [p.split(" ") for p in patterns]
+        self.left = {(p[-3], p[-2]) for p in split if p[-1] == "<>"}
+        self.right = {(p[1], p[2]) for p in split if p[0] == "<>"}
+        self.both = {(p[0], p[2]) for p in split if len(p) == 3 and p[1] == "<>"}
+        self.shape = {p[0] for p in split if len(p) == 2}
+
+    def at(self, units: Units, a: int, b: int) -> list[str]:
+        """Those of the patterns whose slot is the stretch."""
+        i, j = bisect_left(units.starts, a) + 3, bisect_left(units.starts, b) + 3
+        u = units.units
+        if (u[i - 2], u[i - 1]) in self.left or (u[j], u[j + 1]) in self.right or (u[i - 1], u[j]) in self.both or u[i - 1] in self.shape:
+            return [p for p in units.patterns(a, b) if p in self.patterns]
         return []
-    lo = max(0, start - 120)
-    units = _UNIT.findall(text[lo:start])
-    if lo and _INSIDE.match(text[lo - 1 : lo + 1]):
-        units = units[1:]  # cut by the window
-    return [" ".join(units[-n:]).lower() for n in (2, 3) if len(units) >= n]
-
-
-def pattern_places(text: str, patterns: set[str], tails: set[tuple[str, str]]) -> Iterator[str]:
-    """Every occurrence of the patterns, whatever its case and spacing; tails are their last two units."""
-    units = [u.lower() for u in _UNIT.findall(text)]
-    for i, tail in enumerate(zip(units, units[1:])):
-        if tail in tails:
-            pair = " ".join(tail)
-            if pair in patterns:
-                yield pair
-            if i and (three := f"{units[i - 1]} {pair}") in patterns:
-                yield three
-
-
-MENTION = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("instance", pa.string()), ("pattern", pa.string())])
+
+
+MENTION = pa.struct([("kind", pa.string()), ("instance", pa.string()), ("patterns", pa.list_(pa.string()))])
 SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 _SPANS = "array<struct<kind:string,start:long,end:long>>"
-_MENTIONS = "array<struct<kind:string,start:long,end:long,instance:string,pattern:string>>"
+_MENTIONS = "array<struct<kind:string,instance:string,patterns:array<string>>>"
+#: What tells rows apart: rows with the same key have the same spans.
+_KEY = "key struct<id:string,a:long,b:long>"
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    key = F.struct(F.col(id_col).cast("string").alias("id"), F.xxhash64(text, F.lit(1)).alias("a"), F.xxhash64(text, F.lit(2)).alias("b"))
+    return docs.select(key.alias("key"), text.alias("text"), F.col(id_col).alias("id"))
 
 
-def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, base spans and the mentions (spans and candidates with each of their patterns) of every row."""
-    id_type = docs.schema[id_col].dataType.simpleString()
+def scan(texts: DataFrame, seeds: Callable[[str], list[Span]]) -> DataFrame:
+    """id, key, base spans and their mentions with patterns, of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bases, mentions = [], []
             for text in batch.column(1):
                 text = text.as_py() or ""
-                spans = base_spans(text)
+                spans = seeds(text)
                 bases.append([{"kind": k, "start": a, "end": b} for a, b, k in spans])
-                found = []
-                for a, b, kind in [*spans, *((a, b, None) for a, b in candidates(text, spans))]:
-                    for pattern in contexts(text, a):
-                        found.append({"kind": kind, "start": a, "end": b, "instance": text[a:b], "pattern": pattern})
-                mentions.append(found)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bases, pa.list_(SPAN)), pa.array(mentions, pa.list_(MENTION))], names=["id", "base", "mentions"])
-
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {id_type}, base {_SPANS}, mentions {_MENTIONS}").withColumn("row", F.monotonically_increasing_id())
-
-
-def count_places(docs: DataFrame, text_col: str, patterns: DataFrame) -> DataFrame:
-    """(pattern, places): how often each of the patterns stands in all texts."""
-    texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    shards = -(-patterns.count() // SHARD)
-    out = docs.sparkSession.createDataFrame([], "pattern string, places long")
+                units = Units(text) if spans else None
+                mentions.append([{"kind": k, "instance": text[a:b], "patterns": units.patterns(a, b)} for a, b, k in spans])
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0), pa.array(bases, pa.list_(SPAN)), pa.array(mentions, pa.list_(MENTION))], names=["id", "key", "base", "mentions"])
+
+    return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, {_KEY}, base {_SPANS}, mentions {_MENTIONS}")
+
+
+def _sharded(texts: DataFrame, wanted: DataFrame, col: str, schema: str, label: str, look, total: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What look(batches, set) finds in all texts, for one bounded shard of the wanted values after the other."""
+    shards = max(1, -(-wanted.count() // SHARD))
+    out = None
     for k in range(shards):
-        wanted = {r.pattern for r in patterns.where(F.pmod(F.xxhash64("pattern"), F.lit(shards)) == k).collect()}
-        tails = {tuple(p.split(" ")[-2:]) for p in wanted}
+        some = {r[col] for r in wanted.where(F.pmod(F.xxhash64(col), F.lit(shards)) == k).select(col).collect()}
 
-        def run(batches: Iterator[pa.RecordBatch], wanted=wanted, tails=tails) -> Iterator[pa.RecordBatch]:
-            n = Counter()
-            for batch in batches:
-                for text in batch.column(0):
-                    n.update(pattern_places(text.as_py() or "", wanted, tails))
-            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["pattern", "places"])
+        def run(batches: Iterator[pa.RecordBatch], some=some) -> Iterator[pa.RecordBatch]:
+            yield from look(batches, some)
 
-        found = texts.mapInArrow(run, "pattern string, places long").groupBy("pattern").agg(F.sum("places").alias("places"))
-        out = out.unionByName(materialise(found, "pii-places"))
+        found = materialise(total(texts.mapInArrow(run, schema)), label)
+        out = found if out is None else out.unionByName(found)
     return out
 
 
-def score_graph(mentions: DataFrame, docs: DataFrame, text_col: str, rounds: int, min_support: int, min_confidence: float) -> DataFrame:
-    """(instance, kind, confidence) of the candidates that the graph trusts.
+def places_of(texts: DataFrame, patterns: DataFrame, seeds: Callable[[str], list[Span]]) -> DataFrame:
+    """(pattern, instance, n): what fills the places of the patterns in all texts."""
+
+    def look(batches: Iterator[pa.RecordBatch], some: set[str]) -> Iterator[pa.RecordBatch]:
+        wanted = Wanted(some)
+        for batch in batches:
+            n = Counter()
+            for text in batch.column(1):
+                text = text.as_py() or ""
+                units = Units(text)
+                for a, b, _ in fillers(text, seeds(text)):
+                    for p in wanted.at(units, a, b):
+                        n[p, text[a:b]] += 1
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in n], pa.string()), pa.array([i for _, i in n], pa.string()), pa.array(list(n.values()), pa.int64())], names=["pattern", "instance", "n"])
+
+    return _sharded(texts, patterns, "pattern", "pattern string, instance string, n long", "pii-places", look, lambda df: df.groupBy("pattern", "instance").agg(F.sum("n").alias("n")))
+
+
+def totals_of(texts: DataFrame, instances: DataFrame, seeds: Callable[[str], list[Span]]) -> DataFrame:
+    """(instance, total): how often the instances are mentioned in all texts."""
 
-    mentions: row, kind (null for candidates), instance, pattern. A pattern needs min_support distinct
-    trusted instances of one kind, which fill at least min_confidence of its places in all texts.
+    def look(batches: Iterator[pa.RecordBatch], some: set[str]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = Counter()
+            for text in batch.column(1):
+                text = text.as_py() or ""
+                n.update(i for a, b, kind in fillers(text, seeds(text)) if not kind and (i := text[a:b]) in some)
+            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["instance", "total"])
+
+    return _sharded(texts, instances, "instance", "instance string, total long", "pii-totals", look, lambda df: df.groupBy("instance").agg(F.sum("total").alias("total")))
+
+
+def mentions_of(texts: DataFrame, instances: DataFrame, seeds: Callable[[str], list[Span]]) -> DataFrame:
+    """(key, start, end, instance, patterns) of the mentions of the instances in all texts."""
+
+    def look(batches: Iterator[pa.RecordBatch], some: set[str]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, out = [], []
+            for row, text in enumerate(batch.column(1)):
+                text = text.as_py() or ""
+                units = None
+                for a, b, kind in fillers(text, seeds(text)):
+                    if not kind and text[a:b] in some:
+                        units = units or Units(text)
+                        at.append(row)
+                        out.append((a, b, text[a:b], units.patterns(a, b)))
+            cols = zip(*out) if out else ((),) * 4
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, kinds))], names=["key", "start", "end", "instance", "patterns"])
+
+    return _sharded(texts, instances, "instance", f"{_KEY}, start long, end long, instance string, patterns array<string>", "pii-mentions", look, lambda df: df.dropDuplicates(["key", "start", "end"]))
+
+
+def _is_word() -> Column:
+    return F.col("instance").rlike(r"^\p{L}+$")
+
+
+def trusted_patterns(places: DataFrame, trusted: DataFrame, ordinary: DataFrame, min_support: int, min_confidence: float) -> DataFrame:
+    """(pattern, kind, trust) from (pattern, instance, n), (instance, kind, confidence) and the ordinary instances.
+
+    The kind is that of most of what fills it.
+    Without the ordinary ones a pattern's trust is too high, never too low.
     """
-    edges = materialise(mentions.groupBy("pattern", "instance", "kind").agg(F.count("*").alias("n")), "pii-counts")
-    able = materialise(edges.groupBy("pattern").agg(F.count_distinct("instance").alias("n")).where(F.col("n") >= min_support).select("pattern"), "pii-patterns")
-    edges = materialise(edges.join(count_places(docs, text_col, able), "pattern"), "pii-edges")
-    trusted = edges.where("kind is not null").select("instance", "kind", F.lit(1.0).alias("confidence")).distinct()
-    for _ in range(rounds):
-        held = edges.select("pattern", "instance", "n", "places").join(trusted, "instance")
-        patterns = (
-            held.groupBy("pattern", "kind")
-            .agg(F.count_distinct("instance").alias("support"), (F.sum(F.col("n") * F.col("confidence")) / F.max("places")).alias("trust"))
-            .where((F.col("support") >= min_support) & (F.col("trust") >= min_confidence))
-            .select("pattern", "kind", F.least(F.col("trust"), F.lit(0.99)).alias("trust"))
-        )
-        fresh = (
-            edges.where("kind is null")
-            .select("pattern", "instance")
-            .join(patterns, "pattern")
-            .groupBy("instance", "kind")
-            .agg((1 - F.exp(F.sum(F.log(1 - F.col("trust"))))).alias("confidence"))
-            .where(F.col("confidence") >= min_confidence)
-        )
-        best = fresh.groupBy("instance").agg(F.max(F.struct("confidence", "kind")).alias("b")).select("instance", "b.kind", "b.confidence")
-        seeds = edges.where("kind is not null").select("instance", "kind", F.lit(1.0).alias("confidence")).distinct()
-        trusted = materialise(seeds.unionByName(best), "pii-trusted")
-    return trusted.where("confidence < 1")
-
-
-def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3, min_support: int = 5, min_confidence: float = 0.8) -> DataFrame:
-    """id, base (spans of the formats) and added (spans that contexts revealed, with confidence)."""
-    rows = materialise(scan(docs, id_col, text_col), "pii-scan")
-    mentions = rows.select("row", F.explode("mentions").alias("m")).select("row", "m.*")
-    found = score_graph(mentions, docs, text_col, rounds, min_support, min_confidence)
-    spans = mentions.where("kind is null").select("row", "start", "end", "instance").distinct()
-    added = (
-        spans.join(found, "instance")
-        .groupBy("row")
-        .agg(F.sort_array(F.collect_list(F.struct("start", "end", F.concat(F.lit("ctx_"), "kind").alias("kind"), "confidence"))).alias("added"))
+    told = places.join(trusted, "instance", "left").join(ordinary.select("instance", F.lit(True).alias("ordinary")), "instance", "left")
+    weight = F.when(F.col("kind").isNotNull(), F.col("confidence")).when(F.col("ordinary") | _is_word(), 1.0).otherwise(UNKNOWN_WEIGHT)
+    sums = told.groupBy("pattern", "kind").agg(F.count("*").alias("n"), F.sum(F.col("n") * weight).alias("weight"))
+    held = F.col("kind").isNotNull()
+    found = sums.groupBy("pattern").agg(
+        F.sum(F.when(held, F.col("n"))).alias("support"), (F.sum(F.when(held, F.col("weight"))) / F.sum("weight")).alias("trust"), F.max(F.when(held, F.struct("weight", "kind"))).alias("k")
     )
+    return found.where((F.col("support") >= min_support) & (F.col("trust") >= min_confidence)).select("pattern", "k.kind", F.least("trust", F.lit(0.99)).alias("trust"))
+
+
+def _inside(mentions: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(instance, total, inside): mentions in all and in places of the patterns."""
+    total = mentions.groupBy("instance").agg(F.count("*").alias("total"))
+    places = mentions.select("key", "start", "instance", F.explode("patterns").alias("pattern")).join(patterns, "pattern", "left_semi")
+    inside = places.select("instance", "key", "start").distinct().groupBy("instance").agg(F.count("*").alias("inside"))
+    return inside.join(total, "instance")
+
+
+def trusted_instances(mentions: DataFrame, patterns: DataFrame, min_confidence: float, min_share: float) -> DataFrame:
+    """(instance, kind, confidence) of the mentioned candidates that the patterns and their share support."""
+    places = mentions.select("instance", F.explode("patterns").alias("pattern")).join(patterns, "pattern")
+    sides = places.groupBy("instance", side_of(F.col("pattern")).alias("side")).agg(F.max(F.struct("trust", "kind")).alias("best"))
+    sure = sides.groupBy("instance").agg(F.least(1 - F.exp(F.sum(F.log(1 - F.col("best.trust")))), F.lit(0.99)).alias("confidence"), F.count("*").alias("sides"), F.max("best").alias("best"))
+    found = sure.join(_inside(mentions, patterns).where(F.col("inside") >= min_share * F.col("total")), "instance")
+    return found.where((F.col("confidence") >= min_confidence) & (~_is_word() | (F.col("sides") > 1))).select("instance", "best.kind", "confidence")
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
+def bootstrap(texts: DataFrame, rows: DataFrame, seeds: Callable[[str], list[Span]], min_support: int, min_confidence: float, min_share: float) -> DataFrame | None:
+    """(key, start, end, kind, confidence) of the spans that contexts revealed; None if there is none."""
+    said = rows.select(F.explode("mentions").alias("m")).select("m.*")
+    first = materialise(said.groupBy("instance").agg(F.min("kind").alias("kind")).withColumn("confidence", F.lit(1.0)), "pii-seeds")
+    found, trusted = None, first
+    evidence = [materialise(said.select("instance", F.explode("patterns").alias("pattern")).distinct(), "pii-evidence")]
+    known = texts.sparkSession.createDataFrame([], "pattern string")
+    places: list[DataFrame] = []
+    totals: list[DataFrame] = []
+    mentions: list[DataFrame] = []
+    n_found = 0
+    while True:
+        able = _union(evidence).distinct().groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= min_support).select("pattern")
+        fresh = materialise(able.join(known, "pattern", "left_anti"), "pii-patterns")
+        if not fresh.isEmpty():
+            known = known.unionByName(fresh)
+            places.append(places_of(texts, fresh, seeds))
+        elif found is None or found.count() == n_found:
+            break
+        n_found = found.count() if found is not None else 0
+        if not places:
+            break
+        # What fills patterns that may be trusted is looked for in all texts, if it may be mostly there.
+        none = trusted.select("instance").limit(0)
+        maybe = materialise(trusted_patterns(_union(places), trusted, none, min_support, min_confidence), "pii-patterns")
+        if maybe.isEmpty():
+            break
+        slots = _union(places).join(maybe.select("pattern"), "pattern").groupBy("instance").agg(F.sum("n").alias("n"))
+        slots = materialise(slots.join(first.select("instance"), "instance", "left_anti"), "pii-slots")
+        new = slots.select("instance")
+        if totals:
+            new = new.join(_union(totals), "instance", "left_anti")
+        new = materialise(new, "pii-candidates")
+        if not new.isEmpty():
+            totals.append(totals_of(texts, new, seeds))
+        if not totals:
+            break
+        near = slots.join(_union(totals), "instance").where(F.col("n") >= min_share * F.col("total")).select("instance")
+        if mentions:
+            near = near.join(_union(mentions).select("instance").distinct(), "instance", "left_anti")
+        near = materialise(near, "pii-near")
+        if not near.isEmpty():
+            mentions.append(mentions_of(texts, near, seeds))
+        if not mentions:
+            break
+        often = _inside(_union(mentions), maybe).where(F.col("inside") >= min_share * F.col("total"))
+        ordinary = slots.join(often, "instance", "left_anti").select("instance")
+        patterns = materialise(trusted_patterns(_union(places), trusted, ordinary, min_support, min_confidence), "pii-trusted-patterns")
+        found = materialise(trusted_instances(_union(mentions), patterns, min_confidence, min_share), "pii-trusted")
+        trusted = first.unionByName(found)
+        evidence = [evidence[0], _union(mentions).join(found.select("instance"), "instance", "left_semi").select("instance", F.explode("patterns").alias("pattern"))]
+    if not mentions or found is None or found.isEmpty():
+        return None
+    return _union(mentions).select("key", "start", "end", "instance").join(found, "instance")
+
+
+def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_support: int = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_share: float = MIN_SHARE, seeds: Callable[[str], list[Span]] = base_spans) -> DataFrame:
+    """id, base (spans of the formats) and added (spans that contexts revealed, with confidence).
+
+    seeds gives the spans (start, end, kind) of a text that are known; another function may hide some.
+    """
+    texts = _texts(docs, id_col, text_col)
+    rows = materialise(scan(texts, seeds), "pii-scan")
+    spans = bootstrap(texts.select("key", "text"), rows, seeds, min_support, min_confidence, min_share)
     none = F.array().cast("array<struct<start:long,end:long,kind:string,confidence:double>>")
-    return rows.join(added, "row", "left").select(F.col("id").alias(id_col), "base", F.coalesce("added", none).alias("added"))
+    if spans is None:
+        return rows.select(F.col("id").alias(id_col), "base", none.alias("added"))
+    added = spans.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end", F.concat(F.lit("ctx_"), "kind").alias("kind"), "confidence"))).alias("added"))
+    same = F.col("r.key").eqNullSafe(F.col("s.key"))
+    return rows.alias("r").join(added.alias("s"), same, "left").select(F.col("id").alias(id_col), "base", F.coalesce("added", none).alias("added"))
 
 
 def _digest(spans: Column) -> Column:
