@@ -7,7 +7,8 @@ between blanks without its outer marks, or a run of digit groups. On the graph o
 instances that fill them, Spark scores both in turn, until a round finds nothing new:
 
 * a pattern is as trustworthy as the places, in all texts, that trusted instances fill, against those
-  that ordinary pieces fill: words, and what mostly stands elsewhere. What is neither may be an unseen
+  that ordinary pieces fill: words, what mostly stands elsewhere, and what a format's own check refutes
+  (a card number with a wrong check digit). What is neither may be an unseen
   identifier and weighs ``UNKNOWN_WEIGHT`` of that. A pattern needs ``min_support`` distinct instances;
 * an instance is trusted if its patterns leave no more doubt than ``1 - min_confidence`` (one side of it
   counts as one witness) and at least ``min_share`` of its mentions, in all texts, stand in trusted
@@ -101,6 +102,14 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return [(a, b, KINDS[k]) for a, b, k in sorted(out, key=lambda x: (x[0], x[2], x[1]))]
 
 
+def refuted(piece: str) -> bool:
+    """Whether a piece has the form of a card or ip, but fails the check."""
+    if _IP.fullmatch(piece):
+        return not all(map(_small, piece.split(".")))
+    digits = piece.replace(" ", "").replace("-", "")
+    return bool(_CARD.fullmatch(piece)) and 12 <= len(digits) <= 19 and not luhn(digits)
+
+
 def fillers(text: str, spans: list[Span]) -> list[tuple[int, int, str | None]]:
     """(start, end, kind) of the spans and, without a kind, of every other piece that touches none."""
     out: list[tuple[int, int, str | None]] = list(spans)
@@ -238,7 +247,7 @@ def _sharded(texts: DataFrame, wanted: DataFrame, col: str, schema: str, label:
 
 
 def places_of(texts: DataFrame, patterns: DataFrame, seeds: Callable[[str], list[Span]]) -> DataFrame:
-    """(pattern, instance, n): what fills the places of the patterns in all texts."""
+    """(pattern, instance, n): what fills the places of the patterns in all texts; null for what is refuted."""
 
     def look(batches: Iterator[pa.RecordBatch], some: set[str]) -> Iterator[pa.RecordBatch]:
         wanted = Wanted(some)
@@ -247,9 +256,10 @@ def places_of(texts: DataFrame, patterns: DataFrame, seeds: Callable[[str], list
             for text in batch.column(1):
                 text = text.as_py() or ""
                 units = Units(text)
-                for a, b, _ in fillers(text, seeds(text)):
-                    for p in wanted.at(units, a, b):
-                        n[p, text[a:b]] += 1
+                for a, b, kind in fillers(text, seeds(text)):
+                    if here := wanted.at(units, a, b):
+                        instance = None if not kind and refuted(text[a:b]) else text[a:b]
+                        n.update((p, instance) for p in here)
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in n], pa.string()), pa.array([i for _, i in n], pa.string()), pa.array(list(n.values()), pa.int64())], names=["pattern", "instance", "n"])
 
     return _sharded(texts, patterns, "pattern", "pattern string, instance string, n long", "pii-places", look, lambda df: df.groupBy("pattern", "instance").agg(F.sum("n").alias("n")))
@@ -301,7 +311,7 @@ def trusted_patterns(places: DataFrame, trusted: DataFrame, ordinary: DataFrame,
     Without the ordinary ones a pattern's trust is too high, never too low.
     """
     told = places.join(trusted, "instance", "left").join(ordinary.select("instance", F.lit(True).alias("ordinary")), "instance", "left")
-    weight = F.when(F.col("kind").isNotNull(), F.col("confidence")).when(F.col("ordinary") | _is_word(), 1.0).otherwise(UNKNOWN_WEIGHT)
+    weight = F.when(F.col("kind").isNotNull(), F.col("confidence")).when(F.col("ordinary") | F.col("instance").isNull() | _is_word(), 1.0).otherwise(UNKNOWN_WEIGHT)
     sums = told.groupBy("pattern", "kind").agg(F.count("*").alias("n"), F.sum(F.col("n") * weight).alias("weight"))
     held = F.col("kind").isNotNull()
     found = sums.groupBy("pattern").agg(
@@ -361,7 +371,7 @@ def bootstrap(texts: DataFrame, rows: DataFrame, seeds: Callable[[str], list[Spa
         maybe = materialise(trusted_patterns(_union(places), trusted, none, min_support, min_confidence), "pii-patterns")
         if maybe.isEmpty():
             break
-        slots = _union(places).join(maybe.select("pattern"), "pattern").groupBy("instance").agg(F.sum("n").alias("n"))
+        slots = _union(places).join(maybe.select("pattern"), "pattern").where("instance is not null").groupBy("instance").agg(F.sum("n").alias("n"))
         slots = materialise(slots.join(first.select("instance"), "instance", "left_anti"), "pii-slots")
         new = slots.select("instance")
         if totals:
