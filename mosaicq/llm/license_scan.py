@@ -79,17 +79,20 @@ class Scanner:
 
     def windows(self, text: str) -> dict[int, list[list[int]]]:
         """Merged stretches of text in which each notice may lie."""
-        out: dict[int, list[list[int]]] = {}
+        found: dict[int, list[tuple[int, int]]] = {}
         for end, (size, where) in self.seeds.iter(text):
             for n, offset in where:
                 _, phrase, k = self.notices[n]
-                lo = max(0, end - size + 1 - offset - k)
-                hi = min(len(text), end - size + 1 - offset + len(phrase) + k)
-                have = out.setdefault(n, [])
-                if have and lo <= have[-1][1]:
-                    have[-1][0], have[-1][1] = min(lo, have[-1][0]), max(hi, have[-1][1])
+                at = end - size + 1 - offset
+                found.setdefault(n, []).append((max(0, at - k), min(len(text), at + len(phrase) + k)))
+        out: dict[int, list[list[int]]] = {}
+        for n, spans in found.items():
+            merged = out[n] = []
+            for lo, hi in sorted(spans):  # a piece of the notice's end opens a window before one of its beginning
+                if merged and lo <= merged[-1][1]:
+                    merged[-1][1] = max(hi, merged[-1][1])
                 else:
-                    have.append([lo, hi])
+                    merged.append([lo, hi])
         return out
 
     def matches(self, text: str) -> list[tuple[int, int, int, str, float]]:

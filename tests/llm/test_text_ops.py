@@ -85,6 +85,14 @@ def test_license_edits_and_spans(spark):
     assert got[2].n_words == 0 and not got[5].spans and [p.first_word for p in got[4].places] == [0, 4]
 
 
+def edited(rng, phrase, k):
+    s = list(phrase)
+    for _ in range(k):
+        i = rng.randrange(len(s))
+        s[i : i + 1] = rng.choice([[], ["q"], [s[i], "q"]])
+    return "".join(s)
+
+
 def test_every_bounded_edit_is_found():
     import random
 
@@ -92,12 +100,41 @@ def test_every_bounded_edit_is_found():
     scanner = license_scan.Scanner()
     for label, phrase, k in scanner.notices:
         for _ in range(20):
-            s = list(phrase)
-            for _ in range(k):
-                i = rng.randrange(len(s))
-                s[i : i + 1] = rng.choice([[], ["q"], [s[i], "q"]])
-            found = {m[3] for m in scanner.matches(" lorem " + "".join(s) + " ipsum ")}
-            assert found, (label, "".join(s))
+            s = edited(rng, phrase, k)
+            found = scanner.matches(" lorem " + s + " ipsum ")
+            # the right label, unless the edits made another notice at least as similar
+            assert any(m[3] == label or m[4] >= 1 - k / len(phrase) for m in found), (label, s)
+            assert not any(m[3] == label and m[2] > k for m in found)
+
+
+def test_fuzzy_spans_equal_a_search_of_the_whole_text():
+    import random
+
+    rng = random.Random(9)
+    scanner = license_scan.Scanner()
+    vocab = [w for _, p, _ in scanner.notices for w in p.split()] + ["lorem", "ipsum", "dolor"]
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randrange(1, 9)):
+            _, phrase, k = rng.choice(scanner.notices)
+            parts.append(rng.choice([edited(rng, phrase, rng.randrange(k + 3)), " ".join(rng.choices(vocab, k=rng.randrange(1, 30)))]))
+        text = " " + " ".join(parts) + " "
+        naive = []
+        for n, (label, phrase, _) in enumerate(scanner.notices):
+            naive += [(m.start(), m.end(), sum(m.fuzzy_counts), label, 1 - sum(m.fuzzy_counts) / len(phrase)) for m in scanner.fuzzy[n].finditer(text)]
+        kept = []
+        for x in sorted(naive, key=lambda x: (-x[4], x[0] - x[1], x[0], x[3])):
+            if all(x[1] <= y[0] or y[1] <= x[0] for y in kept):
+                kept.append(x)
+        assert sorted(scanner.matches(text)) == sorted(kept)
+
+
+def test_license_of_long_repeated_and_no_texts(spark):
+    long = "lorem " * 100_000 + "released under teh MIT license " + "ipsum " * 100_000
+    df = spark.createDataFrame([(1, long), (2, "cc by nc"), (2, "cc by nc")], "doc_id long, text string")
+    got = {r.doc_id: ([x.label for x in r.spans], r.n_words, len(r.places)) for r in license_scan.scan(df).collect()}
+    assert got == {1: (["mit"], 200_005, 0), 2: ([], 3, 1)} and license_scan.scan(df).count() == 3
+    assert license_scan.scan(df.limit(0)).count() == 0
 
 
 def test_language_held_out_accuracy(spark, sf_dir):
@@ -186,6 +223,13 @@ def test_quality_measures_on_odd_texts(spark):
     assert quality.keep(df).columns == df.columns and quality.score(df.limit(0)).count() == 0
 
 
+def test_quality_of_repeated_and_long_rows(spark):
+    long = " ".join(f"the w{i}" for i in range(60_000))
+    df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, None), (2, long)], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_words, r.kept) for r in quality.score(df).collect()), key=repr)
+    assert got == [(1, 2, False), (1, 2, False), (2, 120_000, True), (None, 0, False)] and quality.keep(df).count() == 1
+
+
 def test_quality_keeps_good_and_rejects_junk(spark, sf_dir):
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     rows = quality.score(docs).join(labels, "doc_id").collect()
