@@ -9,8 +9,9 @@ conversation in reply order is its threads by their first message, each in order
 message without the quotes.
 
 Originals are one row a (conversation, hash), made by an aggregate that combines before the shuffle,
-so a line that everybody repeats meets its quotes once each. Positions are counted in steps of at most
-1024 turns, never over a whole conversation in one task.
+so a line that everybody repeats meets its quotes once each. Positions are sums of counts: of steps of
+1024 turns, in these of turns and leading digits of message ids, and so on, so neither a conversation nor a
+turn (null in every message, say) is ordered in one task.
 
 Defined results: null and empty texts have no passages and empty content; exactly repeated rows are
 one message; messages without a linked quote start a thread of their own; a quote of something never
@@ -31,6 +32,8 @@ from pyspark.sql import functions as F
 from mosaicq.workspace import materialise
 
 STEP = 1024
+#: Leading hexadecimal digits of an id that make a bucket.
+DIGITS = 4
 _QUOTE = re.compile(r"\s*((?:>\s?)+)")
 _SAID = re.compile(r"(?:on\b.*\bwrote|.*\bsaid):\s*$", re.IGNORECASE)
 _LAST = (1 << 63) - 1
@@ -134,15 +137,27 @@ def roots(links: DataFrame) -> DataFrame:
         up = materialise(jumped.select("mid", F.coalesce("next", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), "quote-roots")
 
 
+#: What orders messages, from coarse to fine: each level's bucket, in order, inside the levels before it.
+_LEVELS = (("root_step",), ("root_at", "root_digits"), ("root", "step"), ("at", "digits"))
+
+
 def positioned(rows: DataFrame) -> DataFrame:
-    """rows (ck, root_at, root, at, mid) with position: 0, 1, ... in each conversation."""
-    rows = rows.withColumn("s1", F.floor(F.col("root_at") / STEP)).withColumn("s2", F.floor(F.col("at") / STEP))
-    wide = rows.groupBy("ck", "s1").agg(F.count("*").alias("n"))
-    wide = wide.withColumn("o1", F.sum("n").over(Window.partitionBy("ck").orderBy("s1")) - F.col("n")).drop("n")
-    fine = rows.groupBy("ck", "s1", "root_at", "root", "s2").agg(F.count("*").alias("n"))
-    fine = fine.withColumn("o2", F.sum("n").over(Window.partitionBy("ck", "s1").orderBy("root_at", "root", "s2")) - F.col("n")).drop("n")
-    own = F.row_number().over(Window.partitionBy("ck", "s1", "root_at", "root", "s2").orderBy("at", "mid")) - 1
-    return rows.withColumn("o3", own).join(fine, ["ck", "s1", "root_at", "root", "s2"]).join(wide, ["ck", "s1"]).withColumn("position", (F.col("o1") + F.col("o2") + F.col("o3")).cast("long")).drop("s1", "s2", "o1", "o2", "o3")
+    """rows (ck, root_at, root, at, mid) with position: 0, 1, ... in each conversation, by root_at, root, at, mid."""
+    rows = rows.withColumns({
+        "root_step": F.floor(F.col("root_at") / STEP), "root_digits": F.substring("root", 1, DIGITS),
+        "step": F.floor(F.col("at") / STEP), "digits": F.substring("mid", 1, DIGITS),
+    })
+    names = ["ck", *(c for level in _LEVELS for c in level)]
+    counts = offsets = rows.groupBy(names).agg(F.count("*").alias("n"))
+    for depth, level in enumerate(_LEVELS):
+        outer = names[: names.index(level[0])]
+        inner = [*outer, *level]
+        sums = counts.groupBy(inner).agg(F.sum("n").alias("n"))
+        before = F.sum("n").over(Window.partitionBy(outer).orderBy(*level)) - F.col("n")
+        offsets = offsets.join(sums.select(*inner, before.alias(f"o{depth}")), inner)
+    offsets = offsets.select(*names, sum((F.col(f"o{d}") for d in range(1, len(_LEVELS))), F.col("o0")).alias("offset"))
+    own = F.row_number().over(Window.partitionBy(names).orderBy("mid")) - 1
+    return rows.withColumn("own", own).join(offsets, names).withColumn("position", (F.col("offset") + F.col("own")).cast("long"))
 
 
 def reply_order(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
