@@ -16,8 +16,10 @@ What the sizes of two sets demand bounds the work:
 The pairs that remain are counted exactly on the whole sets. A column with many rows (a copied passage,
 a large group of near copies) isn't squared: its rows are first linked to two leaders, then those outside
 its largest component to members of that; what is one component then needs no further pair, and only
-pairs between different components of a column are multiplied, the smaller ones against all. So
-components are exact without all pairs of a group.
+pairs between different components of a column are multiplied, the smaller ones against all. A row and
+the place of the column in it bound the size of a similar set, so these meet by column and class of
+sizes: unlike sets that share a passage are not paired. So components are exact without all pairs of a
+group. Rows of sets with very many copies get their component where they are (a bounded broadcast).
 
 N-grams and sets are 64-bit hashes: two given texts are confused with a chance of about 2^-64 a pair.
 
@@ -35,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mosaicq.llm.components import components
+from mosaicq.llm.components import components, with_each
 from mosaicq.workspace import materialise
 
 SHINGLE = 5
@@ -47,8 +49,10 @@ CHUNK_GRAMS, REPORT = 1 << 20, 2
 FREQUENT = 1 << 19
 #: Longs of a set's sketch: the parity of its n-grams in each of so many times 64 cells.
 SKETCH = 32
-#: Bits of the filter of row ids whose sets are needed whole (a fixed size).
-FILTER_BITS = 1 << 26
+#: Bits of the filter of row ids whose sets are needed whole: so many an id, within these bounds.
+BITS_PER_ID, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 30
+#: Sizes of a class are within this ratio.
+CLASS_RATIO = 1.02
 WORD_CACHE = 300_000
 SEEN_NODES = 500_000
 
@@ -286,15 +290,31 @@ def _alike(x: Column, y: Column, left: str, right: str) -> Column:
     return cells <= x + y - 2 * F.floor((3 * (x + y) + 6) / 7)
 
 
-def whole_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, grams) of the wanted nodes: rows pass a filter of fixed size by id.
+def size_class(n: Column) -> Column:
+    """Classes of sizes (from 1) within CLASS_RATIO of each other."""
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(CLASS_RATIO))).cast("int")
+
+
+def partner_classes(x: Column, y: Column) -> Column:
+    """The classes of the sizes m that a set similar to one of x columns, which shares its column y first, can have.
+
+    At most x - y columns are shared, at least 3 (x + m) / 7 must be; and m is within 3/4 and 4/3 of x.
+    """
+    low = F.ceil(x * 3 / 4).cast("long")
+    high = F.least(F.floor(x * 4 / 3), F.floor((x - y) * 7 / 3) - x).cast("long")
+    return F.when(high >= low, F.sequence(size_class(low), size_class(high))).otherwise(F.array().cast("array<int>"))
+
+
+def whole_sets(rows: DataFrame, wanted: DataFrame, most: int) -> DataFrame:
+    """(node, grams) of the wanted nodes, most or fewer: rows pass a filter by id.
 
     Few others pass it too, and a node may come twice (of repeated ids): neither does harm in a join
     whose result is a set of links, and so the sets are shuffled there alone.
     """
-    words = wanted.select(F.explode(F.array(*[_bit(F.col("id"), s) for s in (1, 2)])).alias("bit")).groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("bit", F.lit(64)).cast("int"))).alias("bits"))
+    n_bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_PER_ID * most).bit_length()))
+    words = wanted.select(F.explode(F.array(*[_bit(F.col("id"), s, n_bits) for s in (1, 2)])).alias("bit")).groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("bit", F.lit(64)).cast("int"))).alias("bits"))
     got = words.toArrow()
-    table = np.zeros(FILTER_BITS // 64, np.int64)
+    table = np.zeros(n_bits // 64, np.int64)
     table[got.column("word").to_numpy()] = got.column("bits").to_numpy()
     shared = rows.sparkSession.sparkContext.broadcast(table)
 
@@ -318,12 +338,12 @@ def whole_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
                     grams.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(grams, pa.binary())], names=["node", "grams"])
 
-    picked = rows.select("text", _bit(F.col("id"), 1).alias("p"), _bit(F.col("id"), 2).alias("q"))
+    picked = rows.select("text", _bit(F.col("id"), 1, n_bits).alias("p"), _bit(F.col("id"), 2, n_bits).alias("q"))
     return picked.mapInArrow(run, "node long, grams binary")
 
 
-def _bit(key: Column, seed: int) -> Column:
-    return F.pmod(F.xxhash64(F.coalesce(key.cast("string"), F.lit("")), F.lit(seed)), F.lit(FILTER_BITS))
+def _bit(key: Column, seed: int, n_bits: int) -> Column:
+    return F.pmod(F.xxhash64(F.coalesce(key.cast("string"), F.lit("")), F.lit(seed)), F.lit(n_bits))
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -382,7 +402,7 @@ def similar_sets(rows: DataFrame, sig: DataFrame) -> DataFrame:
     def linked(some: DataFrame) -> DataFrame:
         """The similar ones of some pairs (a, b)."""
         nodes = some.select(F.col("a").alias("node")).unionByName(some.select(F.col("b").alias("node"))).distinct()
-        return verified(some, materialise(whole_sets(rows, keyed.join(nodes, "node")), "ngram-sets")).select("a", "b")
+        return verified(some, materialise(whole_sets(rows, keyed.join(nodes, "node"), 2 * some.count()), "ngram-sets")).select("a", "b")
 
     labels = components(materialise(linked(first), "ngram-links"))
     if lengthy.isEmpty():
@@ -419,7 +439,9 @@ def similar_sets(rows: DataFrame, sig: DataFrame) -> DataFrame:
     few = renamed(open_.where("c <> major"), "1", "l")
     early = F.least(F.col("x") - F.col("y"), F.col("x1") - F.col("y1")) >= F.floor((3 * (F.col("x") + F.col("x1")) + 6) / 7)
     apart = (F.col("c1") != F.col("c")) & ((F.col("c") == F.col("major")) | (F.col("a1") < F.col("a")))
-    rest = few.join(open_, "gram").where(apart & early & alike).select(*pair).distinct()
+    few = few.withColumn("size", F.explode(partner_classes(F.col("x1"), F.col("y1"))))
+    able = open_.withColumn("size", size_class(F.col("x"))).where(F.size(partner_classes(F.col("x"), F.col("y"))) > 0)
+    rest = few.join(able, ["gram", "size"]).where(apart & early & alike).select(*pair).distinct()
     rest = materialise(rest.join(first.unionByName(tried), ["a", "b"], "left_anti"), "ngram-pairs")
     return labels if rest.isEmpty() else more(labels, linked(rest))
 
@@ -429,13 +451,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = _rows(docs, id_col, text_col)
     sig = materialise(signatures(rows), "ngram-signatures")
     every = sig.where("gram is null").select("id", "n", "node")
-    least = every.where("node is not null").groupBy("node").agg(F.min("id").alias("least"))
+    least = every.where("node is not null").groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
     linked = similar_sets(rows, sig)
     merged = least.join(linked, "node")
     of_component = merged.groupBy("component").agg(F.min("least").alias("whole"))
     whole = merged.join(of_component, "component").select("node", "whole")
-    names = least.join(whole, "node", "left").select(F.col("node").alias("key"), F.coalesce("whole", "least").alias("component_id"))
-    out = every.join(names, F.col("node") == F.col("key"), "left")
+    names = materialise(least.join(whole, "node", "left").select("node", F.coalesce("whole", "least").alias("component_id"), "copies"), "ngram-names")
+    found = with_each(every.where("node is not null"), "node", names, every.count(), "copies")
+    out = found.unionByName(every.where("node is null").withColumn("component_id", F.col("id")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 

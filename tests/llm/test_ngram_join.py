@@ -76,3 +76,36 @@ def test_components(spark):
 def test_extra_columns(spark):
     docs = spark.createDataFrame([(1, "a b c d e f", 5, "x")], "doc_id long, text string, node long, gram string")
     assert [tuple(r) for r in ngram_join.near_duplicates(docs).collect()] == [(1, 2, 1)]
+
+
+def test_a_passage_of_unlike_texts_forms_no_pairs(spark):
+    """Own words before a passage: too little is shared from the passage's first column on, whatever the size."""
+    for own in (10, 12, 15):
+        n = 56 + own
+        assert spark.range(1).select(ngram_join.partner_classes(F.lit(n), F.lit(own)).alias("c")).where(F.array_contains("c", ngram_join.size_class(F.lit(n)))).isEmpty() == (own > 9)
+    got = spark.range(1).select(*[ngram_join.partner_classes(F.lit(x), F.lit(y)).alias(f"c{x}_{y}") for x in (1, 2, 7, 40, 1000) for y in (0, 1, 3, 200)], *[ngram_join.size_class(F.lit(m)).alias(f"s{m}") for m in range(1, 1400)]).first()
+    for x in (1, 2, 7, 40, 1000):
+        for y in (0, 1, 3, 200):
+            able = {m for m in range(1, 1400) if 4 * min(m, x) >= 3 * max(m, x) and x - y >= ngram_join.need(x, m)}
+            assert all(got[f"s{m}"] in got[f"c{x}_{y}"] for m in able)
+
+
+def test_passages_in_texts_of_many_sizes(spark):
+    rng = random.Random(21)
+    words = lambda n, of="w": [f"{of}{rng.randrange(9000)}" for _ in range(n)]
+    passage = words(60, "p")
+    rows = [" ".join([*words(rng.randrange(0, 26)), *passage[rng.randrange(6) :], *words(rng.randrange(0, 5))]) for _ in range(260)]
+    docs = [(i, t) for i, t in enumerate(rows)]
+    assert run(spark, docs) == brute(docs)
+
+
+def test_heavy_keys_and_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(components, "HEAVY_ROWS", 4)
+    rng = random.Random(22)
+    base = [f"w{rng.randrange(9000)}" for _ in range(40_000)]
+    rows = ["same text of a few words here"] * 30 + ["other text"] * 3 + [" ".join(base), " ".join(edited(rng, base, 0.01)), " ".join(edited(rng, base, 0.2))]
+    docs = [(i + 5, t) for i, t in enumerate(rows)] + [(1, None)]
+    assert run(spark, docs) == brute(docs)
+    edges = [(0, k) for k in range(1, 60)] + [(100 + k, 101 + k) for k in range(20)] + [(30, 110)]
+    got = components.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert len(got) == 81 and {r.component for r in got} == {0}
