@@ -172,3 +172,22 @@ def test_pipeline_keeps_one_of_repeated_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = corpus_pipeline.ngram_jaccard_join(spark, docs, "")
     assert sorted(map(repr, got.collect())) == sorted(map(repr, spark.createDataFrame([rows[0], rows[3], rows[4]], docs.schema).collect()))
+
+
+def test_stages_on_odd_rows(spark, sf_dir):
+    """Nulls in every column, empty and very long texts, repeated rows, clashing columns, an empty table."""
+    good = " ".join(f"the word{i} of place{i} and time{i} is here{i}" for i in range(60))
+    other = " ".join(f"eine zahl{i} und der mann{i} in haus{i}" for i in range(6000))
+    rows = [(1, good, "en", "a", 5), (1, good, "en", "a", 5), (None, None, None, None, None), (2, "", None, "a", 0), (None, good, None, None, None), (3, other, "de", None, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({"node": F.lit("x"), "key": F.lit(1), "row": F.lit(2), "r": F.lit(None).cast("int"), "drop": F.lit("y"), "_m": F.lit(0)})
+    at = df
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, df.limit(0), sf_dir).count() == 0, name
+        alone = stage(spark, df, sf_dir)
+        assert alone.count() >= 1
+        at = stage(spark, at, sf_dir)
+        if name != "best_fit_packing":
+            assert alone.columns == at.columns == df.columns
+        if name == "ngram_jaccard_join":
+            assert sorted((r.doc_id for r in at.collect()), key=str) == [1, 3, None]  # the line of 1 is boilerplate of its source
+    assert {r.doc_id for r in at.collect()} == {1, 3, None}
