@@ -26,7 +26,7 @@ def test_places_match_contexts():
 
     def places(text):
         units = pii.Units(text)
-        return sorted((p, text[a:b]) for a, b, _ in pii.fillers(text, pii.base_spans(text)) for p in wanted.at(units, a, b))
+        return sorted((p, text[a:b]) for a, b, _ in pii.fillers(text, pii.base_spans(text)) for p in map(wanted.patterns.__getitem__, wanted.at(units, a, b)))
 
     assert places(texts[0]) == [("<> , mail", "bob1@x.org"), ("mail to <>", "bob1@x.org"), ("mail to <>", "\u00fc123456"), ("to : <>", "a1b2c3d4"), ("to <> ,", "bob1@x.org"), ("to <a0@a.a>", "bob1@x.org")]
     assert places(texts[1]) == places(texts[2]) == [("mail to <>", "10.0.0.1")]
@@ -120,7 +120,8 @@ def brute(rows, min_support=5, limit=0.8, share=0.5, unknown=0.1):
             held = [i for i in n if i in trusted]
             weight = {i: k * (trusted[i][1] if i in trusted else 1 if i.isalpha() or i in ordinary or pii.refuted(i) else unknown) for i, k in n.items()}
             trust = sum(weight[i] for i in held) / sum(weight.values())
-            if len(held) >= min_support and trust >= limit:
+            words = sum(k for i, k in n.items() if i.isalpha())
+            if len(held) >= min_support and trust >= limit and 2 * words <= sum(n.values()):
                 votes = collections.Counter()
                 for i in held:
                     votes[trusted[i][0]] += weight[i]
@@ -165,3 +166,21 @@ def test_scores_equal_brute_force(spark):
     assert got and got == brute(rows)
     twice = sorted((r.doc_id, x.start, x.end, x.kind) for r in pii.extract(df.unionByName(df)).collect() for x in r.added)
     assert twice == sorted(got + got)
+
+
+def test_numbered_pieces_find_what_units_find(sf_dir):
+    import pyarrow.parquet as pq
+
+    texts = [t or "" for t in pq.read_table(f"{sf_dir}/documents.parquet").column("text").to_pylist()]
+    texts += ["", " ", "a", "(a) [b]. 12 34, x-1 12 (34", "é" * 5, "1 2", "one two three.\n\n— four", "x\x1fy\xa0z w"]
+    every = collections.Counter(p for t in texts for u in [pii.Units(t)] for a, b, _ in pii.fillers(t, pii.base_spans(t)) for p in u.patterns(a, b))
+    wanted = pii.Wanted({p for n, p in enumerate(sorted(every)) if n % 3 == 0} | {"never there <>", "<> never there"})
+    pieces, got, seen = pii.Pieces(wanted), collections.Counter(), 0
+    for slow, chunk in pieces.chunks(texts, pii.base_spans):
+        seen += len(set(chunk.owner.tolist()))
+        for _, pattern in pieces.hits(chunk):
+            got.update(map(wanted.patterns.__getitem__, pattern.tolist()))
+        for row, spans in slow:
+            units = pii.Units(texts[row])
+            got.update(wanted.patterns[p] for a, b, _ in pii.fillers(texts[row], spans) for p in wanted.at(units, a, b))
+    assert got == collections.Counter({p: n for p, n in every.items() if p in wanted.numbers}) and seen > len(texts) / 2
