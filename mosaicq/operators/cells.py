@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mosaicq.operators.spatial import nearest_within
+from mosaicq.operators.stats import exact_quantile
+from mosaicq.workspace import broadcast_if_few
 
 
 def expression(spots: DataFrame, cells: DataFrame, radius: float = 100, dims=("y", "x"), depth_scale: float | None = None, sentinel: str = "Other") -> DataFrame:
@@ -42,7 +44,7 @@ def qc_filter(expr: DataFrame, min_genes: int = 0, min_counts: int = 0, max_coun
 
 def complete(expr: DataFrame) -> DataFrame:
     """All (cell, gene) combinations with zeros: the dense matrix in long form."""
-    grid = expr.select("cell_id").distinct().crossJoin(F.broadcast(expr.select("gene").distinct()))
+    grid = expr.select("cell_id").distinct().crossJoin(broadcast_if_few(expr.select("gene").distinct()))
     return grid.join(expr, ["cell_id", "gene"], "left").na.fill(0, ["cnt"])
 
 
@@ -52,13 +54,13 @@ def normalised(expr: DataFrame, dense: bool = False) -> DataFrame:
     The zeros enter by number, not by row, unless the dense rows are asked for.
     """
     totals = expr.groupBy("cell_id").agg(F.sum("cnt").alias("t"))
-    mid = totals.agg(F.median("t").alias("mid"), F.count("*").alias("n_cells"))
+    mid = exact_quantile(totals, "t", 0.5).withColumnRenamed("value", "mid").crossJoin(totals.agg(F.count("*").alias("n_cells")))
     x = expr.join(totals, "cell_id").crossJoin(F.broadcast(mid)).select("cell_id", "gene", (F.col("cnt") * F.col("mid") / F.col("t")).alias("x"), "n_cells")
     g = x.groupBy("gene").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"), F.max("n_cells").alias("n"))
     mean = F.col("s") / F.col("n")
     g = g.select("gene", mean.alias("mean"), F.sqrt(F.greatest((F.col("q") - F.col("n") * mean * mean) / (F.col("n") - 1), F.lit(0.0))).alias("sd"))
     base = complete(expr).select("cell_id", "gene").join(x.drop("n_cells"), ["cell_id", "gene"], "left").na.fill(0.0, ["x"]) if dense else x.drop("n_cells")
-    return base.join(F.broadcast(g), "gene").select("cell_id", "gene", "x", F.when(F.col("sd") > 0, (F.col("x") - F.col("mean")) / F.col("sd")).otherwise(0.0).alias("z"))
+    return base.join(g, "gene").select("cell_id", "gene", "x", F.when(F.col("sd") > 0, (F.col("x") - F.col("mean")) / F.col("sd")).otherwise(0.0).alias("z"))
 
 
 def annotated(obs: DataFrame, groups: dict[str, list], cluster: str = "leiden", column: str = "type", default: str = "other") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from mosaicq.functions.features import chi2_survival
 from mosaicq.operators.tables import combinations
-from mosaicq.workspace import materialise
+from mosaicq.workspace import fresh_path
 
 
 def _log_density(cols: list[str], mean: list[float], var: list[float], weight: float) -> Column:
@@ -67,14 +67,30 @@ def mixture_labels(df: DataFrame, cols: list[str], model: dict, layer: int = 0)
 
 
 def fit_layers(df: DataFrame, cols: list[str], means: dict[int, list[list[float]]], layer_col: str = "g_layer", **options) -> DataFrame:
-    """Labels of all layers; points outside the layers get -1. Layers are few: one model each."""
+    """Labels of all layers; points outside the layers get -1. Layers are few: one model each.
+
+    The features are written once, a folder a layer, so a round reads the columns of its own layer alone.
+    """
+    path = fresh_path(df.sparkSession, "mixture-layers")
+    inside = df.where(F.col(layer_col).isin(*means))
+    inside.select(*cols, F.col(layer_col).alias("_layer")).write.partitionBy("_layer").parquet(path)
+    features = df.sparkSession.read.parquet(path)
     out = df.where(F.col(layer_col).isNull() | ~F.col(layer_col).isin(*means)).withColumn("label", F.lit(-1))
     for layer, first in sorted(means.items()):
-        part = df.where(F.col(layer_col) == layer)
-        out = out.unionByName(mixture_labels(part, cols, fit_mixture(part, cols, first, **options), layer))
+        model = fit_mixture(features.where(F.col("_layer") == layer).select(*cols), cols, first, **options)
+        out = out.unionByName(mixture_labels(df.where(F.col(layer_col) == layer), cols, model, layer))
     return out
 
 
+def mixture_p_values(df: DataFrame, cols: list[str], model: dict, layer: int = 0) -> DataFrame:
+    """(rows of df, component, p): chi-square tail of the squared distance to every component of a diagonal mixture."""
+    out = []
+    for k, (mean, var) in enumerate(zip(model["means"], model["variances"])):
+        d2 = sum(((F.col(c) - m) * (F.col(c) - m) / v for c, m, v in zip(cols, mean, var)), F.lit(0.0))
+        out.append(F.struct(F.lit(layer * len(model["means"]) + k + 1).alias("component"), chi2_survival(d2, len(cols)).alias("p")))
+    return df.withColumn("_e", F.explode(F.array(*out))).select(*df.columns, "_e.component", "_e.p")
+
+
 def initial_centroids(spark, grade: int, axes: dict[str, list[float]]) -> DataFrame:
     """(k, ye, b, r): corner combinations that add up to grade - 1, placed at each axis' maxima.
 

@@ -8,7 +8,11 @@ a filter. Catalyst picks the join; adaptive execution splits crowded cells.
 from __future__ import annotations
 
 import itertools
+import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,7 +105,7 @@ def owned_by_tile(points: DataFrame, tiles: DataFrame, trim: int = 125, compat_e
     First and last tiles keep their outer edge; compat_edges counts tiles from 1 in that test, so that
     tile 1 is the one without a lower trim and none is without an upper one.
     """
-    joined = points.join(F.broadcast(tiles), ["tile_y", "tile_x"])
+    joined = points.join(tiles, ["tile_y", "tile_x"])
     ok = F.lit(True)
     for d in ("y", "x"):
         first = F.col(f"tile_{d}") == (1 if compat_edges else 0)
@@ -152,7 +156,7 @@ def mask_relabelled(points: DataFrame, mask: DataFrame, mode: str, layer: Column
         return out.select(*points.columns)
     drawn = mask.select(F.col("label").alias("_drawn")).distinct()
     true = mask.select(F.col("label").alias("_label"), F.col("row").alias("_row"), F.col("col").alias("_col"), F.lit(True).alias("_in")).distinct()
-    out = at.join(F.broadcast(drawn), at["label"] == F.col("_drawn"), "left").withColumn("_label", F.col("label")).join(true, ["_label", "_row", "_col"], "left")
+    out = at.join(drawn, at["label"] == F.col("_drawn"), "left").withColumn("_label", F.col("label")).join(true, ["_label", "_row", "_col"], "left")
     return out.where(~F.col("_layer") | F.col("_drawn").isNull() | F.coalesce("_in", F.lit(False))).select(*points.columns)
 
 
@@ -164,20 +168,67 @@ def roi_of_points(points: DataFrame, mask: DataFrame, height: int, step: int = 1
     return points.withColumns({"_row": row.cast("int"), "_col": col.cast("int")}).join(won, ["_row", "_col"], "left").drop("_row", "_col")
 
 
-def knn(vectors: DataFrame, k: int, id_col: str = "id", vec_col: str = "v", blocks: int = 16) -> DataFrame:
-    """(src, dst, d2, rank) of the k nearest neighbours, exactly, in blocks.
+#: Rows of a block of vectors, at most and, where there are few tasks otherwise, at least.
+BLOCK_ROWS, LEAST_BLOCK_ROWS = 8192, 256
+_STEP_ROWS = 512
 
-    The rows are dealt into blocks and each pair of blocks meets in one equi-join key, so no task sees
-    all pairs; each block keeps its own k best before the final ranking.
+
+def _nearest_in_block(p: np.ndarray, q: np.ndarray, order: np.ndarray, same: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of p, row of q, d2) of the k nearest of q for every row of p, ties by order; same[i] is the row of q that is i itself or -1.
+
+    A matrix product selects, the exact distances of what it leaves are compared.
     """
-    salt = F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int")
-    a = vectors.select(F.col(id_col).alias("src"), F.col(vec_col).alias("p"), salt.alias("bi")).withColumn("bj", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    b = vectors.select(F.col(id_col).alias("dst"), F.col(vec_col).alias("q"), salt.alias("bj")).withColumn("bi", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    d2 = F.aggregate(F.zip_with("p", "q", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, v: s + v)
-    pairs = a.join(b, ["bi", "bj"]).where("src <> dst").select("src", "dst", "bj", d2.alias("d2"))
-    near = pairs.withColumn("r", F.row_number().over(Window.partitionBy("src", "bj").orderBy("d2", "dst"))).where(F.col("r") <= k)
-    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy("d2", "dst"))).where(F.col("rank") <= k)
-    return ranked.select("src", "dst", "d2", "rank")
+    left, right, found = [], [], []
+    pp, qq = (p * p).sum(1), (q * q).sum(1)
+    slack = 1e-9 * (pp.max() + qq.max() + 1)
+    for a in range(0, len(p), _STEP_ROWS):
+        near = pp[a : a + _STEP_ROWS, None] + qq[None] - 2 * (p[a : a + _STEP_ROWS] @ q.T)
+        own = np.nonzero(same[a : a + _STEP_ROWS] >= 0)[0]
+        near[own, same[a : a + _STEP_ROWS][own]] = np.inf
+        m = min(k, near.shape[1])
+        worst = np.partition(near, m - 1, axis=1)[:, m - 1 : m]
+        i, j = np.nonzero((near <= worst + slack) & np.isfinite(near))
+        d2 = ((p[a + i] - q[j]) ** 2).sum(1)
+        best = np.lexsort((order[j], d2, i))
+        i, j, d2 = i[best], j[best], d2[best]
+        nth = np.arange(len(i)) - np.searchsorted(i, i)
+        left.append(a + i[nth < k])
+        right.append(j[nth < k])
+        found.append(d2[nth < k])
+    return np.concatenate(left), np.concatenate(right), np.concatenate(found)
+
+
+def knn(vectors: DataFrame, k: int, id_col: str = "id", vec_col: str = "v", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(src, dst, d2, rank) of the k nearest neighbours by squared distance, exactly, ties to the lowest id.
+
+    Rows are dealt into blocks of bounded size; a task multiplies two blocks and keeps k a row, so what is
+    shuffled and ranked after is k rows a row and block, never pairs. Rows without a vector take no part.
+    """
+    rows = vectors.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    n, tasks = rows.count(), rows.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, -(-n // block_rows), min(math.isqrt(max(0, tasks - 1)) + 1, -(-n // LEAST_BLOCK_ROWS)))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    a = dealt.select("id", "v", F.col("block").alias("bi"), every.alias("bj"))
+    b = dealt.select("id", "v", F.col("block").alias("bj"), every.alias("bi"))
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def matrix(table: pa.Table) -> np.ndarray:
+        column = table.column("v").combine_chunks()
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left) or not len(right):
+            none = left.column("id").slice(0, 0)
+            return pa.table({"src": none, "dst": none, "d2": pa.array([], pa.float64())})
+        order = np.empty(len(right), np.int64)
+        order[pc.sort_indices(right.column("id")).to_numpy()] = np.arange(len(right))
+        same = pc.fill_null(pc.index_in(left.column("id"), right.column("id")), -1).to_numpy()
+        i, j, d2 = _nearest_in_block(matrix(left), matrix(right), order, same, k)
+        return pa.table({"src": left.column("id").take(pa.array(i)), "dst": right.column("id").take(pa.array(j)), "d2": pa.array(d2)})
+
+    near = a.groupBy("bi", "bj").cogroup(b.groupBy("bi", "bj")).applyInArrow(run, f"src {kind}, dst {kind}, d2 double")
+    return near.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy("d2", "dst"))).where(F.col("rank") <= k)
 
 
 def knn_hashed(vectors: DataFrame, k: int, id_col: str = "id", vec_col: str = "v", width: float = 1.0, tables: int = 8, projections: int = 4, dims: int | None = None, seed: int = 0) -> DataFrame:
@@ -213,17 +264,33 @@ def interactions(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return edges.join(src, "src").join(dst, "dst").groupBy("src_label", "dst_label").agg(F.count("*").alias("n_edges"))
 
 
+def _places(rows: DataFrame, by: list[str], draw: Column, parts: int) -> DataFrame:
+    """rows with n: their place from 0 in the order of draw (then id) within by, from counts of parts of the draws."""
+    width = (1 << 40) // parts
+    told = rows.withColumn("_d", F.pmod(draw, F.lit(1 << 40))).withColumn("_b", F.floor(F.col("_d") / width))
+    counts = told.groupBy(*by, "_b").agg(F.count("*").alias("_c"))
+    before = counts.withColumn("_o", F.sum("_c").over(Window.partitionBy(*(by or [F.lit(0)])).orderBy("_b")) - F.col("_c")).drop("_c")
+    own = F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_d", "id")) - 1
+    return told.withColumn("_r", own).join(before, [*by, "_b"]).withColumn("n", F.col("_o") + F.col("_r")).drop("_d", "_b", "_o", "_r")
+
+
+#: Rows whose places are found in one task.
+_PLACED_ROWS = 1 << 12
+
+
 def enrichment(edges: DataFrame, labels: DataFrame, permutations: int = 100, seed: int = 0) -> DataFrame:
-    """z-scores of label pairs' edge counts against seeded permutations of the labels."""
+    """z-scores of label pairs' edge counts against seeded permutations of the labels.
+
+    Every permutation orders the ids by a hash of their own; no task orders a whole permutation.
+    """
     seen = interactions(edges, labels)
-    rounds = labels.sparkSession.range(permutations).withColumnRenamed("id", "p")
-    drawn = rounds.crossJoin(labels)
-    places = drawn.select("p", "id", F.row_number().over(Window.partitionBy("p").orderBy("id")).alias("n"))
-    values = drawn.select("p", "label", F.row_number().over(Window.partitionBy("p").orderBy(F.xxhash64("p", "id", F.lit(seed)), "id")).alias("n"))
-    shuffled = places.join(values, ["p", "n"]).select("p", "id", "label")
+    parts = max(1, labels.count() // _PLACED_ROWS)
+    values = _places(labels.select("id", "label"), [], F.xxhash64("id", F.lit(seed)), parts).select("n", "label")
+    rounds = labels.select("id", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("p"))
+    shuffled = _places(rounds, ["p"], F.xxhash64("id", "p", F.lit(seed + 1)), parts).join(values, "n").select("p", "id", "label")
     src = shuffled.select("p", F.col("id").alias("src"), F.col("label").alias("src_label"))
     dst = shuffled.select("p", F.col("id").alias("dst"), F.col("label").alias("dst_label"))
-    counts = edges.join(src, "src").join(dst, ["p", "dst"]).groupBy("p", "src_label", "dst_label").agg(F.count("*").alias("n"))
+    counts = edges.select("src", "dst").join(src, "src").join(dst, ["p", "dst"]).groupBy("p", "src_label", "dst_label").agg(F.count("*").alias("n"))
     sums = counts.groupBy("src_label", "dst_label").agg(F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("ss"))
     mean = F.coalesce("s", F.lit(0)) / permutations
     spread = F.sqrt(F.greatest(F.coalesce("ss", F.lit(0)) / permutations - mean * mean, F.lit(0.0)))
@@ -245,7 +312,7 @@ def morans_i(edges: DataFrame, values: DataFrame) -> DataFrame:
     """Moran's I of (id, value) over (src, dst, weight) edges, for each gene if values has that column."""
     keys = ["gene"] if "gene" in values.columns else []
     stats = values.groupBy(*keys).agg(F.avg("value").alias("m"), F.count("*").alias("n"))
-    z = (values.join(F.broadcast(stats), keys) if keys else values.crossJoin(F.broadcast(stats))).select(*keys, "id", (F.col("value") - F.col("m")).alias("z"), "n")
+    z = (values.join(stats, keys) if keys else values.crossJoin(F.broadcast(stats))).select(*keys, "id", (F.col("value") - F.col("m")).alias("z"), "n")
     square = z.groupBy(*keys).agg(F.sum(F.col("z") * F.col("z")).alias("zz"), F.max("n").alias("n"))
     a = z.select(*keys, F.col("id").alias("src"), F.col("z").alias("zi"))
     b = z.select(*keys, F.col("id").alias("dst"), F.col("z").alias("zj"))
@@ -256,12 +323,12 @@ def morans_i(edges: DataFrame, values: DataFrame) -> DataFrame:
 
 def shifted_by_tile(points: DataFrame, positions: DataFrame) -> DataFrame:
     """Tile coordinates to mosaic coordinates (positions: tile, y0, x0)."""
-    out = points.join(F.broadcast(positions), "tile")
+    out = points.join(positions, "tile")
     return out.withColumns({"y": F.col("y") + F.col("y0"), "x": F.col("x") + F.col("x0")}).drop("y0", "x0")
 
 
 def shifted_by_cycle(points: DataFrame, offsets: DataFrame, reference: int = 1) -> DataFrame:
     """Registration offsets (cycle, tile, dy, dx) added outside the reference cycle; without one, unchanged."""
-    out = points.join(F.broadcast(offsets), ["cycle", "tile"], "left")
+    out = points.join(offsets, ["cycle", "tile"], "left")
     moved = {c: F.col(c) + F.when(F.col("cycle") == reference, 0).otherwise(F.coalesce(f"d{c}", F.lit(0))) for c in ("y", "x")}
     return out.withColumns(moved).drop("dy", "dx")

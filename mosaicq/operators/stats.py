@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mosaicq.workspace import broadcast_if_few
+
 
 def observed_over_expected(df: DataFrame, i: str, j: str) -> DataFrame:
     """n_ij * N / (n_i * n_j) of two categories."""
@@ -19,16 +23,54 @@ def composition(df: DataFrame, region: str, kind: str) -> DataFrame:
     return n.withColumn("pct", F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy(region)))
 
 
+#: approx_percentile's accuracy, the half width of the bracket around a quantile, and the rows up to which all are ordered.
+_ACCURACY, _SLACK, _FEW = 10_000, 1e-3, 10_000
+
+
+def exact_quantile(df: DataFrame, col: str, q: float, by: list[str] = ()) -> DataFrame:
+    """(by, value): the exact q-quantile of a column, linear between the two ranks around it; nulls don't count.
+
+    A sketch brackets the quantile, the values below the bracket are only counted, and the distinct values
+    inside it, a share of 2 * _SLACK of the rows, are ordered: no buffer holds the values of a group.
+    """
+    keys = [f"_k{i}" for i in range(len(by))]
+    rows = df.select(*[F.col(c).alias(k) for c, k in zip(by, keys)], F.col(col).cast("double").alias("_x")).where("_x is not null")
+    ends = F.percentile_approx("_x", [max(0.0, q - _SLACK), min(1.0, q + _SLACK)], _ACCURACY)
+    span = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), ends.alias("_e"))
+    few = F.col("_n") <= _FEW
+    span = span.select(*keys, "_n", F.when(few, F.col("_lo")).otherwise(F.col("_e")[0]).alias("_lo"), F.when(few, F.col("_hi")).otherwise(F.col("_e")[1]).alias("_hi"))
+
+    def same(a: str, b: str) -> Column:
+        return reduce(lambda x, k: x & F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")), keys, F.lit(True))
+
+    told = rows.alias("r").join(span.alias("s") if keys else F.broadcast(span).alias("s"), same("r", "s"))
+    place = F.when(F.col("_x") < F.col("_lo"), -1).when(F.col("_x") > F.col("_hi"), 1).otherwise(0)
+    counts = told.select(*[F.col(f"r.{k}").alias(k) for k in keys], place.alias("_p"), F.when(place == 0, F.col("_x")).alias("_x"), "_n")
+    counts = counts.groupBy(*keys, "_p", "_x").agg(F.count("*").alias("_c"), F.max("_n").alias("_n"))
+    last = F.sum("_c").over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_p", "_x"))
+    at = (F.col("_n") - 1) * q
+    steps = counts.withColumns({"_to": last, "_at": at})
+
+    def ranked(rank: Column) -> Column:  # ranks from 0
+        return F.max(F.when((F.col("_to") - F.col("_c") <= rank) & (rank < F.col("_to")) & (F.col("_p") == 0), F.col("_x")))
+
+    got = steps.groupBy(*keys).agg(ranked(F.floor("_at")).alias("_a"), ranked(F.ceil("_at")).alias("_b"), F.max("_at").alias("_at"))
+    value = F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_at") - F.floor("_at"))
+    # The sketch's bound on ranks makes this impossible; a wrong value must not pass.
+    value = F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), value).otherwise(F.raise_error(F.lit("the quantile is outside its bracket")))
+    return got.select(*[F.col(k).alias(c) for c, k in zip(by, keys)], value.alias("value"))
+
+
 def above_quantile(df: DataFrame, col: str, q: float) -> DataFrame:
     """Rows above the q-quantile (q <= 1) or above the absolute threshold."""
     if q > 1:
         return df.where(F.col(col) > q)
-    limit = df.agg(F.percentile(col, F.lit(q)).alias("_q"))
+    limit = exact_quantile(df, col, q).withColumnRenamed("value", "_q")
     return df.join(F.broadcast(limit), F.col(col) > F.col("_q")).drop("_q")
 
 
 def above_group_quantile(df: DataFrame, group: str, col: str, q: float) -> DataFrame:
-    limit = df.groupBy(F.col(group).alias("_g")).agg(F.percentile(col, F.lit(q)).alias("_q"))
+    limit = exact_quantile(df, col, q, [group]).select(F.col(group).alias("_g"), F.col("value").alias("_q"))
     return df.join(limit, (F.col(group) == F.col("_g")) & (F.col(col) > F.col("_q"))).drop("_g", "_q")
 
 
@@ -106,8 +148,13 @@ def overlap(p_values: DataFrame, limit: float) -> DataFrame:
 
 def accuracy_curve(p_values: DataFrame, n: int = 50, by_component: bool = False) -> DataFrame:
     """(threshold, accuracy): mean over labels of diagonal over sum of the overlap row (or column)."""
-    grid = p_values.sparkSession.range(n).select((F.col("id") / n).alias("threshold"))
-    frac = p_values.crossJoin(F.broadcast(grid)).groupBy("threshold", "label", "component").agg(F.avg((F.col("p") > F.col("threshold")).cast("double")).alias("frac"))
+    # p > i / n for the thresholds below p: rows are counted once by how many there are, then summed over the thresholds.
+    above = F.greatest(F.lit(0), F.least(F.lit(n), F.ceil(F.col("p") * n))).cast("int")
+    above = above - ((above > 0) & ~(F.col("p") > (above - 1) / F.lit(n))).cast("int") + ((above < n) & (F.col("p") > above / F.lit(n))).cast("int")
+    counts = p_values.groupBy("label", "component", above.alias("above")).agg(F.count("*").alias("c"))
+    grid = p_values.sparkSession.range(n).select(F.col("id").alias("i"), (F.col("id") / n).alias("threshold"))
+    hit = F.sum(F.when(F.col("above") > F.col("i"), F.col("c")).otherwise(0))
+    frac = counts.crossJoin(F.broadcast(grid)).groupBy("threshold", "label", "component").agg((hit / F.sum("c")).alias("frac"))
     key = "component" if by_component else "label"
     rows = frac.groupBy("threshold", key).agg(F.sum(F.when(F.col("label") == F.col("component"), F.col("frac"))).alias("d"), F.sum("frac").alias("s"))
     return rows.groupBy("threshold").agg(F.avg(F.when(F.col("s") > 0, F.col("d") / F.col("s"))).alias("accuracy"))
@@ -200,23 +247,26 @@ def plane_fit(df: DataFrame, x: str, y: str, z: str, by: list[str] = ()) -> Data
 
 def median_of_distinct_scaled(df: DataFrame, col: str, to: float = 5000) -> DataFrame:
     """Integer column: x / median(distinct positive x) * to."""
-    m = df.where(F.col(col) > 0).select(col).distinct().agg(F.median(col).alias("_m"))
+    m = exact_quantile(df.where(F.col(col) > 0).select(col).distinct(), col, 0.5).withColumnRenamed("value", "_m")
     return df.crossJoin(F.broadcast(m)).withColumn(col, (F.col(col) / F.col("_m") * to).cast("int")).drop("_m")
 
 
 def by_percentile(df: DataFrame, col: str, q: float = 0.95) -> DataFrame:
     """log(1 + log(1 + x)) divided by its q-quantile."""
     out = df.withColumn(col, F.log1p(F.log1p(F.col(col))))
-    return out.crossJoin(F.broadcast(out.agg(F.percentile(col, F.lit(q)).alias("_p")))).withColumn(col, F.col(col) / F.col("_p")).drop("_p")
+    return out.crossJoin(F.broadcast(exact_quantile(out, col, q).withColumnRenamed("value", "_p"))).withColumn(col, F.col(col) / F.col("_p")).drop("_p")
 
 
 def kde(df: DataFrame, cols: list[str], grid: DataFrame, factor: float | None = None) -> DataFrame:
-    """Gaussian density at the grid's points (same columns), Scott's bandwidth for each axis."""
+    """Gaussian density at the grid's points (same columns), Scott's bandwidth for each axis.
+
+    Every row meets every point of the grid, which is sent to the rows if it is small.
+    """
     d = len(cols)
     stats = df.agg(F.count("*").alias("_n"), *[F.stddev_samp(c).alias(f"_s{i}") for i, c in enumerate(cols)])
     band = F.lit(factor) if factor else F.pow(F.col("_n").cast("double"), F.lit(-1.0 / (d + 4)))
     left = grid.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(cols)])
-    both = df.select(*cols).crossJoin(F.broadcast(left)).crossJoin(F.broadcast(stats.withColumn("_h", band)))
+    both = df.select(*cols).crossJoin(broadcast_if_few(left)).crossJoin(F.broadcast(stats.withColumn("_h", band)))
     power, norm = F.lit(0.0), F.lit(1.0)
     for i, c in enumerate(cols):
         u = (F.col(c) - F.col(f"_g{i}")) / (F.col(f"_s{i}") * F.col("_h"))

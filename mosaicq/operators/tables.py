@@ -69,7 +69,7 @@ def pivot_counts(df: DataFrame, row: str, col: str, values: list, prefix: str =
 
 def with_names(df: DataFrame, key: str, names: DataFrame, name: str, default: str) -> DataFrame:
     """Codebook lookup (names: key, name) with a default."""
-    return df.join(F.broadcast(names.select(key, name)), key, "left").withColumn(name, F.coalesce(name, F.lit(default)))
+    return df.join(names.select(key, name), key, "left").withColumn(name, F.coalesce(name, F.lit(default)))
 
 
 def replaced(df: DataFrame, col: str, table: dict[str, str]) -> DataFrame:

@@ -307,7 +307,7 @@ e AS (SELECT src, dst, d2, r FROM (SELECT *, row_number() OVER (PARTITION BY src
 
 
 def _knn(spark, sf):
-    return spatial.knn(table(spark, sf, "embeddings"), 5, "vec_id", "embedding", blocks=4)
+    return spatial.knn(table(spark, sf, "embeddings"), 5, "vec_id", "embedding")
 
 
 @query(KNN + "SELECT src, dst, round(d2, 5) AS d2, CAST(r AS INTEGER) AS rank FROM e")

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 _open: list[list[str]] = []
@@ -62,6 +63,15 @@ def memoised(df: DataFrame, path: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows up to which a side of a join is called few.
+FEW_ROWS = 100_000
+
+
+def broadcast_if_few(df: DataFrame, most: int = FEW_ROWS) -> DataFrame:
+    """df, with a broadcast hint if a count finds it small enough; else the planner decides."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def discard(spark: SparkSession, df_or_path: DataFrame | str) -> None:
     """Delete a table that materialise() wrote, once nothing will read it again."""
     paths = [df_or_path] if isinstance(df_or_path, str) else sorted({f.rsplit("/", 1)[0] for f in df_or_path.inputFiles()})

@@ -116,3 +116,18 @@ def test_tables(spark):
     assert [tables.mosaic(px, m).first().value for m in ("overlay", "average", "blend")] == [3, 2.0, 2.5]
     hit, rest = tables.split_by(spark.createDataFrame([(1,), (None,), (5,)], "v int"), F.col("v") > 3)
     assert hit.count() == 1 and rest.count() == 2
+
+
+def test_exact_quantiles_of_many_rows(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=40_000), np.round(rng.normal(size=30_000), 1), np.full(20_000, 0.25)])
+    g = rng.integers(0, 4, len(x)) // 2
+    df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(g, x)] + [(0, None), (None, 1.0), (None, 4.0), (7, None)], "g int, x double")
+    for q in (0.0, 0.003, 0.5, 0.731, 0.98, 1.0):
+        whole = np.append(x, [1.0, 4.0])
+        assert abs(stats.exact_quantile(df, "x", q).first().value - np.quantile(whole, q)) < 1e-12
+        got = {r.g: r.value for r in stats.exact_quantile(df, "x", q, ["g"]).collect()}
+        assert set(got) == {0, 1, None} and all(abs(got[k] - np.quantile(x[g == k], q)) < 1e-12 for k in (0, 1)) and got[None] == 1 + 3 * q
+    assert stats.exact_quantile(df.limit(0), "x", 0.5).count() in (0, 1)

@@ -42,11 +42,17 @@ def test_runs(spark, sf_dir, name):
 
 
 def test_plans_stay_in_the_jvm(spark, sf_dir):
-    for name in ("crosstalk_scale_sum", "ratio_simplex_project", "radius_pairs", "nearest_neighbor_radius", "expression_matrix", "knn_k"):
+    for name in ("crosstalk_scale_sum", "ratio_simplex_project", "radius_pairs", "nearest_neighbor_radius", "expression_matrix"):
         plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan, name
 
 
+def test_neighbours_are_ranked_from_k_rows_a_block(spark, sf_dir):
+    """The blocks' product runs on Arrow tables; only its k rows a row and block are shuffled to be ranked."""
+    plan = catalog.QUERIES["knn_k"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "Join" not in plan and "WindowGroupLimit" in plan
+
+
 def test_filters_and_columns_reach_the_scan(spark, sf_dir):
     plan = catalog.QUERIES["group_size_filter"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint>" in plan and "o_totalprice" not in plan

@@ -102,6 +102,26 @@ def test_hashed_neighbours_are_near(spark):
     rng = random.Random(2)
     rows = [(i, [rng.gauss(c * 20, 1) for _ in range(6)]) for i in range(90) for c in [i % 3]]
     df = spark.createDataFrame(rows, "id long, v array<double>")
-    exact = {(r.src, r.dst) for r in spatial.knn(df, 3, blocks=3).collect()}
+    exact = {(r.src, r.dst) for r in spatial.knn(df, 3, block_rows=30).collect()}
     got = {(r.src, r.dst) for r in spatial.knn_hashed(df, 3, width=8.0, tables=12, projections=2).collect()}
     assert len(exact & got) / len(exact) >= 0.9
+
+
+def test_neighbours_of_blocks_with_ties(spark):
+    rng = random.Random(3)
+    rows = [(f"i{i:03d}", [float(rng.randrange(3)) for _ in range(4)]) for i in range(300)] + [("none", None), (None, [1.0, 1.0, 1.0, 1.0])]
+    df = spark.createDataFrame(rows, "id string, v array<float>")
+    want = set()
+    for i, p in rows[:300]:
+        near = sorted((sum((a - b) ** 2 for a, b in zip(p, q)), j) for j, q in rows[:300] if j != i)[:5]
+        want |= {(i, j, d, n + 1) for n, (d, j) in enumerate(near)}
+    for size in (64, 4096):
+        assert {tuple(r) for r in spatial.knn(df, 5, block_rows=size).collect()} == want
+    assert spatial.knn(df.limit(0), 5).count() == 0 and spatial.knn(df.where("id = 'i001'"), 5).count() == 0
+
+
+def test_enrichment_of_separate_clusters(spark):
+    labels = spark.createDataFrame([(i, i // 30) for i in range(60)], "id long, label int")
+    edges = spark.createDataFrame([(i, 30 * (i // 30) + (i + d) % 30) for i in range(60) for d in (1, 2)], "src long, dst long")
+    got = {(r.src_label, r.dst_label): r for r in spatial.enrichment(edges, labels, permutations=60).collect()}
+    assert set(got) == {(0, 0), (1, 1)} and all(r.n_edges == 60 and r.z > 3 and 25 < r.expected < 33 for r in got.values())
