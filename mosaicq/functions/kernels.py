@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from numpy.lib.stride_tricks import sliding_window_view
 
@@ -127,15 +129,46 @@ def median_background(a: np.ndarray, inside: np.ndarray | None = None) -> np.nda
     return a - np.median(a if inside is None else a[~inside])
 
 
-def gaussian_mask(a: np.ndarray, start: np.ndarray, sigma: np.ndarray, cut: int = 3, tolerance: float = 0.01, rounds: int = 20) -> tuple[np.ndarray, float, bool]:
-    """(centre, integrated intensity, converged): the centroid under a Gaussian mask, to a fixed point."""
+#: How light spreads from a point: by its density at a pixel's centre, by its integral over the pixel, or so in the plane and by density in depth.
+SPREADS = ("gaussian", "integratedGaussian", "integratedGaussianStdZ")
+
+
+def _profile(n: int, centre: float, sigma: float, integrated: bool) -> np.ndarray:
+    """Light of a point on the pixels of an axis, 1 for a pixel whose middle is the point."""
+    x = np.arange(n) - centre
+    if not integrated:
+        return np.exp(-0.5 * (x / sigma) ** 2)
+    edges = np.array([math.erf(v) for v in np.append(x - 0.5, x[-1] + 0.5) / (math.sqrt(2) * sigma)])
+    return np.diff(edges) / (2 * math.erf(0.5 / (math.sqrt(2) * sigma)))
+
+
+def _integrated_axes(dims: int, spread: str) -> list[bool]:
+    """Which axes (depth first, if there are three) integrate."""
+    return [spread != "gaussian" and not (spread == "integratedGaussianStdZ" and dims == 3 and axis == 0) for axis in range(dims)]
+
+
+def point_spread(shape: tuple[int, ...], centre: np.ndarray, sigma: np.ndarray, spread: str = "gaussian") -> np.ndarray:
+    """The image of a point of height 1."""
+    out = np.ones(())
+    for n, c, s, integrated in zip(shape, centre, sigma, _integrated_axes(len(shape), spread)):
+        out = out[..., None] * _profile(n, c, s, integrated)
+    return out
+
+
+def spread_total(sigma: np.ndarray, spread: str = "gaussian") -> float:
+    """All light of a point of height 1."""
+    return float(np.prod([1 / math.erf(0.5 / (math.sqrt(2) * s)) if integrated else s * math.sqrt(2 * math.pi) for s, integrated in zip(sigma, _integrated_axes(len(sigma), spread))]))
+
+
+def gaussian_mask(a: np.ndarray, start: np.ndarray, sigma: np.ndarray, cut: int = 3, tolerance: float = 0.01, rounds: int = 20, spread: str = "gaussian") -> tuple[np.ndarray, float, bool]:
+    """(centre, integrated intensity, converged): the centroid under the mask of a point, to a fixed point."""
     grid = np.indices(a.shape).reshape(a.ndim, -1).T.astype(float)
     values = a.ravel().astype(float)
     centre = np.array(start, float)
     ok = False
     for _ in range(rounds):
         near = (np.abs(grid - centre) <= cut * sigma).all(1)
-        mask = np.exp(-0.5 * (((grid[near] - centre) / sigma) ** 2).sum(1))
+        mask = point_spread(a.shape, centre, sigma, spread).ravel()[near]
         total = (mask * values[near]).sum()
         if total <= 0:
             return centre, 0.0, False
@@ -149,9 +182,9 @@ def gaussian_mask(a: np.ndarray, start: np.ndarray, sigma: np.ndarray, cut: int
             ok = True
             break
     near = (np.abs(grid - centre) <= cut * sigma).all(1)
-    mask = np.exp(-0.5 * (((grid[near] - centre) / sigma) ** 2).sum(1))
+    mask = point_spread(a.shape, centre, sigma, spread).ravel()[near]
     amplitude = (mask * values[near]).sum() / (mask * mask).sum()
-    return centre, float(amplitude * np.prod(sigma * np.sqrt(2 * np.pi))), ok
+    return centre, float(amplitude * spread_total(sigma, spread)), ok
 
 
 def least_squares(residual, start: np.ndarray, lower: np.ndarray, upper: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, float]:
@@ -179,21 +212,19 @@ def least_squares(residual, start: np.ndarray, lower: np.ndarray, upper: np.ndar
     return p, cost
 
 
-def gaussian_fit(a: np.ndarray, start: np.ndarray, sigma: np.ndarray) -> dict:
-    """Axis-aligned Gaussian with background, of any dimension, by bounded least squares."""
-    grid = np.indices(a.shape).reshape(a.ndim, -1).astype(float)
+def gaussian_fit(a: np.ndarray, start: np.ndarray, sigma: np.ndarray, spread: str = "gaussian") -> dict:
+    """Axis-aligned point with background, of any dimension, by bounded least squares."""
     d, values = a.ndim, a.ravel().astype(float)
     lo, hi = values.min(), values.max()
 
     def residual(p: np.ndarray) -> np.ndarray:
-        z = (((grid - p[1 : 1 + d, None]) / p[1 + d : 1 + 2 * d, None]) ** 2).sum(0)
-        return p[0] * np.exp(-0.5 * z) + p[-1] - values
+        return p[0] * point_spread(a.shape, p[1 : 1 + d], p[1 + d : 1 + 2 * d], spread).ravel() + p[-1] - values
 
     first = np.concatenate([[hi - lo], start, sigma, [lo]])
     lower = np.concatenate([[0], -np.ones(d), 0.3 * np.ones(d), [lo - (hi - lo) - 1]])
     upper = np.concatenate([[3 * (hi - lo) + 1], np.array(a.shape), np.array(a.shape), [hi + 1]])
     p, cost = least_squares(residual, first, lower, upper)
-    return {"centre": p[1 : 1 + d], "sigma": p[1 + d : 1 + 2 * d], "background": p[-1], "integrated": float(p[0] * np.prod(p[1 + d : 1 + 2 * d] * np.sqrt(2 * np.pi))), "residual": cost}
+    return {"centre": p[1 : 1 + d], "sigma": p[1 + d : 1 + 2 * d], "background": p[-1], "integrated": float(p[0] * spread_total(p[1 + d : 1 + 2 * d], spread)), "residual": cost}
 
 
 def rotated_gaussian_volume(a: np.ndarray) -> tuple[float, float]:
@@ -356,6 +387,18 @@ def stitch_translation(a: np.ndarray, b: np.ndarray, peaks: int = 2) -> tuple[in
     return best
 
 
+def climbed_translation(a: np.ndarray, b: np.ndarray, dy: int, dx: int, steps: int = 64) -> tuple[int, int, float]:
+    """(dy, dx, correlation): from a start, always to the best of the eight places around, while one is better."""
+    here = overlap_correlation(a, b, dy, dx)
+    for _ in range(steps):
+        near = [(overlap_correlation(a, b, dy + p, dx + q), dy + p, dx + q) for p in (-1, 0, 1) for q in (-1, 0, 1) if p or q]
+        best = max(near)
+        if best[0] <= here:
+            break
+        here, dy, dx = best
+    return dy, dx, here
+
+
 def spanning_positions(n: int, edges: list[tuple[int, int, int, int, float]]) -> dict[int, tuple[int, int]]:
     """Tile positions along the maximum spanning tree of (i, j, dy, dx, correlation), least position (0, 0)."""
     parent = list(range(n))

@@ -23,16 +23,17 @@ def connected_components(edges: DataFrame, a: str = "src", b: str = "dst") -> Da
         labels = step.select("u", "c")
 
 
-def merged_labels(pixels: DataFrame) -> DataFrame:
-    """Labels of overlapping blocks made one: pixels (block, y, x, label) that meet in the overlap join their labels.
+def merged_labels(pixels: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """Labels of overlapping blocks made one: pixels (keys, block, y, x, label) that meet in the overlap join their labels.
 
-    Every label of a pixel is linked to the least one there; a pixel belongs to as many blocks as overlap in it.
+    Every label of a pixel is linked to the least one there; a pixel belongs to as many blocks as overlap
+    in it. Blocks of different images (keys) have different names.
     """
-    keyed = pixels.select("y", "x", F.concat_ws(":", "block", "label").alias("node"))
-    seen = keyed.groupBy("y", "x").agg(F.min("node").alias("a"), F.collect_set("node").alias("all"))
+    keyed = pixels.select(*keys, "y", "x", F.concat_ws(":", "block", "label").alias("node"))
+    seen = keyed.groupBy(*keys, "y", "x").agg(F.min("node").alias("a"), F.collect_set("node").alias("all"))
     links = seen.select(F.col("a").alias("src"), F.explode("all").alias("dst")).where("src <> dst").distinct()
-    out = seen.select("y", "x", F.col("a").alias("node")).join(connected_components(links), "node", "left")
-    return out.select("y", "x", F.coalesce("component", "node").alias("label"))
+    out = seen.select(*keys, "y", "x", F.col("a").alias("node")).join(connected_components(links), "node", "left")
+    return out.select(*keys, "y", "x", F.coalesce("component", "node").alias("label"))
 
 
 def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:

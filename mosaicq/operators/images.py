@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mosaicq.functions import kernels
+from mosaicq.operators.graph import merged_labels
+from mosaicq.operators.spatial import suppress_within, within
+from mosaicq.operators.stats import exact_quantile
 from mosaicq.sources.images import to_array
+from mosaicq.workspace import materialise
 
 _TILE = "height int, width int, pixels binary"
 
@@ -17,6 +21,11 @@ def _kinds(df: DataFrame, keys: list[str]) -> str:
     return ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
 
 
+def _column(value, n: int) -> np.ndarray:
+    """One value n times, texts as plain objects."""
+    return np.full(n, value, dtype=object if isinstance(value, str) else None)
+
+
 def _packed(image: np.ndarray) -> dict:
     out = np.clip(np.rint(image), 0, 65535).astype("<u2")
     return {"height": out.shape[0], "width": out.shape[1], "pixels": out.tobytes()}
@@ -115,6 +124,38 @@ def tile_translations(tiles: DataFrame, neighbours: DataFrame) -> DataFrame:
     return neighbours.join(a, "i").join(b, "j").select("i", "j", "height", "width", "p", "q").mapInPandas(run, "i int, j int, dy int, dx int, corr double")
 
 
+def repaired_translations(translations: DataFrame, least: float = 0.5, slack: int = 10) -> DataFrame:
+    """Translations (i, j, side, line, dy, dx, corr) whose weak or odd ones take the median of their line, else of their side.
+
+    side tells neighbours beside from those below, line the row or column of tiles; a translation is valid
+    with a correlation of at least least and at most slack pixels from the median of its side.
+    """
+    strong = translations.where(F.col("corr") >= least)
+    mid = {c: exact_quantile(strong, c, 0.5, ["side"]).withColumnRenamed("value", f"m_{c}") for c in ("dy", "dx")}
+    told = translations.join(mid["dy"], "side", "left").join(mid["dx"], "side", "left")
+    valid = (F.col("corr") >= least) & (F.abs(F.col("dy") - F.col("m_dy")) <= slack) & (F.abs(F.col("dx") - F.col("m_dx")) <= slack)
+    told = materialise(told.withColumn("valid", F.coalesce(valid, F.lit(False))), "translations")
+    for c in ("dy", "dx"):
+        of_line = exact_quantile(told.where("valid"), c, 0.5, ["side", "line"]).withColumnRenamed("value", f"l_{c}")
+        told = told.join(of_line, ["side", "line"], "left")
+    fixed = {c: F.when(F.col("valid"), F.col(c)).otherwise(F.coalesce(F.rint(f"l_{c}"), F.rint(f"m_{c}"), F.col(c)).cast("int")) for c in ("dy", "dx")}
+    return told.select("i", "j", "side", "line", fixed["dy"].alias("dy"), fixed["dx"].alias("dx"), "corr", "valid")
+
+
+def climbed_translations(tiles: DataFrame, translations: DataFrame) -> DataFrame:
+    """(i, j, dy, dx, corr): every translation moved uphill on the correlation of its two tiles."""
+    a = tiles.select(F.col("tile").alias("i"), "height", "width", F.col("pixels").alias("p"))
+    b = tiles.select(F.col("tile").alias("j"), F.col("pixels").alias("q"))
+
+    def run(batches):
+        for frame in batches:
+            rows = [(r.i, r.j, *kernels.climbed_translation(to_array(r.p, r.height, r.width).astype(float), to_array(r.q, r.height, r.width).astype(float), int(r.dy), int(r.dx))) for r in frame.itertuples(index=False)]
+            yield pd.DataFrame(rows, columns=["i", "j", "dy", "dx", "corr"])
+
+    joined = translations.select("i", "j", "dy", "dx").join(a, "i").join(b, "j")
+    return joined.mapInPandas(run, "i int, j int, dy int, dx int, corr double")
+
+
 def tile_positions(translations: DataFrame) -> DataFrame:
     """(tile, y0, x0) along the maximum spanning tree; a mosaic has a bounded number of tiles."""
     edges = [tuple(r) for r in translations.select("i", "j", "dy", "dx", "corr").orderBy("i", "j").collect()]
@@ -135,38 +176,222 @@ def spots_of(images: DataFrame, keys: list[str], threshold: float = 0.0, times_m
                 limit = min(threshold, times_mean * t.mean()) if threshold else times_mean * t.mean()
                 at = kernels.local_peaks(t, limit, distance)
                 snr = kernels.signal_to_noise(a)
-                yield pd.DataFrame({**{k: [getattr(r, k)] * len(at) for k in keys}, "y": at[:, 0].astype(np.int32), "x": at[:, 1].astype(np.int32), "value": t[tuple(at.T)], "snr": snr[tuple(at.T)]})
+                yield pd.DataFrame({**{k: _column(getattr(r, k), len(at)) for k in keys}, "y": at[:, 0].astype(np.int32), "x": at[:, 1].astype(np.int32), "value": t[tuple(at.T)], "snr": snr[tuple(at.T)]})
 
     return images.select(*keys, "height", "width", "pixels").mapInPandas(run, f"{_kinds(images, keys)}, y int, x int, value double, snr double")
 
 
-def localised(images: DataFrame, keys: list[str], sigma: float = 1.5, level: float = 3.0, units: str = "SD", method: str = "mask", background: str = "plane", most: int = 1_000_000) -> DataFrame:
-    """Sub-pixel spots: band pass, isolated maxima, background removed, Gaussian mask or fit; positive ones only."""
-    radius = int(np.ceil(3 * sigma)) + 2
+#: Fit methods by the names of their users: whether they work in space, and how.
+METHODS = {
+    "3DMaskFull": (True, "mask"), "3DGaussianFit": (True, "fit"), "2DMaskOnLocalMaxProj": (True, "projection"),
+    "2DGaussianMask": (False, "mask"), "2DGaussianFit": (False, "fit"), "mask": (False, "mask"), "fit": (False, "fit"),
+}
+BACKGROUNDS = {"localPlane": "plane", "localMedian": "median", "globalMedian": "global", "plane": "plane", "median": "median", "global": "global"}
+
+
+def _candidates(a: np.ndarray, sigma: np.ndarray, level: float, units: str, most: int | None) -> np.ndarray:
+    smooth = kernels.gaussian(a, tuple(sigma)) - kernels.gaussian(a, tuple(2 * sigma))
+    return kernels.isolated_maxima(smooth, kernels.detection_threshold(a, smooth, level, units), most)
+
+
+def _fitted(a: np.ndarray, at: np.ndarray, sigma: np.ndarray, how: str, background: str, spread: str) -> tuple | None:
+    """(centre, integrated intensity, residual) of the spot at a pixel; None if there is none."""
+    middle = np.median(a) if background == "global" else None
+    reach = np.ceil(3 * sigma).astype(int) + 2
+    lo = np.maximum(at - reach, 0)
+    crop, at = a[tuple(slice(p, q) for p, q in zip(lo, at + reach + 1))], at - lo
+    inside = (np.abs(np.indices(crop.shape) - at.reshape(-1, *(1,) * crop.ndim)) <= np.ceil(2 * sigma).reshape(-1, *(1,) * crop.ndim)).all(0)
+    if background == "global":
+        flat = crop - middle
+    elif background == "plane" and (~inside).sum() > crop.ndim + 1:
+        flat = kernels.plane_background(crop, inside)
+    else:
+        flat = kernels.median_background(crop, inside if (~inside).any() else None)
+    if how == "fit":
+        fit = kernels.gaussian_fit(flat, at, sigma, spread)
+        centre, total, residual, ok = fit["centre"], fit["integrated"], fit["residual"], True
+    else:
+        if how == "projection":
+            flat = kernels.max_projection(flat, int(at[0]), int(np.ceil(2 * sigma[0])))
+            centre, total, ok = kernels.gaussian_mask(flat, at[1:], sigma[1:], spread=spread)
+            centre = np.concatenate([at[:1], centre])
+        else:
+            centre, total, ok = kernels.gaussian_mask(flat, at, sigma, spread=spread)
+        d = flat.ndim
+        model = total / kernels.spread_total(sigma[-d:], spread) * kernels.point_spread(flat.shape, centre[-d:], sigma[-d:], spread)
+        residual = float(((flat - model) ** 2).sum()) if ok else 0.0
+    return (lo + centre, total, residual) if ok and total > 0 else None
+
+
+def _stacks(images: DataFrame, keys: list[str], f, schema: str) -> DataFrame:
+    """f(array, keys' values) for every image, or for every stack if there is a column z (a stack is one task's memory)."""
+    if "z" not in images.columns:
+        return _planes(images.select(*keys, "height", "width", "pixels"), keys, f, schema)
+
+    def stacked(frame: pd.DataFrame) -> pd.DataFrame:
+        rows = frame.sort_values("z")
+        return f(np.array([to_array(*r) for r in zip(rows["pixels"], rows["height"], rows["width"])], float), [frame[k].iloc[0] for k in keys])
+
+    return images.select(*keys, "z", "height", "width", "pixels").groupBy(*keys).applyInPandas(stacked, schema)
+
+
+def _widths(solid: bool, sigma: float, sigma_z: float | None) -> np.ndarray:
+    return np.array([sigma if sigma_z is None else sigma_z, sigma, sigma] if solid else [sigma, sigma], float)
+
+
+def spot_candidates(images: DataFrame, keys: list[str], sigma: float = 1.5, sigma_z: float | None = None, level: float = 3.0, units: str = "SD", most: int | None = None) -> DataFrame:
+    """(keys, z of stacks, y, x) of the isolated maxima above the threshold; most keeps the brightest of an image, by default all."""
+    solid = "z" in images.columns
+    dims = ["z", "y", "x"] if solid else ["y", "x"]
+
+    def run(a: np.ndarray, values: list) -> pd.DataFrame:
+        at = _candidates(a, _widths(solid, sigma, sigma_z), level, units, most)
+        return pd.DataFrame({**{k: _column(v, len(at)) for k, v in zip(keys, values)}, **{d: at[:, i].astype(np.int32) for i, d in enumerate(dims)}})
+
+    return _stacks(images, keys, run, _kinds(images, keys) + "".join(f", {d} int" for d in dims))
+
+
+def localised(images: DataFrame, keys: list[str], sigma: float = 1.5, level: float = 3.0, units: str = "SD", method: str = "mask", background: str = "plane", most: int | None = None, sigma_z: float | None = None, spread: str = "gaussian", candidates: DataFrame | None = None, shared: list[str] = ()) -> DataFrame:
+    """Sub-pixel spots of images, or of stacks (a column z): maxima of the band pass, background removed, mask or fit; positive ones only.
+
+    method is one of METHODS, background one of BACKGROUNDS, spread one of kernels.SPREADS. Methods of the
+    plane take each plane of a stack by itself if z is among the keys. candidates (shared, [z,] y, x) replace
+    the maxima: those of the same shared keys, for every channel, say. An image's candidates travel as one list.
+    """
+    solid, how = METHODS[method]
+    dims = ["z", "y", "x"] if solid else ["y", "x"]
+    ground, widths = BACKGROUNDS[background], _widths(solid, sigma, sigma_z)
+    if solid and "z" not in images.columns:
+        raise ValueError(f"{method} needs stacks: planes with a column z")
+    names = ["x_in_pix", "y_in_pix", *(["z_in_pix"] if solid else []), "integratedIntensity", "residuals"]
+    schema = _kinds(images, keys) + "".join(f", {c} double" for c in names)
+
+    def run(a: np.ndarray, values: list, places=None) -> pd.DataFrame:
+        at = _candidates(a, widths, level, units, most) if places is None else places
+        found = [_fitted(a, np.array(p), widths, how, ground, spread) for p in at]
+        return pd.DataFrame([(*values, *map(float, c[::-1]), float(total), float(rest)) for c, total, rest in filter(None, found)], columns=[*keys, *names])
+
+    planes = images if solid else images.select(*keys, "height", "width", "pixels")
+    if candidates is None:
+        return _stacks(planes, keys, run, schema) if solid else _planes(planes, keys, run, schema)
+    lists = candidates.groupBy(*shared).agg(F.sort_array(F.collect_list(F.struct(*dims))).alias("places"))
+    joined = planes.join(lists, list(shared))
+
+    def listed(frame: pd.DataFrame) -> pd.DataFrame:
+        rows = frame.sort_values("z") if solid else frame
+        a = np.array([to_array(*r) for r in zip(rows["pixels"], rows["height"], rows["width"])], float)
+        places = [tuple(p[d] for d in dims) for p in rows["places"].iloc[0]]
+        return run(a if solid else a[0], [frame[k].iloc[0] for k in keys], places)
+
+    return joined.groupBy(*keys).applyInPandas(listed, schema)
+
+
+def _planes(images: DataFrame, keys: list[str], f, schema: str) -> DataFrame:
+    """f(array, keys' values) for every row."""
 
     def run(batches):
+        for frame in batches:
+            for r in frame.itertuples(index=False):
+                yield f(to_array(r.pixels, r.height, r.width).astype(float), [getattr(r, k) for k in keys])
+
+    return images.mapInPandas(run, schema)
+
+
+def blocks(strips: DataFrame, keys: list[str], height: int, width: int, side: int, halo: int) -> DataFrame:
+    """(keys, tile_y, tile_x, top, left, height, width, pixels): squares of the side with a halo, cut at the image's edge.
+
+    strips (keys, row0, height, width, pixels) are whole rows of an image from row0 on; an image of any
+    size is as many strips as its rows of bytes allow. Strips are cut where they are, a task joins one block.
+    """
+    ny, nx = -(-height // side), -(-width // side)
+
+    def cut(batches):
+        for frame in batches:
+            rows = []
+            for r in frame.itertuples(index=False):
+                a = to_array(r.pixels, r.height, r.width)
+                for ty in range(max(0, (r.row0 - halo) // side), min(ny - 1, (r.row0 + r.height - 1 + halo) // side) + 1):
+                    top, end = max(ty * side - halo, r.row0, 0), min((ty + 1) * side + halo, r.row0 + r.height, height)
+                    for tx in range(nx):
+                        left, right = max(tx * side - halo, 0), min((tx + 1) * side + halo, width)
+                        if top < end:
+                            rows.append({**{k: getattr(r, k) for k in keys}, "tile_y": ty, "tile_x": tx, "top": top, "left": left, **_packed(a[top - r.row0 : end - r.row0, left:right])})
+            yield pd.DataFrame(rows, columns=[*keys, "tile_y", "tile_x", "top", "left", "height", "width", "pixels"])
+
+    def joined(frame: pd.DataFrame) -> pd.DataFrame:
+        rows = frame.sort_values("top")
+        a = np.concatenate([to_array(*r) for r in zip(rows["pixels"], rows["height"], rows["width"])])
+        return pd.DataFrame([{**{k: rows[k].iloc[0] for k in [*keys, "tile_y", "tile_x", "top", "left"]}, **_packed(a)}])
+
+    schema = f"{_kinds(strips, keys)}, tile_y int, tile_x int, top int, left int, {_TILE}"
+    pieces = strips.select(*keys, "row0", "height", "width", "pixels").mapInPandas(cut, schema)
+    return pieces.groupBy(*keys, "tile_y", "tile_x").applyInPandas(joined, schema)
+
+
+def tiled_spots(strips: DataFrame, keys: list[str], height: int, width: int, side: int = 2048, threshold: float = 0.0, times_mean: float = 8.0, hat: int = 7, distance: int = 2) -> DataFrame:
+    """spots_of for images of any size: the same spots however the image is cut.
+
+    Blocks overlap by what the filters reach, the threshold comes from the whole image's mean (a first pass
+    over the blocks), and a spot belongs to the block whose core holds it.
+    """
+    halo = max(2 * (hat // 2) + distance, 5)
+    cells = materialise(blocks(strips, keys, height, width, side, halo), "image-blocks")
+
+    def core(r, a: np.ndarray) -> tuple[slice, slice]:
+        y, x = r.tile_y * side - r.top, r.tile_x * side - r.left
+        return slice(y, y + side), slice(x, x + side)
+
+    def sums(batches):
+        for frame in batches:
+            rows = []
+            for r in frame.itertuples(index=False):
+                t = kernels.top_hat(to_array(r.pixels, r.height, r.width).astype(float), (hat, hat))
+                rows.append((*(getattr(r, k) for k in keys), float(t[core(r, t)].sum())))
+            yield pd.DataFrame(rows, columns=[*keys, "total"])
+
+    total = cells.mapInPandas(sums, f"{_kinds(strips, keys)}, total double").groupBy(*keys).agg((F.sum("total") / (height * width) * times_mean).alias("limit"))
+    total = total.withColumn("limit", F.least("limit", F.lit(float(threshold)))) if threshold else total
+
+    def peaks(batches):
         for frame in batches:
             for r in frame.itertuples(index=False):
                 a = to_array(r.pixels, r.height, r.width).astype(float)
-                smooth = kernels.band_pass(a, sigma, 2 * sigma)
-                rows = []
-                for y, x in kernels.isolated_maxima(smooth, kernels.detection_threshold(a, smooth, level, units), most):
-                    lo = np.maximum([y - radius, x - radius], 0)
-                    crop = a[lo[0] : y + radius + 1, lo[1] : x + radius + 1]
-                    at = np.array([y, x]) - lo
-                    inside = (np.abs(np.indices(crop.shape) - at[:, None, None]) <= np.ceil(2 * sigma)).all(0)
-                    flat = kernels.plane_background(crop, inside) if background == "plane" and (~inside).sum() > 3 else kernels.median_background(crop, inside if (~inside).any() else None)
-                    if method == "mask":
-                        centre, total, ok = kernels.gaussian_mask(flat, at, np.array([sigma, sigma]))
-                        residual = 0.0
-                    else:
-                        fit = kernels.gaussian_fit(flat, at, np.array([sigma, sigma]))
-                        centre, total, residual, ok = fit["centre"], fit["integrated"], fit["residual"], True
-                    if ok and total > 0:
-                        rows.append((float(lo[1] + centre[1]), float(lo[0] + centre[0]), total, residual))
-                yield pd.DataFrame([(*(getattr(r, k) for k in keys), *row) for row in rows], columns=[*keys, "x_in_pix", "y_in_pix", "integratedIntensity", "residuals"])
-
-    return images.select(*keys, "height", "width", "pixels").mapInPandas(run, f"{_kinds(images, keys)}, x_in_pix double, y_in_pix double, integratedIntensity double, residuals double")
+                t = kernels.top_hat(a, (hat, hat))
+                at = kernels.local_peaks(t, r.limit, distance)
+                ys, xs = core(r, t)
+                at = at[(at[:, 0] >= ys.start) & (at[:, 0] < ys.stop) & (at[:, 1] >= xs.start) & (at[:, 1] < xs.stop)]
+                snr = kernels.signal_to_noise(a)
+                yield pd.DataFrame({**{k: _column(getattr(r, k), len(at)) for k in keys}, "y": (at[:, 0] + r.top).astype(np.int32), "x": (at[:, 1] + r.left).astype(np.int32), "value": t[tuple(at.T)], "snr": snr[tuple(at.T)]})
+
+    return cells.join(total, keys).mapInPandas(peaks, f"{_kinds(strips, keys)}, y int, x int, value double, snr double")
+
+
+def signal_table(spots: DataFrame, channels: list[str], reach: int = 2, radius: float = 2.0) -> DataFrame:
+    """(id, y, x, every channel, sum) from spots (channel, y, x, value): one row a place, the brightest within the radius.
+
+    A channel's value is its largest spot at most reach pixels away in either direction, else 0.
+    """
+    at = spots.select("y", "x").distinct().withColumn("id", F.col("y").cast("long") * 10_000_000 + F.col("x"))
+    near = within(at, spots.select("channel", "y", "x", "value"), ["y", "x"], reach * 1.4142136 + 1e-6)
+    square = (F.abs(F.col("l.y") - F.col("r.y")) <= reach) & (F.abs(F.col("l.x") - F.col("r.x")) <= reach)
+    wide = near.where(square).groupBy(F.col("l.id").alias("id"), F.col("l.y").alias("y"), F.col("l.x").alias("x")).pivot("r.channel", channels).agg(F.max("r.value")).na.fill(0.0)
+    return suppress_within(wide.withColumn("sum", sum((F.col(f"`{c}`") for c in channels[1:]), F.col(f"`{channels[0]}`"))), radius)
+
+
+def segmented_blocks(strips: DataFrame, keys: list[str], height: int, width: int, side: int = 2048, halo: int = 128, block: int = 51, min_area: int = 20) -> DataFrame:
+    """(keys, y, x, label) of the cells of images of any size: blocks are segmented, labels that meet in a halo are one."""
+    cells = blocks(strips, keys, height, width, side, halo)
+
+    def run(batches):
+        for frame in batches:
+            for r in frame.itertuples(index=False):
+                labels = kernels.watershed(to_array(r.pixels, r.height, r.width).astype(float), block, min_area)
+                at = np.argwhere(labels > 0)
+                image = "/".join(str(getattr(r, k)) for k in keys)
+                yield pd.DataFrame({"image": _column(image, len(at)), **{k: _column(getattr(r, k), len(at)) for k in keys}, "block": _column(f"{image}:{r.tile_y}:{r.tile_x}", len(at)), "y": (at[:, 0] + r.top).astype(np.int32), "x": (at[:, 1] + r.left).astype(np.int32), "label": labels[tuple(at.T)].astype(np.int32)})
+
+    found = materialise(cells.mapInPandas(run, f"image string, {_kinds(strips, keys)}, block string, y int, x int, label int"), "image-labels")
+    return merged_labels(found, keys)
 
 
 def segmented(images: DataFrame, keys: list[str], block: int = 51, min_area: int = 20) -> DataFrame:
@@ -177,7 +402,7 @@ def segmented(images: DataFrame, keys: list[str], block: int = 51, min_area: int
             for r in frame.itertuples(index=False):
                 labels = kernels.watershed(to_array(r.pixels, r.height, r.width).astype(float), block, min_area)
                 at = np.argwhere(labels > 0)
-                yield pd.DataFrame({**{k: [getattr(r, k)] * len(at) for k in keys}, "y": at[:, 0].astype(np.int32), "x": at[:, 1].astype(np.int32), "label": labels[tuple(at.T)].astype(np.int32)})
+                yield pd.DataFrame({**{k: _column(getattr(r, k), len(at)) for k in keys}, "y": at[:, 0].astype(np.int32), "x": at[:, 1].astype(np.int32), "label": labels[tuple(at.T)].astype(np.int32)})
 
     return images.select(*keys, "height", "width", "pixels").mapInPandas(run, f"{_kinds(images, keys)}, y int, x int, label int")
 

@@ -49,6 +49,11 @@ def _within(left: DataFrame, right: DataFrame, dims: list[str], r: float, strict
     return a.join(b, keys).where(near).select("l", "r", d2.alias("d2"))
 
 
+def within(left: DataFrame, right: DataFrame, dims: list[str], r: float) -> DataFrame:
+    """Rows (l, r structs, d2) of all pairs of a left and a right row at most r apart."""
+    return _within(left, right, dims, r, False, [])
+
+
 def nearest_within(points: DataFrame, targets: DataFrame, radius: float, dims=("y", "x"), id_col: str = "id", target_id: str = "cell_id", keep: bool = False) -> DataFrame:
     """For each point the nearest target nearer than the radius (ties: lowest id); others dropped or null."""
     pairs = _within(points, targets, list(dims), radius, True, [])
