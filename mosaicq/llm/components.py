@@ -1,9 +1,9 @@
 """Connected components by alternating large-star and small-star rounds, on DataFrames alone.
 
-A hub's neighbours are never gathered: a round is a minimum per node (combined before the shuffle)
-joined back to the edges, so rows never outnumber edges. The nodes of very many edges, a number of them
-with a proven bound, are joined where the edges are; the others by a shuffle. Each round is written to
-the shared folder, which cuts the lineage and survives lost executors.
+A hub's neighbours are never gathered: a round is a minimum per node (combined before the shuffle and
+written), joined back to the edges, so rows never outnumber edges and adaptive execution can split the
+hub, as both sides of the join are plain shuffles. Each round is written to the shared folder, which cuts
+the lineage and survives lost executors.
 """
 
 from __future__ import annotations
@@ -38,25 +38,25 @@ def with_each(rows: DataFrame, key: str, each: DataFrame, n_rows: int, count_col
     return here.unionByName(rest.join(light, F.col(key) == F.col("_k")).select(*rows.columns, *names))
 
 
-def _least(edges: DataFrame, n_edges: int) -> DataFrame:
+def _least(edges: DataFrame) -> DataFrame:
     """(u, v, least): edges with the least node among u and its neighbours in the table."""
-    low = edges.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("n")).select("u", F.least("u", "low").alias("least"), "n")
-    return with_each(edges, "u", low, n_edges)
+    low = edges.groupBy("u").agg(F.min("v").alias("low")).select(F.col("u").alias("k"), F.least("u", "low").alias("least"))
+    return edges.join(materialise(low, "components-least"), F.col("u") == F.col("k")).select("u", "v", "least")
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node of links, the component being its least node."""
     pair = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     edges = materialise(pair, "components")
-    mark, n = None, edges.count()
+    mark = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _least(both, 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).where("u <> v").distinct()
-        seen = _least(large, n)
+        large = _least(both).where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).where("u <> v").distinct()
+        seen = _least(large)
         small = seen.select(F.col("v").alias("u"), F.col("least").alias("v")).unionByName(seen.select("u", F.col("least").alias("v"))).where("u <> v").distinct()
         edges = materialise(small, "components")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break
-        mark, n = now, now[0]
+        mark = now
     return edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component").unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

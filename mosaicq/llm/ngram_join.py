@@ -50,7 +50,7 @@ FREQUENT = 1 << 19
 #: Longs of a set's sketch: the parity of its n-grams in each of so many times 64 cells.
 SKETCH = 32
 #: Bits of the filter of row ids whose sets are needed whole: so many an id, within these bounds.
-BITS_PER_ID, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 30
+BITS_PER_ID, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 28
 #: Sizes of a class are within this ratio.
 CLASS_RATIO = 1.02
 WORD_CACHE = 300_000

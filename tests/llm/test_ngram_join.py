@@ -100,7 +100,7 @@ def test_passages_in_texts_of_many_sizes(spark):
 
 
 def test_heavy_keys_and_long_texts(spark, monkeypatch):
-    monkeypatch.setattr(components, "HEAVY_ROWS", 4)
+    monkeypatch.setattr(components, "HEAVY_ROWS", 4)  # of the copies of a set
     rng = random.Random(22)
     base = [f"w{rng.randrange(9000)}" for _ in range(40_000)]
     rows = ["same text of a few words here"] * 30 + ["other text"] * 3 + [" ".join(base), " ".join(edited(rng, base, 0.01)), " ".join(edited(rng, base, 0.2))]
