@@ -283,6 +283,12 @@ def fused_focus(stack: np.ndarray, window: int = 9, alpha: float = 0.2) -> np.nd
     return (weight * stack).sum(0) / weight.sum(0)
 
 
+def sharpest(stack: np.ndarray, sigma: float = 1.0) -> np.ndarray:
+    """Each pixel from the plane that bends most there."""
+    bend = np.array([np.abs(laplacian_of_gaussian(p.astype(float), sigma)) for p in stack])
+    return np.take_along_axis(stack, bend.argmax(0)[None], 0)[0].astype(float)
+
+
 def illumination_model(stack: np.ndarray, low: float = 5, smooth: float = 20) -> tuple[np.ndarray, np.ndarray]:
     """(gain v, offset z) of each pixel over many images: robust regression on their sorted intensities."""
     order = np.sort(stack.astype(float), axis=0)

@@ -42,6 +42,12 @@ def qc_filter(expr: DataFrame, min_genes: int = 0, min_counts: int = 0, max_coun
     return left.join(genes, "gene", "left_semi")
 
 
+def rich_cells(expr: DataFrame, genes: list, least: int) -> DataFrame:
+    """Rows of the cells whose counts of the listed genes add up to at least so many."""
+    ok = expr.where(F.col("gene").isin(*genes)).groupBy("cell_id").agg(F.sum("cnt").alias("n")).where(F.col("n") >= least)
+    return expr.join(ok, "cell_id", "left_semi")
+
+
 def complete(expr: DataFrame) -> DataFrame:
     """All (cell, gene) combinations with zeros: the dense matrix in long form."""
     grid = expr.select("cell_id").distinct().crossJoin(broadcast_if_few(expr.select("gene").distinct()))

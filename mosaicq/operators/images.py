@@ -31,14 +31,18 @@ def _packed(image: np.ndarray) -> dict:
     return {"height": out.shape[0], "width": out.shape[1], "pixels": out.tobytes()}
 
 
-def focus_stacked(planes: DataFrame, keys=("cycle", "tile", "channel")) -> DataFrame:
-    """One all-in-focus image a stack (a stack's planes are one task's memory, as one stack must be)."""
-    keys = list(keys)
+#: Ways to one image of a stack: weighted by sharpness, by the sharpest plane, the largest value, the mean.
+FOCUS = {"fused": kernels.fused_focus, "sharpest": kernels.sharpest, "max": lambda stack: stack.max(0), "mean": lambda stack: stack.mean(0)}
+
+
+def focus_stacked(planes: DataFrame, keys=("cycle", "tile", "channel"), mode: str = "fused") -> DataFrame:
+    """One all-in-focus image a stack (a stack's planes are one task's memory, as one stack must be); mode is one of FOCUS."""
+    keys, merge = list(keys), FOCUS[mode]
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         rows = frame.sort_values("z")
         stack = np.array([to_array(*r) for r in zip(rows["pixels"], rows["height"], rows["width"])])
-        return pd.DataFrame([{**{k: frame[k].iloc[0] for k in keys}, **_packed(kernels.fused_focus(stack))}])
+        return pd.DataFrame([{**{k: frame[k].iloc[0] for k in keys}, **_packed(merge(stack))}])
 
     return planes.groupBy(*keys).applyInPandas(run, f"{_kinds(planes, keys)}, {_TILE}")
 

@@ -326,6 +326,18 @@ def morans_i(edges: DataFrame, values: DataFrame) -> DataFrame:
     return both.select(*keys, (F.col("n") / F.col("w") * F.col("c") / F.col("zz")).alias("morans_i"))
 
 
+def relative_to(points: DataFrame, origins: DataFrame, key: str) -> DataFrame:
+    """Coordinates counted from the origin (key, y0, x0) of each point's crop."""
+    return points.join(origins, key).withColumns({"y": F.col("y") - F.col("y0"), "x": F.col("x") - F.col("x0")}).drop("y0", "x0")
+
+
+def diagonal_profiles(points: DataFrame, pixels: DataFrame, half: int) -> DataFrame:
+    """(id, step, value): the pixels (y, x, value) on the diagonal through each point, half to either side; outside null."""
+    steps = points.select("id", "y", "x", F.explode(F.sequence(F.lit(-half), F.lit(half))).alias("step"))
+    at = steps.select("id", "step", (F.col("y") + F.col("step")).alias("y"), (F.col("x") + F.col("step")).alias("x"))
+    return at.join(pixels, ["y", "x"], "left").select("id", "step", "value")
+
+
 def shifted_by_tile(points: DataFrame, positions: DataFrame) -> DataFrame:
     """Tile coordinates to mosaic coordinates (positions: tile, y0, x0)."""
     out = points.join(positions, "tile")

@@ -176,6 +176,34 @@ def correlation_matrix(long: DataFrame, row: str, col: str, value: str) -> DataF
     return out.withColumn("r", F.when(F.col("a") != F.col("b"), F.col("r")))
 
 
+def cluster_correlation(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(a, b, r): Pearson correlation over their common genes of the clusters of two tables (cluster, gene, mean)."""
+    left = a.select(F.col("cluster").alias("a"), "gene", F.col("mean").alias("x"))
+    right = b.select(F.col("cluster").alias("b"), "gene", F.col("mean").alias("y"))
+    return left.join(right, "gene").groupBy("a", "b").agg(F.corr("x", "y").alias("r"))
+
+
+def block_density(df: DataFrame, y: str, x: str, side: int) -> DataFrame:
+    """df with density: rows in the block of each row, by which a drawing is ordered."""
+    keyed = df.withColumns({"_by": F.floor(F.col(y) / side), "_bx": F.floor(F.col(x) / side)})
+    n = keyed.groupBy("_by", "_bx").agg(F.count("*").alias("density"))
+    return keyed.join(n, ["_by", "_bx"]).drop("_by", "_bx")
+
+
+def layers_by_valleys(df: DataFrame, col: str, bins: int, order: int = 1) -> DataFrame:
+    """df with layer: how many valleys of the column's histogram lie at or below the row's bin.
+
+    The histogram and its valleys are as many rows as bins; the rows only look up their bin.
+    """
+    ends = df.agg(F.min(col).cast("double").alias("_lo"), F.max(col).cast("double").alias("_hi"))
+    told = df.crossJoin(F.broadcast(ends)).withColumn("_bin", bin_of(F.col(col), F.col("_lo"), F.col("_hi"), bins)).drop("_lo", "_hi")
+    counts = told.where("_bin is not null").groupBy(F.col("_bin").alias("bin")).agg(F.count("*").alias("n"))
+    curve = df.sparkSession.range(bins).withColumnRenamed("id", "bin").join(counts, "bin", "left").na.fill(0, ["n"])
+    valleys = local_extrema(curve, "bin", "n", order).select("bin", F.lit(1).alias("v"))
+    layer = curve.join(valleys, "bin", "left").select(F.col("bin").alias("_b"), F.coalesce(F.sum("v").over(Window.orderBy("bin")), F.lit(0)).cast("int").alias("layer"))
+    return told.join(F.broadcast(layer), F.col("_bin") == F.col("_b"), "left").drop("_bin", "_b")
+
+
 def average_ranks(long: DataFrame, by: str, value: str) -> DataFrame:
     """Ranks with ties averaged, as column rank."""
     least = F.rank().over(Window.partitionBy(by).orderBy(value))

@@ -5,12 +5,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mosaicq.workspace import materialise
+
 
 def keep_first(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
     """One row of each key, the first by an explicit order."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 
 
+def with_row_ids(df: DataFrame, order: list[str], name: str = "row_id") -> DataFrame:
+    """Dense ids 0, 1, ... in an explicit order: rows are dealt out by range, only the parts' counts are summed in one task."""
+    parts = materialise(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "row-ids")
+    counts = parts.groupBy("_p").agg(F.count("*").alias("_c"))
+    before = counts.withColumn("_o", F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).drop("_c")
+    own = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
+    return parts.withColumn("_r", own).join(before, "_p").withColumn(name, (F.col("_o") + F.col("_r")).cast("long")).drop("_p", "_o", "_r")
+
+
+def looked_up(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """left with the columns of right, which has one row a key; a key that right lacks raises an error."""
+    found = left.join(right.withColumn("_found", F.lit(True)), key, "left")
+    missing = F.raise_error(F.concat(F.lit(f"no row for {key} "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    return found.where(F.when(F.col("_found"), True).otherwise(missing)).drop("_found")
+
+
+def side_by_side(frames: list[DataFrame], key: str, fill=0) -> DataFrame:
+    """Tables joined by their key, one beside the other; what a table lacks is filled."""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.join(f, key, "full")
+    return out.select(key, *[F.coalesce(F.col(c), F.lit(fill)).alias(c) for c in out.columns if c != key])
+
+
 def top(df: DataFrame, k: int, order: list[Column]) -> DataFrame:
     return df.orderBy(*order).limit(k)
 
@@ -104,6 +130,31 @@ def depth_of_stacks(files: DataFrame) -> DataFrame:
     return out.withColumn("max_depth", F.max("depth").over(Window.partitionBy(F.lit(0))))
 
 
+def padded_stacks(planes: DataFrame, keys: list[str] = ("cycle", "tile", "channel")) -> DataFrame:
+    """Stacks of equal depth: shallower ones begin with blank planes (null pixels), their own moved back."""
+    depth = planes.groupBy(*keys).agg((F.max("z") + 1).alias("_d"))
+    depth = depth.crossJoin(F.broadcast(depth.agg(F.max("_d").alias("_m")))).withColumn("_pad", F.col("_m") - F.col("_d"))
+    moved = planes.join(depth.select(*keys, "_pad"), list(keys)).withColumn("z", (F.col("z") + F.col("_pad")).cast("int")).drop("_pad")
+    blank = depth.where("_pad > 0").select(*keys, F.explode(F.sequence(F.lit(0), (F.col("_pad") - 1).cast("int"))).alias("z"))
+    return moved.unionByName(blank, allowMissingColumns=True)
+
+
+def pasted(pixels: DataFrame, positions: DataFrame, height: int, width: int, tile_height: int, tile_width: int, bleed: int = 20) -> DataFrame:
+    """(y, x, value) of a mosaic of tiles laid over each other, the later one on top.
+
+    pixels: tile, y, x, value; positions: tile, y0, x0, grid_r, grid_c. A tile loses its outer bleed pixels
+    towards the inside of the grid, and what lies beyond the mosaic's border.
+    """
+    ends = positions.agg(F.min("grid_r").alias("r0"), F.max("grid_r").alias("r1"), F.min("grid_c").alias("c0"), F.max("grid_c").alias("c1"))
+    at = positions.crossJoin(F.broadcast(ends))
+    low = {"y": F.when(F.col("grid_r") > F.col("r0"), bleed).otherwise(0), "x": F.when(F.col("grid_c") > F.col("c0"), bleed).otherwise(0)}
+    high = {"y": F.when(F.col("grid_r") < F.col("r1"), tile_height - bleed).otherwise(tile_height), "x": F.when(F.col("grid_c") < F.col("c1"), tile_width - bleed).otherwise(tile_width)}
+    at = at.select("tile", "y0", "x0", "grid_r", "grid_c", *[e.alias(f"{n}_{d}") for n, ends in (("low", low), ("high", high)) for d, e in ends.items()])
+    inside = (F.col("y") >= F.col("low_y")) & (F.col("y") < F.col("high_y")) & (F.col("x") >= F.col("low_x")) & (F.col("x") < F.col("high_x"))
+    laid = pixels.join(at, "tile").where(inside).select((F.col("y") + F.col("y0")).alias("y"), (F.col("x") + F.col("x0")).alias("x"), "value", F.struct("grid_r", "grid_c", "tile").alias("order"))
+    return laid.where(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1)).groupBy("y", "x").agg(F.max_by("value", "order").alias("value"))
+
+
 def odd_cycles(cycles: DataFrame, with_zero: bool = False) -> DataFrame:
     return cycles.where((F.col("cycle") % 2 == 1) | ((F.col("cycle") == 0) & F.lit(with_zero)))
 

@@ -103,7 +103,7 @@ def parsed_positions(lines: DataFrame, line: str = "line") -> DataFrame:
 def offsets_long(wide: DataFrame, cycle: str = "cycle") -> DataFrame:
     """cycle, file, dy, dx of a wide table whose cells are 'dy dx', blanks irregular."""
     files = [c for c in wide.columns if c != cycle]
-    long = wide.unpivot([cycle], files, "file", "cell").where("cell is not null")
+    long = wide.unpivot([cycle], [F.col(f"`{c}`") for c in files], "file", "cell").where("cell is not null")
     parts = F.split(F.trim("cell"), r"\s+")
     return long.select(F.col(cycle).alias("cycle"), "file", F.rint(F.element_at(parts, 1).cast("double")).cast("int").alias("dy"), F.rint(F.element_at(parts, 2).cast("double")).cast("int").alias("dx"))
 

@@ -35,8 +35,8 @@ def write_positions(positions: DataFrame, path: str) -> None:
 
 
 def write_images(images: DataFrame, folder: str) -> DataFrame:
-    """(name, bytes) of the TIFF files that executors wrote from rows (name, height, width, pixels)."""
-    from mosaicq.sources.images import encode_tiff, to_array
+    """(name, bytes) of the files, PNG or TIFF by their names, that executors wrote from rows (name, height, width, pixels)."""
+    from mosaicq.sources.images import encode_png, encode_tiff, to_array
 
     def run(batches):
         import pandas as pd
@@ -47,7 +47,7 @@ def write_images(images: DataFrame, folder: str) -> DataFrame:
         for frame in batches:
             sizes = []
             for row in frame.itertuples():
-                raw = encode_tiff(to_array(row.pixels, row.height, row.width))
+                raw = (encode_png if row.name.lower().endswith(".png") else encode_tiff)(to_array(row.pixels, row.height, row.width))
                 with store.open_output_stream(f"{base}/{row.name}", compression=None) as f:
                     f.write(raw)
                 sizes.append(len(raw))
@@ -56,6 +56,13 @@ def write_images(images: DataFrame, folder: str) -> DataFrame:
     return images.select("name", "height", "width", "pixels").mapInPandas(run, "name string, bytes long")
 
 
+def write_translations(translations: DataFrame, path: str) -> None:
+    """One 'side-file: ...; corr: ...; position: (dx, dy); grid: (c, r);' line a pair of neighbouring tiles; NaN correlation is -1."""
+    corr = F.when(F.isnan("corr") | F.col("corr").isNull(), -1.0).otherwise(F.col("corr"))
+    line = F.format_string("%s-file: %s; corr: %.10f; position: (%d, %d); grid: (%d, %d);", "side", "file", corr, "dx", "dy", "grid_c", "grid_r")
+    translations.select(line.alias("value")).write.mode("overwrite").text(path)
+
+
 def write_parameters(spark: SparkSession, values: dict, path: str) -> None:
     """Nested parameters as one JSON row."""
     spark.createDataFrame([(json.dumps(values, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from mosaicq.plans import catalog
+from mosaicq.plans import catalog, readout  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
