@@ -45,13 +45,19 @@ def test_chi_square_tails(spark):
     assert one(spark, fx.chi2_survival(F.lit(4.0), 2)) == pytest.approx(math.exp(-2))
     assert one(spark, fx.chi2_survival(F.lit(4.0), 4)) == pytest.approx(math.exp(-2) * 3)
     assert one(spark, fx.chi2_survival(F.lit(2.0), 3)) == pytest.approx(math.erfc(1.0) + math.sqrt(4 / math.pi) * math.exp(-1), abs=1e-6)
-    assert one(spark, fx.erf(F.lit(-0.7))) == pytest.approx(math.erf(-0.7), abs=2e-7)
+    for x in (0.0, 0.3, 1.0, 2.1, 2.3, 4.0, 9.0, 20.0):
+        assert one(spark, fx.erfc(F.lit(x))) == pytest.approx(math.erfc(x), rel=1e-11)
+    assert one(spark, fx.erf(F.lit(-0.7))) == pytest.approx(math.erf(-0.7), abs=1e-14) and one(spark, fx.erfc(F.lit(-3.0))) == pytest.approx(math.erfc(-3.0), rel=1e-13)
+    assert one(spark, fx.chi2_survival(F.lit(80.0), 3)) == pytest.approx(math.erfc(math.sqrt(40)) + math.sqrt(160 / math.pi) * math.exp(-40), rel=1e-10)
+    draws = spark.range(4000).select(fx.jittered(F.lit(0.0), ["id"], 0.5).alias("v"))
+    m, sd = draws.agg(F.avg("v"), F.stddev("v")).first()
+    assert abs(m) < 0.03 and abs(sd - 0.5) < 0.03 and draws.exceptAll(spark.range(4000).repartition(7).select(fx.jittered(F.lit(0.0), ["id"], 0.5))).isEmpty()
 
 
 def test_panels_and_jitter(spark):
     df = spark.createDataFrame([(900.0, 0.0, 0.0), (10.0, 4.0, 2000.0), (900.0, float("nan"), 0.0), (10.0, 0.0, 0.0)], "sum double, g_a double, scaled_g double")
     assert fx.panel_filter(df, strict=False).count() == 3 and fx.panel_filter(df, strict=True).count() == 1
-    z = spark.createDataFrame([(0.0,), (1.0,), (0.5,)], "x double").select(fx.jittered(F.col("x"), 0.01, 3).alias("v")).collect()
+    z = spark.createDataFrame([(0.0,), (1.0,), (0.5,)], "x double").select(fx.jittered(F.col("x"), ["x"], 0.01, 3).alias("v")).collect()
     assert z[0].v != 0 and abs(z[0].v) < 0.1 and abs(z[1].v - 1) < 0.1 and z[2].v == 0.5
 
 
