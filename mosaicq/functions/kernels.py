@@ -289,17 +289,26 @@ def sharpest(stack: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     return np.take_along_axis(stack, bend.argmax(0)[None], 0)[0].astype(float)
 
 
+def illumination_slope(order: np.ndarray, typical: np.ndarray) -> np.ndarray:
+    """Slope of each pixel's sorted intensities over those of the typical pixel."""
+    centred = typical - typical.mean()
+    return np.tensordot(centred, order, 1) / max((centred**2).sum(), 1e-12)
+
+
+def illumination_from(slope: np.ndarray, mean: np.ndarray, lowest: np.ndarray, typical: np.ndarray, low: float = 5, smooth: float = 20) -> tuple[np.ndarray, np.ndarray]:
+    """(gain v, offset z) from each pixel's slope, mean and least intensity."""
+    gain = gaussian(slope, smooth)
+    gain /= max(gain.mean(), 1e-12)
+    dark = min(np.percentile(lowest, low), typical.min())
+    offset = gaussian(mean, smooth) - gain * (mean.mean() - dark)
+    return np.maximum(gain, 1e-3), np.clip(offset, 0, None)
+
+
 def illumination_model(stack: np.ndarray, low: float = 5, smooth: float = 20) -> tuple[np.ndarray, np.ndarray]:
     """(gain v, offset z) of each pixel over many images: robust regression on their sorted intensities."""
     order = np.sort(stack.astype(float), axis=0)
     typical = order.mean(axis=(1, 2))
-    centred = typical - typical.mean()
-    gain = (centred[:, None, None] * order).sum(0) / max((centred**2).sum(), 1e-12)
-    gain = gaussian(gain, smooth)
-    gain /= max(gain.mean(), 1e-12)
-    dark = min(np.percentile(order[0], low), typical.min())
-    offset = gaussian(order.mean(0), smooth) - gain * (order.mean() - dark)
-    return np.maximum(gain, 1e-3), np.clip(offset, 0, None)
+    return illumination_from(illumination_slope(order, typical), order.mean(0), order[0], typical, low, smooth)
 
 
 def illumination_corrected(image: np.ndarray, gain: np.ndarray, offset: np.ndarray, mode: str = "zero") -> np.ndarray:

@@ -14,7 +14,7 @@ from mosaicq.operators import cells, decode, graph, images, spatial, stats, tabl
 from mosaicq.plans.catalog import SCALED, _line_counts, _points, _scaled, query, r6, table
 from mosaicq.sources import images as codec
 from mosaicq.sources import readers, sinks
-from mosaicq.streaming import windows
+from mosaicq.streaming import watch, windows
 from mosaicq.workspace import fresh_path
 
 # ---------------------------------------------------------------- projections and keys
@@ -452,6 +452,136 @@ def segmented_tiles(spark, sf):
     return images.segmented_blocks(strips, ["channel"], 60, 50, side=30, halo=10, block=15, min_area=6)
 
 
+#: All pixels of the images, empty ones 0.
+FULL = PIXELS + ", g AS (SELECT c.channel, y.range AS y, x.range AS x FROM (SELECT DISTINCT channel FROM px) c, range(60) y, range(50) x), a AS (SELECT g.*, coalesce(value, 0) AS v FROM g LEFT JOIN px ON px.channel = g.channel AND px.y = g.y AND px.x = g.x)"
+
+
+def _as_pixels(spark, f):
+    """(channel, y, x, value) of f(array) for every image."""
+
+    def run(batches):
+        import pandas as pd
+
+        for frame in batches:
+            for r in frame.itertuples(index=False):
+                a = f(codec.to_array(r.pixels, r.height, r.width).astype(float))
+                y, x = np.indices(a.shape)
+                yield pd.DataFrame({"channel": np.full(a.size, r.channel, object), "y": y.ravel().astype(np.int32), "x": x.ravel().astype(np.int32), "value": a.ravel()})
+
+    return lambda df: df.mapInPandas(run, "channel string, y int, x int, value double")
+
+
+@query(FULL + """, o AS (SELECT dy.range AS dy, dx.range AS dx FROM range(-3, 4) dy, range(-3, 4) dx WHERE dy.range * dy.range + dx.range * dx.range <= 12.25),
+e AS (SELECT p.channel, p.y, p.x, min(q.v) AS v FROM a p, o JOIN a q ON q.channel = p.channel AND q.y = greatest(0, least(59, p.y + dy)) AND q.x = greatest(0, least(49, p.x + dx)) GROUP BY 1, 2, 3),
+d AS (SELECT p.channel, p.y, p.x, max(q.v) AS v FROM a p, o JOIN e q ON q.channel = p.channel AND q.y = greatest(0, least(59, p.y + dy)) AND q.x = greatest(0, least(49, p.x + dx)) GROUP BY 1, 2, 3)
+SELECT a.channel, CAST(a.y AS INTEGER) AS y, CAST(a.x AS INTEGER) AS x, CAST(a.v - least(d.v, a.v) AS DOUBLE) AS value FROM a JOIN d USING (channel, y, x)""")
+def white_top_hat(spark, sf):
+    from mosaicq.functions import kernels
+
+    return _images(spark, sf).transform(_as_pixels(spark, lambda a: kernels.top_hat(a, (7, 7))))
+
+
+@query(FULL + """, o AS (SELECT dy.range AS dy, dx.range AS dx FROM range(-5, 5) dy, range(-5, 5) dx),
+e AS (SELECT p.channel, p.y, p.x, p.v, min(q.v) AS low FROM a p, o JOIN a q ON q.channel = p.channel AND q.y = greatest(0, least(59, p.y + dy)) AND q.x = greatest(0, least(49, p.x + dx)) GROUP BY 1, 2, 3, 4)
+SELECT channel, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, CASE WHEN low > 0 THEN round(v / low, 6) ELSE -1.0 END AS value FROM e""")
+def signal_to_noise(spark, sf):
+    from mosaicq.functions import kernels
+
+    snr = lambda a: np.nan_to_num(np.round(kernels.signal_to_noise(a), 6), posinf=-1.0)
+    return _images(spark, sf).transform(_as_pixels(spark, snr))
+
+
+@query("WITH p AS (" + PEAKS + ") SELECT p.channel, CAST(p.y + dy.range AS INTEGER) AS y, CAST(p.x + dx.range AS INTEGER) AS x, max(p.value) AS value FROM p, range(-2, 3) dy, range(-2, 3) dx GROUP BY p.channel, p.y + dy.range, p.x + dx.range")
+def spread_maxima(spark, sf):
+    from mosaicq.functions import kernels
+
+    return _images(spark, sf).transform(_as_pixels(spark, lambda a: kernels.spread_maxima(a, kernels.local_peaks(a, 8, 2)))).where("value > 0")
+
+
+@query(FULL + " SELECT CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, CAST(max(v) AS INTEGER) AS value FROM a GROUP BY 1, 2")
+def max_projection(spark, sf):
+    planes = _images(spark, sf).select(F.lit(1).alias("cycle"), F.lit(1).alias("tile"), F.lit("all").alias("channel"), F.ascii("channel").alias("z"), "height", "width", "pixels")
+    return codec.to_pixels(images.focus_stacked(planes, mode="max"), ["channel"]).select("y", "x", "value")
+
+
+@query(FULL + """, c AS (SELECT s_suppkey % 60 AS cy, s_suppkey * 7 % 50 AS cx FROM supplier)
+SELECT CAST(cy AS INTEGER) AS cy, CAST(cx AS INTEGER) AS cx, CAST(a.y - cy + 4 AS INTEGER) AS y, CAST(a.x - cx + 4 AS INTEGER) AS x, CAST(v AS INTEGER) AS value FROM c JOIN a ON a.channel = 'N' AND a.y BETWEEN cy - 4 AND cy + 4 AND a.x BETWEEN cx - 4 AND cx + 4 WHERE v > 0""")
+def crops_of_cells(spark, sf):
+    centres = table(spark, sf, "supplier").select(F.lit("N").alias("channel"), (F.col("s_suppkey") % 60).cast("int").alias("y"), (F.col("s_suppkey") * 7 % 50).cast("int").alias("x"))
+    cut = images.crops(_images(spark, sf), centres, 4, ["channel"]).withColumnsRenamed({"y": "cy", "x": "cx"})
+    return codec.to_pixels(cut, ["cy", "cx"]).where("value > 0")
+
+
+@query("SELECT a.range AS i, b.range AS j, c.range AS l, a.range / 4.0 AS ye, b.range / 4.0 AS b, CAST(CASE c.range WHEN 0 THEN 0.0 WHEN 1 THEN 0.3 WHEN 2 THEN 0.5 WHEN 3 THEN 0.6 ELSE 0.9 END AS DOUBLE) AS r FROM range(5) a, range(5) b, range(5) c WHERE a.range + b.range + c.range = 4")
+def initial_centroids(spark, sf):
+    """Corners of the grid: two axes without enough maxima fall back to equal steps, the third has its own."""
+    got = decode.initial_centroids(spark, 5, {"ye": [0.1, 0.9], "b": [], "r": [0.9, 0.3, 0.0, 0.6, 0.5]})
+    place = F.array_position(F.array(*[F.lit(v) for v in (0.0, 0.3, 0.5, 0.6, 0.9)]), F.col("r")) - 1
+    return got.select((F.col("ye") * 4).cast("long").alias("i"), (F.col("b") * 4).cast("long").alias("j"), place.alias("l"), "ye", "b", "r")
+
+
+@query("SELECT n_nationkey AS cycle FROM nation WHERE n_nationkey % 2 = 1 OR n_nationkey = 0")
+def cycle_discovery(spark, sf):
+    return tables.odd_cycles(table(spark, sf, "nation").select(F.col("n_nationkey").alias("cycle")), with_zero=True)
+
+
+@query("SELECT c_custkey AS cell_id, c_mktsegment AS type, o_orderstatus AS gene, count(*) AS cnt FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2, 3")
+def cells_round_trip(spark, sf):
+    path = fresh_path(spark, "cells")
+    obs = table(spark, sf, "customer").select(F.col("c_custkey").alias("cell_id"), F.col("c_mktsegment").alias("type"))
+    expr = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("cell_id"), F.col("o_orderstatus").alias("gene")).agg(F.count("*").alias("cnt"))
+    sinks.write_cells(obs, expr.select("gene").distinct(), expr, path)
+    obs, var, expr = sinks.read_cells(spark, path)
+    return expr.join(var, "gene", "left_semi").join(obs, "cell_id").select("cell_id", "type", "gene", "cnt")
+
+
+@query("SELECT CASE WHEN n_regionkey % 2 = 0 THEN 'west' ELSE 'north' END || '-file: t' || n_nationkey || '.tif; corr: ' || printf('%.10f', CASE WHEN n_nationkey % 6 = 0 THEN -1.0 ELSE n_nationkey / 32.0 END) || '; position: (' || (n_nationkey - 7) || ', ' || n_regionkey || '); grid: (' || (n_nationkey % 5) || ', ' || (n_nationkey // 5) || ');' AS line FROM nation")
+def translation_records(spark, sf):
+    n = table(spark, sf, "nation")
+    k = F.col("n_nationkey")
+    corr = F.when(k % 6 == 0, F.when(k % 12 == 0, F.lit(None)).otherwise(F.lit(float("nan")))).otherwise(k / 32.0)
+    rows = n.select(F.when(F.col("n_regionkey") % 2 == 0, "west").otherwise("north").alias("side"), F.format_string("t%d.tif", k).alias("file"), corr.cast("double").alias("corr"), (k - 7).alias("dx"), F.col("n_regionkey").alias("dy"), (k % 5).alias("grid_c"), F.expr("n_nationkey div 5").cast("int").alias("grid_r"))
+    path = fresh_path(spark, "translations")
+    sinks.write_translations(rows, path)
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
+@query("SELECT 'run-' || r_regionkey AS run_id, r_name AS stage, '{\"grade\": ' || r_regionkey || '}' AS settings FROM region")
+def run_metadata(spark, sf):
+    path = fresh_path(spark, "runs")
+    for row in table(spark, sf, "region").collect():
+        sinks.write_run_metadata(spark, f"run-{row.r_regionkey}", row.r_name, {"grade": row.r_regionkey}, path)
+    return spark.read.parquet(path).where(F.col("at") <= F.current_timestamp()).select("run_id", "stage", "settings")
+
+
+@query("SELECT CAST(n_nationkey AS INTEGER) AS cycle FROM nation WHERE n_nationkey % 2 = 0 AND n_nationkey > 0 AND n_nationkey <> 8")
+def watched_cycles(spark, sf):
+    """Folders whose marker has appeared are taken up once, but for a cycle that is done already."""
+    from pyarrow import fs
+
+    folder, checkpoint = fresh_path(spark, "cycles"), fresh_path(spark, "cycles-checkpoint")
+    store, base = fs.FileSystem.from_uri(folder)
+    for row in table(spark, sf, "nation").select("n_nationkey").collect():
+        name = f"{base}/cyc_{row.n_nationkey}"
+        store.create_dir(name, recursive=True)
+        with store.open_output_stream(f"{name}/{watch.MARKER if row.n_nationkey % 2 == 0 else 'started.txt'}") as f:
+            f.write(b"x")
+    seen: list[int] = []
+    for _ in range(2):  # the second time nothing is new
+        watch.run_available(watch.finished_cycles(spark, folder), lambda s, cycle, path: seen.append(cycle), lambda cycle: cycle == 8, checkpoint)
+    return spark.createDataFrame([(c,) for c in seen], "cycle int")
+
+
+@query("SELECT 'img-' || n_nationkey || '.tif' AS name FROM nation WHERE n_nationkey % 3 = 0 AND n_nationkey % 2 = 0")
+def paired_files(spark, sf):
+    images_at, masks_at = fresh_path(spark, "pair-images"), fresh_path(spark, "pair-masks")
+    one = F.lit(np.ones((2, 3), "<u2").tobytes())
+    n = table(spark, sf, "nation").select("n_nationkey", F.format_string("img-%d.tif", "n_nationkey").alias("name"), F.lit(2).alias("height"), F.lit(3).alias("width"), one.alias("pixels"))
+    for part, path in ((n.where("n_nationkey % 3 = 0"), images_at), (n.where("n_nationkey % 2 = 0"), masks_at)):
+        sinks.write_images(part, path).collect()
+    return readers.paired_files(spark, images_at, masks_at).select("name")
+
+
 # ---------------------------------------------------------------- sampling and streams
 
 
