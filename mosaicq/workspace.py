@@ -47,6 +47,18 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             discard(spark, path)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, most: int) -> Iterator[None]:
+    """Batches of at most so many rows for what Python runs inside the block; the session's setting is put back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(most, int(before) if int(before) > 0 else most)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: short lineage, survives lost executors."""
     path = fresh_path(df.sparkSession, label)

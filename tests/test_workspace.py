@@ -60,3 +60,18 @@ def test_a_cluster_must_name_its_folder(spark, monkeypatch):
     Session.conf = Conf()
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         workspace.shared_dir(Session())
+
+
+def test_arrow_rows_bound_batches_and_are_put_back(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    with workspace.arrow_rows(spark, 100):
+        got = [r.n for r in spark.range(0, 1000, 1, 1).mapInArrow(sizes, "n long").collect()]
+    assert got == [100] * 10 and spark.conf.get(key) == before
