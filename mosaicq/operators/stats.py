@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mosaicq.workspace import broadcast_if_few
+from mosaicq.operators.tables import with_row_ids
+from mosaicq.workspace import broadcast_if_few, materialise
 
 
 def observed_over_expected(df: DataFrame, i: str, j: str) -> DataFrame:
@@ -168,19 +172,71 @@ def first_crossing(curve: DataFrame, order: str, y: str, line: float) -> DataFra
     return marked.where(F.col("_s") != F.col("_next")).orderBy(order).limit(1).drop("_s", "_next")
 
 
+def _correlated(pairs: DataFrame, *by: str) -> DataFrame:
+    """(by, r): Pearson correlation of x and y; null where either is constant."""
+    sums = pairs.groupBy(*by).agg(F.covar_pop("x", "y").alias("xy"), F.var_pop("x").alias("xx"), F.var_pop("y").alias("yy"))
+    spread = F.sqrt(F.col("xx") * F.col("yy"))
+    return sums.select(*by, F.when(spread > 0, F.col("xy") / spread).alias("r"))
+
+
+#: Columns up to which a task holds the matrix of their products.
+MOST_COLUMNS = 2048
+
+
+def _gram(cells: DataFrame, n: int) -> DataFrame:
+    """(i, j, xy): sums of products of the columns k (i <= j) of rows (r, k, x) that are complete, or absent where x is 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, rest = np.zeros((n, n)), None
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            r = table.column("r").combine_chunks().dictionary_encode().indices.to_numpy()
+            line = np.concatenate([[0], np.cumsum(r[1:] != r[:-1])]) if len(r) else r
+            done = int(np.searchsorted(line, line[-1])) if len(line) else 0  # the last row may go on
+            rest = table.slice(done)
+            total += _products(line[:done], table.slice(0, done), n)
+        if rest is not None and len(rest):
+            total += _products(np.zeros(len(rest), np.int64), rest, n)
+        i, j = np.triu_indices(n)
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int64)), pa.array(j.astype(np.int64)), pa.array(total[i, j])], names=["i", "j", "xy"])
+
+    dealt = cells.repartition("r").sortWithinPartitions("r")
+    return dealt.mapInArrow(run, "i long, j long, xy double").groupBy("i", "j").agg(F.sum("xy").alias("xy"))
+
+
+def _products(line: np.ndarray, table: pa.Table, n: int) -> np.ndarray:
+    x = np.zeros((int(line[-1]) + 1 if len(line) else 0, n))
+    x[line, table.column("k").to_numpy()] = table.column("x").to_numpy()
+    return x.T @ x
+
+
 def correlation_matrix(long: DataFrame, row: str, col: str, value: str) -> DataFrame:
-    """Pearson correlation of all column pairs of a complete long matrix, the diagonal null."""
-    a = long.select(F.col(row), F.col(col).alias("a"), F.col(value).alias("x"))
-    b = long.select(F.col(row), F.col(col).alias("b"), F.col(value).alias("y"))
-    out = a.join(b, row).groupBy("a", "b").agg(F.corr("x", "y").alias("r"))
-    return out.withColumn("r", F.when(F.col("a") != F.col("b"), F.col("r")))
+    """Pearson correlation of all column pairs of a complete long matrix, the diagonal null.
+
+    A task sums the products of the columns over its rows; only these sums are shuffled. Beyond
+    MOST_COLUMNS columns the table is joined to itself by row.
+    """
+    means = with_row_ids(long.groupBy(F.col(col).alias("name")).agg(F.avg(value).alias("m")), ["name"], "k")
+    n = means.count()
+    if n > MOST_COLUMNS:
+        a = long.select(F.col(row), F.col(col).alias("a"), F.col(value).alias("x"))
+        b = long.select(F.col(row), F.col(col).alias("b"), F.col(value).alias("y"))
+        return _correlated(a.join(b, row), "a", "b").withColumn("r", F.when(F.col("a") != F.col("b"), F.col("r")))
+    cells = long.join(F.broadcast(means), F.col(col) == F.col("name")).select(F.col(row).alias("r"), "k", (F.col(value) - F.col("m")).cast("double").alias("x"))
+    sums = materialise(_gram(cells, n), "correlation")
+    both = sums.unionByName(sums.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "xy"))
+    own = sums.where("i = j")
+    out = both.join(own.select("i", F.col("xy").alias("xx")), "i").join(own.select(F.col("i").alias("j"), F.col("xy").alias("yy")), "j")
+    out = out.join(means.select(F.col("k").alias("i"), F.col("name").alias("a")), "i").join(means.select(F.col("k").alias("j"), F.col("name").alias("b")), "j")
+    spread = F.sqrt(F.col("xx") * F.col("yy"))
+    return out.select("a", "b", F.when((F.col("i") != F.col("j")) & (spread > 0), F.col("xy") / spread).alias("r"))
 
 
 def cluster_correlation(a: DataFrame, b: DataFrame) -> DataFrame:
     """(a, b, r): Pearson correlation over their common genes of the clusters of two tables (cluster, gene, mean)."""
     left = a.select(F.col("cluster").alias("a"), "gene", F.col("mean").alias("x"))
     right = b.select(F.col("cluster").alias("b"), "gene", F.col("mean").alias("y"))
-    return left.join(right, "gene").groupBy("a", "b").agg(F.corr("x", "y").alias("r"))
+    return _correlated(left.join(right, "gene"), "a", "b")
 
 
 def block_density(df: DataFrame, y: str, x: str, side: int) -> DataFrame:

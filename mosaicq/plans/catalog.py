@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from mosaicq.functions import features as fx
 from mosaicq.operators import cells, decode, graph, spatial, stats, tables
 from mosaicq.streaming import windows
+from mosaicq.workspace import broadcast_if_few
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -384,7 +385,7 @@ SELECT id, code, CAST(hamming(r.bits, c.bits) AS BIGINT) AS d FROM r, c WHERE ha
 def hamming_codebook(spark, sf):
     c = table(spark, sf, "nation").select(F.col("n_nationkey").alias("code"), F.lpad(F.bin((F.col("n_nationkey") * 37 % 1024).cast("long")), 10, "0").alias("cb"))
     r = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.lpad(F.bin(F.col("s_suppkey") * 53 % 1024), 10, "0").alias("rb"))
-    return r.join(F.broadcast(c), fx.hamming(F.col("rb"), F.col("cb")) <= 3).select("id", "code", fx.hamming(F.col("rb"), F.col("cb")).cast("long").alias("d"))
+    return r.join(broadcast_if_few(c), fx.hamming(F.col("rb"), F.col("cb")) <= 3).select("id", "code", fx.hamming(F.col("rb"), F.col("cb")).cast("long").alias("d"))
 
 
 @query("""WITH c AS (SELECT 'g' || n_nationkey AS gene, lpad(bin(n_nationkey * 37 % 1024), 10, '0') AS code FROM nation), r AS (SELECT s_suppkey AS id, lpad(bin(s_suppkey * 53 % 1024), 10, '0') AS code FROM supplier),

@@ -137,3 +137,20 @@ def test_exact_quantiles_of_many_rows(spark):
         got = {r.g: r.value for r in stats.exact_quantile(df, "x", q, ["g"]).collect()}
         assert set(got) == {0, 1, None} and all(abs(got[k] - np.quantile(x[g == k], q)) < 1e-12 for k in (0, 1)) and got[None] == 1 + 3 * q
     assert stats.exact_quantile(df.limit(0), "x", 0.5).count() in (0, 1)
+
+
+def test_correlations_of_many_rows_and_columns(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(700, 12)) @ rng.normal(size=(12, 12)) + 50
+    x[:, 3] = 7  # a constant column has no correlation
+    df = spark.createDataFrame([(f"c{i}", f"g{k}", float(v)) for i, r in enumerate(x) for k, v in enumerate(r)], "cell string, gene string, v double").repartition(5)
+    with np.errstate(invalid="ignore"):
+        want = np.corrcoef(x.T)
+    for most in (2048, 5):
+        monkeypatch.setattr(stats, "MOST_COLUMNS", most)
+        got = {(int(r.a[1:]), int(r.b[1:])): r.r for r in stats.correlation_matrix(df, "cell", "gene", "v").collect()}
+        assert len(got) == 144 and all(got[k, k] is None for k in range(12))
+        assert all(abs(got[i, j] - want[i, j]) < 1e-9 for i in range(12) for j in range(12) if i != j and 3 not in (i, j))
+        assert all(got[3, k] is None or np.isnan(got[3, k]) for k in range(12))
