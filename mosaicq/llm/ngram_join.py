@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mosaicq.llm.components import components, with_each
-from mosaicq.workspace import materialise
+from mosaicq.workspace import arrow_rows, materialise
 
 SHINGLE = 5
 #: Columns with up to so many rows are multiplied at once.
@@ -53,7 +53,9 @@ SKETCH = 32
 BITS_PER_ID, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 28
 #: Sizes of a class are within this ratio.
 CLASS_RATIO = 1.02
-WORD_CACHE = 300_000
+WORD_CACHE = 200_000
+#: Rows of a batch of texts or of pairs with their whole sets: what a task holds of them at a time.
+BATCH_ROWS = 2000
 SEEN_NODES = 500_000
 
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -346,21 +348,24 @@ def _bit(key: Column, seed: int, n_bits: int) -> Column:
     return F.pmod(F.xxhash64(F.coalesce(key.cast("string"), F.lit("")), F.lit(seed)), F.lit(n_bits))
 
 
+def _grams(column: pa.Array) -> Iterator[np.ndarray]:
+    """The sets of a column, as views of its bytes."""
+    for value in column:
+        yield np.frombuffer(value.as_buffer(), np.uint64)
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough, with what they share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, share = [], [], []
-            for u, v, left, right in zip(*(c.to_pylist() for c in batch.columns)):
-                p, q = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
+            a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            ok, share = np.zeros(len(a), bool), np.zeros(len(a), np.int64)
+            for k, (p, q) in enumerate(zip(_grams(batch.column(2)), _grams(batch.column(3)))):
                 at = np.searchsorted(p, q)
-                n = int((p[np.minimum(at, len(p) - 1)] == q).sum())
-                if 7 * n >= 3 * (len(p) + len(q)):
-                    a.append(u)
-                    b.append(v)
-                    share.append(n)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(share, pa.int64())], names=["a", "b", "shared"])
+                share[k] = (p[np.minimum(at, len(p) - 1)] == q).sum()
+                ok[k] = 7 * share[k] >= 3 * (len(p) + len(q))
+            yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok]), pa.array(share[ok])], names=["a", "b", "shared"])
 
     right = pairs.select("a", "b").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("q")), "b")
     both = right.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("p")), "a")
@@ -393,7 +398,8 @@ def similar_sets(rows: DataFrame, sig: DataFrame) -> DataFrame:
     keyed = sig.where("node is not null").groupBy("node").agg(F.min("id").alias("id"))
 
     near = may_share(pairs, n_long, F.col("k"))
-    ends = lengthy.groupBy("gram").agg(F.min(F.struct("a", "x")).alias("lo"), F.max(F.struct("a", "x")).alias("hi"))
+    # What is joined to a long column's rows is written first: both sides are plain shuffles, which adaptive execution can split.
+    ends = materialise(lengthy.groupBy("gram").agg(F.min(F.struct("a", "x")).alias("lo"), F.max(F.struct("a", "x")).alias("hi")), "ngram-ends")
     stars = lengthy.join(ends, "gram").select("a", "x", F.explode(F.array("lo", "hi")).alias("l")).where(F.col("a") != F.col("l.a"))
     stars = stars.select(F.least("a", "l.a").alias("a"), F.greatest("a", "l.a").alias("b"), "x", F.col("l.x").alias("y")).where(sized("x", "y"))
     stars = may_share(stars.groupBy("a", "b").agg(F.max("x").alias("x"), F.max("y").alias("y")), n_any, 0)
@@ -415,7 +421,7 @@ def similar_sets(rows: DataFrame, sig: DataFrame) -> DataFrame:
         """Rows of the long columns that hold several components c, with the largest one (major) and sketches."""
         told = lengthy.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("c", F.coalesce("component", "a")).drop("component")
         groups = told.groupBy("gram", "c").agg(F.count("*").alias("n")).groupBy("gram").agg(F.count("*").alias("groups"), F.max(F.struct("n", "c")).alias("m")).where("groups > 1")
-        rows = told.join(groups.select("gram", F.col("m.c").alias("major")), "gram")
+        rows = told.join(materialise(groups.select("gram", F.col("m.c").alias("major")), "ngram-major"), "gram")
         nodes = rows.select(F.col("a").alias("node")).distinct()
         sketches = sig.where("node is not null").join(nodes, "node", "left_semi").select(F.col("node").alias("a"), *_SKETCH).dropDuplicates(["a"])
         return materialise(rows.join(sketches, "a"), "ngram-open")
@@ -449,14 +455,15 @@ def similar_sets(rows: DataFrame, sig: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every row."""
     rows = _rows(docs, id_col, text_col)
-    sig = materialise(signatures(rows), "ngram-signatures")
-    every = sig.where("gram is null").select("id", "n", "node")
-    least = every.where("node is not null").groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
-    linked = similar_sets(rows, sig)
-    merged = least.join(linked, "node")
-    of_component = merged.groupBy("component").agg(F.min("least").alias("whole"))
-    whole = merged.join(of_component, "component").select("node", "whole")
-    names = materialise(least.join(whole, "node", "left").select("node", F.coalesce("whole", "least").alias("component_id"), "copies"), "ngram-names")
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        sig = materialise(signatures(rows), "ngram-signatures")
+        every = sig.where("gram is null").select("id", "n", "node")
+        least = every.where("node is not null").groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
+        linked = similar_sets(rows, sig)
+        merged = least.join(linked, "node")
+        of_component = merged.groupBy("component").agg(F.min("least").alias("whole"))
+        whole = merged.join(of_component, "component").select("node", "whole")
+        names = materialise(least.join(whole, "node", "left").select("node", F.coalesce("whole", "least").alias("component_id"), "copies"), "ngram-names")
     found = with_each(every.where("node is not null"), "node", names, every.count(), "copies")
     out = found.unionByName(every.where("node is null").withColumn("component_id", F.col("id")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
