@@ -292,12 +292,24 @@ def radius_pairs(spark, sf):
     return spatial.radius_pairs(_points(spark, sf), 2).withColumn("distance", r6("distance"))
 
 
-@query()
+def _nms_sql(radius: int, also: str, columns: str) -> str:
+    """Greedy suppression as turns: a point is gone with a kept better neighbour, kept once no better one is open."""
+    return f"""WITH RECURSIVE p AS MATERIALIZED (SELECT event_id AS id, user_id AS y, value * 4 AS x, value AS sum, event_type FROM events),
+n AS MATERIALIZED (SELECT a.id AS lo, b.id AS hi FROM p a JOIN p b ON a.id <> b.id AND abs(a.y - b.y) <= {radius} AND abs(a.x - b.x) <= {radius}
+  WHERE (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x) <= {radius * radius}{also} AND (b.sum > a.sum OR (b.sum = a.sum AND b.id < a.id))),
+s AS (SELECT id, 0 AS turn, 'open' AS state FROM p
+  UNION ALL SELECT s.id, s.turn + 1, CASE WHEN s.state <> 'open' THEN s.state WHEN kept THEN 'gone' WHEN undecided THEN 'open' ELSE 'kept' END
+  FROM s LEFT JOIN (SELECT n.lo, bool_or(b.state = 'kept') AS kept, bool_or(b.state = 'open') AS undecided FROM n JOIN s b ON b.id = n.hi GROUP BY n.lo) m ON m.lo = s.id
+  WHERE EXISTS (SELECT 1 FROM s WHERE state = 'open'))
+SELECT {columns} FROM p JOIN s USING (id) WHERE turn = (SELECT max(turn) FROM s) AND state = 'kept'"""
+
+
+@query(_nms_sql(2, "", "id, y, x, sum"))
 def radius_nms(spark, sf):
     return spatial.suppress_within(_points(spark, sf), 2).select("id", "y", "x", "sum")
 
 
-@query()
+@query(_nms_sql(4, " AND a.event_type = b.event_type", "id, event_type, sum"))
 def per_group_nms(spark, sf):
     return spatial.suppress_within(_points(spark, sf), 4, group=["event_type"]).select("id", "event_type", "sum")
 
@@ -546,7 +558,21 @@ def gmm_em_step(spark, sf):
     return spark.createDataFrame(rows, "component int, weight double, mx double, my double, vx double")
 
 
-@query()
+_LOGS = ", ".join(f"ln(w{k}) - 0.5 * (ln(2 * pi() * v{k}x) + ln(2 * pi() * v{k}y)) - (x - m{k}x) * (x - m{k}x) / (2 * v{k}x) - (y - m{k}y) * (y - m{k}y) / (2 * v{k}y) AS l{k}" for k in (0, 1))
+_STEP = ", ".join(
+    [f"sum(r{k}) / count(*) AS w{k}" for k in (0, 1)]
+    + [f"sum(r{k} * {c}) / sum(r{k}) AS m{k}{c}" for k in (0, 1) for c in "xy"]
+    + [f"greatest(sum(r{k} * {c} * {c}) / sum(r{k}) - pow(sum(r{k} * {c}) / sum(r{k}), 2), 0) + 1e-6 AS v{k}{c}" for k in (0, 1) for c in "xy"]
+)
+
+
+@query(f"""WITH RECURSIVE f AS MATERIALIZED (SELECT l_orderkey, l_linenumber, l_quantity / 50 AS x, l_extendedprice / 100000 AS y, l_linenumber % 2 AS layer FROM lineitem),
+s AS (SELECT layer, 0 AS turn, CAST(0.5 AS DOUBLE) AS w0, CAST(0.5 AS DOUBLE) AS w1, CAST(0.2 AS DOUBLE) AS m0x, CAST(0.2 AS DOUBLE) AS m0y, CAST(0.8 AS DOUBLE) AS m1x, CAST(0.6 AS DOUBLE) AS m1y,
+  greatest(var_pop(x), 1e-6) AS v0x, greatest(var_pop(y), 1e-6) AS v0y, greatest(var_pop(x), 1e-6) AS v1x, greatest(var_pop(y), 1e-6) AS v1y, CAST(NULL AS DOUBLE) AS score, CAST(NULL AS DOUBLE) AS last FROM f GROUP BY layer
+  UNION ALL SELECT layer, max(turn) + 1, {_STEP}, avg(top + ln(total)) AS score, max(score) AS last FROM (SELECT *, exp(l0 - top) / total AS r0, exp(l1 - top) / total AS r1 FROM
+    (SELECT *, exp(l0 - top) + exp(l1 - top) AS total FROM (SELECT *, greatest(l0, l1) AS top FROM (SELECT f.layer, x, y, turn, score, {_LOGS} FROM f JOIN s ON s.layer = f.layer WHERE turn < 100 AND (last IS NULL OR abs(score - last) >= 1e-3))))) GROUP BY layer),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY layer ORDER BY turn DESC) = 1)
+SELECT l_orderkey, l_linenumber, CAST(CASE WHEN l0 >= l1 THEN 0 ELSE 1 END + layer * 2 + 1 AS INTEGER) AS label FROM (SELECT l_orderkey, l_linenumber, f.layer, {_LOGS} FROM f JOIN b ON b.layer = f.layer)""")
 def gmm_labels(spark, sf):
     f = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") / 50).alias("x"), (F.col("l_extendedprice") / 100000).alias("y"), (F.col("l_linenumber") % 2).alias("g_layer"))
     return decode.fit_layers(f, ["x", "y"], {0: [[0.2, 0.2], [0.8, 0.6]], 1: [[0.2, 0.2], [0.8, 0.6]]}).select("l_orderkey", "l_linenumber", "label")
