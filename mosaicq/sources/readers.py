@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -112,6 +117,50 @@ def offsets_wide(long: DataFrame, files: list[str]) -> DataFrame:
     return long.groupBy("cycle").pivot("file", files).agg(F.first(F.concat_ws(" ", "dy", "dx")))
 
 
+#: Numeric element types of the version 5 MAT format.
+_MAT_KINDS = {1: "i1", 2: "u1", 3: "i2", 4: "u2", 5: "i4", 6: "u4", 7: "f4", 9: "f8", 12: "i8", 13: "u8"}
+
+
+def _mat_elements(raw: bytes, order: str):
+    """(type, data) of consecutive elements; small ones hold their data in the tag."""
+    at = 0
+    while at + 8 <= len(raw):
+        kind, size = struct.unpack_from(order + "II", raw, at)
+        if kind >> 16:  # size and type share a word
+            yield kind & 0xFFFF, raw[at + 4 : at + 4 + (kind >> 16)]
+            at += 8
+        else:
+            yield kind, raw[at + 8 : at + 8 + size]
+            at += 8 + (size if kind == 15 else -(-size // 8) * 8)
+
+
+def decode_mat(raw: bytes) -> dict[str, list[float]]:
+    """The real numeric arrays of a version 5 MAT file by name, each as a list of numbers, column by column."""
+    order = "<" if raw[126:128] == b"IM" else ">"
+    out = {}
+    for kind, data in _mat_elements(raw[128:], order):
+        if kind == 15:  # a compressed element
+            kind, data = next(_mat_elements(zlib.decompress(data), order))
+        parts = list(_mat_elements(data, order)) if kind == 14 else []
+        if len(parts) >= 4 and 6 <= parts[0][1][0 if order == "<" else 3] <= 15:
+            form = order + _MAT_KINDS[parts[3][0]]
+            out[parts[2][1].decode()] = [float(v) for v in np.frombuffer(parts[3][1], form)]
+    return out
+
+
+def read_mat(spark: SparkSession, path: str) -> DataFrame:
+    """(path, name, values) of the numeric arrays of MAT files."""
+
+    def run(batches):
+        for batch in batches:
+            rows = [(p, k, v) for p, raw in zip(*(c.to_pylist() for c in batch.columns)) for k, v in decode_mat(raw).items()]
+            cols = zip(*rows) if rows else ((),) * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.list_(pa.float64())))], names=["path", "name", "values"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.mat").load(path)
+    return files.select("path", "content").mapInArrow(run, "path string, name string, values array<double>")
+
+
 def read_parameters(path: str | None = None, defaults: dict | None = None, overrides: dict | None = None) -> dict:
     """Parameters in layers: defaults, then the file, then overrides (YAML through the safe loader)."""
     out = dict(defaults or {})

@@ -159,3 +159,25 @@ def test_padded_and_pasted(spark):
     at = spark.createDataFrame([(1, 0, 0, 0, 0), (2, 0, 4, 0, 1)], "tile int, y0 int, x0 int, grid_r int, grid_c int")
     got = {(r.y, r.x): r.value for r in tables.pasted(px, at, 4, 9, 4, 6, bleed=1).collect()}
     assert [got[0, x] for x in range(9)] == [10] * 5 + [20] * 4 and len(got) == 36
+
+
+def mat_array(name, values, packed):
+    """A version 5 matrix element; short names and data stand in their tags."""
+
+    def element(kind, data):
+        if len(data) <= 4:
+            return struct.pack("<I", len(data) << 16 | kind) + data.ljust(4, b"\0")
+        return struct.pack("<II", kind, len(data)) + data + b"\0" * (-len(data) % 8)
+
+    body = element(6, struct.pack("<II", 6, 0)) + element(5, struct.pack("<ii", 1, len(values))) + element(1, name.encode())
+    body += element(9, struct.pack(f"<{len(values)}d", *values)) if not packed else element(2, bytes(values))
+    return struct.pack("<II", 14, len(body)) + body
+
+
+def test_mat_files(spark, tmp_path):
+    packed = zlib.compress(mat_array("a_longer_name", [1.5, -2.0], False))
+    raw = b"MATLAB 5.0 MAT-file".ljust(124, b" ") + struct.pack("<H2s", 0x0100, b"IM")
+    raw += mat_array("x", [3.25], False) + struct.pack("<II", 15, len(packed)) + packed + mat_array("n", [7], True)
+    assert readers.decode_mat(raw) == {"x": [3.25], "a_longer_name": [1.5, -2.0], "n": [7.0]}
+    (tmp_path / "p.mat").write_bytes(raw)
+    assert {r.name: list(r["values"]) for r in readers.read_mat(spark, f"file://{tmp_path}").collect()} == readers.decode_mat(raw)
