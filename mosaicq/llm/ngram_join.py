@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mosaicq.llm.components import components, with_each
+from mosaicq.llm.components import components, heavy_from, with_each
 from mosaicq.workspace import arrow_rows, materialise
 
 SHINGLE = 5
@@ -367,9 +367,24 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 ok[k] = 7 * share[k] >= 3 * (len(p) + len(q))
             yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok]), pa.array(share[ok])], names=["a", "b", "shared"])
 
-    right = pairs.select("a", "b").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("q")), "b")
-    both = right.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("p")), "a")
-    return both.select("a", "b", "p", "q").mapInArrow(run, "a long, b long, shared long")
+    n = pairs.count()
+    right = _with_set(pairs.select("a", "b"), "b", "a", sets, "q", _parts(pairs, "b", n))
+    return _with_set(right, "a", "b", sets, "p", _parts(pairs, "a", n)).select("a", "b", "p", "q").mapInArrow(run, "a long, b long, shared long")
+
+
+def _parts(pairs: DataFrame, key: str, n: int) -> DataFrame:
+    """(_h, _parts) of the nodes of very many pairs, at most MOST_HEAVY rows."""
+    limit = heavy_from(n)
+    parts = pairs.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") >= limit).select(F.col(key).alias("_h"), F.ceil(F.col("_n") / limit).cast("int").alias("_parts"))
+    return F.broadcast(parts)
+
+
+def _with_set(pairs: DataFrame, key: str, other: str, sets: DataFrame, name: str, parts: DataFrame) -> DataFrame:
+    """pairs with the set of the node in a column; a node of very many pairs meets them in parts, with a copy of its set each."""
+    every = F.coalesce("_parts", F.lit(1))
+    told = pairs.join(parts, F.col(key) == F.col("_h"), "left").withColumn("_part", F.pmod(F.xxhash64(other), every).cast("int")).drop("_h", "_parts")
+    each = sets.join(parts, F.col("node") == F.col("_h"), "left").select(F.col("node").alias(key), F.col("grams").alias(name), F.explode(F.sequence(F.lit(0), every - 1)).alias("_part"))
+    return told.join(each, [key, "_part"]).drop("_part")
 
 
 def similar_sets(rows: DataFrame, sig: DataFrame) -> DataFrame:
@@ -472,3 +487,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def op4_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """Every document with the size of its set and its component."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+g AS MATERIALIZED (SELECT DISTINCT doc_id, hash(array_to_string(ws[i:i + 4], chr(31))) AS gram FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * shared >= 75 * (p.n + q.n - shared)),
+e AS MATERIALIZED (SELECT x AS u, y AS v FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id AS node, doc_id AS component FROM documents UNION SELECT e.u, r.component FROM r JOIN e ON e.v = r.node AND r.component < e.u)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component AS component_id FROM (SELECT node AS doc_id, min(component) AS component FROM r GROUP BY node) LEFT JOIN n USING (doc_id)
+"""
