@@ -15,6 +15,7 @@ QUERIES = {
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 ORACLE = {
+    "op4_ngram_jaccard_join": ngram_join.ORACLE_SQL,
     "op8_quality_rules": quality.ORACLE_SQL,
     "op9_warc": warc.ORACLE_SQL,
     "op10_line_dedup": line_dedup.ORACLE_SQL,
