@@ -45,6 +45,8 @@ SHARD_ITEMS, WIDE_BLOCKS, NARROW_BLOCKS = 2048, 25, 256
 CHUNK_WORDS = 100_000
 #: Shards that a task keeps loaded.
 LOADED_SHARDS = 4
+#: Texts of a batch whose words are numbered together.
+SLICE_BYTES = 4 << 20
 _MARKS = (re.compile("answer:", re.IGNORECASE | re.ASCII), re.compile(r"\?"))
 
 #: Digits and letters stay, A-Z are lower-cased, bytes of non-ASCII letters stay, the rest separates.
@@ -289,8 +291,17 @@ def shards(items: DataFrame, id_col: str = "item_id", text_col: str = "text", sh
     return sorted(r["file"] for r in files.collect())
 
 
-def _texts(column: pa.Array) -> Batch:
-    return Batch([x or b"" for x in column.cast(pa.binary()).to_pylist()])
+def _slices(column: pa.Array, n_shards: int) -> Iterator[tuple[int, Batch]]:
+    """(first row, texts) of a column in parts of about SLICE_BYTES; in one, if the shards can't all stay loaded."""
+    texts, at, held = [], 0, 0
+    for row, raw in enumerate(column.cast(pa.binary())):
+        texts.append(raw.as_py() or b"")
+        held += len(texts[-1])
+        if held >= SLICE_BYTES and n_shards <= LOADED_SHARDS:
+            yield at, Batch(texts)
+            texts, at, held = [], row + 1, 0
+    if texts:
+        yield at, Batch(texts)
 
 
 def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", threshold: float = THRESHOLD, shard_items: int = SHARD_ITEMS) -> DataFrame:
@@ -305,16 +316,16 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = _texts(batch.column(1))
-            for file in files:
-                index, keys = _loaded(file)
-                found = [(i, *row) for i, some in enumerate(index.leaks(texts, threshold)) for row in some]
-                if found:
-                    at, item, *rest = zip(*found)
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(at, pa.int64())), keys.take(pa.array(item, pa.int64())), *(pa.array(c, k) for c, k in zip(rest, kinds))],
-                        names=["id", "item", "score", "question_overlap", "answer_overlap", "first_word", "n_words"],
-                    )
+            for first, texts in _slices(batch.column(1), len(files)):
+                for file in files:
+                    index, keys = _loaded(file)
+                    found = [(first + i, *row) for i, some in enumerate(index.leaks(texts, threshold)) for row in some]
+                    if found:
+                        at, item, *rest = zip(*found)
+                        yield pa.RecordBatch.from_arrays(
+                            [batch.column(0).take(pa.array(at, pa.int64())), keys.take(pa.array(item, pa.int64())), *(pa.array(c, k) for c, k in zip(rest, kinds))],
+                            names=["id", "item", "score", "question_overlap", "answer_overlap", "first_word", "n_words"],
+                        )
 
     return rows.mapInArrow(run, schema).withColumnsRenamed({"id": id_col, "item": item_col})
 
@@ -328,10 +339,10 @@ def without_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = _texts(batch.column(at))
             clean = np.ones(batch.num_rows, bool)
-            for file in files:
-                clean &= [not found for found in _loaded(file)[0].leaks(texts, threshold)]
+            for first, texts in _slices(batch.column(at), len(files)):
+                for file in files:
+                    clean[first : first + len(texts.rows)] &= [not found for found in _loaded(file)[0].leaks(texts, threshold)]
             yield batch.filter(pa.array(clean))
 
     return docs.mapInArrow(run, docs.schema)
