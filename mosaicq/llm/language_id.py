@@ -4,8 +4,8 @@ A word's subwords are its character n-grams, hashed into buckets; a text is the
 subwords' embeddings, a linear layer and a softmax follow. Embeddings and layer are trained by
 stochastic gradient descent in numpy, inside one task, on a bounded sample: at most ``per_language``
 whole texts of each language, whatever the number of languages, chosen by a hash of the id. What that
-task receives of a text are its subword counts (at most one entry a bucket) and those of a few short
-extracts, made where the text is: its memory is bounded by the sample's rows, not by their lengths. A
+task receives of a long text are its subword weights (at most one entry a bucket) and those of a few
+short extracts, made where the text is: its memory is bounded by the sample's rows, not by their lengths. A
 held-back part of the sample fits the softmax temperature (calibrated scores) and the score below
 which an answer should be rejected; whole texts and short extracts take part in both.
 
@@ -32,13 +32,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mosaicq.workspace import materialise
+from mosaicq.workspace import broadcast_if_few, materialise
 
 UNKNOWN = "und"
 #: Whole texts learned from, of each language: the bound of the sample.
 PER_LANGUAGE = 1000
 #: Short extracts learned from, of each text, and their most words.
 EXTRACTS, EXTRACT_WORDS = 8, 12
+#: In place of a bag's number: the text itself, where it is shorter than its bags.
+WHOLE = -1
 BUCKETS, DIM, GRAMS = 1 << 15, 16, (2, 3, 4)
 #: Passes over the sample; a small sample is passed until so many texts, in all and of each class, were seen.
 EPOCHS, LEAST_SEEN, LEAST_OF_CLASS, RATE = 4, 4000, 200, 2.0
@@ -226,14 +228,20 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("id")) != held_out))
     draw = (F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit(""))), F.lit(1 << 30)) / F.lit(float(1 << 30))).alias("draw")
     # A little more than wanted is drawn, so that few texts are ordered; the window makes it exact.
-    counts = rows.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("n"))
+    counts = broadcast_if_few(materialise(rows.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("n")), "language-counts"))
     drawn = rows.withColumn("draw", draw).join(counts, F.col("lang") == F.col("of")).where(F.col("draw") * F.col("n") < 1.3 * per_language + 20)
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "id", "text"))
     sample = drawn.withColumn("nth", nth).where(F.col("nth") <= per_language).select("text", "lang", "nth")
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(lang, nth, k, ids.astype("<i4").tobytes(), weight.astype("<f4").tobytes()) for text, lang, nth in zip(*(c.to_pylist() for c in batch.columns)) for k, (ids, weight) in enumerate(sample_bags(text))]
+            out = []
+            for text, lang, nth in zip(*(c.to_pylist() for c in batch.columns)):
+                raw, made = text.encode("utf-8", "surrogatepass"), sample_bags(text)
+                if made and len(raw) <= 6 * sum(len(ids) for ids, _ in made):
+                    out.append((lang, nth, WHOLE, raw, b""))
+                else:
+                    out += [(lang, nth, k, ids.astype("<u2").tobytes(), weight.astype("<f4").tobytes()) for k, (ids, weight) in enumerate(made)]
             cols = zip(*out) if out else ((),) * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["lang", "nth", "k", "ids", "weight"])
 
@@ -241,8 +249,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         texts: dict[tuple[str, int], list] = {}
         for b in batches:
             for lang, nth, k, ids, weight in zip(*(c.to_pylist() for c in b.columns)):
-                texts.setdefault((lang, nth), []).append((k, np.frombuffer(ids, "<i4"), np.frombuffer(weight, "<f4")))
-        got = [(lang, [(i, w) for _, i, w in sorted(texts[lang, nth], key=lambda x: x[0])]) for lang, nth in sorted(texts)]
+                if k == WHOLE:
+                    texts[lang, nth] = list(enumerate(sample_bags(ids.decode("utf-8", "surrogatepass"))))
+                else:
+                    texts.setdefault((lang, nth), []).append((k, (np.frombuffer(ids, "<u2"), np.frombuffer(weight, "<f4"))))
+        got = [(lang, [bag for _, bag in sorted(texts[lang, nth], key=lambda x: x[0])]) for lang, nth in sorted(texts)]
         yield pa.RecordBatch.from_arrays([pa.array([fit(got).dump()], pa.binary())], names=["model"])
 
     whole = materialise(sample.mapInArrow(bags, "lang string, nth int, k int, ids binary, weight binary"), "language-sample")
