@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from mosaicq.llm import decontam, language_id, license_scan, line_dedup, ngram_join, packing, pii, quality, quote_links, warc
+from mosaicq.llm import decontam, exact_dedup, language_id, license_scan, line_dedup, merkle_manifest, ngram_join, packing, periodic_runs, pii, quality, quote_links, warc
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -13,10 +13,14 @@ QUERIES = {
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_warc": warc.op9_warc,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op11_exact_dedup": exact_dedup.op11_exact_dedup,
+    "op12_merkle_manifest": merkle_manifest.op12_merkle_manifest,
+    "op13_periodic_runs": periodic_runs.op13_periodic_runs,
 }
 ORACLE = {
     "op4_ngram_jaccard_join": ngram_join.ORACLE_SQL,
     "op8_quality_rules": quality.ORACLE_SQL,
     "op9_warc": warc.ORACLE_SQL,
     "op10_line_dedup": line_dedup.ORACLE_SQL,
+    "op11_exact_dedup": exact_dedup.ORACLE_SQL,
 }
