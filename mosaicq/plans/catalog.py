@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mosaicq.functions import features as fx
-from mosaicq.operators import cells, decode, graph, spatial, stats, tables
+from mosaicq.operators import cells, communities, decode, graph, spatial, stats, tables
 from mosaicq.streaming import windows
-from mosaicq.workspace import broadcast_if_few
+from mosaicq.workspace import broadcast_if_few, materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -328,6 +328,13 @@ def knn_k(spark, sf):
     return _knn(spark, sf).withColumn("d2", F.round("d2", 5))
 
 
+@query()
+def cell_communities(spark, sf):
+    """Communities of the cells' neighbour graph, its distances turned to weights."""
+    edges = communities.fuzzy_weights(spatial.knn(table(spark, sf, "embeddings"), 15, "vec_id", "embedding"))
+    return communities.leiden(materialise(edges, "cell-graph")).withColumnRenamed("node", "vec_id")
+
+
 @query(KNN + "SELECT a.label AS src_label, b.label AS dst_label, count(*) AS n_edges FROM e JOIN embeddings a ON a.vec_id = src JOIN embeddings b ON b.vec_id = dst GROUP BY 1, 2")
 def interaction_matrix(spark, sf):
     return spatial.interactions(_knn(spark, sf), table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label"))
