@@ -471,43 +471,100 @@ def labelled(mask: np.ndarray) -> np.ndarray:
     return out
 
 
-def adaptive_mask(a: np.ndarray, block: int = 51, offset: float = 0.0) -> np.ndarray:
-    """Pixels brighter than their Gaussian neighbourhood by the offset."""
-    return a > gaussian(a, (block - 1) / 6) + offset
-
-
-def depth_in(mask: np.ndarray) -> np.ndarray:
-    """City-block distance to the background, by repeated erosion."""
-    out, left = np.zeros(mask.shape, np.int32), mask.copy()
-    while left.any():
-        out += left
-        wide = np.pad(left, 1)
-        left = left & np.logical_and.reduce([wide[tuple(slice(1 + d * (k == axis), n + 1 + d * (k == axis)) for k, n in enumerate(mask.shape))] for axis in range(mask.ndim) for d in (-1, 1)])
+def gaussian_kernel(sigma: float) -> np.ndarray:
+    """Weights of a Gaussian, four widths to either side."""
+    r = max(1, int(4 * sigma + 0.5))
+    kernel = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
+    return kernel / kernel.sum()
+
+
+def convolved(a: np.ndarray, kernel: np.ndarray, above: int, below: int) -> np.ndarray:
+    """a with a symmetric kernel along both axes, tap by tap, so that a pixel's value doesn't depend on what else is computed.
+
+    Along rows the edges are mirrored; above and below so many mirrored rows are added where the image ends,
+    and the rows that lack neighbours are left out.
+    """
+    r = len(kernel) // 2
+    tall = np.pad(a, ((max(0, above), max(0, below)), (0, 0)), mode="symmetric")
+    n = len(tall) - 2 * r
+    out = sum(w * tall[k : k + n] for k, w in enumerate(kernel))
+    wide = np.pad(out, ((0, 0), (r, r)), mode="symmetric")
+    return sum(w * wide[:, k : k + a.shape[1]] for k, w in enumerate(kernel))
+
+
+def disc_filter(a: np.ndarray, radius: int, largest: bool) -> np.ndarray:
+    """Largest or smallest value within a disc; what lies beyond the image doesn't count."""
+    out = a.copy()
+    for dy in range(-radius, radius + 1):
+        for dx in range(-radius, radius + 1):
+            if dy * dy + dx * dx <= radius * radius and abs(dy) < a.shape[0] and abs(dx) < a.shape[1]:
+                here = tuple(slice(max(0, -d), min(n, n - d)) for d, n in zip((dy, dx), a.shape))
+                there = tuple(slice(max(0, d), min(n, n + d)) for d, n in zip((dy, dx), a.shape))
+                out[here] = (np.maximum if largest else np.minimum)(out[here], a[there])
     return out
 
 
-def watershed(a: np.ndarray, block: int = 51, min_area: int = 20, min_distance: int = 5) -> np.ndarray:
-    """Cells of a stained image: adaptive mask, one seed a depth maximum, seeds grown from deep to shallow."""
-    mask = adaptive_mask(a, block)
-    depth = depth_in(mask)
-    height = gaussian(depth, 1)
-    seeds = np.zeros(a.shape, np.int32)
-    found = [p for p in local_peaks(np.pad(height, min_distance), 0.5, min_distance) - min_distance if mask[tuple(p)]]
-    for k, p in enumerate(found, 1):
-        seeds[tuple(p)] = k
-    for level in range(int(depth.max()), 0, -1):
-        open_ = depth >= level
-        while True:
-            wide = np.pad(seeds, 1)
-            near = np.max([wide[tuple(slice(1 + d * (k == axis), n + 1 + d * (k == axis)) for k, n in enumerate(a.shape))] for axis in range(a.ndim) for d in (-1, 1)], axis=0)
-            grow = open_ & (seeds == 0) & (near > 0)
-            if not grow.any():
-                break
-            seeds[grow] = near[grow]
-    area = np.bincount(seeds.ravel())
-    small = area < min_area
-    small[0] = True
-    return np.where(small[seeds], 0, seeds)
+def squared_depth(mask: np.ndarray, above: np.ndarray, below: np.ndarray, far: int) -> np.ndarray:
+    """Exact squared distance of masked pixels to the background.
+
+    above and below: how far from the first and from the last row the nearest background beyond them lies, column
+    by column; far stands for none. Along rows a parabola stands on every squared column distance, and the
+    lowest counts: parabolas from further and further away are laid on until they start above all that is left.
+    """
+    down, up = np.empty(mask.shape, np.int64), np.empty(mask.shape, np.int64)
+    near = np.asarray(above, np.int64)
+    for y in range(len(mask)):
+        near = np.where(mask[y], near if y == 0 else near + 1, 0)
+        down[y] = near
+    near = np.asarray(below, np.int64)
+    for y in range(len(mask) - 1, -1, -1):
+        near = np.where(mask[y], near if y == len(mask) - 1 else near + 1, 0)
+        up[y] = near
+    column = np.minimum(np.minimum(down, up), far) ** 2
+    out = column.copy()
+    k = 1
+    while k < mask.shape[1] and k * k < out.max():
+        out[:, k:] = np.minimum(out[:, k:], column[:, :-k] + k * k)
+        out[:, :-k] = np.minimum(out[:, :-k], column[:, k:] + k * k)
+        k += 1
+    return out
+
+
+def peaks_within(depth: np.ndarray, distance: int) -> np.ndarray:
+    """Positive pixels that nothing within the distance in either direction exceeds, so far from the left and right edge."""
+    top = depth.copy()
+    for axis in (0, 1):
+        one = top
+        top = one.copy()
+        for k in range(1, min(distance, depth.shape[axis] - 1) + 1):
+            low, high = (tuple(s if a == axis else slice(None) for a in (0, 1)) for s in (slice(None, -k), slice(k, None)))
+            top[low] = np.maximum(top[low], one[high])
+            top[high] = np.maximum(top[high], one[low])
+    out = (depth > 0) & (depth == top)
+    x = np.arange(depth.shape[1])
+    out[:, (x < distance) | (x >= depth.shape[1] - distance)] = False
+    return out
+
+
+def climbs(depth: np.ndarray, peak: np.ndarray, core: slice) -> np.ndarray:
+    """Index of the pixel where the climb of each pixel of the core rows ends: at peaks, summits, and before a row outside the core."""
+    h, w = depth.shape
+    index = np.arange(h * w).reshape(h, w)
+    best, to = depth.copy(), index.copy()
+    # Neighbours in the order of their places, so that of equals the earlier one stays; a pixel itself comes between.
+    for dy, dx in ((1, 0), (0, 1), (0, -1), (-1, 0)):
+        here = tuple(slice(max(0, -d), min(n, n - d)) for d, n in zip((dy, dx), (h, w)))
+        there = tuple(slice(max(0, d), min(n, n + d)) for d, n in zip((dy, dx), (h, w)))
+        higher = (depth[there] > best[here]) | ((depth[there] == best[here]) & (index[there] < to[here]))
+        best[here] = np.where(higher, depth[there], best[here])
+        to[here] = np.where(higher, index[there], to[here])
+    outside = (to // w < core.start) | (to // w >= core.stop)
+    to = np.where(outside | peak, index, to).ravel()
+    while True:
+        on = to[to]
+        if (on == to).all():
+            return to.reshape(h, w)
+        to = on
 
 
 def inside_hull(points: np.ndarray, grid: np.ndarray) -> np.ndarray:

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mosaicq.functions import kernels
-from mosaicq.operators.graph import merged_labels
 from mosaicq.operators.spatial import suppress_within, within
 from mosaicq.operators.stats import exact_quantile
 from mosaicq.sources.images import to_array
@@ -416,35 +415,6 @@ def signal_table(spots: DataFrame, channels: list[str], reach: int = 2, radius:
     return suppress_within(wide.withColumn("sum", sum((F.col(f"`{c}`") for c in channels[1:]), F.col(f"`{channels[0]}`"))), radius)
 
 
-def segmented_blocks(strips: DataFrame, keys: list[str], height: int, width: int, side: int = 2048, halo: int = 128, block: int = 51, min_area: int = 20) -> DataFrame:
-    """(keys, y, x, label) of the cells of images of any size: blocks are segmented, labels that meet in a halo are one."""
-    cells = blocks(strips, keys, height, width, side, halo)
-
-    def run(batches):
-        for frame in batches:
-            for r in frame.itertuples(index=False):
-                labels = kernels.watershed(to_array(r.pixels, r.height, r.width).astype(float), block, min_area)
-                at = np.argwhere(labels > 0)
-                image = "/".join(str(getattr(r, k)) for k in keys)
-                yield pd.DataFrame({"image": _column(image, len(at)), **{k: _column(getattr(r, k), len(at)) for k in keys}, "block": _column(f"{image}:{r.tile_y}:{r.tile_x}", len(at)), "y": (at[:, 0] + r.top).astype(np.int32), "x": (at[:, 1] + r.left).astype(np.int32), "label": labels[tuple(at.T)].astype(np.int32)})
-
-    found = materialise(cells.mapInPandas(run, f"image string, {_kinds(strips, keys)}, block string, y int, x int, label int"), "image-labels")
-    return merged_labels(found, keys)
-
-
-def segmented(images: DataFrame, keys: list[str], block: int = 51, min_area: int = 20) -> DataFrame:
-    """(keys, y, x, label) of the cells of each image or block."""
-
-    def run(batches):
-        for frame in batches:
-            for r in frame.itertuples(index=False):
-                labels = kernels.watershed(to_array(r.pixels, r.height, r.width).astype(float), block, min_area)
-                at = np.argwhere(labels > 0)
-                yield pd.DataFrame({**{k: _column(getattr(r, k), len(at)) for k in keys}, "y": at[:, 0].astype(np.int32), "x": at[:, 1].astype(np.int32), "label": labels[tuple(at.T)].astype(np.int32)})
-
-    return images.select(*keys, "height", "width", "pixels").mapInPandas(run, f"{_kinds(images, keys)}, y int, x int, label int")
-
-
 def hull_filled(voxels: DataFrame, dims=("z", "y", "x")) -> DataFrame:
     """(label, dims) of all voxels inside the convex hull of each label's voxels (one label is one task's memory)."""
     dims = list(dims)

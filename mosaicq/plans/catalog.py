@@ -332,7 +332,7 @@ def knn_k(spark, sf):
 def cell_communities(spark, sf):
     """Communities of the cells' neighbour graph, its distances turned to weights."""
     edges = communities.fuzzy_weights(spatial.knn(table(spark, sf, "embeddings"), 15, "vec_id", "embedding"))
-    return communities.leiden(materialise(edges, "cell-graph")).withColumnRenamed("node", "vec_id")
+    return communities.leiden(materialise(edges, "cell-graph"), iterations=1).withColumnRenamed("node", "vec_id")
 
 
 @query(KNN + "SELECT a.label AS src_label, b.label AS dst_label, count(*) AS n_edges FROM e JOIN embeddings a ON a.vec_id = src JOIN embeddings b ON b.vec_id = dst GROUP BY 1, 2")

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from mosaicq.functions import features as fx
-from mosaicq.operators import cells, decode, graph, images, spatial, stats, tables
+from mosaicq.operators import cells, decode, graph, images, segmentation, spatial, stats, tables
 from mosaicq.plans.catalog import SCALED, _line_counts, _points, _scaled, query, r6, table
 from mosaicq.sources import images as codec
 from mosaicq.sources import readers, sinks
@@ -446,10 +446,13 @@ def localised_spots(spark, sf):
     return images.localised(_images(spark, sf), ["channel"], sigma=1.0, level=0.5, units="legacySD", method="2DGaussianMask", background="localMedian")
 
 
+CELLS = {"block": 15, "offset": 2.0, "min_region": 6, "dilate": 1, "erode": 1, "min_distance": 2, "min_area": 6}
+
+
 @query()
 def segmented_tiles(spark, sf):
-    strips = _images(spark, sf).withColumn("row0", F.lit(0))
-    return images.segmented_blocks(strips, ["channel"], 60, 50, side=30, halo=10, block=15, min_area=6)
+    """Cells of the images, in strips of 16 rows."""
+    return segmentation.watershed_cells(_images(spark, sf).withColumn("row0", F.lit(0)), ["channel"], 60, 50, rows=16, **CELLS)
 
 
 #: All pixels of the images, empty ones 0.

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mosaicq.functions import kernels as K
-from mosaicq.operators import images
+from mosaicq.operators import images, segmentation
 
 
 def row(a):
@@ -66,7 +66,7 @@ def test_cells_across_seams_are_one(spark):
     for y, x in centres:
         yy, xx = np.indices(a.shape)
         a[(yy - y) ** 2 + (xx - x) ** 2 <= 81] = 1000
-    got = images.segmented_blocks(strips(spark, {"r": a}), ["channel"], 120, 130, side=60, halo=30, block=41, min_area=30).collect()
+    got = segmentation.watershed_cells(strips(spark, {"r": a}), ["channel"], 120, 130, rows=25, block=41, ceiling_q=1.0, min_area=30).collect()
     at = {(r.y, r.x): r.label for r in got}
     discs = [{at[y + p, x + q] for p in range(-8, 9) for q in range(-8, 9) if p * p + q * q <= 64} for y, x in centres]
     assert [len(d) for d in discs] == [1] * 4 and len(set.union(*discs)) == 4 and len(at) == len(got)
