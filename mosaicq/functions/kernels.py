@@ -289,26 +289,149 @@ def sharpest(stack: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     return np.take_along_axis(stack, bend.argmax(0)[None], 0)[0].astype(float)
 
 
-def illumination_slope(order: np.ndarray, typical: np.ndarray) -> np.ndarray:
-    """Slope of each pixel's sorted intensities over those of the typical pixel."""
-    centred = typical - typical.mean()
-    return np.tensordot(centred, order, 1) / max((centred**2).sum(), 1e-12)
+#: Fixed values of the illumination fit: quantiles an energy is scaled to, exponents of the weight of smoothness for
+#: few and for MANY_TILES tiles, exponent of the zero-light weight, weight of the bounds, share of the places that are typical.
+STANDARD_QUANTILES, SMOOTH_FEW, SMOOTH_MANY, MANY_TILES, ZERO_LIGHT, BOUNDS, TYPICAL = 200, 9.5, 6.0, 200, 0.5, 1e6, 0.25
+#: Grey levels of spread for which the weight of smoothness stands; intensities are scaled to it, so exposure doesn't matter.
+GREY_SPREAD = 40.0
 
 
-def illumination_from(slope: np.ndarray, mean: np.ndarray, lowest: np.ndarray, typical: np.ndarray, low: float = 5, smooth: float = 20) -> tuple[np.ndarray, np.ndarray]:
-    """(gain v, offset z) from each pixel's slope, mean and least intensity."""
-    gain = gaussian(slope, smooth)
-    gain /= max(gain.mean(), 1e-12)
-    dark = min(np.percentile(lowest, low), typical.min())
-    offset = gaussian(mean, smooth) - gain * (mean.mean() - dark)
-    return np.maximum(gain, 1e-3), np.clip(offset, 0, None)
+def order_statistics(stack: np.ndarray, most: int = STANDARD_QUANTILES) -> np.ndarray:
+    """Sorted values of each place over the first axis, as at most so many quantiles."""
+    order = np.sort(stack.astype(float), axis=0)
+    if len(order) <= most:
+        return order
+    at = np.linspace(0, len(order) - 1, most)
+    low = np.minimum(at.astype(int), len(order) - 2)
+    rest = (at - low).reshape(-1, *(1,) * (order.ndim - 1))
+    return order[low] * (1 - rest) + order[low + 1] * rest
+
+
+def _smoothing(n: int, sigma: float) -> tuple[np.ndarray, np.ndarray]:
+    """Matrices of Gaussian smoothing and of sigma^2 times its second derivative on n places, edges mirrored."""
+    r = 3 * math.ceil(sigma)
+    t = np.arange(-r, r + 1)
+    g = np.exp(-0.5 * (t / sigma) ** 2)
+    g /= g.sum()
+    d = g * (t**2 / sigma**2 - 1)
+    d -= d.mean()
+    at = np.arange(n)[:, None] + t
+    at = np.where(at % (2 * n) < n, at % (2 * n), 2 * n - 1 - at % (2 * n))
+    out = np.zeros((2, n, n))
+    for k, w in enumerate((g, d)):
+        np.add.at(out[k], (np.arange(n)[:, None], at), np.broadcast_to(w, at.shape))
+    return out[0], out[1]
+
+
+def quasi_newton(f, x: np.ndarray, rounds: int = 500, memory: int = 20, tolerance: float = 1e-9) -> np.ndarray:
+    """Minimum of f, which gives a value and a gradient, by limited-memory quasi-Newton steps with halved step lengths."""
+    value, g = f(x)
+    past: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(rounds):
+        step, weights = -g, []
+        for s, y, rho in reversed(past):
+            weights.append(rho * (s @ step))
+            step = step - weights[-1] * y
+        if past:
+            s, y, _ = past[-1]
+            step *= (s @ y) / (y @ y)
+        else:
+            step /= max(1.0, np.abs(g).sum())
+        for (s, y, rho), w in zip(past, reversed(weights)):
+            step = step + s * (w - rho * (y @ step))
+        slope = g @ step
+        if slope >= 0:
+            past, step, slope = [], -g / max(1.0, np.abs(g).sum()), -(g @ g) / max(1.0, np.abs(g).sum())
+        length = 1.0
+        while True:
+            new = x + length * step
+            new_value, new_g = f(new)
+            if new_value <= value + 1e-4 * length * slope:
+                break
+            length /= 2
+            if length < 1e-12:
+                return x
+        s, y = new - x, new_g - g
+        if s @ y > 1e-12 * (y @ y) ** 0.5 * (s @ s) ** 0.5:
+            past = [*past[1 - memory :], (s, y, 1 / (s @ y))] if len(past) >= memory else [*past, (s, y, 1 / (s @ y))]
+        done = value - new_value <= tolerance * max(abs(value), 1e-12)
+        x, value, g = new, new_value, new_g
+        if done:
+            break
+    return x
 
 
-def illumination_model(stack: np.ndarray, low: float = 5, smooth: float = 20) -> tuple[np.ndarray, np.ndarray]:
-    """(gain v, offset z) of each pixel over many images: robust regression on their sorted intensities."""
-    order = np.sort(stack.astype(float), axis=0)
-    typical = order.mean(axis=(1, 2))
-    return illumination_from(illumination_slope(order, typical), order.mean(0), order[0], typical, low, smooth)
+def fitted_illumination(order: np.ndarray, n_tiles: int, rounds: int = 500) -> tuple[np.ndarray, np.ndarray]:
+    """(gain v, zero-light surface z) from each place's sorted values (quantiles, height, width).
+
+    A place's quantiles are a line over those of the typical place. The lines are fitted together: a Cauchy loss
+    of the residuals as wide as those of reweighted lines of their own, Laplacians of v at several scales for smoothness, and one
+    point near which all lines pass, the value without light, within 0 and the least value seen.
+    """
+    n, h, w = order.shape
+    means = order.mean(0).ravel()
+    middle = np.argsort(means, kind="stable")
+    half = max(1, round(TYPICAL * h * w) // 2)
+    middle = middle[max(0, h * w // 2 - half) : h * w // 2 + half + 1]
+    flat = order.reshape(n, -1)
+    typical = flat[:, middle].mean(1)
+    unit = max(1.4826 * float(np.median(np.abs(typical - np.median(typical)))), 1e-9)  # intensities are counted in it
+    pivot_q, pivot = typical[n // 2], flat[n // 2]
+    q, at = (flat - pivot) / unit, ((typical - pivot_q) / unit)[:, None]
+    # Lines start from the middle half of the quantiles, where bright or dark tiles don't pull.
+    weight, wide = np.zeros_like(q), np.inf
+    weight[n // 4 : n - n // 4] = 1
+    for _ in range(20):  # lines of their own first, reweighted by a width that outliers don't stretch
+        total = weight.sum(0)
+        mid_x, mid_y = (weight * at).sum(0) / total, (weight * q).sum(0) / total
+        v = (weight * (at - mid_x) * (q - mid_y)).sum(0) / np.maximum((weight * (at - mid_x) ** 2).sum(0), 1e-12)
+        b = mid_y - v * mid_x
+        rest = at * v + b - q
+        wide = max(1.4826 * float(np.median(np.abs(rest))), 1e-6)
+        weight = 1 / (1 + (rest / wide) ** 2)
+    smooth = 10 ** (SMOOTH_FEW + (SMOOTH_MANY - SMOOTH_FEW) * min(n_tiles, MANY_TILES) / MANY_TILES) / GREY_SPREAD**2
+    scales = 2.0 ** np.arange(-1, int(max(1, math.log2(max(1, max(h, w) // 50)))) + 1)
+    operators = [(_smoothing(h, s), _smoothing(w, s)) for s in scales]
+    top = flat.min() / unit
+    factor, zero = STANDARD_QUANTILES / n, 10**ZERO_LIGHT
+    m = h * w
+
+    def energy(x: np.ndarray) -> tuple[float, np.ndarray]:
+        v, b, zx, zy = x[:m], x[m : 2 * m], x[2 * m], x[2 * m + 1]
+        r = at * v + b - q
+        ratio = r / wide
+        total = factor * wide**2 / 2 * np.log1p(ratio * ratio).sum()
+        pull = factor * r / (1 + ratio * ratio)
+        gv, gb = (at * pull).sum(0), pull.sum(0)
+        image = v.reshape(h, w)
+        for (gh, dh), (gw, dw) in operators:
+            bend = (dh @ image @ gw.T + gh @ image @ dw.T) / len(operators)
+            total += smooth * (bend**2).sum()
+            gv += smooth * 2 * ((dh.T @ bend @ gw + gh.T @ bend @ dw) / len(operators)).ravel()
+        px, py = zx - pivot_q / unit, zy - pivot / unit
+        miss = v * px + b - py
+        total += zero * (miss**2).sum()
+        gv += zero * 2 * px * miss
+        gb += zero * 2 * miss
+        gx, gy = zero * 2 * (v * miss).sum(), -zero * 2 * miss.sum()
+        for z, add in ((zx, 0), (zy, 1)):
+            beyond = min(z, 0.0) + max(z - top, 0.0)
+            total += BOUNDS * beyond**2
+            if add:
+                gy += 2 * BOUNDS * beyond
+            else:
+                gx += 2 * BOUNDS * beyond
+        return total, np.concatenate([gv, gb, [gx, gy]])
+
+    x = quasi_newton(energy, np.concatenate([v, b, [0.85 * top, 0.85 * top]]), rounds)
+    v, b, zx = x[:m], x[m : 2 * m], x[2 * m]
+    z = pivot + b * unit - pivot_q * v + zx * unit * v
+    return np.maximum(v, 1e-3).reshape(h, w), np.maximum(z, 0).reshape(h, w)
+
+
+def illumination_model(stack: np.ndarray, rounds: int = 500) -> tuple[np.ndarray, np.ndarray]:
+    """(gain v, zero-light surface z) of each pixel over many images."""
+    return fitted_illumination(order_statistics(stack), len(stack), rounds)
 
 
 def illumination_corrected(image: np.ndarray, gain: np.ndarray, offset: np.ndarray, mode: str = "zero") -> np.ndarray:

@@ -74,11 +74,22 @@ def chromatic_resized(images: DataFrame, keep=("cycle", "tile", "channel"), side
     return per_image(images, run, list(keep))
 
 
-def illumination_models(images: DataFrame, keys=("cycle", "channel"), strip_rows: int = 64, low: float = 5, smooth: float = 20) -> DataFrame:
+#: Fixed value: places of an image, about, at which its illumination is fitted.
+ILLUMINATION_PLACES = 9400
+
+
+def working_size(height: int, width: int, places: int = ILLUMINATION_PLACES) -> tuple[int, int]:
+    """The size of an image scaled down to about so many places; smaller ones keep theirs."""
+    scale = min(1.0, (places / (height * width)) ** 0.5)
+    return max(1, round(height * scale)), max(1, round(width * scale))
+
+
+def illumination_models(images: DataFrame, keys=("cycle", "channel"), places: int = ILLUMINATION_PLACES, strip_rows: int = 4, rounds: int = 500) -> DataFrame:
     """(keys, m_height, gain, offset as float32) over all tiles of a cycle and channel.
 
-    Images are cut into strips of rows: a task sorts one strip of all tiles, the typical pixel is a sum over
-    strips, and only the finished planes of one image meet in a task.
+    Tiles are scaled down and cut into strips where they are; a task sorts one strip of all tiles and keeps
+    STANDARD_QUANTILES quantiles, so that the fit of a model, one task, holds places * quantiles numbers
+    however many tiles there are. The fitted surfaces are scaled up to the tiles' size.
     """
     keys = list(keys)
 
@@ -86,38 +97,29 @@ def illumination_models(images: DataFrame, keys=("cycle", "channel"), strip_rows
         for frame in batches:
             rows = []
             for r in frame.itertuples(index=False):
-                a = to_array(r.pixels, r.height, r.width)
-                rows += [{**{k: getattr(r, k) for k in keys}, "row0": y, **_packed(a[y : y + strip_rows])} for y in range(0, r.height, strip_rows)]
-            yield pd.DataFrame(rows, columns=[*keys, "row0", "height", "width", "pixels"])
-
-    def sorted_of(frame: pd.DataFrame) -> np.ndarray:
-        return np.sort(np.array([to_array(*r) for r in zip(frame["pixels"], frame["height"], frame["width"])], float), axis=0)
-
-    def first(frame: pd.DataFrame) -> dict:
-        return {k: frame[k].iloc[0] for k in keys}
-
-    def sums(frame: pd.DataFrame) -> pd.DataFrame:
-        order = sorted_of(frame)
-        return pd.DataFrame([{**first(frame), "sums": order.sum(axis=(1, 2)).tolist(), "n": order[0].size}])
+                a = kernels.resized(to_array(r.pixels, r.height, r.width), working_size(r.height, r.width, places))
+                rows += [(*(getattr(r, k) for k in keys), r.height, r.width, y, a.shape[1], a[y : y + strip_rows].astype("<f4").tobytes()) for y in range(0, len(a), strip_rows)]
+            yield pd.DataFrame(rows, columns=[*keys, "height", "width", "row0", "across", "part"])
 
-    def planes(frame: pd.DataFrame) -> pd.DataFrame:
-        order = sorted_of(frame)
-        parts = {"slope": kernels.illumination_slope(order, np.array(frame["typical"].iloc[0])), "mean": order.mean(0), "lowest": order[0]}
-        return pd.DataFrame([{**first(frame), "row0": frame["row0"].iloc[0], "height": order.shape[1], "width": order.shape[2], "typical": list(frame["typical"].iloc[0]), **{k: v.astype("<f8").tobytes() for k, v in parts.items()}}])
+    def ordered(frame: pd.DataFrame) -> pd.DataFrame:
+        first = frame.iloc[0]
+        stack = np.array([np.frombuffer(x, "<f4").reshape(-1, first["across"]) for x in frame["part"]])
+        order = kernels.order_statistics(stack)
+        return pd.DataFrame([{**{k: first[k] for k in [*keys, "height", "width", "row0", "across"]}, "tiles": len(stack), "part": order.astype("<f8").tobytes()}])
 
-    def finished(frame: pd.DataFrame) -> pd.DataFrame:
+    def fitted(frame: pd.DataFrame) -> pd.DataFrame:
         rows = frame.sort_values("row0")
-        slope, mean, lowest = (np.concatenate([np.frombuffer(raw, "<f8").reshape(h, w) for raw, h, w in zip(rows[c], rows["height"], rows["width"])]) for c in ("slope", "mean", "lowest"))
-        gain, offset = kernels.illumination_from(slope, mean, lowest, np.array(rows["typical"].iloc[0]), low, smooth)
-        return pd.DataFrame([{**first(rows), "m_height": gain.shape[0], "gain": gain.astype("<f4").tobytes(), "offset": offset.astype("<f4").tobytes()}])
+        first, n = rows.iloc[0], min(int(rows["tiles"].iloc[0]), kernels.STANDARD_QUANTILES)
+        order = np.concatenate([np.frombuffer(x, "<f8").reshape(n, -1, first["across"]) for x in rows["part"]], axis=1)
+        size = int(first["height"]), int(first["width"])
+        gain, offset = (kernels.resized(x, size).astype("<f4").tobytes() for x in kernels.fitted_illumination(order, int(first["tiles"]), rounds))
+        return pd.DataFrame([{**{k: first[k] for k in keys}, "m_height": size[0], "gain": gain, "offset": offset}])
 
     kinds = _kinds(images, keys)
-    strips = materialise(images.select(*keys, "height", "width", "pixels").mapInPandas(cut, f"{kinds}, row0 int, {_TILE}"), "image-strips")
-    each = strips.groupBy(*keys, "row0").applyInPandas(sums, f"{kinds}, sums array<double>, n long")
-    each = each.select(*keys, "n", F.posexplode("sums").alias("k", "s")).groupBy(*keys, "k").agg((F.sum("s") / F.sum("n")).alias("t"))
-    typical = each.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "t"))), lambda x: x["t"]).alias("typical"))
-    parts = strips.join(typical, keys).groupBy(*keys, "row0").applyInPandas(planes, f"{kinds}, row0 int, height int, width int, typical array<double>, slope binary, mean binary, lowest binary")
-    return parts.groupBy(*keys).applyInPandas(finished, f"{kinds}, m_height int, gain binary, offset binary")
+    of = f"{kinds}, height int, width int, row0 int, across int"
+    strips = images.select(*keys, "height", "width", "pixels").mapInPandas(cut, f"{of}, part binary")
+    orders = strips.groupBy(*keys, "row0").applyInPandas(ordered, f"{of}, tiles int, part binary")
+    return orders.groupBy(*keys).applyInPandas(fitted, f"{kinds}, m_height int, gain binary, offset binary")
 
 
 def illumination_corrected(images: DataFrame, models: DataFrame, keep=("cycle", "tile", "channel"), keys=("cycle", "channel"), mode: str = "zero") -> DataFrame:

@@ -507,6 +507,41 @@ def max_projection(spark, sf):
     return codec.to_pixels(images.focus_stacked(planes, mode="max"), ["channel"]).select("y", "x", "value")
 
 
+LIGHT_ROUNDS = 40
+
+
+def _light_tiles(spark, sf):
+    """Tiles of 12 x 10 pixels: order lines summed on a grid by return flag and by a day of the month; 0 where there are none."""
+
+    def draw(frame):
+        import pandas as pd
+
+        a = np.zeros((12, 10), "<u2")
+        a[frame["y"], frame["x"]] = frame["value"]
+        return pd.DataFrame([{"cycle": 1, "channel": frame["channel"].iloc[0], "tile": frame["tile"].iloc[0], "height": 12, "width": 10, "pixels": a.tobytes()}])
+
+    t = table(spark, sf, "lineitem")
+    px = t.groupBy(F.col("l_returnflag").alias("channel"), F.dayofmonth("l_shipdate").alias("tile"), (F.col("l_partkey") % 12).alias("y"), (F.col("l_suppkey") % 10).alias("x")).agg(F.least(F.sum("l_quantity"), F.lit(65535)).cast("int").alias("value"))
+    return px.groupBy("channel", "tile").applyInPandas(draw, "cycle int, channel string, tile int, height int, width int, pixels binary")
+
+
+@query()
+def illumination_surfaces(spark, sf):
+    """Gain and zero light of every pixel, fitted over all tiles of a channel."""
+
+    def pixels(batches):
+        import pandas as pd
+
+        for frame in batches:
+            for r in frame.itertuples(index=False):
+                gain, offset = (np.frombuffer(v, "<f4").reshape(r.m_height, -1) for v in (r.gain, r.offset))
+                y, x = np.indices(gain.shape)
+                yield pd.DataFrame({"channel": np.full(gain.size, r.channel, object), "y": y.ravel().astype(np.int32), "x": x.ravel().astype(np.int32), "gain": gain.ravel().astype(float), "offset": offset.ravel().astype(float)})
+
+    models = images.illumination_models(_light_tiles(spark, sf), rounds=LIGHT_ROUNDS)
+    return models.select("channel", "m_height", "gain", "offset").mapInPandas(pixels, "channel string, y int, x int, gain double, offset double")
+
+
 @query(FULL + """, c AS (SELECT s_suppkey % 60 AS cy, s_suppkey * 7 % 50 AS cx FROM supplier)
 SELECT CAST(cy AS INTEGER) AS cy, CAST(cx AS INTEGER) AS cx, CAST(a.y - cy + 4 AS INTEGER) AS y, CAST(a.x - cx + 4 AS INTEGER) AS x, CAST(v AS INTEGER) AS value FROM c JOIN a ON a.channel = 'N' AND a.y BETWEEN cy - 4 AND cy + 4 AND a.x BETWEEN cx - 4 AND cx + 4 WHERE v > 0""")
 def crops_of_cells(spark, sf):

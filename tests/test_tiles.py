@@ -123,15 +123,3 @@ def test_translations_are_repaired_and_climbed(spark):
     assert got[0] == (2, 70, True) and got[2][2] is False and abs(got[2][1] - 70) <= 1
     climbed = {r.i: (r.dy, r.dx) for r in images.climbed_translations(tiles, fixed).collect()}
     assert climbed == {0: (2, 70), 1: (-1, 71), 2: (2, 69)}
-
-
-def test_illumination_of_strips(spark):
-    rng = np.random.default_rng(8)
-    shade = 0.5 + np.indices((50, 40)).sum(0) / 120
-    tiles = [np.rint(200 + shade * (K.gaussian(rng.random((50, 40)), 2) * 4000)).astype("<u2") for _ in range(9)]
-    rows = [(c, "x", t, *row(a)) for c in (1, 2) for t, a in enumerate(tiles[: 9 - c])]
-    df = spark.createDataFrame(rows, "cycle int, channel string, tile int, height int, width int, pixels binary")
-    got = {r.cycle: r for r in images.illumination_models(df, strip_rows=16, smooth=3).collect()}
-    for c in (1, 2):
-        gain, offset = K.illumination_model(np.array(tiles[: 9 - c]), smooth=3)
-        assert got[c].m_height == 50 and np.allclose(np.frombuffer(got[c].gain, "<f4").reshape(50, 40), gain, rtol=1e-5) and np.allclose(np.frombuffer(got[c].offset, "<f4").reshape(50, 40), offset, rtol=1e-4, atol=1e-2)
