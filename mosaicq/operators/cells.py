@@ -99,12 +99,6 @@ def principal_components(vectors: DataFrame, k: int, vec_col: str = "v") -> Data
     return model.transform(data).withColumn("pcs", vector_to_array("_p")).drop("_v", "_p")
 
 
-def batch_centred(cells: DataFrame, batch: str, cluster: str, dims: list[str]) -> DataFrame:
-    """Linear batch correction: within each cluster every batch is moved to the cluster's mean."""
-    a, b = Window.partitionBy(batch, cluster), Window.partitionBy(cluster)
-    return cells.withColumns({d: F.col(d) - F.avg(d).over(a) + F.avg(d).over(b) for d in dims})
-
-
 def small_labels_dropped(pixels: DataFrame, min_area: int) -> DataFrame:
     big = pixels.groupBy("label").agg(F.count("*").alias("area")).where(F.col("area") >= min_area)
     return pixels.join(big, "label", "left_semi")
