@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mosaicq.operators.spatial import nearest_within
@@ -90,13 +92,39 @@ def threshold_in_cluster(expr: DataFrame, obs: DataFrame, cluster, marker: str,
 
 
 def principal_components(vectors: DataFrame, k: int, vec_col: str = "v") -> DataFrame:
-    """PCA scores as column pcs (array)."""
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    """vectors with pcs: scores on the k directions of largest variance of the centred vectors, each direction's largest loading positive.
 
-    data = vectors.withColumn("_v", array_to_vector(F.transform(vec_col, lambda x: x.cast("double"))))
-    model = PCA(k=k, inputCol="_v", outputCol="_p").fit(data)
-    return model.transform(data).withColumn("pcs", vector_to_array("_p")).drop("_v", "_p")
+    A task adds up its vectors and their products; dimensions squared numbers reach the driver, which solves
+    for the directions. Rows without a vector get none.
+    """
+    dims = vectors.where(F.col(vec_col).isNotNull()).agg(F.max(F.size(vec_col))).first()[0]
+    if not dims:
+        return vectors.withColumn("pcs", F.lit(None).cast("array<double>"))
+
+    def sums(batches):
+        total = np.zeros((dims + 1, dims + 1))
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+            x = np.c_[np.ones(len(x)), x]
+            total += x.T @ x
+        i, j = (a.ravel() for a in np.indices(total.shape))
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(total.ravel())], names=["i", "j", "s"])
+
+    rows = vectors.where(F.col(vec_col).isNotNull()).select(F.col(vec_col).cast("array<double>").alias("v"))
+    total = np.zeros((dims + 1, dims + 1))
+    for i, j, s in rows.mapInArrow(sums, "i long, j long, s double").groupBy("i", "j").agg(F.sum("s")).collect():
+        total[i, j] = s
+    mean = total[0, 1:] / total[0, 0]
+    _, directions = np.linalg.eigh(total[1:, 1:] / total[0, 0] - np.outer(mean, mean))
+    directions = directions[:, ::-1][:, :k].T
+    directions *= np.sign(directions[np.arange(len(directions)), np.abs(directions).argmax(1)])[:, None]
+
+    def score(d: np.ndarray) -> Column:
+        line = F.array(*[F.lit(float(x)) for x in d])
+        dot = F.aggregate(F.zip_with(F.col(vec_col), line, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda a, b: a + b)
+        return dot - F.lit(float(mean @ d))
+
+    return vectors.withColumn("pcs", F.when(F.col(vec_col).isNotNull(), F.array(*[score(d) for d in directions])))
 
 
 def small_labels_dropped(pixels: DataFrame, min_area: int) -> DataFrame:
@@ -114,4 +142,6 @@ def genes_by_region(expr: DataFrame, regions: DataFrame, by: list[str]) -> DataF
 
 
 def column_share(expr: DataFrame, by: str = "gene") -> DataFrame:
-    return expr.withColumn("share", F.col("cnt") / F.sum("cnt").over(Window.partitionBy(by)))
+    """expr with share: a count's part of its column's total, totals being sums that join back."""
+    totals = expr.groupBy(F.col(by).alias("_by")).agg(F.sum("cnt").alias("_total"))
+    return expr.join(totals, F.col(by).eqNullSafe(F.col("_by"))).withColumn("share", F.col("cnt") / F.col("_total")).drop("_by", "_total")

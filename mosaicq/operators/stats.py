@@ -179,57 +179,95 @@ def _correlated(pairs: DataFrame, *by: str) -> DataFrame:
     return sums.select(*by, F.when(spread > 0, F.col("xy") / spread).alias("r"))
 
 
-#: Columns up to which a task holds the matrix of their products.
-MOST_COLUMNS = 2048
+#: Columns of a block: a task holds the products of two blocks' columns. Rows it lays out densely at a time.
+MOST_COLUMNS, _DENSE_ROWS = 2048, 1024
+#: A column whose variance is below this share of its mean square is constant: the rest is rounding.
+_CONSTANT = 1e-12
 
 
-def _gram(cells: DataFrame, n: int) -> DataFrame:
-    """(i, j, xy): sums of products of the columns k (i <= j) of rows (r, k, x) that are complete, or absent where x is 0."""
+def gram_blocks(cells: DataFrame, n: int) -> DataFrame:
+    """(i, j, xy), i <= j: sums of products of n columns of rows (r, k, x), what is absent being 0.
+
+    A cell goes to each pair of blocks that its column's block is in (one pair up to MOST_COLUMNS columns);
+    a task adds up the products of the pairs it was dealt, row by row.
+    """
+    side, count = MOST_COLUMNS, -(-n // MOST_COLUMNS)
+    own = F.floor(F.col("k") / side).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.lit(max(count - 1, 0)))).alias("other")
+    wide = cells.select("r", "k", F.col("x").cast("double").alias("x"), own.alias("own"), other)
+    wide = wide.select(F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "r", "k", "x")
+
+    def added(total: np.ndarray, table: pa.Table, bi: int, bj: int) -> None:
+        r = table.column("r").combine_chunks().dictionary_encode().indices.to_numpy()
+        k, x = table.column("k").to_numpy(), table.column("x").to_numpy()
+        line = np.concatenate([[0], np.cumsum(r[1:] != r[:-1])])
+        for first in range(0, int(line[-1]) + 1, _DENSE_ROWS):
+            a, b = np.searchsorted(line, (first, first + _DENSE_ROWS))
+            at, col, val = line[a:b] - first, k[a:b], x[a:b]
+            left = np.zeros((int(at[-1]) + 1, total.shape[0]))
+            mine = col // side == bi
+            left[at[mine], col[mine] - bi * side] = val[mine]
+            right = left
+            if bi != bj:
+                right = np.zeros((len(left), total.shape[1]))
+                right[at[~mine], col[~mine] - bj * side] = val[~mine]
+            total += left.T @ right
+
+    def told(total: np.ndarray, bi: int, bj: int) -> pa.RecordBatch:
+        i, j = np.triu_indices(len(total)) if bi == bj else (x.ravel() for x in np.indices(total.shape))
+        return pa.RecordBatch.from_arrays([pa.array(i + bi * side), pa.array(j + bj * side), pa.array(total[i, j])], names=["i", "j", "xy"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, rest = np.zeros((n, n)), None
-        for batch in batches:
-            table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+        rest, pair, total = None, None, None
+        for batch in _and_end(batches):
+            table = rest if batch is None else pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            if table is None or not len(table):
+                continue
+            bi, bj = table.column("bi").to_numpy(), table.column("bj").to_numpy()
             r = table.column("r").combine_chunks().dictionary_encode().indices.to_numpy()
-            line = np.concatenate([[0], np.cumsum(r[1:] != r[:-1])]) if len(r) else r
-            done = int(np.searchsorted(line, line[-1])) if len(line) else 0  # the last row may go on
+            new = np.concatenate([[True], (r[1:] != r[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])])
+            done = len(table) if batch is None else int(np.flatnonzero(new)[-1])  # the last row may go on
             rest = table.slice(done)
-            total += _products(line[:done], table.slice(0, done), n)
-        if rest is not None and len(rest):
-            total += _products(np.zeros(len(rest), np.int64), rest, n)
-        i, j = np.triu_indices(n)
-        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int64)), pa.array(j.astype(np.int64)), pa.array(total[i, j])], names=["i", "j", "xy"])
-
-    dealt = cells.repartition("r").sortWithinPartitions("r")
+            edges = [0, *(np.flatnonzero((bi[1:done] != bi[: done - 1]) | (bj[1:done] != bj[: done - 1])) + 1), done] if done else []
+            for a, b in zip(edges, edges[1:]):
+                if pair != (bi[a], bj[a]):
+                    if pair is not None:
+                        yield told(total, *pair)
+                    pair = int(bi[a]), int(bj[a])
+                    total = np.zeros(tuple(min(side, n - x * side) for x in pair))
+                added(total, table.slice(a, b - a), *pair)
+        if pair is not None:
+            yield told(total, *pair)
+
+    dealt = wide.repartition("bi", "bj", "r").sortWithinPartitions("bi", "bj", "r")
     return dealt.mapInArrow(run, "i long, j long, xy double").groupBy("i", "j").agg(F.sum("xy").alias("xy"))
 
 
-def _products(line: np.ndarray, table: pa.Table, n: int) -> np.ndarray:
-    x = np.zeros((int(line[-1]) + 1 if len(line) else 0, n))
-    x[line, table.column("k").to_numpy()] = table.column("x").to_numpy()
-    return x.T @ x
+def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
 
 
 def correlation_matrix(long: DataFrame, row: str, col: str, value: str) -> DataFrame:
-    """Pearson correlation of all column pairs of a complete long matrix, the diagonal null.
+    """(a, b, r): Pearson correlation of all column pairs of a long matrix over all its rows; the diagonal null.
 
-    A task sums the products of the columns over its rows; only these sums are shuffled. Beyond
-    MOST_COLUMNS columns the table is joined to itself by row.
+    A cell that is absent or null counts as 0, whatever the number of columns: over n rows, r comes from the
+    columns' sums and the sums of their products. A constant column has no correlation.
     """
-    means = with_row_ids(long.groupBy(F.col(col).alias("name")).agg(F.avg(value).alias("m")), ["name"], "k")
-    n = means.count()
-    if n > MOST_COLUMNS:
-        a = long.select(F.col(row), F.col(col).alias("a"), F.col(value).alias("x"))
-        b = long.select(F.col(row), F.col(col).alias("b"), F.col(value).alias("y"))
-        return _correlated(a.join(b, row), "a", "b").withColumn("r", F.when(F.col("a") != F.col("b"), F.col("r")))
-    cells = long.join(F.broadcast(means), F.col(col) == F.col("name")).select(F.col(row).alias("r"), "k", (F.col(value) - F.col("m")).cast("double").alias("x"))
-    sums = materialise(_gram(cells, n), "correlation")
-    both = sums.unionByName(sums.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "xy"))
-    own = sums.where("i = j")
-    out = both.join(own.select("i", F.col("xy").alias("xx")), "i").join(own.select(F.col("i").alias("j"), F.col("xy").alias("yy")), "j")
-    out = out.join(means.select(F.col("k").alias("i"), F.col("name").alias("a")), "i").join(means.select(F.col("k").alias("j"), F.col("name").alias("b")), "j")
-    spread = F.sqrt(F.col("xx") * F.col("yy"))
-    return out.select("a", "b", F.when((F.col("i") != F.col("j")) & (spread > 0), F.col("xy") / spread).alias("r"))
+    n_rows = long.select(row).distinct().count()
+    cells = long.where(F.col(value).isNotNull())
+    names = materialise(with_row_ids(long.select(F.col(col).alias("name")).distinct(), ["name"], "k"), "correlation-columns")
+    n = names.count()
+    numbered = cells.join(broadcast_if_few(names), F.col(col) == F.col("name")).select(F.col(row).alias("r"), "k", F.col(value).cast("double").alias("x"))
+    grams = materialise(gram_blocks(numbered, n), "correlation")
+    own = grams.where("i = j").select(F.col("i").alias("k"), F.col("xy").alias("xx")).join(numbered.groupBy("k").agg(F.sum("x").alias("s")), "k").join(names, "k")
+    own = broadcast_if_few(materialise(own.withColumn("v", F.greatest(F.col("xx") * n_rows - F.col("s") * F.col("s"), F.lit(0.0))), "correlation-columns"))
+    both = grams.unionByName(grams.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "xy"))
+    out = both.join(own.select(F.col("k").alias("i"), F.col("name").alias("a"), F.col("s").alias("si"), F.col("v").alias("vi"), F.col("xx").alias("xi")), "i")
+    out = out.join(own.select(F.col("k").alias("j"), F.col("name").alias("b"), F.col("s").alias("sj"), F.col("v").alias("vj"), F.col("xx").alias("xj")), "j")
+    varies = (F.col("vi") > F.col("xi") * n_rows * _CONSTANT) & (F.col("vj") > F.col("xj") * n_rows * _CONSTANT)
+    r = (F.col("xy") * n_rows - F.col("si") * F.col("sj")) / (F.sqrt("vi") * F.sqrt("vj"))
+    return out.select("a", "b", F.when((F.col("i") != F.col("j")) & varies, r).alias("r"))
 
 
 def cluster_correlation(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -260,15 +298,47 @@ def layers_by_valleys(df: DataFrame, col: str, bins: int, order: int = 1) -> Dat
     return told.join(F.broadcast(layer), F.col("_bin") == F.col("_b"), "left").drop("_bin", "_b")
 
 
+#: Parts into which a column's values are dealt for ranking: one window orders a part or the parts, never a column.
+RANK_PARTS = 64
+
+
+def _value_ranks(counts: DataFrame) -> DataFrame:
+    """(by, v, rank): average ranks of values from their counts (by, v, n)."""
+    ends = counts.groupBy("by").agg(F.percentile_approx("v", [i / RANK_PARTS for i in range(1, RANK_PARTS)], 1000).alias("cuts"))
+    told = counts.join(ends, "by").withColumn("part", F.size(F.filter("cuts", lambda c: c < F.col("v")))).drop("cuts")
+    sums = told.groupBy("by", "part").agg(F.sum("n").alias("all"))
+    before = F.sum("all").over(Window.partitionBy("by").orderBy("part")) - F.col("all")
+    sums = sums.select(F.col("by").alias("_by"), F.col("part").alias("_part"), before.alias("before"))
+    inside = F.sum("n").over(Window.partitionBy("by", "part").orderBy("v")) - F.col("n")
+    ranked = told.withColumn("inside", inside).join(sums, (F.col("by") == F.col("_by")) & (F.col("part") == F.col("_part")))
+    return ranked.select("by", "v", (F.col("before") + F.col("inside") + (F.col("n") + 1) / 2).alias("rank"))
+
+
 def average_ranks(long: DataFrame, by: str, value: str) -> DataFrame:
-    """Ranks with ties averaged, as column rank."""
-    least = F.rank().over(Window.partitionBy(by).orderBy(value))
-    ties = F.count("*").over(Window.partitionBy(by, value))
-    return long.withColumn("rank", least + (ties - 1) / 2)
+    """Ranks with ties averaged, as column rank: a column's values are counted, the counts ordered in parts."""
+    counts = long.where(F.col(value).isNotNull()).groupBy(F.col(by).alias("by"), F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    ranks = _value_ranks(counts).select(F.col("by").alias("_by"), F.col("v").alias("_v"), "rank")
+    return long.join(ranks, (F.col(by) == F.col("_by")) & (F.col(value) == F.col("_v")), "left").drop("_by", "_v")
 
 
 def spearman_matrix(long: DataFrame, row: str, col: str, value: str) -> DataFrame:
-    return correlation_matrix(average_ranks(long, col, value), row, col, "rank")
+    """(a, b, r): Pearson correlation of the columns' ranks; absent and null cells are ranked as 0.
+
+    Ranks are counted from that of 0, so that what is absent stays absent.
+    """
+    n_rows = long.select(row).distinct().count()
+    cells = long.where(F.col(value).isNotNull()).withColumn(value, F.col(value).cast("double"))
+    counts = cells.groupBy(F.col(col).alias("by"), F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    absent = long.select(F.col(col).alias("by")).distinct().join(counts.groupBy("by").agg(F.sum("n").alias("_n")), "by", "left")
+    zeros = absent.select("by", F.lit(0.0).alias("v"), (F.lit(n_rows) - F.coalesce("_n", F.lit(0))).alias("n"))
+    counts = materialise(counts.unionByName(zeros).groupBy("by", "v").agg(F.sum("n").alias("n")).where("n > 0 or v = 0"), "rank-counts")
+    ranks = materialise(_value_ranks(counts), "ranks")
+    zero = ranks.where("v = 0").select(F.col("by").alias("_zby"), F.col("rank").alias("_zero"))
+    shifted = ranks.join(zero, F.col("by") == F.col("_zby")).select(F.col("by").alias("_by"), F.col("v").alias("_v"), (F.col("rank") - F.col("_zero")).alias("rank"))
+    told = cells.join(shifted, (F.col(col) == F.col("_by")) & (F.col(value) == F.col("_v"))).select(row, col, "rank")
+    # Columns without a value, and rows, still count.
+    rest = long.where(F.col(value).isNull()).select(row, col, F.lit(None).cast("double").alias("rank"))
+    return correlation_matrix(told.unionByName(rest), row, col, "rank")
 
 
 def mean_expression(df: DataFrame, cluster: str, gene: str, value: str, share: str = "cluster") -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mosaicq.functions import features as fx
-from mosaicq.operators import cells, communities, decode, graph, spatial, stats, tables
+from mosaicq.operators import cells, communities, decode, graph, harmony, spatial, stats, tables
 from mosaicq.streaming import windows
 from mosaicq.workspace import broadcast_if_few, materialise
 
@@ -226,14 +226,14 @@ DENSE = COUNTS + ", d AS (SELECT a.cell_id, b.gene, coalesce(c.cnt, 0) AS cnt FR
 
 @query(DENSE + ", s AS (SELECT cell_id, gene, cnt / sum(cnt) OVER (PARTITION BY gene) AS x FROM d) SELECT p.gene AS a, q.gene AS b, CASE WHEN p.gene <> q.gene THEN round(corr(p.x, q.x), 6) END AS r FROM s p JOIN s q USING (cell_id) GROUP BY 1, 2")
 def gene_corr_matrix(spark, sf):
-    share = cells.column_share(cells.complete(_counts(spark, sf)))
+    share = cells.column_share(_counts(spark, sf))
     return stats.correlation_matrix(share, "cell_id", "gene", "share").withColumn("r", r6("r"))
 
 
 @query(DENSE + """, k AS (SELECT *, rank() OVER (PARTITION BY gene ORDER BY cnt) + (count(*) OVER (PARTITION BY gene, cnt) - 1) / 2.0 AS x FROM d)
 SELECT p.gene AS a, q.gene AS b, CASE WHEN p.gene <> q.gene THEN round(corr(p.x, q.x), 6) END AS r FROM k p JOIN k q USING (cell_id) GROUP BY 1, 2""")
 def gene_rank_corr(spark, sf):
-    return stats.spearman_matrix(cells.complete(_counts(spark, sf)), "cell_id", "gene", "cnt").withColumn("r", r6("r"))
+    return stats.spearman_matrix(_counts(spark, sf), "cell_id", "gene", "cnt").withColumn("r", r6("r"))
 
 
 @query("WITH m AS (SELECT l_returnflag, l_linestatus, avg(l_tax) AS mean, avg(CAST(l_tax > 0 AS DOUBLE)) AS frac_positive FROM lineitem GROUP BY 1, 2) SELECT l_returnflag, l_linestatus, round(mean, 6) AS mean, round(frac_positive, 6) AS frac_positive, round(mean / sqrt(sum(mean * mean) OVER (PARTITION BY l_linestatus)), 6) AS l2 FROM m")
@@ -328,6 +328,22 @@ def knn_k(spark, sf):
     return _knn(spark, sf).withColumn("d2", F.round("d2", 5))
 
 
+INTEGRATION = harmony.Settings(clusters=8, corrections=2, rounds=2, blocks=2)
+
+
+def _batches(spark, sf):
+    """Scores of the cells on eight directions, dealt into three batches."""
+    e = table(spark, sf, "embeddings").select("vec_id", F.concat(F.lit("b"), F.col("vec_id") % 3).alias("batch"), F.col("embedding").alias("v"))
+    return cells.principal_components(e, 8).select("vec_id", "batch", "pcs")
+
+
+@query()
+def integrated_cells(spark, sf):
+    """The cells' scores without what tells their batches apart."""
+    out = harmony.integrated(_batches(spark, sf), "vec_id", "batch", "pcs", INTEGRATION)
+    return out.select("vec_id", "batch", F.transform("integrated", lambda x: F.round(x, 6)).alias("integrated"))
+
+
 @query()
 def cell_communities(spark, sf):
     """Communities of the cells' neighbour graph, its distances turned to weights."""

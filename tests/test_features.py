@@ -154,3 +154,40 @@ def test_correlations_of_many_rows_and_columns(spark, monkeypatch):
         assert len(got) == 144 and all(got[k, k] is None for k in range(12))
         assert all(abs(got[i, j] - want[i, j]) < 1e-9 for i in range(12) for j in range(12) if i != j and 3 not in (i, j))
         assert all(got[3, k] is None or np.isnan(got[3, k]) for k in range(12))
+
+
+def test_absent_cells_are_zeros_at_any_width(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(11)
+    x = rng.poisson(1.2, (150, 9)).astype(float)
+    x[:, 4] = 0
+    rows = [(i, k, float(v)) for i, r in enumerate(x) for k, v in enumerate(r) if v or rng.random() < 0.3]
+    rows += [(i, 4, None) for i in range(150)]  # a column of nulls, and every row there
+    df = spark.createDataFrame(rows, "cell int, gene int, v double").repartition(3)
+
+    def ranks(c):
+        order = np.sort(c)
+        return (np.searchsorted(order, c, "left") + np.searchsorted(order, c, "right") + 1) / 2
+
+    with np.errstate(invalid="ignore"):
+        want = {"p": np.corrcoef(x.T), "s": np.corrcoef(np.apply_along_axis(ranks, 0, x).T)}
+    for most in (2048, 4):
+        monkeypatch.setattr(stats, "MOST_COLUMNS", most)
+        for key, f in (("p", stats.correlation_matrix), ("s", stats.spearman_matrix)):
+            got = {(r.a, r.b): r.r for r in f(df, "cell", "gene", "v").collect()}
+            assert len(got) >= 64
+            for (i, j), r in got.items():
+                assert (r is None) == (i == j or 4 in (i, j)) and (r is None or abs(r - want[key][i, j]) < 1e-9)
+
+
+def test_principal_components(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(200, 6)) @ np.diag([5, 3, 2, 1, 0.5, 0.1]) @ rng.normal(size=(6, 6)) + 10
+    df = spark.createDataFrame([(i, [float(a) for a in r]) for i, r in enumerate(x)] + [(999, None)], "id int, v array<double>").repartition(4)
+    got = {r.id: r.pcs for r in cells.principal_components(df, 3).collect()}
+    _, _, vt = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    vt *= np.sign(vt[np.arange(6), np.abs(vt).argmax(1)])[:, None]
+    assert got[999] is None and np.allclose([got[i] for i in range(200)], (x - x.mean(0)) @ vt[:3].T, atol=1e-8)

@@ -85,3 +85,14 @@ def test_rows_without_vector_or_batch(spark, cells):
     assert H.integrated(df.where("id > 1000"), settings=s).count() == 0
     with pytest.raises(ValueError):
         H.integrated(df, settings=H.Settings(clusters=10**8))
+
+
+def test_query_against_the_plain_version(spark, sf_dir):
+    from mosaicq.plans import catalog
+
+    s = catalog.INTEGRATION
+    rows = catalog._batches(spark, sf_dir).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(s.blocks))).orderBy("vec_id").collect()
+    sample = [r.pcs for r in catalog._batches(spark, sf_dir).orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id").limit(H.SAMPLE_ROWS).collect()]
+    want = plain(np.array([r.pcs for r in rows]), np.array([int(r.batch[1:]) for r in rows]), np.array([r.block for r in rows]), s, np.array(sample))
+    got = catalog.integrated_cells(spark, sf_dir).orderBy("vec_id").collect()
+    assert [r.vec_id for r in got] == [r.vec_id for r in rows] and np.allclose([r.integrated for r in got], want, atol=1e-5)
