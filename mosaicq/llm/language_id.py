@@ -226,10 +226,13 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """A model of the labelled rows outside the held-out fold, as bytes of a fixed size."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("id")) != held_out))
-    draw = (F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit(""))), F.lit(1 << 30)) / F.lit(float(1 << 30))).alias("draw")
-    # A little more than wanted is drawn, so that few texts are ordered; the window makes it exact.
-    counts = broadcast_if_few(materialise(rows.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("n")), "language-counts"))
-    drawn = rows.withColumn("draw", draw).join(counts, F.col("lang") == F.col("of")).where(F.col("draw") * F.col("n") < 1.3 * per_language + 20)
+    draw = F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), "text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    # Rows are drawn by id and text, so that rows of one id, or without any, are drawn one by one; exactly repeated
+    # rows are one. A little more than wanted is drawn, so that few texts are ordered; the window makes it exact.
+    rows = rows.withColumn("draw", draw)
+    counts = rows.select(F.col("lang").alias("of"), "draw").distinct().groupBy("of").agg(F.count("*").alias("n"))
+    counts = broadcast_if_few(materialise(counts, "language-counts"))
+    drawn = rows.join(counts, F.col("lang") == F.col("of")).where(F.col("draw") * F.col("n") < 1.3 * per_language + 20).dropDuplicates(["lang", "draw"])
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "id", "text"))
     sample = drawn.withColumn("nth", nth).where(F.col("nth") <= per_language).select("text", "lang", "nth")
 

@@ -4,6 +4,7 @@ import hashlib
 import math
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from mosaicq.llm import decontam, language_id, license_scan, pii, quality
@@ -340,3 +341,16 @@ def test_many_shards_are_one_scan(spark):
     assert {(d, d) for d in range(80)} <= {r[:2] for r in got}
     assert got == sorted((r.doc_id, r.item_id, round(r.score, 9), r.first_word) for r in decontam.find(docs, items).collect())
     assert {r.doc_id for r in decontam.without_leaks(docs, items, shard_items=50).collect()} == {99} - {r[0] for r in got}
+
+
+@pytest.mark.parametrize("ids", [[12], [1], [9], [None], [12, 1, 9, None]])
+def test_a_language_of_few_ids_is_learned(spark, ids):
+    """Rows of one id, or of none, are drawn one by one; exactly repeated rows are one row of their language."""
+    rows = [(i, f"the of and in to {i % 50} word{'abcdefghij'[i % 10]}", "en") for i in range(400)]
+    rows += [(ids[k % len(ids)], " ".join("zyx zzyzx yxz zxy".split()[(k + j) % 4] + "q" * (j % (k % 7 + 2)) for j in range(12)), "zz") for k in range(60)]
+    rows += [(ids[0], "ßöß öäß äöü üßä", "repeated")] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(df, per_language=10)
+    assert set(language_id.Model.load(model).classes) >= {"en", "zz"}
+    asked = spark.createDataFrame([(2, "zyx zzyzx yxz zxy zyxq", None), (3, "the of and in to", None)], df.schema)
+    assert {r.doc_id: r.lang_pred for r in language_id.predict(asked, model).collect()} == {2: "zz", 3: "en"}
