@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 from mosaicq.workspace import broadcast_if_few, materialise
 
 FANOUT, BLOCK_HEIGHT, SUBTREE_HEIGHT = 3, 6, 2
-_BLOCK = FANOUT**BLOCK_HEIGHT
 #: The type of a path: what stands left and right of the node, level by level, as text.
 _PATH = "array<struct<left: string, right: string>>"
 _PATH_KIND = pa.list_(pa.struct([("left", pa.string()), ("right", pa.string())]))
@@ -140,17 +139,13 @@ def placed(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
     return joined.select(*names, (F.col("_before") + F.col("_at")).alias("place"), "total")
 
 
-def _height(total: int) -> int:
-    return min(BLOCK_HEIGHT, height_of(total))
-
-
-def _in_blocks(rows: DataFrame) -> DataFrame:
-    """rows (g, place, total, n copies, ...) with block, its first place there and the copies there: one row a block."""
-    last = F.floor((F.col("place") + F.col("n") - 1) / _BLOCK)
-    wide = rows.withColumn("block", F.explode(F.sequence(F.floor(F.col("place") / _BLOCK), last)))
-    start = F.greatest(F.col("place"), F.col("block") * _BLOCK)
-    end = F.least(F.col("place") + F.col("n"), (F.col("block") + 1) * _BLOCK)
-    return wide.withColumns({"place": start - F.col("block") * _BLOCK, "n": end - start})
+def _in_blocks(rows: DataFrame, side: int) -> DataFrame:
+    """rows (g, place, total, n copies, ...) with block, its first place there and the copies there: one row a block of so many leaves."""
+    last = F.floor((F.col("place") + F.col("n") - 1) / side)
+    wide = rows.withColumn("block", F.explode(F.sequence(F.floor(F.col("place") / side), last)))
+    start = F.greatest(F.col("place"), F.col("block") * side)
+    end = F.least(F.col("place") + F.col("n"), (F.col("block") + 1) * side)
+    return wide.withColumns({"place": start - F.col("block") * side, "n": end - start})
 
 
 def _sorted_leaves(table: pa.Table) -> tuple[pa.Table, list[str]]:
@@ -160,18 +155,18 @@ def _sorted_leaves(table: pa.Table) -> tuple[pa.Table, list[str]]:
     return table, [x.hex() for x in table.column("node").to_pylist()]
 
 
-def climbed(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """(layers of nodes in blocks, (g, root) of each group) of nodes (g, place, total, n, node)."""
-    layers, roots = [], []
+def climbed(nodes: DataFrame, tall: int) -> tuple[list[DataFrame], DataFrame]:
+    """(layers of nodes in blocks, (g, root) of each group) of nodes (g, place, total, n, node); blocks are so many levels tall."""
+    layers, roots, side = [], [], FANOUT**tall
 
     def run(table: pa.Table) -> pa.Table:
         total = table.column("total")[0].as_py()
         _, leaves = _sorted_leaves(table)
-        root = bytes.fromhex(block_root(leaves, _height(total)))
-        return pa.table({"g": table.column("g").slice(0, 1), "place": table.column("block").slice(0, 1), "total": pa.array([-(-total // _BLOCK)], pa.int64()), "n": pa.array([1], pa.int64()), "node": pa.array([root], pa.binary())})
+        root = bytes.fromhex(block_root(leaves, min(tall, height_of(total))))
+        return pa.table({"g": table.column("g").slice(0, 1), "place": table.column("block").slice(0, 1), "total": pa.array([-(-total // side)], pa.int64()), "n": pa.array([1], pa.int64()), "node": pa.array([root], pa.binary())})
 
     while True:
-        layers.append(materialise(_in_blocks(nodes), "manifest-layer"))
+        layers.append(materialise(_in_blocks(nodes, side), "manifest-layer"))
         one = layers[-1].select("g", "block", "place", "total", "n", "node").groupBy("g", "block").applyInArrow(run, "g string, place long, total long, n long, node binary")
         one = materialise(one, "manifest-roots")
         roots.append(one.where("total = 1").select("g", F.col("node").alias("root")))
@@ -180,14 +175,14 @@ def climbed(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
             return layers, reduce(DataFrame.unionByName, roots)
 
 
-def _paths_down(layer: DataFrame, above: DataFrame) -> DataFrame:
+def _paths_down(layer: DataFrame, above: DataFrame, tall: int) -> DataFrame:
     """(g, block, path) of a layer's nodes, each a block of the layer below, from the paths (g, block, path) of the layer's blocks."""
 
     def run(rows: pa.Table, up: pa.Table) -> pa.Table:
         table, leaves = _sorted_leaves(rows)
         upper = [(p["left"], p["right"]) for p in up.column("path")[0].as_py()]
-        own = traversed(leaves, _height(table.column("total")[0].as_py()))
-        places = [table.column("block")[0].as_py() * _BLOCK + k for k in range(len(leaves))]
+        own = traversed(leaves, min(tall, height_of(table.column("total")[0].as_py())))
+        places = [table.column("block")[0].as_py() * FANOUT**tall + k for k in range(len(leaves))]
         paths = [[{"left": a, "right": b} for a, b in [*path, *upper]] for path in own]
         return pa.table({"g": table.column("g"), "block": pa.array(places, pa.int64()), "path": pa.array(paths, _PATH_KIND)})
 
@@ -195,17 +190,17 @@ def _paths_down(layer: DataFrame, above: DataFrame) -> DataFrame:
     return rows.cogroup(above.groupBy("g", "block")).applyInArrow(run, f"g string, block long, path {_PATH}")
 
 
-def lowered(layers: list[DataFrame], roots: DataFrame) -> DataFrame:
+def lowered(layers: list[DataFrame], roots: DataFrame, tall: int) -> DataFrame:
     """(g, block, path) of the first layer's blocks, from the path of each group's root (g, path)."""
     above = None
     for depth in range(len(layers) - 1, -1, -1):
         # Groups whose only block is in this layer get their root's path, the others that of their node above.
-        ends = layers[depth].where(F.col("total") <= _BLOCK).select("g").distinct().join(roots, "g").select("g", F.lit(0).cast("long").alias("block"), "path")
+        ends = layers[depth].where(F.col("total") <= FANOUT**tall).select("g").distinct().join(roots, "g").select("g", F.lit(0).cast("long").alias("block"), "path")
         here = ends if above is None else ends.unionByName(above)
         here = materialise(here, "manifest-paths")
         if depth == 0:
             return here
-        above = _paths_down(layers[depth], here)
+        above = _paths_down(layers[depth], here, tall)
 
 
 # ---------------------------------------------------------------- manifests
@@ -235,23 +230,23 @@ def leaves_of(docs: DataFrame, columns: list[str], id_col: str, group_col: str,
     return rows.groupBy("g", "id", "node", "bad").agg(F.count("*").alias("n"))
 
 
-def manifest(leaves: DataFrame) -> DataFrame:
-    """(id, leaf, subroot, root, proof_sha256, folded_root, verified) of leaves (g, id, node, bad, n)."""
+def manifest(leaves: DataFrame, tall: int = BLOCK_HEIGHT) -> DataFrame:
+    """(id, leaf, subroot, root, proof_sha256, folded_root, verified) of leaves (g, id, node, bad, n), in blocks so many levels tall."""
     id_type = leaves.schema["id"].dataType.simpleString()
-    layers, subroots = climbed(placed(leaves, "g", ["id", "node", "bad"]))
+    layers, subroots = climbed(placed(leaves, "g", ["id", "node", "bad"]), tall)
     subroots = materialise(subroots, "manifest-subroots")
     # The groups' roots, in order, are the leaves of one more tree.
     tops = subroots.select(F.lit("").alias("one"), F.col("g").alias("name"), F.col("root").alias("node"), F.lit(1).cast("long").alias("n"))
     top_nodes = materialise(placed(tops, "one", ["name"]).withColumnRenamed("one", "g"), "manifest-groups")
-    top_layers, top = climbed(top_nodes)
+    top_layers, top = climbed(top_nodes, tall)
     root = top.first()
     if root is None:
         return leaves.sparkSession.createDataFrame([], f"id {id_type}, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean")
     root = root["root"].hex()
     none = top.select("g", F.array().cast(_PATH).alias("path"))
-    group_paths = _paths_down(top_layers[0], lowered(top_layers, none)).select(F.col("block").alias("place"), "path")
+    group_paths = _paths_down(top_layers[0], lowered(top_layers, none, tall), tall).select(F.col("block").alias("place"), "path")
     group_paths = group_paths.join(top_nodes.select("place", "name"), "place").select(F.col("name").alias("g"), "path")
-    above = lowered(layers, materialise(group_paths, "manifest-group-paths")).join(broadcast_if_few(subroots), "g")
+    above = lowered(layers, materialise(group_paths, "manifest-group-paths"), tall).join(broadcast_if_few(subroots), "g")
 
     def run(rows: pa.Table, up: pa.Table) -> pa.Table:
         table, own = _sorted_leaves(rows)
@@ -259,7 +254,7 @@ def manifest(leaves: DataFrame) -> DataFrame:
         rest = "".join(a + b for a, b in upper)
         bad = [x and x.hex() for x in table.column("bad").to_pylist()]
         proofs, found = [], []
-        for path, leaf, other in zip(traversed(own, _height(table.column("total")[0].as_py())), own, bad):
+        for path, leaf, other in zip(traversed(own, min(tall, height_of(table.column("total")[0].as_py()))), own, bad):
             proofs.append(digest("".join(a + b for a, b in path) + rest))
             found.append(folded(folded(other or leaf, path), upper))
         n = len(own)
@@ -276,3 +271,55 @@ def op12_merkle_manifest(spark, sf_dir: str) -> DataFrame:
     even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
     leaves = leaves_of(docs, ["doc_id", "source", "lang", "n_chars", "text"], "doc_id", "source", even)
     return manifest(leaves).withColumnRenamed("id", "doc_id")
+
+
+#: Levels that the SQL writes out: trees of up to FANOUT ** SQL_LEVELS leaves.
+SQL_LEVELS = 14
+
+
+def _sql_tree(name: str, leaves: str) -> str:
+    """Levels of a tree as tables name0, name1, ... from leaves (g, i, node), and what stands beside each node of a level as name_b0, ..."""
+    out = [f"{name}0 AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY g) AS c FROM {leaves})"]
+    for k in range(SQL_LEVELS):
+        run = f"PARTITION BY g, i // {FANOUT} ORDER BY i ROWS BETWEEN"
+        out.append(f"""{name}_b{k} AS MATERIALIZED (SELECT g, i, coalesce(string_agg(node, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+  coalesce(string_agg(node, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {name}{k} WHERE c > 1)""")
+        out.append(f"""{name}{k + 1} AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY g) AS c FROM (
+  SELECT g, i // {FANOUT} AS i, CASE WHEN max(c) > 1 THEN sha256(string_agg(node, '' ORDER BY i)) ELSE max(node) END AS node FROM {name}{k} GROUP BY g, i // {FANOUT}))""")
+    return ",\n".join(out)
+
+
+def _sql_fold(name: str, tree: str, start: str, at: str) -> str:
+    """Rows of start (row, g, i, cur, proof) folded up a tree, as the table name; at is the group's column."""
+    out, last = [], start
+    for k in range(SQL_LEVELS):
+        here = f"{name}{k}" if k < SQL_LEVELS - 1 else name
+        out.append(f"""{here} AS (SELECT f.row, f.g, f.i, CASE WHEN b.i IS NULL THEN cur ELSE sha256(l || cur || r) END AS cur, proof || coalesce(l || r, '') AS proof
+  FROM {last} f LEFT JOIN {tree}_b{k} b ON b.g = f.{at} AND b.i = f.i // {FANOUT**k})""")
+        last = here
+    return ",\n".join(out)
+
+
+def _sql_leaf(text: str) -> str:
+    values = ["CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text]
+    return "sha256(" + " || ".join(f"CASE WHEN {v} IS NULL THEN '-' ELSE strlen({v}) || ':' || {v} END" for v in values) + ")"
+
+
+ORACLE_SQL = f"""
+WITH crc AS MATERIALIZED (SELECT list_transform(range(0, 256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t),
+d AS MATERIALIZED (SELECT doc_id, coalesce('+' || source, '') AS g, {_sql_leaf("text")} AS leaf, {_sql_leaf("replace(text, chr(10), '')")} AS other,
+  coalesce(xor(list_reduce([4294967295] || list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: CAST(ascii(substr(CAST(doc_id AS VARCHAR), i, 1)) AS BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 2 = 0, false) AS hit FROM documents, crc),
+e AS MATERIALIZED (SELECT *, row_number() OVER () AS row, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d),
+n AS (SELECT g, i, leaf AS node FROM e),
+{_sql_tree("t", "n")},
+s AS MATERIALIZED (SELECT g, node AS subroot, row_number() OVER (ORDER BY g) - 1 AS i FROM t{SQL_LEVELS}),
+m AS (SELECT '' AS g, i, subroot AS node FROM s),
+{_sql_tree("u", "m")},
+f AS (SELECT row, g, i, CASE WHEN hit THEN other ELSE leaf END AS cur, '' AS proof FROM e),
+{_sql_fold("p", "t", "f", "g")},
+h AS (SELECT row, '' AS g, s.i, cur, proof FROM p JOIN s USING (g)),
+{_sql_fold("q", "u", "h", "g")}
+SELECT e.doc_id, e.leaf, s.subroot, u{SQL_LEVELS}.node AS root, sha256(q.proof) AS proof_sha256, q.cur AS folded_root, q.cur = u{SQL_LEVELS}.node AS verified
+FROM e JOIN s USING (g) JOIN q USING (row), u{SQL_LEVELS}
+"""

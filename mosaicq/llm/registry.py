@@ -23,4 +23,5 @@ ORACLE = {
     "op9_warc": warc.ORACLE_SQL,
     "op10_line_dedup": line_dedup.ORACLE_SQL,
     "op11_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op12_merkle_manifest": merkle_manifest.ORACLE_SQL,
 }
