@@ -251,38 +251,75 @@ def rotated_gaussian_volume(a: np.ndarray) -> tuple[float, float]:
 # ---------------------------------------------------------------- stacks and registration
 
 
-def fused_focus(stack: np.ndarray, window: int = 9, alpha: float = 0.2) -> np.ndarray:
-    """All-in-focus image of a z stack: planes weighted by a smooth step around the sharpest depth.
+#: Fixed values of the selective fusion: side of the windows, steepness, ratio of signal to noise in decibels at which a
+#: place is trusted, planes between the three points of the fit; of the pairwise fusion: steepness, weights of the edges.
+FOCUS_WINDOW, FOCUS_STEEPNESS, FOCUS_TRUST, FOCUS_STEP = 9, 0.2, 13.0, 2
+PAIR_STEEPNESS, EDGE_SLOPE, EDGE_SMOOTH = 0.1, (-1, -2, 0, 2, 1), (1, 4, 6, 4, 1)
 
-    Sharpness is the local variance; the depth is the vertex of the parabola through the logarithms of
-    the sharpest plane and its neighbours; flat places fall back to the mean of all planes.
+
+def _averaged(a: np.ndarray, window: int) -> np.ndarray:
+    """Mean of the window around each pixel, edges repeated."""
+    for axis in (0, 1):
+        wide = np.pad(a, [(window // 2, window - 1 - window // 2) if k == axis else (0, 0) for k in (0, 1)], mode="edge")
+        a = sliding_window_view(wide, window, axis=axis).mean(-1)
+    return a
+
+
+def fused_focus(stack: np.ndarray, window: int = FOCUS_WINDOW, alpha: float = FOCUS_STEEPNESS, trust: float = FOCUS_TRUST) -> np.ndarray:
+    """All-in-focus image of a z stack.
+
+    Sharpness is the variance in a window. Over depth it should be a Gaussian around the sharpest plane: three
+    points give its width, and what the planes leave of it is noise. Where the ratio of signal to averaged
+    noise is above the trusted one, planes away from full sharpness weigh little; elsewhere all weigh alike.
     """
     stack = stack.astype(float)
-    if len(stack) == 1:
-        return stack[0]
-    box = np.ones(window) / window
-
-    def mean(a: np.ndarray) -> np.ndarray:
-        for axis in (0, 1):
-            wide = np.pad(a, [(window // 2, window - 1 - window // 2) if k == axis else (0, 0) for k in (0, 1)], mode="edge")
-            a = sliding_window_view(wide, window, axis=axis) @ box
-        return a
-
-    sharp = np.array([np.maximum(mean(p * p) - mean(p) ** 2, 0) for p in stack]) + 1e-6
-    best = sharp.argmax(0)
-    inner = np.clip(best, 1, len(stack) - 2) if len(stack) > 2 else best
-    depth = best.astype(float)
-    if len(stack) > 2:
-        a, b, c = (np.log(np.take_along_axis(sharp, (inner + k)[None], 0)[0]) for k in (-1, 0, 1))
-        bend = a - 2 * b + c
-        depth = np.where(bend < -1e-12, inner + np.clip(0.5 * (a - c) / np.where(bend == 0, -1, bend), -1, 1), depth)
-    trust = sharp.max(0) / sharp.mean(0) - 1
-    z = np.arange(len(stack))[:, None, None]
-    near = 0.5 + 0.5 * np.tanh((0.5 - np.abs(z - depth)) / alpha)
-    weight = near * np.clip(trust, 0, 1) + (1 - np.clip(trust, 0, 1))
+    n = len(stack)
+    step = min(FOCUS_STEP, (n - 1) // 2)
+    if step < 1:
+        return stack.mean(0)
+    sharp = np.array([_averaged((p - _averaged(p, window)) ** 2, window) for p in stack]) + 1e-12
+    top, best = sharp.max(0), sharp.argmax(0)
+    middle = np.clip(best, step, n - 1 - step)
+
+    def at(plane: np.ndarray) -> np.ndarray:
+        return np.log(np.take_along_axis(sharp, plane[None], 0)[0])
+
+    # A peak near the first plane is fitted from the planes after it, any other from those before it.
+    side = at(np.where(best < step, middle + step, middle - step))
+    bend = (side - at(middle)) / step**2
+    z = np.arange(n)[:, None, None]
+    with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+        rest = np.abs(sharp - np.exp(np.minimum(at(middle) + bend * (z - middle) ** 2, 700))).sum(0)
+        ratio = -20 * np.log10(_averaged(rest / (n * top), window))
+    ratio = np.where(np.isnan(ratio), np.nanmin(ratio) if np.isfinite(ratio).any() else 0.0, ratio)
+    phi = 0.5 * (1 + np.tanh(alpha * (ratio - trust))) / alpha
+    phi = np.median(sliding_window_view(np.pad(phi, 1), (3, 3)).reshape(*phi.shape, 9), axis=-1)
+    weight = 0.5 + 0.5 * np.tanh(phi * (sharp / top - 1))
     return (weight * stack).sum(0) / weight.sum(0)
 
 
+def _edges(a: np.ndarray) -> np.ndarray:
+    """Strength of the edges along both axes, borders mirrored without repeating them."""
+    out = 0.0
+    for kernels_ in ((EDGE_SLOPE, EDGE_SMOOTH), (EDGE_SMOOTH, EDGE_SLOPE)):
+        wide = np.pad(a, 2, mode="reflect")
+        for axis, k in enumerate(kernels_):
+            wide = sliding_window_view(wide, 5, axis=axis) @ np.array(k, float)
+        out = out + np.abs(wide)
+    return out
+
+
+def pairwise_focus(stack: np.ndarray, full: float = 65535.0) -> np.ndarray:
+    """Planes fused one after the other: each pixel leans to the image whose edges around it are stronger."""
+    image = stack[0] / full
+    for plane in stack[1:]:
+        plane = plane / full
+        ahead = sliding_window_view(np.pad(_edges(image) - _edges(plane), 1), (3, 3)).sum((-2, -1))
+        weight = 1 / (1 + np.exp(-PAIR_STEEPNESS * ahead))
+        image = weight * image + (1 - weight) * plane
+    return image * full
+
+
 def sharpest(stack: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     """Each pixel from the plane that bends most there."""
     bend = np.array([np.abs(laplacian_of_gaussian(p.astype(float), sigma)) for p in stack])

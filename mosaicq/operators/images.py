@@ -30,8 +30,8 @@ def _packed(image: np.ndarray) -> dict:
     return {"height": out.shape[0], "width": out.shape[1], "pixels": out.tobytes()}
 
 
-#: Ways to one image of a stack: weighted by sharpness, by the sharpest plane, the largest value, the mean.
-FOCUS = {"fused": kernels.fused_focus, "sharpest": kernels.sharpest, "max": lambda stack: stack.max(0), "mean": lambda stack: stack.mean(0)}
+#: Ways to one image of a stack: weighted by sharpness, plane by plane, by the sharpest plane, the largest value, the mean.
+FOCUS = {"fused": kernels.fused_focus, "pairwise": kernels.pairwise_focus, "sharpest": kernels.sharpest, "max": lambda stack: stack.max(0), "mean": lambda stack: stack.mean(0)}
 
 
 def focus_stacked(planes: DataFrame, keys=("cycle", "tile", "channel"), mode: str = "fused") -> DataFrame:

@@ -507,6 +507,28 @@ def max_projection(spark, sf):
     return codec.to_pixels(images.focus_stacked(planes, mode="max"), ["channel"]).select("y", "x", "value")
 
 
+def _stacks(spark, sf):
+    """Stacks of seven planes of 24 x 20 pixels: order lines summed on a grid, a plane a line number, a stack a return flag."""
+
+    def draw(frame):
+        import pandas as pd
+
+        a = np.zeros((24, 20), "<u2")
+        a[frame["y"], frame["x"]] = frame["value"]
+        return pd.DataFrame([{"cycle": 1, "tile": 1, "channel": frame["channel"].iloc[0], "z": frame["z"].iloc[0], "height": 24, "width": 20, "pixels": a.tobytes()}])
+
+    t = table(spark, sf, "lineitem")
+    px = t.groupBy(F.col("l_returnflag").alias("channel"), F.col("l_linenumber").cast("int").alias("z"), (F.col("l_partkey") % 24).alias("y"), (F.col("l_suppkey") % 20).alias("x")).agg(F.least(F.sum(F.col("l_quantity") * 20), F.lit(65535)).cast("int").alias("value"))
+    return px.groupBy("channel", "z").applyInPandas(draw, "cycle int, tile int, channel string, z int, height int, width int, pixels binary")
+
+
+@query()
+def focused_stacks(spark, sf):
+    """All-in-focus pixels of every stack, by selective and by pairwise fusion."""
+    both = [codec.to_pixels(images.focus_stacked(_stacks(spark, sf), mode=m), ["channel"]).withColumn("mode", F.lit(m)) for m in ("fused", "pairwise")]
+    return tables.stacked(both).select("mode", "channel", "y", "x", "value")
+
+
 LIGHT_ROUNDS = 40
 
 
