@@ -196,12 +196,43 @@ def climbed_translations(tiles: DataFrame, translations: DataFrame) -> DataFrame
 
 
 def tile_positions(translations: DataFrame) -> DataFrame:
-    """(tile, y0, x0) along the maximum spanning tree; a mosaic has a bounded number of tiles."""
-    edges = [tuple(r) for r in translations.select("i", "j", "dy", "dx", "corr").orderBy("i", "j").collect()]
-    names = sorted({k for e in edges for k in e[:2]})
-    number = {t: n for n, t in enumerate(names)}
-    at = kernels.spanning_positions(len(names), [(number[i], number[j], dy, dx, c) for i, j, dy, dx, c in edges])
-    return translations.sparkSession.createDataFrame([(names[n], *p) for n, p in sorted(at.items())], "tile int, y0 int, x0 int")
+    """(tile, y0, x0) along the maximum spanning forest of translations (i, j, dy, dx, corr), each component from (0, 0).
+
+    In a round every tree takes its strongest edge out (ties: the lesser tiles), trees that hang together
+    become one, and their tiles' places are counted from the leading tree's first tile: rounds are as many as
+    the logarithm of the number of tiles, whatever the grid. Translations without a correlation count least.
+    """
+    strength = F.when(F.isnan("corr"), None).otherwise(F.col("corr"))
+    pair = F.struct(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).alias("pair")
+    turned = F.when(F.col("i") <= F.col("j"), 1).otherwise(-1)
+    one = translations.where("i <> j").select(pair, F.struct(F.coalesce(strength, F.lit(float("-inf"))).alias("corr"), (turned * F.col("dy")).alias("dy"), (turned * F.col("dx")).alias("dx")).alias("t"))
+    one = one.groupBy("pair").agg(F.max("t").alias("t")).select("pair.i", "pair.j", "t.corr", "t.dy", "t.dx")
+    both = one.unionByName(one.select(F.col("j").alias("i"), F.col("i").alias("j"), "corr", (-F.col("dy")).alias("dy"), (-F.col("dx")).alias("dx")))
+    both = materialise(both, "tile-edges")
+    trees = materialise(both.select(F.col("i").alias("tile")).distinct().select("tile", F.col("tile").alias("tree"), F.lit(0).alias("y"), F.lit(0).alias("x")), "tile-trees")
+    while True:
+        a = trees.select(F.col("tile").alias("i"), F.col("tree").alias("ti"), F.col("y").alias("yi"), F.col("x").alias("xi"))
+        b = trees.select(F.col("tile").alias("j"), F.col("tree").alias("tj"), F.col("y").alias("yj"), F.col("x").alias("xj"))
+        out = both.join(a, "i").join(b, "j").where("ti <> tj")
+        rank = F.struct("corr", (-F.least("i", "j")).alias("a"), (-F.greatest("i", "j")).alias("b"))
+        step = F.struct(F.col("tj").alias("to"), (F.col("yj") - F.col("dy") - F.col("yi")).cast("int").alias("y"), (F.col("xj") - F.col("dx") - F.col("xi")).cast("int").alias("x"))
+        best = out.groupBy(F.col("ti").alias("tree")).agg(F.max(F.struct(rank.alias("rank"), step.alias("step"))).alias("m")).select("tree", "m.step.*")
+        best = materialise(best, "tile-steps")
+        if best.isEmpty():
+            break
+        back = best.select(F.col("tree").alias("to"), F.col("to").alias("_back"))
+        leads = (F.col("_back") == F.col("tree")) & (F.col("tree") < F.col("to"))
+        chain = best.join(back, "to", "left").select("tree", F.when(leads, F.col("tree")).otherwise(F.col("to")).alias("to"), *[F.when(leads, 0).otherwise(F.col(c)).alias(c) for c in ("y", "x")])
+        more = True
+        while more:
+            jump = chain.select(F.col("tree").alias("to"), F.col("to").alias("_on"), F.col("y").alias("_y"), F.col("x").alias("_x"))
+            further = chain.join(jump, "to").select("tree", F.col("_on").alias("to"), (F.col("y") + F.col("_y")).alias("y"), (F.col("x") + F.col("_x")).alias("x"), (F.col("_on") != F.col("to")).alias("_more"))
+            further = materialise(further, "tile-chains")
+            more, chain = not further.where("_more").isEmpty(), further.drop("_more")
+        moved = chain.select("tree", "to", F.col("y").alias("_y"), F.col("x").alias("_x"))
+        trees = materialise(trees.join(moved, "tree").select("tile", F.col("to").alias("tree"), (F.col("y") + F.col("_y")).alias("y"), (F.col("x") + F.col("_x")).alias("x")), "tile-trees")
+    least = trees.groupBy("tree").agg(F.min("y").alias("_y"), F.min("x").alias("_x"))
+    return trees.join(least, "tree").select(F.col("tile").cast("int").alias("tile"), (F.col("y") - F.col("_y")).cast("int").alias("y0"), (F.col("x") - F.col("_x")).cast("int").alias("x0"))
 
 
 def spots_of(images: DataFrame, keys: list[str], threshold: float = 0.0, times_mean: float = 8.0, hat: int = 7, distance: int = 2) -> DataFrame:

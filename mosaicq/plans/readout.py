@@ -507,6 +507,23 @@ def max_projection(spark, sf):
     return codec.to_pixels(images.focus_stacked(planes, mode="max"), ["channel"]).select("y", "x", "value")
 
 
+PLACED = "WITH t AS (SELECT CAST(s_suppkey AS INTEGER) AS tile, CAST(s_suppkey // 5 * 90 + s_nationkey % 7 AS INTEGER) AS y, CAST(s_suppkey % 5 * 100 + CAST(floor(abs(s_acctbal)) AS BIGINT) % 9 AS INTEGER) AS x FROM supplier)"
+
+
+@query(PLACED + " SELECT tile, y - (SELECT min(y) FROM t) AS y0, x - (SELECT min(x) FROM t) AS x0 FROM t")
+def stitched_positions(spark, sf):
+    """Suppliers as tiles of a grid five wide; what neighbours say of each other, weakly and wrongly beside each other below the first row, gives back where they lie."""
+    k = F.col("s_suppkey")
+    y, x = F.floor(k / 5) * 90 + F.col("s_nationkey") % 7, k % 5 * 100 + F.floor(F.abs("s_acctbal")) % 9
+    t = table(spark, sf, "supplier").select(k.cast("int").alias("tile"), y.cast("int").alias("y"), x.cast("int").alias("x"))
+    a, b = t.select(*[F.col(c).alias(f"{c}1") for c in t.columns]), t.select(*[F.col(c).alias(f"{c}2") for c in t.columns])
+    sides = a.withColumn("tile2", F.explode(F.array(F.when(F.col("tile1") % 5 < 4, F.col("tile1") + 1), F.col("tile1") + 5))).join(b, "tile2")
+    weak = (F.col("tile2") - F.col("tile1") == 1) & (F.col("tile1") >= 5)
+    corr = F.when(weak, 0.1).otherwise(0.5 + F.col("tile1") % 7 / 20)
+    edges = sides.select(F.col("tile1").alias("i"), F.col("tile2").alias("j"), (F.col("y2") - F.col("y1") + F.when(weak, 37).otherwise(0)).alias("dy"), (F.col("x2") - F.col("x1")).alias("dx"), corr.alias("corr"))
+    return images.tile_positions(edges)
+
+
 def _stacks(spark, sf):
     """Stacks of seven planes of 24 x 20 pixels: order lines summed on a grid, a plane a line number, a stack a return flag."""
 

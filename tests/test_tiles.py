@@ -123,3 +123,20 @@ def test_translations_are_repaired_and_climbed(spark):
     assert got[0] == (2, 70, True) and got[2][2] is False and abs(got[2][1] - 70) <= 1
     climbed = {r.i: (r.dy, r.dx) for r in images.climbed_translations(tiles, fixed).collect()}
     assert climbed == {0: (2, 70), 1: (-1, 71), 2: (2, 69)}
+
+
+def test_positions_of_a_grid(spark):
+    """616 tiles whose translations don't agree: along the same spanning tree as one machine's, and components apart."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for r in range(22):
+        for c in range(28):
+            k = r * 28 + c
+            rows += [(k, j, int(rng.integers(-9, 9)) + 90 * (j - k > 1), int(rng.integers(-9, 9)) + 100 * (j - k == 1), float(rng.integers(0, 50) / 50)) for j in ([k + 1] if c < 27 else []) + ([k + 28] if r < 21 else [])]
+    kind = "i int, j int, dy int, dx int, corr double"
+    want = K.spanning_positions(616, sorted(rows))
+    got = {r.tile: (r.y0, r.x0) for r in images.tile_positions(spark.createDataFrame(rows, kind).repartition(5)).collect()}
+    assert got == want
+    two = [(1, 2, 5, 5, 0.9), (2, 1, 7, 7, 0.2), (8, 9, -3, 4, float("nan")), (9, 8, 3, -4, None)]
+    assert {r.tile: (r.y0, r.x0) for r in images.tile_positions(spark.createDataFrame(two, kind)).collect()} == {1: (0, 0), 2: (5, 5), 8: (3, 0), 9: (0, 4)}
+    assert images.tile_positions(spark.createDataFrame([], kind)).count() == 0
