@@ -11,6 +11,7 @@ import itertools
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -68,25 +69,73 @@ def radius_pairs(points: DataFrame, radius: float, dims=("y", "x"), id_col: str
     return pairs.select(F.col(f"l.{id_col}").alias("a"), F.col(f"r.{id_col}").alias("b"), F.sqrt("d2").alias("distance"))
 
 
+#: Points of a block, about, and at most: what one pass of the suppression decides together.
+_BLOCK_POINTS, _MOST_POINTS = 20_000, 100_000
+
+
+def _in_blocks(points: DataFrame, dims: list[str], id_col: str, radius: float) -> DataFrame:
+    """(id, block) of points: squares of about _BLOCK_POINTS points, crowded ones dealt by a hash of the id."""
+    ends = points.agg(F.count("*").alias("n"), *[f(F.col(d).cast("double")).alias(f"{k}{d}") for d in dims for k, f in (("a", F.min), ("b", F.max))]).first()
+    spans = [max((ends[f"b{d}"] or 0.0) - (ends[f"a{d}"] or 0.0), float(radius)) for d in dims]
+    side = max((math.prod(spans) * _BLOCK_POINTS / max(ends["n"], 1)) ** (1 / len(dims)), 2.0 * radius)
+    while True:  # points on a line or in clumps fill few of the squares: wider ones, until they hold as many as meant
+        cells = F.struct(*[_cell(d, side).alias(f"c{i}") for i, d in enumerate(dims)])
+        rows = points.select(F.col(id_col).alias("id"), cells.alias("cell"))
+        crowds = materialise(rows.groupBy("cell").agg(F.count("*").alias("n")), "suppress-cells")
+        if crowds.count() * _BLOCK_POINTS <= 4 * ends["n"] or side > max(spans):
+            break
+        side *= 2
+    deal = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / _MOST_POINTS))
+    return rows.join(crowds, "cell").select("id", F.struct("cell", deal.alias("deal")).alias("block"))
+
+
 def suppress_within(points: DataFrame, radius: float, priority: str = "sum", dims=("y", "x"), id_col: str = "id", group: list[str] = ()) -> DataFrame:
     """Radius non-maximum suppression: greedy by falling priority, then rising id.
 
-    Fixed point on the pairs: a point without an undecided better neighbour is kept, its worse
-    neighbours go. Points without neighbours take no part. Rounds are written to the shared folder.
+    A point is kept if no better neighbour is kept. A pass goes through a block's points from the best down
+    and decides all that depends on nothing undecided elsewhere, so that rounds are as many as the times a
+    chain of ever better neighbours crosses from block to block, not its length. Points without better
+    neighbours are kept at once. Rounds are written to the shared folder.
     """
     pairs = _within(points, points, list(dims), radius, False, list(group))
     better = (F.col(f"r.{priority}") > F.col(f"l.{priority}")) | ((F.col(f"r.{priority}") == F.col(f"l.{priority}")) & (F.col(f"r.{id_col}") < F.col(f"l.{id_col}")))
-    rest = materialise(pairs.where((F.col(f"l.{id_col}") != F.col(f"r.{id_col}")) & better).select(F.col(f"l.{id_col}").alias("lo"), F.col(f"r.{id_col}").alias("hi")), "suppress")
+    rest = pairs.where((F.col(f"l.{id_col}") != F.col(f"r.{id_col}")) & better).select(F.col(f"l.{id_col}").alias("lo"), F.col(f"l.{priority}").alias("lp"), F.col(f"r.{id_col}").alias("hi"))
+    rest = materialise(rest, "suppress")
+    if rest.isEmpty():
+        return points
+    below = rest.select(F.col("lo").alias("hi")).distinct().withColumn("_low", F.lit(True))
+    told = rest.join(below, "hi", "left").withColumn("known", F.when(F.col("_low").isNull(), True)).drop("_low")
+    blocks = _in_blocks(points, list(dims), id_col, radius).withColumnRenamed("id", "lo").distinct()
+    rest = materialise(told.join(blocks, "lo").select("lo", "lp", "hi", "known", "block"), "suppress")
+    kind = rest.schema["lo"].dataType.simpleString()
+
+    def decided(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["lp", "lo"], ascending=[False, True], kind="stable")
+        kept: dict = {}
+        lows, highs, known = frame["lo"].tolist(), frame["hi"].tolist(), frame["known"].tolist()
+        i, n = 0, len(lows)
+        while i < n:
+            own, state = lows[i], True
+            while i < n and lows[i] == own:
+                other = known[i] if known[i] is not None else kept.get(highs[i])
+                if other:
+                    state = False
+                elif other is None and state:
+                    state = None
+                i += 1
+            if state is not None:
+                kept[own] = state
+        return pd.DataFrame({"id": pd.Series(list(kept), dtype=frame["lo"].dtype), "kept": pd.Series(list(kept.values()), dtype=bool)})
+
     gone = None
     while not rest.isEmpty():
-        kept = rest.select(F.col("hi").alias("k")).join(rest.select(F.col("lo").alias("k")), "k", "left_anti").distinct()
-        losers = materialise(rest.join(kept, rest["hi"] == kept["k"], "left_semi").select("lo").distinct(), "suppress")
+        found = materialise(rest.groupBy("block").applyInPandas(decided, f"id {kind}, kept boolean"), "suppress-decided")
+        losers = found.where("not kept").select("id")
         gone = losers if gone is None else gone.unionByName(losers)
-        undecided = rest.join(losers, "lo", "left_anti").join(losers.withColumnRenamed("lo", "hi"), "hi", "left_anti")
-        rest = materialise(undecided.select("lo", "hi"), "suppress")
-    if gone is None:
-        return points
-    return points.join(gone.withColumnRenamed("lo", id_col), id_col, "left_anti")
+        left = rest.join(found.select(F.col("id").alias("lo")), "lo", "left_anti")
+        left = left.join(found.select(F.col("id").alias("hi"), F.col("kept").alias("_kept")), "hi", "left")
+        rest = materialise(left.select("lo", "lp", "hi", F.coalesce("known", "_kept").alias("known"), "block"), "suppress")
+    return points.join(gone.withColumnRenamed("id", id_col), id_col, "left_anti")
 
 
 def tile_table(spark, height: int, width: int, volume: int, overlap: int) -> DataFrame:

@@ -125,3 +125,18 @@ def test_enrichment_of_separate_clusters(spark):
     edges = spark.createDataFrame([(i, 30 * (i // 30) + (i + d) % 30) for i in range(60) for d in (1, 2)], "src long, dst long")
     got = {(r.src_label, r.dst_label): r for r in spatial.enrichment(edges, labels, permutations=60).collect()}
     assert set(got) == {(0, 0), (1, 1)} and all(r.n_edges == 60 and r.z > 3 and 25 < r.expected < 33 for r in got.values())
+
+
+def test_a_line_of_rising_priority_takes_few_rounds(spark, monkeypatch):
+    """10^4 points, each beaten by the next: every second stays, decided in as many rounds as blocks are crossed."""
+    df = spark.range(10_000).select("id", F.lit(0.0).alias("y"), F.col("id").cast("double").alias("x"), F.col("id").cast("double").alias("sum"))
+    written = []
+    plain = spatial.materialise
+    monkeypatch.setattr(spatial, "materialise", lambda df, label: (written.append(label), plain(df, label))[1])
+    got = sorted(r.id for r in spatial.suppress_within(df, 1.5).collect())
+    assert got == list(range(1, 10_000, 2)) and written.count("suppress-decided") <= 3
+    written.clear()
+    monkeypatch.setattr(spatial, "_BLOCK_POINTS", 1000)
+    monkeypatch.setattr(spatial, "_MOST_POINTS", 700)
+    few = df.where("id < 600")
+    assert sorted(r.id for r in spatial.suppress_within(few, 1.5).collect()) == list(range(1, 600, 2))
