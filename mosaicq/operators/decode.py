@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mosaicq.functions.features import chi2_survival
+from mosaicq.functions.features import chi2_survival, hamming
 from mosaicq.operators.tables import combinations
 from mosaicq.workspace import fresh_path
 
@@ -139,6 +139,24 @@ def wildcards(code: Column) -> Column:
     return F.array_union(F.array(code), masked)
 
 
+def within_substitutions(left: DataFrame, right: DataFrame, left_col: str, right_col: str, most: int) -> DataFrame:
+    """Pairs of left and right rows whose codes of one length differ in at most so many places, with the number d.
+
+    Codes are cut into most + 1 pieces, one of which must be equal: an equi-join on (place, piece), each pair
+    taken at its first equal piece, then counted exactly.
+    """
+    def pieces(code: Column) -> Column:
+        n = F.length(code)
+        cut = [F.floor(n * k / (most + 1)).cast("int") for k in range(most + 2)]
+        return F.array(*[F.concat_ws(":", n.cast("string"), F.lit(k).cast("string"), F.substring(code, cut[k] + 1, cut[k + 1] - cut[k])) for k in range(most + 1)])
+
+    a = left.select(F.struct("*").alias("l"), pieces(F.col(left_col)).alias("_p")).select("l", "_p", F.posexplode("_p").alias("_k", "_piece"))
+    b = right.select(F.struct("*").alias("r"), pieces(F.col(right_col)).alias("_q")).select("r", "_q", F.explode("_q").alias("_piece"))
+    d = hamming(F.col(f"l.{left_col}"), F.col(f"r.{right_col}"))
+    first = F.array_position(F.zip_with("_p", "_q", lambda x, y: x == y), True) - 1
+    return a.join(b, "_piece").where((first == F.col("_k")) & (d <= most)).select("l.*", "r.*", d.alias("d"))
+
+
 def match_barcodes(reads: DataFrame, codebook: DataFrame, read_col: str = "sequence", code_col: str = "barcode", name_col: str = "gene") -> DataFrame:
     """Gene of each read: exact, else the only code within one substitution, else 'Ambiguous'; null if none.
 

@@ -462,16 +462,45 @@ def hull_filled(voxels: DataFrame, dims=("z", "y", "x")) -> DataFrame:
     return voxels.groupBy("label").applyInPandas(run, _kinds(voxels, ["label"]) + "".join(f", {d} int" for d in dims))
 
 
-def crops(images: DataFrame, centres: DataFrame, half: int, keys: list[str]) -> DataFrame:
-    """(keys, y, x, height, width, pixels) of the square around each centre, zeros beyond the border."""
+#: Side of the squares into which images are cut for their crops.
+CROP_SIDE = 1024
 
-    def run(batches):
+
+def crops(images: DataFrame, centres: DataFrame, half: int, keys: list[str], side: int = CROP_SIDE) -> DataFrame:
+    """(keys, y, x, height, width, pixels) of the square around each centre, zeros beyond the border.
+
+    Images are cut once into squares with a margin of half; a task crops around the centres of one square.
+    Centres beyond the image count to the nearest square.
+    """
+    kinds = _kinds(images, keys)
+
+    def cut(batches):
         for frame in batches:
-            rows = []
             for r in frame.itertuples(index=False):
-                a = np.pad(to_array(r.pixels, r.height, r.width), half)
-                rows.append({**{k: getattr(r, k) for k in keys}, "y": r.y, "x": r.x, **_packed(a[r.y : r.y + 2 * half + 1, r.x : r.x + 2 * half + 1])})
-            yield pd.DataFrame(rows, columns=[*keys, "y", "x", "height", "width", "pixels"])
-
-    joined = centres.select(*keys, "y", "x").join(images.select(*keys, "height", "width", "pixels"), keys)
-    return joined.mapInPandas(run, f"{_kinds(images, keys)}, {_kinds(centres, ['y', 'x'])}, {_TILE}")
+                a = to_array(r.pixels, r.height, r.width)
+                for by in range(-(-r.height // side)):
+                    rows = []
+                    for bx in range(-(-r.width // side)):
+                        top, left = max(0, by * side - half), max(0, bx * side - half)
+                        rows.append({**{k: getattr(r, k) for k in keys}, "by": by, "bx": bx, "top": top, "left": left, **_packed(a[top : (by + 1) * side + half, left : (bx + 1) * side + half])})
+                    yield pd.DataFrame(rows, columns=[*keys, "by", "bx", "top", "left", "height", "width", "pixels"])
+
+    def around(points: pd.DataFrame, squares: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for s in squares.itertuples(index=False):
+            a = to_array(s.pixels, s.height, s.width)
+            for p in points.itertuples(index=False):
+                out = np.zeros((2 * half + 1, 2 * half + 1), a.dtype)
+                y, x = p.y - half - s.top, p.x - half - s.left
+                part = a[max(y, 0) : max(y + 2 * half + 1, 0), max(x, 0) : max(x + 2 * half + 1, 0)]
+                out[max(-y, 0) : max(-y, 0) + part.shape[0], max(-x, 0) : max(-x, 0) + part.shape[1]] = part
+                rows.append({**{k: getattr(p, k) for k in keys}, "y": p.y, "x": p.x, **_packed(out)})
+        return pd.DataFrame(rows, columns=[*keys, "y", "x", "height", "width", "pixels"])
+
+    squares = images.select(*keys, "height", "width", "pixels").mapInPandas(cut, f"{kinds}, by int, bx int, top int, left int, {_TILE}")
+    sizes = images.select(*keys, F.col("height").alias("_h"), F.col("width").alias("_w"))
+    points = centres.select(*keys, "y", "x").join(sizes, keys)
+    by, bx = (F.floor(F.greatest(F.least(F.col(c), F.col(n) - 1), F.lit(0)) / side).cast("int") for c, n in (("y", "_h"), ("x", "_w")))
+    points = points.select(*keys, "y", "x", by.alias("by"), bx.alias("bx"))
+    both = points.groupBy(*keys, "by", "bx").cogroup(squares.groupBy(*keys, "by", "bx"))
+    return both.applyInPandas(around, f"{kinds}, {_kinds(centres, ['y', 'x'])}, {_TILE}")

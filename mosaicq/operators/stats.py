@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -302,16 +303,21 @@ def layers_by_valleys(df: DataFrame, col: str, bins: int, order: int = 1) -> Dat
 RANK_PARTS = 64
 
 
-def _value_ranks(counts: DataFrame) -> DataFrame:
-    """(by, v, rank): average ranks of values from their counts (by, v, n)."""
+def _below(counts: DataFrame) -> DataFrame:
+    """(by, v, n, below): how many values of a column are below each of its values, from their counts (by, v, n)."""
     ends = counts.groupBy("by").agg(F.percentile_approx("v", [i / RANK_PARTS for i in range(1, RANK_PARTS)], 1000).alias("cuts"))
     told = counts.join(ends, "by").withColumn("part", F.size(F.filter("cuts", lambda c: c < F.col("v")))).drop("cuts")
     sums = told.groupBy("by", "part").agg(F.sum("n").alias("all"))
     before = F.sum("all").over(Window.partitionBy("by").orderBy("part")) - F.col("all")
     sums = sums.select(F.col("by").alias("_by"), F.col("part").alias("_part"), before.alias("before"))
     inside = F.sum("n").over(Window.partitionBy("by", "part").orderBy("v")) - F.col("n")
-    ranked = told.withColumn("inside", inside).join(sums, (F.col("by") == F.col("_by")) & (F.col("part") == F.col("_part")))
-    return ranked.select("by", "v", (F.col("before") + F.col("inside") + (F.col("n") + 1) / 2).alias("rank"))
+    told = told.withColumn("inside", inside).join(sums, (F.col("by") == F.col("_by")) & (F.col("part") == F.col("_part")))
+    return told.select("by", "v", "n", (F.col("before") + F.col("inside")).alias("below"))
+
+
+def _value_ranks(counts: DataFrame) -> DataFrame:
+    """(by, v, rank): average ranks of values from their counts (by, v, n)."""
+    return _below(counts).select("by", "v", (F.col("below") + (F.col("n") + 1) / 2).alias("rank"))
 
 
 def average_ranks(long: DataFrame, by: str, value: str) -> DataFrame:
@@ -349,22 +355,53 @@ def mean_expression(df: DataFrame, cluster: str, gene: str, value: str, share: s
 
 
 def ecdf(df: DataFrame, value: str, grid: DataFrame) -> DataFrame:
-    """Share of values strictly below each value g of a small grid.
+    """Share of values strictly below each value g of a grid of any size; null g and an empty df give null.
 
-    Values are counted by the number of grid values at or below them, before any shuffle; what is
-    ordered and summed is the grid alone.
+    Values are counted first; grid values join the counts with none of their own, and what is below is summed
+    in parts of the order.
+    """
+    values = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    points = grid.where("g is not null").select(F.col("g").cast("double").alias("v"), F.lit(0).cast("long").alias("n"))
+    counts = values.unionByName(points).groupBy("v").agg(F.sum("n").alias("n")).withColumn("by", F.lit(0))
+    below = _below(counts).select(F.col("v").alias("_v"), "below")
+    total = df.agg(F.count(value).alias("_total"))
+    told = grid.join(below, F.col("g").cast("double") == F.col("_v"), "left").crossJoin(F.broadcast(total))
+    return told.select("g", F.when(F.col("_total") > 0, F.col("below") / F.col("_total")).alias("ecdf"))
+
+
+def otsu_thresholds(counts: DataFrame, classes: int = 3, by: list[str] = ()) -> DataFrame:
+    """(by, thresholds): the class borders of histograms (by, bin, n) that part their bins best, exactly.
+
+    Bins up to a border belong below it. The sum over classes of (sum of bins)^2 / rows is largest, which is
+    the largest variance between classes; the best of k classes ends where the best of k - 1 classes and one
+    interval meet, so all borders come from prefix sums. A histogram is one task's, as its bins are few.
+    Histograms with fewer bins than classes have none.
     """
-    points = sorted(r["g"] for r in grid.select("g").distinct().collect())
-    if not points:
-        return grid.select("g", F.lit(None).cast("double").alias("ecdf"))
-    at = F.size(F.filter(F.array(*[F.lit(float(p)) for p in points]), lambda p: p <= F.col(value).cast("double")))
-    n = df.where(F.col(value).isNotNull()).groupBy(at.alias("k")).agg(F.count("*").alias("n"))
-    steps = df.sparkSession.createDataFrame([(k, p) for k, p in enumerate(points)], ["k", "p"])
-    every = df.sparkSession.range(len(points) + 1).select(F.col("id").cast("int").alias("k")).join(n, "k", "left").na.fill(0, ["n"])
-    total = F.sum("n").over(Window.orderBy("k").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    below = F.sum("n").over(Window.orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    share = every.select("k", (below / total).alias("ecdf")).join(steps, "k").select("p", "ecdf")
-    return grid.join(F.broadcast(share), F.col("g") == F.col("p")).select("g", "ecdf")
+    keys = list(by)
+    kinds = ", ".join([*(f"`{k}` {counts.schema[k].dataType.simpleString()}" for k in keys), "thresholds array<long>"])
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame[frame["n"] > 0].sort_values("bin")
+        bins, n = frame["bin"].to_numpy(np.int64), frame["n"].to_numpy(float)
+        if len(bins) < classes:
+            return pd.DataFrame(columns=[*keys, "thresholds"])
+        rows, sums = np.r_[0, np.cumsum(n)], np.r_[0, np.cumsum(n * bins)]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            each = (sums[None] - sums[:, None]) ** 2 / (rows[None] - rows[:, None])  # of the interval (i, j]
+        each[np.tril_indices(len(rows))] = -np.inf
+        best, ends = each[0], []
+        for _ in range(classes - 1):
+            whole = best[:, None] + each
+            ends.append(whole.argmax(0))
+            best = whole.max(0)
+        at, out = len(bins), []
+        for step in reversed(ends):
+            at = int(step[at])
+            out.append(int(bins[at - 1]))
+        return pd.DataFrame([{**{k: frame[k].iloc[0] for k in keys}, "thresholds": out[::-1]}])
+
+    grouped = counts.withColumn("_all", F.lit(0)).groupBy(*(keys or ["_all"]))
+    return grouped.applyInPandas(run, kinds)
 
 
 def local_extrema(curve: DataFrame, order_col: str, y: str, order: int = 1, maxima: bool = False) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,8 +53,18 @@ def sample_each(df: DataFrame, group: str, n: int, key: list[str], seed: int = 0
     return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
 
 
-def bootstrap(df: DataFrame, fraction: float, seed: int = 1) -> DataFrame:
-    return df.sample(withReplacement=True, fraction=fraction, seed=seed)
+def bootstrap(df: DataFrame, fraction: float, key: list[str], seed: int = 1) -> DataFrame:
+    """Rows drawn with replacement: each comes as often as a Poisson draw of the fraction says, made from a seeded hash of its key."""
+    draw = F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1 << 40)) / float(1 << 40)
+    term = total = math.exp(-fraction)
+    ends, k = [], 0
+    while total < 1 - 1e-12 and k < 1000:
+        ends.append(total)
+        k += 1
+        term *= fraction / k
+        total += term
+    copies = F.size(F.filter(F.array(*[F.lit(e) for e in ends]), lambda e: e <= draw))
+    return df.withColumn("_copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)))).drop("_copy")
 
 
 def split_train(df: DataFrame, key: list[str], held: float = 0.1, seed: int = 42) -> tuple[DataFrame, DataFrame]:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from mosaicq.functions import features as fx
 from mosaicq.operators import cells, communities, decode, graph, harmony, spatial, stats, tables
 from mosaicq.streaming import windows
-from mosaicq.workspace import broadcast_if_few, materialise
+from mosaicq.workspace import materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -420,7 +420,7 @@ SELECT id, code, CAST(hamming(r.bits, c.bits) AS BIGINT) AS d FROM r, c WHERE ha
 def hamming_codebook(spark, sf):
     c = table(spark, sf, "nation").select(F.col("n_nationkey").alias("code"), F.lpad(F.bin((F.col("n_nationkey") * 37 % 1024).cast("long")), 10, "0").alias("cb"))
     r = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.lpad(F.bin(F.col("s_suppkey") * 53 % 1024), 10, "0").alias("rb"))
-    return r.join(broadcast_if_few(c), fx.hamming(F.col("rb"), F.col("cb")) <= 3).select("id", "code", fx.hamming(F.col("rb"), F.col("cb")).cast("long").alias("d"))
+    return decode.within_substitutions(r, c, "rb", "cb", 3).select("id", "code", F.col("d").cast("long").alias("d"))
 
 
 @query("""WITH c AS (SELECT 'g' || n_nationkey AS gene, lpad(bin(n_nationkey * 37 % 1024), 10, '0') AS code FROM nation), r AS (SELECT s_suppkey AS id, lpad(bin(s_suppkey * 53 % 1024), 10, '0') AS code FROM supplier),
@@ -500,12 +500,25 @@ def missing_tiles(spark, sf):
     return tables.missing_members(spark, table(spark, sf, "events").where("value > 100").select(F.col("user_id").alias("tile")), "tile", 1, 300)
 
 
-@query("SELECT a.range AS k0, b.range AS k1, c.range AS k2 FROM range(6) a, range(6) b, range(6) c WHERE a.range + b.range + c.range = 5")
+@query("WITH n AS (SELECT count(*) AS n FROM region) SELECT a.range AS k0, b.range AS k1, c.range AS k2 FROM n, range((SELECT n + 1 FROM n)) a, range((SELECT n + 1 FROM n)) b, range((SELECT n + 1 FROM n)) c WHERE a.range + b.range + c.range = n")
 def combinations_sum(spark, sf):
-    out = tables.combinations(spark, 6, 3, 5)
+    """Ways to deal the regions among three."""
+    n = table(spark, sf, "region").count()
+    out = tables.combinations(spark, n + 1, 3, n)
     return out.select(*[F.col(c).cast("long").alias(c) for c in out.columns])
 
 
+@query("""WITH h AS (SELECT l_returnflag AS flag, CAST(l_quantity AS BIGINT) AS bin, count(*) AS n FROM lineitem GROUP BY 1, 2),
+c AS (SELECT flag, bin, sum(n) OVER w AS n, sum(n * bin) OVER w AS s FROM h WINDOW w AS (PARTITION BY flag ORDER BY bin)), t AS (SELECT flag, max(n) AS n, max(s) AS s FROM c GROUP BY 1),
+p AS (SELECT a.flag, a.bin AS t1, b.bin AS t2, a.s * a.s / a.n + (b.s - a.s) * (b.s - a.s) / (b.n - a.n) + (t.s - b.s) * (t.s - b.s) / (t.n - b.n) AS v FROM c a JOIN c b ON b.flag = a.flag AND b.bin > a.bin JOIN t ON t.flag = a.flag WHERE b.n < t.n)
+SELECT flag AS l_returnflag, arg_max(t1, v) AS t1, arg_max(t2, v) AS t2 FROM p GROUP BY 1""")
+def otsu_classes(spark, sf):
+    """Two borders that part each flag's quantities best into three classes."""
+    t = table(spark, sf, "lineitem").groupBy("l_returnflag", F.col("l_quantity").cast("long").alias("bin")).agg(F.count("*").alias("n"))
+    out = stats.otsu_thresholds(t, 3, ["l_returnflag"])
+    return out.select("l_returnflag", F.col("thresholds")[0].alias("t1"), F.col("thresholds")[1].alias("t2"))
+
+
 DAILY = "WITH d AS (SELECT CAST(ts AS DATE) AS day, round(sum(value), 4) AS v FROM events GROUP BY 1)"
 
 

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from mosaicq.functions import features as fx
-from mosaicq.operators import cells, decode, graph, images, segmentation, spatial, stats, tables
+from mosaicq.operators import cells, decode, graph, images, registration, segmentation, spatial, stats, tables
 from mosaicq.plans.catalog import SCALED, _line_counts, _points, _scaled, query, r6, table
 from mosaicq.sources import images as codec
 from mosaicq.sources import readers, sinks
@@ -402,9 +402,12 @@ def pasted_tiles(spark, sf):
     return tables.pasted(_tile_pixels(spark, sf), positions, 66, 65, 30, 40, bleed=4)
 
 
-@query("SELECT CAST(y.range AS INTEGER) AS tile_y, CAST(x.range AS INTEGER) AS tile_x, y.range * (2000 // 4) AS pad_y, x.range * (2600 // 5) AS pad_x, CAST(2000 // 4 + 100 AS BIGINT) AS cut_y, CAST(2600 // 5 + 100 AS BIGINT) AS cut_x FROM range(4) y, range(5) x")
+@query("""WITH e AS (SELECT 1000 + 10 * count(*) AS h, 1500 + 7 * count(*) AS w FROM supplier), n AS (SELECT *, CAST(greatest(1, ceil((h - 100) / 524.0)) AS BIGINT) AS ny, CAST(greatest(1, ceil((w - 100) / 524.0)) AS BIGINT) AS nx FROM e)
+SELECT CAST(y.y AS INTEGER) AS tile_y, CAST(x.x AS INTEGER) AS tile_x, y.y * (h // ny) AS pad_y, x.x * (w // nx) AS pad_x, h // ny + 100 AS cut_y, w // nx + 100 AS cut_x FROM n, (SELECT unnest(range(ny)) AS y FROM n) y, (SELECT unnest(range(nx)) AS x FROM n) x""")
 def tile_plan(spark, sf):
-    t = spatial.tile_table(spark, 2000, 2600, 624 * 624, 100)
+    """Tiles of an image whose sides grow with the suppliers."""
+    n = table(spark, sf, "supplier").count()
+    t = spatial.tile_table(spark, 1000 + 10 * n, 1500 + 7 * n, 624 * 624, 100)
     return t.select("tile_y", "tile_x", *[F.col(c).cast("long").alias(c) for c in ("pad_y", "pad_x", "cut_y", "cut_x")])
 
 
@@ -582,19 +585,79 @@ def illumination_surfaces(spark, sf):
 
 
 @query(FULL + """, c AS (SELECT s_suppkey % 60 AS cy, s_suppkey * 7 % 50 AS cx FROM supplier)
-SELECT CAST(cy AS INTEGER) AS cy, CAST(cx AS INTEGER) AS cx, CAST(a.y - cy + 4 AS INTEGER) AS y, CAST(a.x - cx + 4 AS INTEGER) AS x, CAST(v AS INTEGER) AS value FROM c JOIN a ON a.channel = 'N' AND a.y BETWEEN cy - 4 AND cy + 4 AND a.x BETWEEN cx - 4 AND cx + 4 WHERE v > 0""")
+SELECT a.channel, CAST(cy AS INTEGER) AS cy, CAST(cx AS INTEGER) AS cx, CAST(a.y - cy + 4 AS INTEGER) AS y, CAST(a.x - cx + 4 AS INTEGER) AS x, CAST(v AS INTEGER) AS value FROM c JOIN a ON a.y BETWEEN cy - 4 AND cy + 4 AND a.x BETWEEN cx - 4 AND cx + 4 WHERE v > 0""")
 def crops_of_cells(spark, sf):
-    centres = table(spark, sf, "supplier").select(F.lit("N").alias("channel"), (F.col("s_suppkey") % 60).cast("int").alias("y"), (F.col("s_suppkey") * 7 % 50).cast("int").alias("x"))
-    cut = images.crops(_images(spark, sf), centres, 4, ["channel"]).withColumnsRenamed({"y": "cy", "x": "cx"})
-    return codec.to_pixels(cut, ["cy", "cx"]).where("value > 0")
+    centres = table(spark, sf, "supplier").select(F.explode(F.array(*[F.lit(c) for c in "ANR"])).alias("channel"), (F.col("s_suppkey") % 60).cast("int").alias("y"), (F.col("s_suppkey") * 7 % 50).cast("int").alias("x"))
+    cut = images.crops(_images(spark, sf), centres, 4, ["channel"], side=20).withColumnsRenamed({"y": "cy", "x": "cx"})
+    return codec.to_pixels(cut, ["channel", "cy", "cx"]).where("value > 0")
 
 
-@query("SELECT a.range AS i, b.range AS j, c.range AS l, a.range / 4.0 AS ye, b.range / 4.0 AS b, CAST(CASE c.range WHEN 0 THEN 0.0 WHEN 1 THEN 0.3 WHEN 2 THEN 0.5 WHEN 3 THEN 0.6 ELSE 0.9 END AS DOUBLE) AS r FROM range(5) a, range(5) b, range(5) c WHERE a.range + b.range + c.range = 4")
+@query("""WITH m AS (SELECT row_number() OVER (ORDER BY v) - 1 AS l, v FROM (SELECT round(count(*) / (SELECT count(*) FROM orders), 6) AS v FROM orders GROUP BY o_orderpriority))
+SELECT a.range AS i, b.range AS j, l, a.range / 4.0 AS ye, b.range / 4.0 AS b, v AS r FROM range(5) a, range(5) b, m WHERE a.range + b.range + l = 4""")
 def initial_centroids(spark, sf):
-    """Corners of the grid: two axes without enough maxima fall back to equal steps, the third has its own."""
-    got = decode.initial_centroids(spark, 5, {"ye": [0.1, 0.9], "b": [], "r": [0.9, 0.3, 0.0, 0.6, 0.5]})
-    place = F.array_position(F.array(*[F.lit(v) for v in (0.0, 0.3, 0.5, 0.6, 0.9)]), F.col("r")) - 1
-    return got.select((F.col("ye") * 4).cast("long").alias("i"), (F.col("b") * 4).cast("long").alias("j"), place.alias("l"), "ye", "b", "r")
+    """Corners of the grid: two axes without enough maxima fall back to equal steps, the third has the priorities' shares."""
+    o = table(spark, sf, "orders")
+    total = o.count()
+    shares = [r["v"] for r in o.groupBy("o_orderpriority").agg(F.round(F.count("*") / total, 6).alias("v")).collect()]  # five priorities
+    got = decode.initial_centroids(spark, 5, {"ye": [0.1, 0.9], "b": [], "r": shares})
+    l_ = F.lit(4) - F.round(F.col("ye") * 4) - F.round(F.col("b") * 4)
+    return got.select((F.col("ye") * 4).cast("long").alias("i"), (F.col("b") * 4).cast("long").alias("j"), l_.cast("long").alias("l"), "ye", "b", "r")
+
+
+@query("""WITH q AS (SELECT DISTINCT p_size % 4 AS label, p_partkey * 7 % 40 AS y, p_partkey * 13 % 30 AS x, p_size FROM part), p AS (SELECT DISTINCT label, y, x FROM q WHERE (y - 20) * (y - 20) + (x - 15) * (x - 15) <= 60 + 2 * p_size),
+e AS (SELECT a.label, a.y AS ay, a.x AS ax, b.y AS cy, b.x AS cx FROM p a JOIN p b ON a.label = b.label AND (a.y <> b.y OR a.x <> b.x)),
+h AS (SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.label = e.label AND (cy - ay) * (p.x - ax) - (cx - ax) * (p.y - ay) < 0)),
+g AS (SELECT l.label, y.range AS y, x.range AS x FROM (SELECT DISTINCT label FROM p) l, range(40) y, range(30) x)
+SELECT CAST(label AS INTEGER) AS label, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x FROM g WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.label = g.label AND (cy - ay) * (g.x - ax) - (cx - ax) * (g.y - ay) < 0)""")
+def filled_hulls(spark, sf):
+    """Parts as pixels of four labels, their hulls filled."""
+    p = table(spark, sf, "part").select((F.col("p_size") % 4).cast("int").alias("label"), (F.col("p_partkey") * 7 % 40).cast("int").alias("y"), (F.col("p_partkey") * 13 % 30).cast("int").alias("x"), "p_size")
+    near = (F.col("y") - 20) * (F.col("y") - 20) + (F.col("x") - 15) * (F.col("x") - 15) <= 60 + 2 * F.col("p_size")
+    return images.hull_filled(p.where(near).select("label", "y", "x").distinct(), ("y", "x"))
+
+
+@query("SELECT DISTINCT 2 AS cycle, CAST(ascii(l_returnflag) AS INTEGER) AS tile, -3 AS dy, 5 AS dx FROM lineitem")
+def cycle_offsets(spark, sf):
+    """The offsets of a second cycle in which every tile's pixels have moved by (3, -5), from the images alone."""
+
+    def draw(frame):
+        import pandas as pd
+
+        a = np.zeros((48, 40), "<u2")
+        a[frame["y"], frame["x"]] = frame["value"]
+        one = frame[["cycle", "tile", "channel"]].iloc[:1].reset_index(drop=True)
+        return pd.concat([one, pd.DataFrame([{"height": 48, "width": 40, "pixels": a.tobytes()}])], axis=1)
+
+    t = table(spark, sf, "lineitem").select(F.ascii("l_returnflag").alias("tile"), F.explode(F.array(F.lit(1), F.lit(2))).alias("cycle"), "l_partkey", "l_orderkey", "l_quantity")
+    moved = F.when(F.col("cycle") == 2, 1).otherwise(0)
+    px = t.groupBy("cycle", "tile", F.lit("DAPI").alias("channel"), ((F.col("l_partkey") + 3 * moved) % 48).alias("y"), ((F.col("l_orderkey") + 35 * moved) % 40).alias("x")).agg(F.least(F.sum("l_quantity"), F.lit(65535)).cast("int").alias("value"))
+    drawn = px.groupBy("cycle", "tile", "channel").applyInPandas(draw, "cycle int, tile int, channel string, height int, width int, pixels binary")
+    return images.registered(drawn, 1, "DAPI")[0]
+
+
+@query("SELECT DISTINCT CAST(ascii(l_returnflag) AS INTEGER) AS tile, 1 AS dz, 2 AS dy, -1 AS dx, 0 AS turned FROM lineitem")
+def volume_shifts(spark, sf):
+    """Volumes drawn from order lines against themselves moved by (1, 2, -1): the shift comes back, and no turn."""
+    from mosaicq.functions import kernels
+
+    def draw(moved: bool):
+        def run(frame):
+            import pandas as pd
+
+            a = np.zeros((12, 24, 22))
+            np.add.at(a, (frame["z"], frame["y"], frame["x"]), frame["value"])
+            a = kernels.gaussian(a, 2.0)
+            a = np.rint(a / a.max() * 20000).astype("<u2")
+            a = np.roll(a, (1, 2, -1), (0, 1, 2)) if moved else a
+            return pd.DataFrame([(frame["tile"].iloc[0], z, 24, 22, p.tobytes()) for z, p in enumerate(a)], columns=["tile", "z", "height", "width", "pixels"])
+
+        t = table(spark, sf, "lineitem")
+        px = t.groupBy(F.ascii("l_returnflag").alias("tile"), (F.col("l_orderkey") % 12).alias("z"), (F.col("l_partkey") % 24).alias("y"), (F.expr("l_orderkey div 12 + l_linenumber") % 22).alias("x")).agg(F.sum("l_quantity").alias("value"))
+        return px.groupBy("tile").applyInPandas(run, "tile int, z int, height int, width int, pixels binary")
+
+    found = registration.rigid_transforms(draw(False), draw(True), ["tile"], first_step=1.0, least_step=0.05, rounds=30, side=24)
+    rows = [(*key, *(int(round(v)) for v in t.shift), int(np.abs(np.degrees(t.angles)).max() > 1.5)) for key, t in found.items()]
+    return spark.createDataFrame(rows, "tile int, dz int, dy int, dx int, turned int")
 
 
 @query("SELECT n_nationkey AS cycle FROM nation WHERE n_nationkey % 2 = 1 OR n_nationkey = 0")
@@ -626,8 +689,8 @@ def translation_records(spark, sf):
 @query("SELECT 'run-' || r_regionkey AS run_id, r_name AS stage, '{\"grade\": ' || r_regionkey || '}' AS settings FROM region")
 def run_metadata(spark, sf):
     path = fresh_path(spark, "runs")
-    for row in table(spark, sf, "region").collect():
-        sinks.write_run_metadata(spark, f"run-{row.r_regionkey}", row.r_name, {"grade": row.r_regionkey}, path)
+    r = table(spark, sf, "region")
+    sinks.write_runs(r.select(F.format_string("run-%d", "r_regionkey").alias("run_id"), F.col("r_name").alias("stage"), F.format_string('{"grade": %d}', "r_regionkey").alias("settings")), path)
     return spark.read.parquet(path).where(F.col("at") <= F.current_timestamp()).select("run_id", "stage", "settings")
 
 
@@ -636,17 +699,26 @@ def watched_cycles(spark, sf):
     """Folders whose marker has appeared are taken up once, but for a cycle that is done already."""
     from pyarrow import fs
 
-    folder, checkpoint = fresh_path(spark, "cycles"), fresh_path(spark, "cycles-checkpoint")
-    store, base = fs.FileSystem.from_uri(folder)
-    for row in table(spark, sf, "nation").select("n_nationkey").collect():
-        name = f"{base}/cyc_{row.n_nationkey}"
-        store.create_dir(name, recursive=True)
-        with store.open_output_stream(f"{name}/{watch.MARKER if row.n_nationkey % 2 == 0 else 'started.txt'}") as f:
-            f.write(b"x")
-    seen: list[int] = []
+    folder, checkpoint, seen = fresh_path(spark, "cycles"), fresh_path(spark, "cycles-checkpoint"), fresh_path(spark, "cycles-seen")
+
+    def mark(frames):
+        store, base = fs.FileSystem.from_uri(folder)
+        for frame in frames:
+            for key in frame["n_nationkey"]:
+                name = f"{base}/cyc_{key}"
+                store.create_dir(name, recursive=True)
+                with store.open_output_stream(f"{name}/{watch.MARKER if key % 2 == 0 else 'started.txt'}") as f:
+                    f.write(b"x")
+            yield frame[["n_nationkey"]]
+
+    table(spark, sf, "nation").select("n_nationkey").mapInPandas(mark, "n_nationkey long").write.format("noop").mode("overwrite").save()
+
+    def take(session, cycle, path):
+        session.range(1).select(F.lit(cycle).alias("cycle")).write.mode("append").parquet(seen)
+
     for _ in range(2):  # the second time nothing is new
-        watch.run_available(watch.finished_cycles(spark, folder), lambda s, cycle, path: seen.append(cycle), lambda cycle: cycle == 8, checkpoint)
-    return spark.createDataFrame([(c,) for c in seen], "cycle int")
+        watch.run_available(watch.finished_cycles(spark, folder), take, lambda cycle: cycle == 8, checkpoint)
+    return spark.read.schema("cycle int").parquet(seen)
 
 
 @query("SELECT 'img-' || n_nationkey || '.tif' AS name FROM nation WHERE n_nationkey % 3 = 0 AND n_nationkey % 2 = 0")

@@ -74,6 +74,11 @@ def write_run_metadata(spark: SparkSession, run_id: str, stage: str, settings: d
     row.withColumn("at", F.current_timestamp()).write.mode("append").parquet(path)
 
 
+def write_runs(runs: DataFrame, path: str) -> None:
+    """Provenance of many stages at once: rows (run_id, stage, settings as JSON), stamped with the time."""
+    runs.select("run_id", "stage", "settings").withColumn("at", F.current_timestamp()).write.mode("append").parquet(path)
+
+
 def write_cells(obs: DataFrame, var: DataFrame, expr: DataFrame, folder: str) -> None:
     """The annotated matrix as three tables: cells, genes, and counts in long form."""
     for name, df in (("obs", obs), ("var", var), ("expr", expr)):
