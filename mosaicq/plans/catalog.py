@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mosaicq.functions import features as fx
-from mosaicq.operators import cells, communities, decode, graph, harmony, spatial, stats, tables
+from mosaicq.operators import cells, communities, decode, graph, harmony, layout, spatial, stats, tables
 from mosaicq.streaming import windows
 from mosaicq.workspace import materialise
 
@@ -328,6 +328,15 @@ def knn_k(spark, sf):
     return _knn(spark, sf).withColumn("d2", F.round("d2", 5))
 
 
+@query()
+def cell_layout(spark, sf):
+    """Places of the cells in the plane, from their neighbour graph and their first two directions."""
+    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("v"))
+    edges = materialise(communities.fuzzy_weights(spatial.knn(e, 15, "vec_id", "v")), "cell-graph")
+    start = cells.principal_components(e, 2).select(F.col("vec_id").alias("id"), F.col("pcs")[0].alias("y"), F.col("pcs")[1].alias("x"))
+    return layout.layout(edges, start, rounds=20).withColumnRenamed("id", "vec_id")
+
+
 INTEGRATION = harmony.Settings(clusters=8, corrections=2, rounds=2, blocks=2)
 
 
