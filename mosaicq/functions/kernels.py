@@ -74,7 +74,7 @@ def gaussian(a: np.ndarray, sigma: float | tuple[float, ...]) -> np.ndarray:
     return out
 
 
-def band_pass(a: np.ndarray, narrow: float, wide: float) -> np.ndarray:
+def band_pass(a: np.ndarray, narrow: float | tuple[float, ...], wide: float | tuple[float, ...]) -> np.ndarray:
     """Difference of two Gaussians."""
     return gaussian(a, narrow) - gaussian(a, wide)
 

@@ -71,14 +71,3 @@ def merged_labels(pixels: DataFrame, keys: list[str] = ()) -> DataFrame:
     links = seen.select(F.col("a").alias("src"), F.explode("all").alias("dst")).where("src <> dst").distinct()
     out = seen.select(*keys, "y", "x", F.col("a").alias("node")).join(connected_components(links), "node", "left")
     return out.select(*keys, "y", "x", F.coalesce("component", "node").alias("label"))
-
-
-def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """Communities by weighted label propagation (ties to the least label): a stand-in for modularity methods."""
-    both = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
-    labels = materialise(both.select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node")), "communities")
-    for _ in range(rounds):
-        votes = both.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy("src", "community").agg(F.sum("weight").alias("w"))
-        best = votes.groupBy("src").agg(F.max(F.struct("w", (-F.col("community")).alias("c"))).alias("m"))
-        labels = materialise(best.select(F.col("src").alias("node"), (-F.col("m.c")).alias("community")), "communities")
-    return labels

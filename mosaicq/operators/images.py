@@ -260,7 +260,7 @@ BACKGROUNDS = {"localPlane": "plane", "localMedian": "median", "globalMedian": "
 
 
 def _candidates(a: np.ndarray, sigma: np.ndarray, level: float, units: str, most: int | None) -> np.ndarray:
-    smooth = kernels.gaussian(a, tuple(sigma)) - kernels.gaussian(a, tuple(2 * sigma))
+    smooth = kernels.band_pass(a, tuple(sigma), tuple(2 * sigma))
     return kernels.isolated_maxima(smooth, kernels.detection_threshold(a, smooth, level, units), most)
 
 

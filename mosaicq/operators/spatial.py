@@ -285,32 +285,6 @@ def knn(vectors: DataFrame, k: int, id_col: str = "id", vec_col: str = "v", bloc
     return near.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy("d2", "dst"))).where(F.col("rank") <= k)
 
 
-def knn_hashed(vectors: DataFrame, k: int, id_col: str = "id", vec_col: str = "v", width: float = 1.0, tables: int = 8, projections: int = 4, dims: int | None = None, seed: int = 0) -> DataFrame:
-    """(src, dst, d2, rank) of about the k nearest neighbours: rows meet where several random projections agree.
-
-    For tables beyond the exact blocks: pairs come from equi-joins on hash buckets of the given width,
-    distances are exact, and a neighbour is missed only if no table brings it together with its row.
-    """
-    import random
-
-    dims = dims or len(vectors.select(vec_col).first()[0])
-    rng = random.Random(seed)
-
-    def bucket() -> Column:
-        cells = []
-        for _ in range(projections):
-            line = F.array(*[F.lit(rng.gauss(0, 1)) for _ in range(dims)])
-            dot = F.aggregate(F.zip_with(vec_col, line, lambda x, y: x.cast("double") * y), F.lit(rng.uniform(0, width)), lambda s, v: s + v)
-            cells.append(F.floor(dot / width))
-        return F.xxhash64(*cells)
-
-    keyed = vectors.select(F.col(id_col).alias("i"), F.col(vec_col).alias("v"), F.posexplode(F.array(*[bucket() for _ in range(tables)])).alias("t", "h"))
-    pairs = keyed.select(F.col("i").alias("src"), F.col("v").alias("p"), "t", "h").join(keyed.select(F.col("i").alias("dst"), F.col("v").alias("q"), "t", "h"), ["t", "h"]).where("src <> dst")
-    d2 = F.aggregate(F.zip_with("p", "q", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, v: s + v)
-    near = pairs.groupBy("src", "dst").agg(F.min(d2).alias("d2"))
-    return near.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy("d2", "dst"))).where(F.col("rank") <= k)
-
-
 def interactions(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """Number of edges between each ordered pair of labels (labels: id, label)."""
     src = labels.select(F.col("id").alias("src"), F.col("label").alias("src_label"))

@@ -549,6 +549,15 @@ def focused_stacks(spark, sf):
     return tables.stacked(both).select("mode", "channel", "y", "x", "value")
 
 
+@query(FULL + """, q AS (SELECT channel, quantile_cont(CAST(v AS DOUBLE), 0.01) AS lo, quantile_cont(CAST(v AS DOUBLE), 0.998) AS hi FROM a GROUP BY 1)
+SELECT a.channel, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, round((v - lo) / greatest(hi - lo, 1e-12), 6) AS value FROM a JOIN q ON q.channel = a.channel""")
+def stretched_images(spark, sf):
+    """Images between their 1st and 99.8th percentile."""
+    from mosaicq.functions import kernels
+
+    return _images(spark, sf).transform(_as_pixels(spark, lambda a: np.round(kernels.stretched(a, 1, 99.8), 6)))
+
+
 LIGHT_ROUNDS = 40
 
 

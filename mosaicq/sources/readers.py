@@ -170,3 +170,13 @@ def read_parameters(path: str | None = None, defaults: dict | None = None, overr
         with open(path, encoding="utf-8") as f:
             out |= yaml.safe_load(f) or {}
     return out | (overrides or {})
+
+
+def files_of(parameters: dict, mode_key: str = "fileProcessingMode", file_key: str = "dataFileName", threshold_key: str = "threshLevel") -> list[str]:
+    """The image files that parameters name: one, or in a batch one below the folder for each channel with a threshold."""
+    mode, place = parameters[mode_key], parameters[file_key]
+    if mode == "singleFile":
+        return [place]
+    if mode == "batch":
+        return [f"{place.rstrip('/')}/{channel}.tif" for channel in parameters[threshold_key]]
+    raise ValueError(f"unknown {mode_key}: {mode}")

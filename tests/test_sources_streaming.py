@@ -115,6 +115,11 @@ def test_components_and_seams(spark):
     assert got[0, 0] == got[0, 1] == got[0, 2] != got[5, 5]
     corner = spark.createDataFrame([(b, 9, 9, 1) for b in "012"] + [("1", 9, 10, 1), ("2", 10, 9, 1), ("0", 8, 8, 1)], px.schema)
     assert {r.label for r in graph.merged_labels(corner).collect()} == {"0:1"}
-    two = spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0), (1, 3, 1.0), (7, 8, 1.0), (8, 9, 1.0), (7, 9, 1.0)], "src long, dst long, weight double")
-    labels = {r.node: r.community for r in graph.label_propagation(two, 5).collect()}
-    assert labels[1] == labels[2] == labels[3] != labels[7] == labels[8]
+
+
+def test_files_of_parameters():
+    assert readers.files_of({"fileProcessingMode": "singleFile", "dataFileName": "a/b.tif"}) == ["a/b.tif"]
+    batch = {"fileProcessingMode": "batch", "dataFileName": "in/", "threshLevel": {"cy3": 1, "FAM": 2}}
+    assert readers.files_of(batch) == ["in/cy3.tif", "in/FAM.tif"]
+    with pytest.raises(ValueError):
+        readers.files_of({**batch, "fileProcessingMode": "other"})

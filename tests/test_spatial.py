@@ -98,15 +98,6 @@ def test_last_region_wins_and_shifts(spark):
     assert {(r.cycle, r.y, r.x) for r in spatial.shifted_by_cycle(moved, offsets).collect()} == {(1, 10, 10), (3, 7, 22), (5, 10, 10)}
 
 
-def test_hashed_neighbours_are_near(spark):
-    rng = random.Random(2)
-    rows = [(i, [rng.gauss(c * 20, 1) for _ in range(6)]) for i in range(90) for c in [i % 3]]
-    df = spark.createDataFrame(rows, "id long, v array<double>")
-    exact = {(r.src, r.dst) for r in spatial.knn(df, 3, block_rows=30).collect()}
-    got = {(r.src, r.dst) for r in spatial.knn_hashed(df, 3, width=8.0, tables=12, projections=2).collect()}
-    assert len(exact & got) / len(exact) >= 0.9
-
-
 def test_neighbours_of_blocks_with_ties(spark):
     rng = random.Random(3)
     rows = [(f"i{i:03d}", [float(rng.randrange(3)) for _ in range(4)]) for i in range(300)] + [("none", None), (None, [1.0, 1.0, 1.0, 1.0])]
