@@ -30,8 +30,9 @@ def _written(df: DataFrame, label: str, **sums: Column) -> tuple[DataFrame, dict
     return out, seen.get
 
 
-def _coin(key: str, turn: int, seed: int) -> Column:
-    return F.pmod(F.xxhash64(key, F.lit(turn), F.lit(seed)), F.lit(2)) == 0
+def _coin(key: str) -> Column:
+    """A coin of a node or part in the turn of its row; turns are columns, so that every round's plan compiles to the same code."""
+    return F.pmod(F.xxhash64(key, "turn"), F.lit(2)) == 0
 
 
 def move_gain(to_community: Column, strength: Column, community: Column, resolution: float, twice_m: float) -> Column:
@@ -47,25 +48,26 @@ def _links(both: DataFrame, labels: DataFrame, own: list[str]) -> DataFrame:
     return near.join(labels.select("node", *own, F.col("c").alias("own")), "node")
 
 
-def _moved(both: DataFrame, labels: DataFrame, resolution: float, twice_m: float, turn: int, seed: int) -> DataFrame:
-    """(node, k, c, was, wants, inside, kc): labels (node, k, c) after one round; wants tells who would gain by moving."""
+def _moved(both: DataFrame, labels: DataFrame, resolution: float, twice_m: float) -> DataFrame:
+    """(node, k, turn, c, was, wants, inside, kc): labels (node, k, c, turn) after one round; wants tells who would gain by moving."""
     size = labels.groupBy("c").agg(F.sum("k").alias("kc"))
-    told = _links(both, labels, ["k"]).join(size, "c")
+    told = _links(both, labels, ["k", "turn"]).join(size, "c")
     home = F.col("c") == F.col("own")
     gain = move_gain(F.col("w"), F.col("k"), F.col("kc") - F.when(home, F.col("k")).otherwise(0.0), resolution, twice_m)
     best = told.groupBy("node").agg(
-        F.max("k").alias("k"), F.max("own").alias("was"), F.max(F.when(home, gain)).alias("stay"), F.max(F.when(home, F.col("w"))).alias("inside"), F.max(F.when(home, F.col("kc"))).alias("kc"),
+        F.max("k").alias("k"), (F.max("turn") + 1).alias("turn"), F.max("own").alias("was"), F.max(F.when(home, gain)).alias("stay"), F.max(F.when(home, F.col("w"))).alias("inside"), F.max(F.when(home, F.col("kc"))).alias("kc"),
         F.max(F.when(~home, F.struct(gain.alias("g"), F.xxhash64("c").alias("h"), F.col("c").alias("c")))).alias("best"),
     )
     wants = F.coalesce(F.col("best.g") > F.col("stay") + _LEAST_GAIN * F.col("k"), F.lit(False))
-    return best.withColumn("wants", wants).select("node", "k", F.when(F.col("wants") & _coin("node", turn, seed), F.col("best.c")).otherwise(F.col("was")).alias("c"), "was", "wants", "inside", "kc")
+    return best.withColumn("wants", wants).select("node", "k", "turn", F.when(F.col("wants") & _coin("node"), F.col("best.c")).otherwise(F.col("was")).alias("c"), "was", "wants", "inside", "kc")
 
 
 def local_moves(both: DataFrame, labels: DataFrame, resolution: float, twice_m: float, seed: int = 0, patience: int = 3) -> DataFrame:
     """(node, k, c) after rounds of moves: until nobody gains, or modularity hasn't risen for some rounds; the best state counts."""
-    best, best_q, since, turn = labels, None, 0, 0
+    best, best_q, since = labels, None, 0
+    labels = labels.withColumn("turn", F.lit(1000 * seed))
     while True:
-        step = _moved(both, labels, resolution, twice_m, turn, seed)
+        step = _moved(both, labels, resolution, twice_m)
         step, seen = _written(step, "moves", inside=F.col("inside"), kk=F.col("k") * F.col("kc"), wants=F.col("wants").cast("int"))
         q = seen["inside"] / twice_m - resolution * seen["kk"] / twice_m**2
         if best_q is None or q > best_q + 1e-7:
@@ -74,7 +76,7 @@ def local_moves(both: DataFrame, labels: DataFrame, resolution: float, twice_m:
             since += 1
         if not seen["wants"] or since >= patience:
             return best
-        labels, turn = step.select("node", "k", "c"), turn + 1
+        labels = step.select("node", "k", "c", "turn")
 
 
 def refined(both: DataFrame, labels: DataFrame, resolution: float, twice_m: float, seed: int = 0) -> DataFrame:
@@ -84,11 +86,10 @@ def refined(both: DataFrame, labels: DataFrame, resolution: float, twice_m: floa
     nodes whose coin says stay), so a part is always connected; both node and part must be well connected to
     the rest of c.
     """
-    state = labels.select("node", "k", "c", F.col("node").alias("r"))
+    state = labels.select("node", "k", "c", F.col("node").alias("r"), F.lit(1000 * seed).alias("turn"))
     inner = both.join(labels.select(F.col("node").alias("src"), "c"), "src").join(labels.select(F.col("node").alias("dst"), F.col("c").alias("_c")), "dst")
     inner = materialise(inner.where(F.col("c") == F.col("_c")).select("src", "dst", "w"), "inner-edges")
     whole = materialise(labels.groupBy("c").agg(F.sum("k").alias("kc")), "community-strengths")
-    turn = 0
     while True:
         near = inner.join(state.select(F.col("node").alias("dst"), "r"), "dst").groupBy(F.col("src").alias("node"), F.col("r").alias("to")).agg(F.sum("w").alias("w"))
         near = near.join(state, "node")
@@ -102,14 +103,14 @@ def refined(both: DataFrame, labels: DataFrame, resolution: float, twice_m: floa
         into = part.where("well").select(F.col("r").alias("to"), "kr", (F.col("n") > 1).alias("stays"))
         gain = move_gain(F.col("w"), F.col("k"), F.col("kr"), resolution, twice_m)
         offers = near.where(F.col("to") != F.col("r")).join(alone, "r", "left_semi").join(into, "to").where(gain > _LEAST_GAIN * F.col("k"))
-        open_ = _coin("r", turn, seed) & (F.col("stays") | ~_coin("to", turn, seed))
+        open_ = _coin("r") & (F.col("stays") | ~_coin("to"))
         best = offers.groupBy("node").agg(F.max(F.when(open_, F.struct(gain.alias("g"), F.xxhash64("to").alias("h"), F.col("to").alias("to")))).alias("b"))
         told = state.join(best.withColumn("offered", F.lit(True)), "node", "left")
-        step = told.select("node", "k", "c", F.coalesce("b.to", "r").alias("r"), F.coalesce("offered", F.lit(False)).alias("offered"))
+        step = told.select("node", "k", "c", F.coalesce("b.to", "r").alias("r"), (F.col("turn") + 1).alias("turn"), F.coalesce("offered", F.lit(False)).alias("offered"))
         step, seen = _written(step, "refined", offered=F.col("offered").cast("int"))
         if not seen["offered"]:
             return step.select("node", "k", "c", "r")
-        state, turn = step.select("node", "k", "c", "r"), turn + 1
+        state = step.select("node", "k", "c", "r", "turn")
 
 
 def _improved(both: DataFrame, labels: DataFrame, n: int, resolution: float, twice_m: float, seed: int) -> DataFrame:
