@@ -623,6 +623,35 @@ def gmm_labels(spark, sf):
     return decode.fit_layers(f, ["x", "y"], {0: [[0.2, 0.2], [0.8, 0.6]], 1: [[0.2, 0.2], [0.8, 0.6]]}).select("l_orderkey", "l_linenumber", "label")
 
 
+CALLED = SCALED + """,
+fq AS (SELECT k, n, total, sr / total AS ra, sye / total AS ya, sb / total AS ba, least(sg / total, 5) AS ga FROM t),
+ff AS (SELECT k, n, total, ra, ya, ga * exp(0.6 * ya) AS ga, ba FROM fq),
+fh AS (SELECT k, n, total, ra, ya, ln(1 + log10(1 + ga)) AS ga, ba * exp(0.1 * ga) AS ba FROM ff),
+fu AS (SELECT k, n, total, ga, ra / (ra + ya + ba) AS ra, ya / (ra + ya + ba) AS ya, ba / (ra + ya + ba) AS ba FROM fh),
+f AS MATERIALIZED (SELECT k, n, CAST(ga >= 0.1 AS INTEGER) AS layer, (ba - ya) * sqrt(2) / 2 AS x, ra * sqrt(2) / 2 - (ya + ba) / 2 AS y FROM fu WHERE total > 20 AND total < 120)"""
+
+
+@query(CALLED.replace("WITH s AS", "WITH RECURSIVE s AS", 1) + f""",
+z AS (SELECT layer, 0 AS turn, CAST(0.5 AS DOUBLE) AS w0, CAST(0.5 AS DOUBLE) AS w1, CAST(-0.5 AS DOUBLE) AS m0x, CAST(-0.2 AS DOUBLE) AS m0y, CAST(-0.2 AS DOUBLE) AS m1x, CAST(0.1 AS DOUBLE) AS m1y,
+  greatest(var_pop(x), 1e-6) AS v0x, greatest(var_pop(y), 1e-6) AS v0y, greatest(var_pop(x), 1e-6) AS v1x, greatest(var_pop(y), 1e-6) AS v1y, CAST(NULL AS DOUBLE) AS score, CAST(NULL AS DOUBLE) AS last FROM f GROUP BY layer
+  UNION ALL SELECT layer, max(turn) + 1, {_STEP}, avg(top + ln(total)) AS score, max(score) AS last FROM (SELECT *, exp(l0 - top) / total AS r0, exp(l1 - top) / total AS r1 FROM
+    (SELECT *, exp(l0 - top) + exp(l1 - top) AS total FROM (SELECT *, greatest(l0, l1) AS top FROM (SELECT f.layer, x, y, turn, score, {_LOGS} FROM f JOIN z ON z.layer = f.layer WHERE turn < 100 AND (last IS NULL OR abs(score - last) >= 1e-3))))) GROUP BY layer),
+e AS (SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY layer ORDER BY turn DESC) = 1),
+c AS (SELECT k, n, x, y, f.layer, CASE WHEN l0 >= l1 THEN 0 ELSE 1 END + f.layer * 2 + 1 AS label FROM (SELECT k, n, x, y, f.layer, {_LOGS} FROM f JOIN e ON e.layer = f.layer) f),
+w AS (SELECT k, n, label FROM c WHERE NOT (label = 2 AND (trunc((x + 0.8) * 40 / 1.6) < 8 OR trunc((x + 0.8) * 40 / 1.6) >= 40 OR trunc((0.8 - y) * 35 / 1.4) < 0 OR trunc((0.8 - y) * 35 / 1.4) >= 35)))
+SELECT k, n, CASE label WHEN 1 THEN 'Actb' WHEN 2 THEN 'Gad1' WHEN 3 THEN 'Sst' ELSE 'unnamed' END AS gene FROM w""")
+def called_genes(spark, sf):
+    """Gene calling from spots to names: features, panel range, layers, mixtures, one label kept inside its drawn mask, codebook."""
+    out = fx.readout_features(spots(spark, sf)).where((F.col("sum") > 20) & (F.col("sum") < 120))
+    out = materialise(out.select("k", "n", "cd_1", "cd_2", (F.col("g_a") >= 0.1).cast("int").alias("g_layer")), "called-features")
+    first = [[-0.5, -0.2], [-0.2, 0.1]]
+    told = decode.fit_layers(out, ["cd_1", "cd_2"], {0: first, 1: first})
+    mask = spark.range(35).select(F.lit(2).alias("label"), F.col("id").cast("int").alias("row"), F.explode(F.sequence(F.lit(8), F.lit(39))).alias("col"))
+    kept = spatial.mask_relabelled(told, mask, "discard", F.lit(True), 35, 40)
+    names = spark.createDataFrame([(1, "Actb"), (2, "Gad1"), (3, "Sst")], "label int, gene string")
+    return tables.with_names(kept.select("k", "n", "label"), "label", names, "gene", "unnamed").select("k", "n", "gene")
+
+
 # ---------------------------------------------------------------- cells
 
 
