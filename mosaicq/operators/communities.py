@@ -15,6 +15,8 @@ from mosaicq.workspace import materialise
 
 #: A gain below this share of the node's strength is no gain.
 _LEAST_GAIN = 1e-9
+#: A round that raises modularity by less is one without success; a refinement ends when no larger share of nodes could still move.
+_LEAST_RISE, _FEW_OFFERS = 1e-4, 0.01
 
 
 def both_directions(edges: DataFrame) -> DataFrame:
@@ -62,7 +64,7 @@ def _moved(both: DataFrame, labels: DataFrame, resolution: float, twice_m: float
     return best.withColumn("wants", wants).select("node", "k", "turn", F.when(F.col("wants") & _coin("node"), F.col("best.c")).otherwise(F.col("was")).alias("c"), "was", "wants", "inside", "kc")
 
 
-def local_moves(both: DataFrame, labels: DataFrame, resolution: float, twice_m: float, seed: int = 0, patience: int = 3) -> DataFrame:
+def local_moves(both: DataFrame, labels: DataFrame, resolution: float, twice_m: float, seed: int = 0, patience: int = 2) -> DataFrame:
     """(node, k, c) after rounds of moves: until nobody gains, or modularity hasn't risen for some rounds; the best state counts."""
     best, best_q, since = labels, None, 0
     labels = labels.withColumn("turn", F.lit(1000 * seed))
@@ -70,7 +72,7 @@ def local_moves(both: DataFrame, labels: DataFrame, resolution: float, twice_m:
         step = _moved(both, labels, resolution, twice_m)
         step, seen = _written(step, "moves", inside=F.col("inside"), kk=F.col("k") * F.col("kc"), wants=F.col("wants").cast("int"))
         q = seen["inside"] / twice_m - resolution * seen["kk"] / twice_m**2
-        if best_q is None or q > best_q + 1e-7:
+        if best_q is None or q > best_q + _LEAST_RISE:
             best, best_q, since = step.select("node", "k", F.col("was").alias("c")), q, 0
         else:
             since += 1
@@ -107,8 +109,8 @@ def refined(both: DataFrame, labels: DataFrame, resolution: float, twice_m: floa
         best = offers.groupBy("node").agg(F.max(F.when(open_, F.struct(gain.alias("g"), F.xxhash64("to").alias("h"), F.col("to").alias("to")))).alias("b"))
         told = state.join(best.withColumn("offered", F.lit(True)), "node", "left")
         step = told.select("node", "k", "c", F.coalesce("b.to", "r").alias("r"), (F.col("turn") + 1).alias("turn"), F.coalesce("offered", F.lit(False)).alias("offered"))
-        step, seen = _written(step, "refined", offered=F.col("offered").cast("int"))
-        if not seen["offered"]:
+        step, seen = _written(step, "refined", offered=F.col("offered").cast("int"), nodes=F.lit(1))
+        if seen["offered"] <= _FEW_OFFERS * seen["nodes"]:
             return step.select("node", "k", "c", "r")
         state = step.select("node", "k", "c", "r", "turn")
 
