@@ -10,8 +10,8 @@ as shares of its question and of its answer.
 
 The index is built of bounded shards of items, by tasks, as files in the shared folder; document
 frequencies and lengths are counted over all items first. Documents are read once, however many shards
-there are: a task numbers the words of a batch and passes these numbers through one shard after the
-other, a few of which it keeps loaded. Documents are never shuffled, so frequent leaks, sources or
+there are: a task numbers the words of a slice of bounded bytes and passes these numbers through one
+shard after the other, a few of which it keeps loaded. Documents are never shuffled, so frequent leaks, sources or
 copies cannot overload a task.
 
 Defined results: null and empty texts hold no item, items without words are never found; repeated
@@ -45,8 +45,10 @@ SHARD_ITEMS, WIDE_BLOCKS, NARROW_BLOCKS = 2048, 25, 256
 CHUNK_WORDS = 100_000
 #: Shards that a task keeps loaded.
 LOADED_SHARDS = 4
-#: Texts of a batch whose words are numbered together.
+#: Bytes of texts whose words are numbered together.
 SLICE_BYTES = 4 << 20
+#: The same where shards are loaded anew for each slice: loading one must be little beside searching it.
+RELOAD_BYTES = 32 << 20
 _MARKS = (re.compile("answer:", re.IGNORECASE | re.ASCII), re.compile(r"\?"))
 
 #: Digits and letters stay, A-Z are lower-cased, bytes of non-ASCII letters stay, the rest separates.
@@ -292,12 +294,13 @@ def shards(items: DataFrame, id_col: str = "item_id", text_col: str = "text", sh
 
 
 def _slices(column: pa.Array, n_shards: int) -> Iterator[tuple[int, Batch]]:
-    """(first row, texts) of a column in parts of about SLICE_BYTES; in one, if the shards can't all stay loaded."""
+    """(first row, texts) of a column in parts of bounded bytes, larger ones if the shards can't all stay loaded."""
+    most = SLICE_BYTES if n_shards <= LOADED_SHARDS else RELOAD_BYTES
     texts, at, held = [], 0, 0
     for row, raw in enumerate(column.cast(pa.binary())):
         texts.append(raw.as_py() or b"")
         held += len(texts[-1])
-        if held >= SLICE_BYTES and n_shards <= LOADED_SHARDS:
+        if held >= most:
             yield at, Batch(texts)
             texts, at, held = [], row + 1, 0
     if texts:

@@ -121,9 +121,10 @@ def base_places(joined: bytes, phrases: dict[str, str]) -> list[tuple[int, str]]
     out = []
     for phrase, label in phrases.items():
         needle = f" {phrase} ".encode()
-        at = joined.find(needle)
+        at, told, word = joined.find(needle), 0, 0
         while at >= 0:
-            out.append((joined.count(b" ", 0, at), label))
+            told, word = at, word + joined.count(b" ", told, at)  # counted on from the last place
+            out.append((word, label))
             at = joined.find(needle, at + 1)
     return sorted(out)
 
@@ -158,10 +159,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", notice
 
 def _located(hits, text: str, raw: bytes) -> list[dict]:
     at = [m.span() for m in _WORD.finditer(raw.decode("utf-8", "replace"))]
+    spaces = [m.start() for m in re.finditer(" ", text)]
     out = []
     for lo, hi, edits, label, similarity in sorted(hits):
-        first = min(max(0, text.count(" ", 0, lo + 1) - 1), len(at) - 1)
-        last = min(max(first, text.count(" ", 0, hi - 1) - 1), len(at) - 1)
+        first = min(max(0, bisect.bisect_left(spaces, lo + 1) - 1), len(at) - 1)
+        last = min(max(first, bisect.bisect_left(spaces, hi - 1) - 1), len(at) - 1)
         out.append({"label": label, "edits": edits, "similarity": similarity, "first_word": first, "n_words": last - first + 1, "start": at[first][0], "end": at[last][1]})
     return out
 

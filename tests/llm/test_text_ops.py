@@ -5,6 +5,7 @@ import math
 import re
 
 import pytest
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from mosaicq.llm import decontam, language_id, license_scan, pii, quality
@@ -354,3 +355,28 @@ def test_a_language_of_few_ids_is_learned(spark, ids):
     assert set(language_id.Model.load(model).classes) >= {"en", "zz"}
     asked = spark.createDataFrame([(2, "zyx zzyzx yxz zxy zyxq", None), (3, "the of and in to", None)], df.schema)
     assert {r.doc_id: r.lang_pred for r in language_id.predict(asked, model).collect()} == {2: "zz", 3: "en"}
+
+
+def test_slices_of_bounded_bytes():
+    """Every row is in one slice, in order; slices are larger where shards are loaded anew for each."""
+    column = pa.array(["ab cd " * 200_000, None, "", "ef"] * 40, pa.string())
+    for n_shards, most in ((1, decontam.SLICE_BYTES), (decontam.LOADED_SHARDS + 1, decontam.RELOAD_BYTES)):
+        at, sizes = 0, []
+        for first, texts in decontam._slices(column, n_shards):
+            assert first == at
+            at += len(texts.rows)
+            sizes.append(sum(map(len, column.slice(first, len(texts.rows)).cast(pa.binary()).fill_null(b"").to_pylist())))
+        assert at == len(column) and all(most <= s < most + 1_200_000 for s in sizes[:-1]) and len(sizes) > 1
+
+
+def test_places_in_texts_full_of_notices():
+    words = ("x under the mit license y cc by nc " * 3000).split()
+    joined = (" " + " ".join(words) + " ").encode()
+    at = [(i, label) for p, label in license_scan.BASE_PHRASES.items() for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
+    assert license_scan.base_places(joined, license_scan.BASE_PHRASES) == sorted(at)
+    text = " ".join(["Released under teh MIT License. Zü!"] * 500)
+    normal = b" " + b" ".join(license_scan.words_of(text.encode())) + b" "
+    hits = license_scan.Scanner().matches(normal.decode())
+    found = license_scan._located(hits, normal.decode(), text.encode())
+    assert [(x["first_word"], x["n_words"]) for x in found] == [(6 * i, 5) for i in range(500)]
+    assert all(text[x["start"] : x["end"]] == "Released under teh MIT License" for x in found)
