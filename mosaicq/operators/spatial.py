@@ -256,10 +256,15 @@ def knn(vectors: DataFrame, k: int, id_col: str = "id", vec_col: str = "v", bloc
     """(src, dst, d2, rank) of the k nearest neighbours by squared distance, exactly, ties to the lowest id.
 
     Rows are dealt into blocks of bounded size; a task multiplies two blocks and keeps k a row, so what is
-    shuffled and ranked after is k rows a row and block, never pairs. Rows without a vector take no part.
+    shuffled and ranked after is k rows a row and block, never pairs. Rows without a vector, or with an empty place
+    in it, take no part; vectors of unequal lengths are an error.
     """
     rows = vectors.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    n, tasks = rows.count(), rows.sparkSession.sparkContext.defaultParallelism
+    rows = rows.where(~F.exists("v", lambda x: x.isNull()))
+    n, least, most = rows.agg(F.count("*"), F.min(F.size("v")), F.max(F.size("v"))).first()
+    if least != most:
+        raise ValueError(f"vectors of {least} to {most} values")
+    tasks = rows.sparkSession.sparkContext.defaultParallelism
     blocks = max(1, -(-n // block_rows), min(math.isqrt(max(0, tasks - 1)) + 1, -(-n // LEAST_BLOCK_ROWS)))
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))

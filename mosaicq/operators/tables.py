@@ -43,19 +43,29 @@ def top(df: DataFrame, k: int, order: list[Column]) -> DataFrame:
     return df.orderBy(*order).limit(k)
 
 
+#: Draws are whole numbers below this.
+DRAWS = 1 << 60
+
+
+def draw_of(key: list[str], seed: int) -> Column:
+    """A number from 0 to DRAWS, by MD5 of the seed and the key's values as text: another engine draws the same."""
+    told = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in key]).cast("binary"))
+    return F.conv(F.substring(told, 1, 15), 16, 10).cast("long")
+
+
 def sample_rows(df: DataFrame, n: int, key: list[str], seed: int = 0) -> DataFrame:
     """min(n, rows) rows by a seeded hash of their key: the same rows however the table is partitioned."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *key), *key).limit(n)
+    return df.orderBy(draw_of(key, seed), *key).limit(n)
 
 
 def sample_each(df: DataFrame, group: str, n: int, key: list[str], seed: int = 0) -> DataFrame:
-    w = Window.partitionBy(group).orderBy(F.xxhash64(F.lit(seed), *key), *key)
+    w = Window.partitionBy(group).orderBy(draw_of(key, seed), *key)
     return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
 
 
 def bootstrap(df: DataFrame, fraction: float, key: list[str], seed: int = 1) -> DataFrame:
     """Rows drawn with replacement: each comes as often as a Poisson draw of the fraction says, made from a seeded hash of its key."""
-    draw = F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1 << 40)) / float(1 << 40)
+    draw = draw_of(key, seed) / float(DRAWS)
     term = total = math.exp(-fraction)
     ends, k = [], 0
     while total < 1 - 1e-12 and k < 1000:
@@ -69,7 +79,7 @@ def bootstrap(df: DataFrame, fraction: float, key: list[str], seed: int = 1) ->
 
 def split_train(df: DataFrame, key: list[str], held: float = 0.1, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """(train, validation) by a seeded hash of the key."""
-    draw = F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1 << 20)) / float(1 << 20)
+    draw = draw_of(key, seed) / float(DRAWS)
     return df.where(draw >= held), df.where(draw < held)
 
 

@@ -743,13 +743,34 @@ def paired_files(spark, sf):
 # ---------------------------------------------------------------- sampling and streams
 
 
-@query()
+def _drawn(seed: int, key: str) -> str:
+    """SQL of the draw of a key."""
+    return f"CAST('0x' || substr(md5('{seed}|' || {key}), 1, 15) AS BIGINT)"
+
+
+@query(f"SELECT event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY {_drawn(0, 'event_id')}, event_id) <= 20")
 def sampled_rows(spark, sf):
     e = table(spark, sf, "events").select("event_id", "event_type")
     return tables.sample_each(e, "event_type", 20, ["event_id"])
 
 
-@query()
+@query(f"SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem ORDER BY {_drawn(7, "l_orderkey || '|' || l_linenumber")}, 1, 2 LIMIT 500")
+def subsampled_rows(spark, sf):
+    """A sample of a fixed number of rows; the number is the feature."""
+    return tables.sample_rows(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), 500, ["l_orderkey", "l_linenumber"], seed=7)
+
+
+@query(f"""WITH e AS (SELECT list_transform(range(0, 20), lambda k: list_sum(list_transform(range(0, k + 1), lambda j: exp(-0.5) * pow(0.5, j) / factorial(CAST(j AS INTEGER))))) AS ends),
+d AS (SELECT o_orderkey, len(list_filter(ends, lambda x: x <= {_drawn(1, 'o_orderkey')} / 1152921504606846976.0)) AS copies FROM orders, e)
+SELECT o_orderkey, copies FROM d, range(0, 20) r WHERE r.range < copies""")
+def drawn_with_replacement(spark, sf):
+    """Orders drawn with replacement at half their number: each as often as a Poisson draw says, with that number."""
+    drawn = tables.bootstrap(table(spark, sf, "orders").select("o_orderkey"), 0.5, ["o_orderkey"])
+    times = drawn.groupBy("o_orderkey").agg(F.count("*").alias("copies"))
+    return drawn.join(times, "o_orderkey")
+
+
+@query(f"SELECT event_id, CASE WHEN {_drawn(42, 'event_id')} / 1152921504606846976.0 < 0.1 THEN 'held' ELSE 'train' END AS part FROM events")
 def train_split(spark, sf):
     train, held = tables.split_train(table(spark, sf, "events").select("event_id"), ["event_id"])
     return tables.stacked([train.withColumn("part", F.lit("train")), held.withColumn("part", F.lit("held"))])
