@@ -54,7 +54,7 @@ def draw_of(key: list[str], seed: int) -> Column:
 
 
 def sample_rows(df: DataFrame, n: int, key: list[str], seed: int = 0) -> DataFrame:
-    """min(n, rows) rows by a seeded hash of their key: the same rows however the table is partitioned."""
+    """min(n, rows) rows by a seeded hash of their key: the same rows however the table is partitioned, if no two have one key."""
     return df.orderBy(draw_of(key, seed), *key).limit(n)
 
 

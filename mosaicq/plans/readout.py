@@ -754,10 +754,10 @@ def sampled_rows(spark, sf):
     return tables.sample_each(e, "event_type", 20, ["event_id"])
 
 
-@query(f"SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem ORDER BY {_drawn(7, "l_orderkey || '|' || l_linenumber")}, 1, 2 LIMIT 500")
+@query(f"SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem ORDER BY {_drawn(7, "l_orderkey || '|' || l_linenumber || '|' || l_quantity")}, 1, 2, 3 LIMIT 500")
 def subsampled_rows(spark, sf):
-    """A sample of a fixed number of rows; the number is the feature."""
-    return tables.sample_rows(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), 500, ["l_orderkey", "l_linenumber"], seed=7)
+    """A sample of a fixed number of rows; the number is the feature. Order and line repeat, all three columns tell rows apart."""
+    return tables.sample_rows(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), 500, ["l_orderkey", "l_linenumber", "l_quantity"], seed=7)
 
 
 @query(f"""WITH e AS (SELECT list_transform(range(0, 20), lambda k: list_sum(list_transform(range(0, k + 1), lambda j: exp(-0.5) * pow(0.5, j) / factorial(CAST(j AS INTEGER))))) AS ends),
