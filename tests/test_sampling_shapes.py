@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mosaicq.operators import decode, images, stats, tables
-from mosaicq.plans import catalog
+from mosaicq.plans import catalog, readout  # noqa: F401  (readout registers its queries)
 
 
 def test_sampled_rows_of_each_type(spark, sf_dir):
