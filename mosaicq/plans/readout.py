@@ -7,6 +7,7 @@ come back. Images are drawn from tables: order lines counted on a grid are a til
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mosaicq.functions import features as fx
@@ -346,6 +347,15 @@ def offsets_wide_and_long(spark, sf):
     return readers.offsets_long(readers.offsets_wide(long, [f"t{k}.tif" for k in range(25)]))
 
 
+def _grey(px, by):
+    """px (by, value), the values of an image or stack (by) scaled down to 16 bits where its greatest passes them.
+
+    Sums on a grid grow with the table; values cut at the top would leave nothing to tell pixels apart.
+    """
+    top = F.max("value").over(Window.partitionBy(*by))
+    return px.withColumn("value", F.when(top > 65535, F.rint(F.col("value") * 65535 / top)).otherwise(F.col("value")).cast("int"))
+
+
 def _images(spark, sf):
     """One 60 x 50 image of 16 bits a return flag; missing pixels are 0."""
 
@@ -538,8 +548,8 @@ def _stacks(spark, sf):
         return pd.DataFrame([{"cycle": 1, "tile": 1, "channel": frame["channel"].iloc[0], "z": frame["z"].iloc[0], "height": 24, "width": 20, "pixels": a.tobytes()}])
 
     t = table(spark, sf, "lineitem")
-    px = t.groupBy(F.col("l_returnflag").alias("channel"), F.col("l_linenumber").cast("int").alias("z"), (F.col("l_partkey") % 24).alias("y"), (F.col("l_suppkey") % 20).alias("x")).agg(F.least(F.sum(F.col("l_quantity") * 20), F.lit(65535)).cast("int").alias("value"))
-    return px.groupBy("channel", "z").applyInPandas(draw, "cycle int, tile int, channel string, z int, height int, width int, pixels binary")
+    px = t.groupBy(F.col("l_returnflag").alias("channel"), F.col("l_linenumber").cast("int").alias("z"), (F.col("l_partkey") % 24).alias("y"), (F.col("l_suppkey") % 20).alias("x")).agg(F.sum(F.col("l_quantity") * 20).alias("value"))
+    return _grey(px, ["channel"]).groupBy("channel", "z").applyInPandas(draw, "cycle int, tile int, channel string, z int, height int, width int, pixels binary")
 
 
 @query()
@@ -572,8 +582,8 @@ def _light_tiles(spark, sf):
         return pd.DataFrame([{"cycle": 1, "channel": frame["channel"].iloc[0], "tile": frame["tile"].iloc[0], "height": 12, "width": 10, "pixels": a.tobytes()}])
 
     t = table(spark, sf, "lineitem")
-    px = t.groupBy(F.col("l_returnflag").alias("channel"), F.dayofmonth("l_shipdate").alias("tile"), (F.col("l_partkey") % 12).alias("y"), (F.col("l_suppkey") % 10).alias("x")).agg(F.least(F.sum("l_quantity"), F.lit(65535)).cast("int").alias("value"))
-    return px.groupBy("channel", "tile").applyInPandas(draw, "cycle int, channel string, tile int, height int, width int, pixels binary")
+    px = t.groupBy(F.col("l_returnflag").alias("channel"), F.dayofmonth("l_shipdate").alias("tile"), (F.col("l_partkey") % 12).alias("y"), (F.col("l_suppkey") % 10).alias("x")).agg(F.sum("l_quantity").alias("value"))
+    return _grey(px, ["channel"]).groupBy("channel", "tile").applyInPandas(draw, "cycle int, channel string, tile int, height int, width int, pixels binary")
 
 
 @query()
@@ -639,8 +649,8 @@ def cycle_offsets(spark, sf):
 
     t = table(spark, sf, "lineitem").select(F.ascii("l_returnflag").alias("tile"), F.explode(F.array(F.lit(1), F.lit(2))).alias("cycle"), "l_partkey", "l_orderkey", "l_quantity")
     moved = F.when(F.col("cycle") == 2, 1).otherwise(0)
-    px = t.groupBy("cycle", "tile", F.lit("DAPI").alias("channel"), ((F.col("l_partkey") + 3 * moved) % 48).alias("y"), ((F.col("l_orderkey") + 35 * moved) % 40).alias("x")).agg(F.least(F.sum("l_quantity"), F.lit(65535)).cast("int").alias("value"))
-    drawn = px.groupBy("cycle", "tile", "channel").applyInPandas(draw, "cycle int, tile int, channel string, height int, width int, pixels binary")
+    px = t.groupBy("cycle", "tile", F.lit("DAPI").alias("channel"), ((F.col("l_partkey") + 3 * moved) % 48).alias("y"), ((F.col("l_orderkey") + 35 * moved) % 40).alias("x")).agg(F.sum("l_quantity").alias("value"))
+    drawn = _grey(px, ["cycle", "tile", "channel"]).groupBy("cycle", "tile", "channel").applyInPandas(draw, "cycle int, tile int, channel string, height int, width int, pixels binary")
     return images.registered(drawn, 1, "DAPI")[0]
 
 
