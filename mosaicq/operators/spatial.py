@@ -222,50 +222,71 @@ def roi_of_points(points: DataFrame, mask: DataFrame, height: int, step: int = 1
     return points.withColumns({"_row": row.cast("int"), "_col": col.cast("int")}).join(won, ["_row", "_col"], "left").drop("_row", "_col")
 
 
-#: Rows of a block of vectors, at most and, where there are few tasks otherwise, at least.
-BLOCK_ROWS, LEAST_BLOCK_ROWS = 8192, 256
-_STEP_ROWS = 512
+#: Values of a block of vectors, at most; its rows, where there are few tasks otherwise, at least.
+BLOCK_VALUES, LEAST_BLOCK_ROWS = 1 << 19, 256
+#: Places of a product, and pairs whose exact distances are taken, at a time: what a task holds besides its blocks.
+_STEP_PLACES, _STEP_PAIRS = 1 << 21, 1 << 14
 
 
 def _nearest_in_block(p: np.ndarray, q: np.ndarray, order: np.ndarray, same: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of p, row of q, d2) of the k nearest of q for every row of p, ties by order; same[i] is the row of q that is i itself or -1.
 
-    A matrix product selects, the exact distances of what it leaves are compared.
+    A matrix product in single precision selects, with room for its rounding; the exact distances of what it
+    leaves are compared. No more than a bounded number of either is held, however many rows are alike.
     """
     left, right, found = [], [], []
-    pp, qq = (p * p).sum(1), (q * q).sum(1)
-    slack = 1e-9 * (pp.max() + qq.max() + 1)
-    for a in range(0, len(p), _STEP_ROWS):
-        near = pp[a : a + _STEP_ROWS, None] + qq[None] - 2 * (p[a : a + _STEP_ROWS] @ q.T)
-        own = np.nonzero(same[a : a + _STEP_ROWS] >= 0)[0]
-        near[own, same[a : a + _STEP_ROWS][own]] = np.inf
-        m = min(k, near.shape[1])
-        worst = np.partition(near, m - 1, axis=1)[:, m - 1 : m]
-        i, j = np.nonzero((near <= worst + slack) & np.isfinite(near))
-        d2 = ((p[a + i] - q[j]) ** 2).sum(1)
+    middle = q.mean(0)
+    with np.errstate(over="ignore"):
+        a, b = ((x - middle).astype(np.float32) for x in (p, q))
+        aa, bb = (np.einsum("ij,ij->i", x, x) for x in (a, b))
+        most = 2 * (a.shape[1] + 8) * np.sqrt(aa.max()) * np.sqrt(bb.max()) + 4 * bb.max()
+    if not np.isfinite(most):
+        a, b = p - middle, q - middle
+        bb = (b * b).sum(1)
+        most = 2 * (a.shape[1] + 8) * np.sqrt((a * a).sum(1).max() * bb.max()) + 4 * bb.max()
+    slack = 2 * most * np.finfo(a.dtype).eps
+    # The square of a row of p is the same for the whole row, so it is left out.
+    a, b = np.c_[-2 * a, np.ones(len(a), a.dtype)], np.c_[b, bb.astype(a.dtype)].T
+    step, parts = max(1, _STEP_PLACES // len(q)), 4 * k
+    for at in range(0, len(p), step):
+        near = a[at : at + step] @ b
+        own = np.flatnonzero(same[at : at + step] >= 0)
+        near[own, same[at : at + step][own]] = np.inf
+        if len(q) >= 4 * parts:  # k parts have a row as near as the k-th nearest of the parts' nearest ones
+            bound = np.partition(near[:, : len(q) // parts * parts].reshape(len(near), parts, -1).min(2), k - 1, axis=1)[:, k - 1 : k]
+        else:
+            m = min(k, len(q))
+            bound = np.partition(near, m - 1, axis=1)[:, m - 1 : m]
+        rows = np.flatnonzero(near <= bound + near.dtype.type(slack))
+        i, j = rows // len(q), rows % len(q)
+        other = j != same[at + i]
+        i, j = i[other], j[other]
+        d2 = np.concatenate([np.zeros(0), *[((p[at + i[n : n + _STEP_PAIRS]] - q[j[n : n + _STEP_PAIRS]]) ** 2).sum(1) for n in range(0, len(i), _STEP_PAIRS)]])
         best = np.lexsort((order[j], d2, i))
         i, j, d2 = i[best], j[best], d2[best]
         nth = np.arange(len(i)) - np.searchsorted(i, i)
-        left.append(a + i[nth < k])
+        left.append(at + i[nth < k])
         right.append(j[nth < k])
         found.append(d2[nth < k])
     return np.concatenate(left), np.concatenate(right), np.concatenate(found)
 
 
-def knn(vectors: DataFrame, k: int, id_col: str = "id", vec_col: str = "v", block_rows: int = BLOCK_ROWS) -> DataFrame:
+def knn(vectors: DataFrame, k: int, id_col: str = "id", vec_col: str = "v", block_rows: int | None = None) -> DataFrame:
     """(src, dst, d2, rank) of the k nearest neighbours by squared distance, exactly, ties to the lowest id.
 
     Rows are dealt into blocks of bounded size; a task multiplies two blocks and keeps k a row, so what is
     shuffled and ranked after is k rows a row and block, never pairs. Rows without a vector, or with an empty place
     in it, take no part; vectors of unequal lengths are an error.
     """
-    rows = vectors.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    kind = vectors.schema[vec_col].dataType.simpleString()
+    held = F.col(vec_col).cast(kind if kind == "array<float>" else "array<double>")  # floats travel as they are
+    rows = vectors.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), held.alias("v"))
     rows = rows.where(~F.exists("v", lambda x: x.isNull()))
     n, least, most = rows.agg(F.count("*"), F.min(F.size("v")), F.max(F.size("v"))).first()
     if least != most:
         raise ValueError(f"vectors of {least} to {most} values")
     tasks = rows.sparkSession.sparkContext.defaultParallelism
-    blocks = max(1, -(-n // block_rows), min(math.isqrt(max(0, tasks - 1)) + 1, -(-n // LEAST_BLOCK_ROWS)))
+    blocks = max(1, -(-n // (block_rows or max(1, BLOCK_VALUES // max(1, most or 1)))), min(math.isqrt(max(0, tasks - 1)) + 1, -(-n // LEAST_BLOCK_ROWS)))
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     a = dealt.select("id", "v", F.col("block").alias("bi"), every.alias("bj"))
@@ -274,7 +295,7 @@ def knn(vectors: DataFrame, k: int, id_col: str = "id", vec_col: str = "v", bloc
 
     def matrix(table: pa.Table) -> np.ndarray:
         column = table.column("v").combine_chunks()
-        return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(float)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left) or not len(right):

@@ -1,7 +1,11 @@
 """What larger tables bring about: sums beyond 16 bits, crowds of equal rows, more blocks."""
 
+import tracemalloc
+
+import numpy as np
 from pyspark.sql import functions as F
 
+from mosaicq.operators import spatial
 from mosaicq.plans import readout
 
 
@@ -13,3 +17,30 @@ def test_images_of_large_sums_keep_their_differences(spark, sf_dir, tmp_path):
     for drawn in (readout._light_tiles, readout._stacks):
         for r in drawn(spark, f"file://{tmp_path}").collect():
             assert len(set(r.pixels[k : k + 2] for k in range(0, len(r.pixels), 2))) > 3
+
+
+def test_neighbours_among_crowds_of_equal_rows():
+    """Ties of a whole crowd, a common offset, values beyond single precision: the nearest are exact, ties in order."""
+    rng = np.random.default_rng(0)
+    crowd = rng.normal(size=(3000, 6))
+    crowd[100:1500] = crowd[99]
+    for q in (crowd, crowd + 1e6, crowd * 1e30):
+        order, same = rng.permutation(len(q)), np.r_[np.arange(150), np.full(150, -1)]
+        p = np.r_[q[:150], rng.normal(size=(150, 6)) * np.abs(q[0, 0]) + q[1]]
+        d2 = ((p[:, None] - q[None]) ** 2).sum(2)
+        d2[np.arange(150), np.arange(150)] = np.inf
+        want = np.lexsort((np.broadcast_to(order, d2.shape), d2), axis=1)[:, :5]
+        i, j, found = spatial._nearest_in_block(p, q, order, same, 5)
+        assert (i == np.repeat(np.arange(300), 5)).all() and (j.reshape(300, 5) == want).all() and (found.reshape(300, 5) == np.take_along_axis(d2, want, 1)).all()
+
+
+def test_neighbours_hold_a_bounded_number_of_places():
+    """A block's task holds some MB besides the block, also when very many rows are equal (before: 65 times as many)."""
+    rng = np.random.default_rng(0)
+    q = rng.normal(size=(4096, 64))
+    q[:2048] = q[0]
+    tracemalloc.start()
+    spatial._nearest_in_block(q[:64], q, np.arange(4096), np.full(64, -1), 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6
