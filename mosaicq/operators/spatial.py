@@ -1,8 +1,8 @@
 """Spatial joins, suppression, tiles and neighbour graphs as equi-joins on grid cells.
 
-A radius join looks only at the cells around a point: one side is repeated for the neighbouring cells
-(9 in the plane, 27 in space), both sides meet by an equi-join on the cell, and the exact distance is
-a filter. Catalyst picks the join; adaptive execution splits crowded cells.
+A radius join looks only at the cells around a point: one side is repeated for the squares of two by two cells
+that hold them (4 in the plane, 8 in space), both sides meet by an equi-join on the square, and the exact
+distance is a filter. The join is a sort-merge; adaptive execution splits crowded squares.
 """
 
 from __future__ import annotations
@@ -33,21 +33,24 @@ def _distance2(a: str, b: str, dims: list[str]) -> Column:
 
 
 def _around(df: DataFrame, dims: list[str], r: float) -> DataFrame:
-    """Every row once for each cell around its own."""
-    near = F.array(*[F.array(*[F.lit(k).cast("long") for k in o]) for o in itertools.product((-1, 0, 1), repeat=len(dims))])
+    """Every row once for each square of two by two cells (in space: block) that holds one of its own cell and those around."""
+    near = F.array(*[F.array(*[F.lit(k).cast("long") for k in o]) for o in itertools.product((0, 1), repeat=len(dims))])
     out = df.withColumn("_o", F.explode(near))
-    return out.withColumns({f"_c{i}": _cell(d, r) + F.col("_o")[i] for i, d in enumerate(dims)}).drop("_o")
+    return out.withColumns({f"_c{i}": F.shiftright(_cell(d, r) - 1, 1) + F.col("_o")[i] for i, d in enumerate(dims)}).drop("_o")
 
 
 def _within(left: DataFrame, right: DataFrame, dims: list[str], r: float, strict: bool, also: list[str]) -> DataFrame:
-    """Rows (l, r structs, d2) of all pairs within the radius."""
-    a = left.select(F.struct("*").alias("l"), *[_cell(d, r).alias(f"_c{i}") for i, d in enumerate(dims)], *[F.col(k).alias(f"_k_{k}") for k in also])
+    """Rows (l, r structs, d2) of all pairs within the radius.
+
+    The join is a merge of shuffled rows: a broadcast of the repeated side would be held whole by every task.
+    """
+    a = left.select(F.struct("*").alias("l"), *[F.shiftright(_cell(d, r), 1).alias(f"_c{i}") for i, d in enumerate(dims)], *[F.col(k).alias(f"_k_{k}") for k in also])
     b = _around(right.select("*"), dims, r)
     b = b.select(F.struct(*right.columns).alias("r"), *[f"_c{i}" for i in range(len(dims))], *[F.col(k).alias(f"_k_{k}") for k in also])
     keys = [f"_c{i}" for i in range(len(dims))] + [f"_k_{k}" for k in also]
     d2 = _distance2("l", "r", dims)
     near = d2 < float(r) * r if strict else d2 <= float(r) * r
-    return a.join(b, keys).where(near).select("l", "r", d2.alias("d2"))
+    return a.join(b.hint("merge"), keys).where(near).select("l", "r", d2.alias("d2"))
 
 
 def within(left: DataFrame, right: DataFrame, dims: list[str], r: float) -> DataFrame:
@@ -57,7 +60,7 @@ def within(left: DataFrame, right: DataFrame, dims: list[str], r: float) -> Data
 
 def nearest_within(points: DataFrame, targets: DataFrame, radius: float, dims=("y", "x"), id_col: str = "id", target_id: str = "cell_id", keep: bool = False) -> DataFrame:
     """For each point the nearest target nearer than the radius (ties: lowest id); others dropped or null."""
-    pairs = _within(points, targets, list(dims), radius, True, [])
+    pairs = _within(points.select(id_col, *dims), targets.select(target_id, *dims), list(dims), radius, True, [])
     best = pairs.groupBy(F.col(f"l.{id_col}").alias(id_col)).agg(F.min(F.struct(F.col("d2"), F.col(f"r.{target_id}").alias("t"))).alias("m"))
     best = best.select(id_col, F.col("m.t").alias(target_id), F.sqrt("m.d2").alias("distance"))
     return points.select(id_col).join(best, id_col, "left") if keep else best
@@ -65,7 +68,8 @@ def nearest_within(points: DataFrame, targets: DataFrame, radius: float, dims=("
 
 def radius_pairs(points: DataFrame, radius: float, dims=("y", "x"), id_col: str = "id", group: list[str] = ()) -> DataFrame:
     """(a, b, distance) of all unordered pairs at most the radius apart, within groups if given."""
-    pairs = _within(points, points, list(dims), radius, False, list(group)).where(F.col(f"l.{id_col}") < F.col(f"r.{id_col}"))
+    own = points.select(*dict.fromkeys([id_col, *dims, *group]))
+    pairs = _within(own, own, list(dims), radius, False, list(group)).where(F.col(f"l.{id_col}") < F.col(f"r.{id_col}"))
     return pairs.select(F.col(f"l.{id_col}").alias("a"), F.col(f"r.{id_col}").alias("b"), F.sqrt("d2").alias("distance"))
 
 
@@ -97,7 +101,8 @@ def suppress_within(points: DataFrame, radius: float, priority: str = "sum", dim
     chain of ever better neighbours crosses from block to block, not its length. Points without better
     neighbours are kept at once. Rounds are written to the shared folder.
     """
-    pairs = _within(points, points, list(dims), radius, False, list(group))
+    own = points.select(*dict.fromkeys([id_col, priority, *dims, *group]))
+    pairs = _within(own, own, list(dims), radius, False, list(group))
     better = (F.col(f"r.{priority}") > F.col(f"l.{priority}")) | ((F.col(f"r.{priority}") == F.col(f"l.{priority}")) & (F.col(f"r.{id_col}") < F.col(f"l.{id_col}")))
     rest = pairs.where((F.col(f"l.{id_col}") != F.col(f"r.{id_col}")) & better).select(F.col(f"l.{id_col}").alias("lo"), F.col(f"l.{priority}").alias("lp"), F.col(f"r.{id_col}").alias("hi"))
     rest = materialise(rest, "suppress")

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from mosaicq.operators import spatial
-from mosaicq.plans import readout
+from mosaicq.plans import catalog, readout
 
 
 def test_images_of_large_sums_keep_their_differences(spark, sf_dir, tmp_path):
@@ -44,3 +44,20 @@ def test_neighbours_hold_a_bounded_number_of_places():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 40e6
+
+
+def test_radius_joins_hold_no_whole_side(spark, sf_dir):
+    """Rows repeated for the cells around are merged, not sent whole to every task; no pair is lost or doubled."""
+    for name in ("nearest_neighbor_radius", "expression_matrix", "radius_pairs"):
+        plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        at = plan.index("Generate explode")  # the repeated rows
+        assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan[max(0, at - 300) : at], name
+    rng = np.random.default_rng(0)
+    at = np.r_[np.indices((9, 9, 4)).reshape(3, -1).T - 4.0, rng.normal(size=(60, 3)) * 3]
+    rows = spark.createDataFrame([(k, *map(float, p)) for k, p in enumerate(at)], "id long, z double, y double, x double")
+    for dims in (("z", "y", "x"), ("y", "x"), ("x",)):
+        p = at[:, ["zyx".index(d) for d in dims]]
+        for radius in (1, 1.5):
+            i, j = np.nonzero(((p[:, None] - p[None]) ** 2).sum(2) <= radius * radius)
+            got = [tuple(r) for r in spatial.within(rows, rows, list(dims), radius).select("l.id", "r.id").collect()]
+            assert sorted(got) == list(zip(i.tolist(), j.tolist()))
