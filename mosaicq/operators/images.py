@@ -466,11 +466,12 @@ def hull_filled(voxels: DataFrame, dims=("z", "y", "x")) -> DataFrame:
 CROP_SIDE = 1024
 
 
-def crops(images: DataFrame, centres: DataFrame, half: int, keys: list[str], side: int = CROP_SIDE) -> DataFrame:
+def crops(images: DataFrame, centres: DataFrame, half: int, keys: list[str], side: int = CROP_SIDE, once: bool = False) -> DataFrame:
     """(keys, y, x, height, width, pixels) of the square around each centre, zeros beyond the border.
 
     Images are cut once into squares with a margin of half; a task crops around the centres of one square.
-    Centres beyond the image count to the nearest square.
+    Centres beyond the image count to the nearest square. Equal centres are cut once; their rows are
+    repeated after or, with once, are one row that says how many times.
     """
     kinds = _kinds(images, keys)
 
@@ -494,13 +495,14 @@ def crops(images: DataFrame, centres: DataFrame, half: int, keys: list[str], sid
                 y, x = p.y - half - s.top, p.x - half - s.left
                 part = a[max(y, 0) : max(y + 2 * half + 1, 0), max(x, 0) : max(x + 2 * half + 1, 0)]
                 out[max(-y, 0) : max(-y, 0) + part.shape[0], max(-x, 0) : max(-x, 0) + part.shape[1]] = part
-                rows.append({**{k: getattr(p, k) for k in keys}, "y": p.y, "x": p.x, **_packed(out)})
-        return pd.DataFrame(rows, columns=[*keys, "y", "x", "height", "width", "pixels"])
+                rows.append({**{k: getattr(p, k) for k in keys}, "y": p.y, "x": p.x, "times": p.times, **_packed(out)})
+        return pd.DataFrame(rows, columns=[*keys, "y", "x", "times", "height", "width", "pixels"])
 
     squares = images.select(*keys, "height", "width", "pixels").mapInPandas(cut, f"{kinds}, by int, bx int, top int, left int, {_TILE}")
     sizes = images.select(*keys, F.col("height").alias("_h"), F.col("width").alias("_w"))
-    points = centres.select(*keys, "y", "x").join(sizes, keys)
+    points = centres.groupBy(*keys, "y", "x").agg(F.count("*").alias("times")).join(sizes, keys)
     by, bx = (F.floor(F.greatest(F.least(F.col(c), F.col(n) - 1), F.lit(0)) / side).cast("int") for c, n in (("y", "_h"), ("x", "_w")))
-    points = points.select(*keys, "y", "x", by.alias("by"), bx.alias("bx"))
+    points = points.select(*keys, "y", "x", "times", by.alias("by"), bx.alias("bx"))
     both = points.groupBy(*keys, "by", "bx").cogroup(squares.groupBy(*keys, "by", "bx"))
-    return both.applyInPandas(around, f"{kinds}, {_kinds(centres, ['y', 'x'])}, {_TILE}")
+    found = both.applyInPandas(around, f"{kinds}, {_kinds(centres, ['y', 'x'])}, times long, {_TILE}")
+    return found if once else found.withColumn("times", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).drop("times")

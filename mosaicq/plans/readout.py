@@ -607,8 +607,10 @@ def illumination_surfaces(spark, sf):
 SELECT a.channel, CAST(cy AS INTEGER) AS cy, CAST(cx AS INTEGER) AS cx, CAST(a.y - cy + 4 AS INTEGER) AS y, CAST(a.x - cx + 4 AS INTEGER) AS x, CAST(v AS INTEGER) AS value FROM c JOIN a ON a.y BETWEEN cy - 4 AND cy + 4 AND a.x BETWEEN cx - 4 AND cx + 4 WHERE v > 0""")
 def crops_of_cells(spark, sf):
     centres = table(spark, sf, "supplier").select(F.explode(F.array(*[F.lit(c) for c in "ANR"])).alias("channel"), (F.col("s_suppkey") % 60).cast("int").alias("y"), (F.col("s_suppkey") * 7 % 50).cast("int").alias("x"))
-    cut = images.crops(_images(spark, sf), centres, 4, ["channel"], side=20).withColumnsRenamed({"y": "cy", "x": "cx"})
-    return codec.to_pixels(cut, ["channel", "cy", "cx"]).where("value > 0")
+    cut = images.crops(_images(spark, sf), centres, 4, ["channel"], side=20, once=True).withColumnsRenamed({"y": "cy", "x": "cx"})
+    pixels = codec.to_pixels(cut, ["channel", "cy", "cx", "times"]).where("value > 0")
+    dealt = pixels.repartition(spark.sparkContext.defaultParallelism, "channel", "cy", "cx", "y", "x")  # few rows, each many times
+    return dealt.withColumn("times", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).drop("times")
 
 
 @query("""WITH m AS (SELECT row_number() OVER (ORDER BY v) - 1 AS l, v FROM (SELECT round(count(*) / (SELECT count(*) FROM orders), 6) AS v FROM orders GROUP BY o_orderpriority))

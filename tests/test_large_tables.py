@@ -5,7 +5,7 @@ import tracemalloc
 import numpy as np
 from pyspark.sql import functions as F
 
-from mosaicq.operators import spatial
+from mosaicq.operators import images, spatial
 from mosaicq.plans import catalog, readout
 
 
@@ -61,3 +61,14 @@ def test_radius_joins_hold_no_whole_side(spark, sf_dir):
             i, j = np.nonzero(((p[:, None] - p[None]) ** 2).sum(2) <= radius * radius)
             got = [tuple(r) for r in spatial.within(rows, rows, list(dims), radius).select("l.id", "r.id").collect()]
             assert sorted(got) == list(zip(i.tolist(), j.tolist()))
+
+
+def test_equal_centres_are_cut_once(spark):
+    """Python packs an image's crop once for all its rows (before: once a row)."""
+    image = np.arange(80, dtype="<u2").reshape(8, 10)
+    df = spark.createDataFrame([(1, 8, 10, image.tobytes())], "tile int, height int, width int, pixels binary")
+    centres = spark.createDataFrame([(1, 3, 4)] * 5 + [(1, 0, 9)] * 2, "tile int, y int, x int")
+    every = [tuple(r) for r in images.crops(df, centres, 2, ["tile"], 4).select("y", "x", "pixels").collect()]
+    assert len(every) == 7 and len(set(every)) == 2
+    once = {(r.y, r.x): (r.times, bytes(r.pixels)) for r in images.crops(df, centres, 2, ["tile"], 4, once=True).collect()}
+    assert once == {(y, x): (5 if y else 2, bytes(pixels)) for y, x, pixels in every} and once[3, 4][1] == image[1:6, 2:7].tobytes()
