@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType, FractionalType, IntegralType
 
 from mosaicq.workspace import materialise
 
@@ -77,70 +78,92 @@ def radius_pairs(points: DataFrame, radius: float, dims=("y", "x"), id_col: str
 _BLOCK_POINTS, _MOST_POINTS = 20_000, 100_000
 
 
-def _in_blocks(points: DataFrame, dims: list[str], id_col: str, radius: float) -> DataFrame:
-    """(id, block) of points: squares of about _BLOCK_POINTS points, crowded ones dealt by a hash of the id."""
+def _in_blocks(points: DataFrame, dims: list[str], radius: float) -> DataFrame:
+    """points with block: squares of about _BLOCK_POINTS points, crowded ones dealt by a hash of the place."""
     ends = points.agg(F.count("*").alias("n"), *[f(F.col(d).cast("double")).alias(f"{k}{d}") for d in dims for k, f in (("a", F.min), ("b", F.max))]).first()
     spans = [max((ends[f"b{d}"] or 0.0) - (ends[f"a{d}"] or 0.0), float(radius)) for d in dims]
     side = max((math.prod(spans) * _BLOCK_POINTS / max(ends["n"], 1)) ** (1 / len(dims)), 2.0 * radius)
     while True:  # points on a line or in clumps fill few of the squares: wider ones, until they hold as many as meant
         cells = F.struct(*[_cell(d, side).alias(f"c{i}") for i, d in enumerate(dims)])
-        rows = points.select(F.col(id_col).alias("id"), cells.alias("cell"))
-        crowds = materialise(rows.groupBy("cell").agg(F.count("*").alias("n")), "suppress-cells")
+        crowds = materialise(points.groupBy(cells.alias("cell")).agg(F.count("*").alias("n")), "suppress-cells")
         if crowds.count() * _BLOCK_POINTS <= 4 * ends["n"] or side > max(spans):
             break
         side *= 2
-    deal = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / _MOST_POINTS))
-    return rows.join(crowds, "cell").select("id", F.struct("cell", deal.alias("deal")).alias("block"))
+    deal = F.pmod(F.xxhash64(*dims), F.ceil(F.col("n") / _MOST_POINTS))
+    return points.withColumn("cell", cells).join(F.broadcast(crowds), "cell").withColumn("block", F.xxhash64("cell", deal)).drop("cell", "n")
+
+
+def _best_of_places(points: DataFrame, priority: str, dims: list[str], id_col: str, group: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(the best point of each place and group, points that nothing is better or worse than): what beats the best of a place beats the others there too."""
+    whole = F.lit(True)
+    for c in dict.fromkeys([*dims, priority, *group]):
+        whole = whole & F.col(c).isNotNull()
+    value = F.col(priority)
+    kind = points.schema[priority].dataType
+    value = -value.cast("decimal(20,0)") if isinstance(kind, IntegralType) else -value
+    nan = F.isnan(priority) if isinstance(kind, FractionalType) and not isinstance(kind, DecimalType) else F.lit(False)
+    order = F.struct((~nan).alias("n"), value.alias("v"), F.col(id_col).alias("i"))
+    places = points.where(whole).groupBy(*[F.col(c).alias(f"_p{i}") for i, c in enumerate([*dims, *group])]).agg(F.min_by(F.struct(*points.columns), order).alias("p"))
+    return places.select("p.*"), points.where(~whole)
 
 
 def suppress_within(points: DataFrame, radius: float, priority: str = "sum", dims=("y", "x"), id_col: str = "id", group: list[str] = ()) -> DataFrame:
-    """Radius non-maximum suppression: greedy by falling priority, then rising id.
+    """Radius non-maximum suppression: greedy by falling priority, then rising id; ids are unique.
 
-    A point is kept if no better neighbour is kept. A pass goes through a block's points from the best down
-    and decides all that depends on nothing undecided elsewhere, so that rounds are as many as the times a
-    chain of ever better neighbours crosses from block to block, not its length. Points without better
-    neighbours are kept at once. Rounds are written to the shared folder.
+    A point is kept if no better neighbour is kept; of points at one place only the best can be. A pass goes
+    through a block's points from the best down and decides all that depends on nothing undecided elsewhere, so
+    that rounds are as many as the times a chain of ever better neighbours crosses from block to block, not its
+    length. Pairs are dealt to blocks once; what is written to the shared folder is the decisions and the
+    pairs that wait for another block.
     """
-    own = points.select(*dict.fromkeys([id_col, priority, *dims, *group]))
-    pairs = _within(own, own, list(dims), radius, False, list(group))
+    dims, group = list(dims), list(group)
+    best, unmatched = _best_of_places(points, priority, dims, id_col, group)
+    best = materialise(best, "suppress-places")
+    own = _in_blocks(best.select(*dict.fromkeys([id_col, priority, *dims, *group])), dims, radius)
+    pairs = _within(own, own, dims, radius, False, group)
     better = (F.col(f"r.{priority}") > F.col(f"l.{priority}")) | ((F.col(f"r.{priority}") == F.col(f"l.{priority}")) & (F.col(f"r.{id_col}") < F.col(f"l.{id_col}")))
-    rest = pairs.where((F.col(f"l.{id_col}") != F.col(f"r.{id_col}")) & better).select(F.col(f"l.{id_col}").alias("lo"), F.col(f"l.{priority}").alias("lp"), F.col(f"r.{id_col}").alias("hi"))
-    rest = materialise(rest, "suppress")
-    if rest.isEmpty():
-        return points
-    below = rest.select(F.col("lo").alias("hi")).distinct().withColumn("_low", F.lit(True))
-    told = rest.join(below, "hi", "left").withColumn("known", F.when(F.col("_low").isNull(), True)).drop("_low")
-    blocks = _in_blocks(points, list(dims), id_col, radius).withColumnRenamed("id", "lo").distinct()
-    rest = materialise(told.join(blocks, "lo").select("lo", "lp", "hi", "known", "block"), "suppress")
-    kind = rest.schema["lo"].dataType.simpleString()
+    rest = pairs.where((F.col(f"l.{id_col}") != F.col(f"r.{id_col}")) & better)
+    near = F.col("l.block") == F.col("r.block")
+    rest = rest.select(F.col(f"l.{id_col}").alias("lo"), F.col(f"l.{priority}").alias("lp"), F.col(f"r.{id_col}").alias("hi"), F.lit(None).cast("boolean").alias("known"), F.col("l.block").alias("block"), near.alias("near"))
+    columns = rest.columns
 
     def decided(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["lp", "lo"], ascending=[False, True], kind="stable")
         kept: dict = {}
-        lows, highs, known = frame["lo"].tolist(), frame["hi"].tolist(), frame["known"].tolist()
+        lows, highs, known, near = (frame[c].tolist() for c in ("lo", "hi", "known", "near"))
+        below, waits = set(lows), []
         i, n = 0, len(lows)
         while i < n:
-            own, state = lows[i], True
+            own, state, open_ = lows[i], True, []
             while i < n and lows[i] == own:
-                other = known[i] if known[i] is not None else kept.get(highs[i])
+                # Who stands in this block and under nobody is kept.
+                other = known[i] if known[i] is not None else kept.get(highs[i]) if highs[i] in below else near[i] or None
                 if other:
                     state = False
-                elif other is None and state:
-                    state = None
+                elif other is None:
+                    open_.append(i)
+                    state = None if state else state
                 i += 1
             if state is not None:
                 kept[own] = state
-        return pd.DataFrame({"id": pd.Series(list(kept), dtype=frame["lo"].dtype), "kept": pd.Series(list(kept.values()), dtype=bool)})
+            else:
+                waits += open_
+        out = pd.DataFrame({"lo": pd.Series(list(kept), dtype=frame["lo"].dtype), "kept": pd.Series(list(kept.values()), dtype=object)})
+        left = frame.iloc[waits].assign(near=False, kept=None)
+        return pd.concat([out.reindex(columns=left.columns).astype(object), left.astype(object)], ignore_index=True)
 
+    kinds = ", ".join(f"{c} {rest.schema[c].dataType.simpleString()}" for c in columns)
     gone = None
-    while not rest.isEmpty():
-        found = materialise(rest.groupBy("block").applyInPandas(decided, f"id {kind}, kept boolean"), "suppress-decided")
-        losers = found.where("not kept").select("id")
+    while True:
+        found = materialise(rest.groupBy("block").applyInPandas(decided, f"{kinds}, kept boolean"), "suppress-decided")
+        losers = found.where("not kept").select(F.col("lo").alias(id_col))
         gone = losers if gone is None else gone.unionByName(losers)
-        left = rest.join(found.select(F.col("id").alias("lo")), "lo", "left_anti")
-        left = left.join(found.select(F.col("id").alias("hi"), F.col("kept").alias("_kept")), "hi", "left")
-        rest = materialise(left.select("lo", "lp", "hi", F.coalesce("known", "_kept").alias("known"), "block"), "suppress")
-    return points.join(gone.withColumnRenamed("id", id_col), id_col, "left_anti")
+        left = found.where("kept is null").select(*columns)
+        if left.isEmpty():
+            return best.join(gone, id_col, "left_anti").select(*points.columns).unionByName(unmatched)
+        # Who is neither decided nor waiting stands under nobody and is kept.
+        told = found.groupBy(F.col("lo").alias("hi")).agg(F.max("kept").alias("_kept")).withColumn("_low", F.lit(True))
+        rest = left.join(told, "hi", "left").withColumn("known", F.coalesce("known", F.when(F.col("_low").isNull(), True).otherwise(F.col("_kept")))).select(*columns)
 
 
 def tile_table(spark, height: int, width: int, volume: int, overlap: int) -> DataFrame:

@@ -72,3 +72,25 @@ def test_equal_centres_are_cut_once(spark):
     assert len(every) == 7 and len(set(every)) == 2
     once = {(r.y, r.x): (r.times, bytes(r.pixels)) for r in images.crops(df, centres, 2, ["tile"], 4, once=True).collect()}
     assert once == {(y, x): (5 if y else 2, bytes(pixels)) for y, x, pixels in every} and once[3, 4][1] == image[1:6, 2:7].tobytes()
+
+
+def test_suppression_writes_no_pairs_that_are_decided(spark, monkeypatch):
+    """A crowd at few places: no row is written for a pair within a block (before: twice, some 200 a point)."""
+    rows = [(i, float(i % 7), float(i % 5), float(i * 37 % 11) if i % 50 else None, "ab"[i % 2] if i % 60 else None) for i in range(800)]
+    df = spark.createDataFrame(rows, "id long, y double, x double, sum double, kind string")
+    written = []
+    plain = spatial.materialise
+    monkeypatch.setattr(spatial, "materialise", lambda df, label: (written.append(plain(df, label)), written[-1])[1])
+    for radius, group in ((1, []), (2.5, ["kind"])):
+        for most in (100_000, 10):
+            monkeypatch.setattr(spatial, "_MOST_POINTS", most)
+            written.clear()
+            got = sorted(r.id for r in spatial.suppress_within(df, radius, group=group).collect())
+            kept, loose = [], []
+            for r in sorted((r for r in rows if r[3] is not None), key=lambda r: (-r[3], r[0])):
+                if group and r[4] is None:
+                    loose.append(r)
+                elif all((r[1] - k[1]) ** 2 + (r[2] - k[2]) ** 2 > radius * radius or group and r[4] != k[4] for k in kept):
+                    kept.append(r)
+            assert got == sorted([r[0] for r in kept + loose] + [r[0] for r in rows if r[3] is None])
+            assert most == 10 or sum(w.count() for w in written) < len(rows)
