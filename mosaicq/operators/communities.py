@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from mosaicq.operators.graph import connected_components
-from mosaicq.workspace import materialise
+from mosaicq.workspace import FEW_ROWS, materialise
 
 #: A gain below this share of the node's strength is no gain.
 _LEAST_GAIN = 1e-9
@@ -42,34 +42,54 @@ def move_gain(to_community: Column, strength: Column, community: Column, resolut
     return to_community - F.lit(resolution) * strength * community / F.lit(twice_m)
 
 
-def _links(both: DataFrame, labels: DataFrame, own: list[str]) -> DataFrame:
-    """(node, own columns, c, w): each node's weight to each community c among its neighbours and its own."""
-    near = both.join(labels.select(F.col("node").alias("dst"), "c"), "dst").select(F.col("src").alias("node"), "c", "w")
-    # Its own community counts also without a neighbour there.
-    near = near.unionByName(labels.select("node", "c", F.lit(0.0).alias("w"))).groupBy("node", "c").agg(F.sum("w").alias("w"))
-    return near.join(labels.select("node", *own, F.col("c").alias("own")), "node")
+def _kept(edges: DataFrame, few: bool) -> DataFrame:
+    """edges (src, dst, w, k), kept by the executors as the rounds join them: by source where labels are few and sent to all, else by the end that meets the labels."""
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kept = edges.select("src", "dst", "w", "k").repartition(parts, "src" if few else "dst").persist()
+    kept.count()  # only of rows that are there the planner knows how they lie
+    return kept
 
 
-def _moved(both: DataFrame, labels: DataFrame, resolution: float, twice_m: float) -> DataFrame:
+def _with_loops(both: DataFrame, labels: DataFrame) -> DataFrame:
+    """(src, dst, w, k): edges with their source's strength, and a loop of no weight for each node, so that it meets its own label too."""
+    strengths = labels.select(F.col("node").alias("src"), "k")
+    return both.join(strengths, "src").select("src", "dst", "w", "k").unionByName(strengths.select("src", F.col("src").alias("dst"), F.lit(0.0).alias("w"), "k"))
+
+
+def _links(kept: DataFrame, few: bool, labels: DataFrame, *told: str) -> DataFrame:
+    """(node, to, w, k, home, told): each node's weight to each label (node, to, told) among its neighbours and its own.
+
+    Only labels are dealt to the edges, and, where they are many, the edges found once to their source; what
+    is grouped by node after needs no further exchange.
+    """
+    ends = labels.select(F.col("node").alias("dst"), "to", *told)
+    near = kept.join(F.broadcast(ends) if few else ends, "dst").select("src", "to", "w", "k", (F.col("src") == F.col("dst")).alias("home"), *told)
+    if not few:
+        near = near.repartition(int(kept.sparkSession.conf.get("spark.sql.shuffle.partitions")), "src")
+    near = near.groupBy("src", "to").agg(F.sum("w").alias("w"), *[F.max(c).alias(c) for c in ("k", "home", *told)])
+    return near.withColumnRenamed("src", "node")
+
+
+def _moved(kept: DataFrame, few: bool, labels: DataFrame, resolution: float, twice_m: float) -> DataFrame:
     """(node, k, turn, c, was, wants, inside, kc): labels (node, k, c, turn) after one round; wants tells who would gain by moving."""
     size = labels.groupBy("c").agg(F.sum("k").alias("kc"))
-    told = _links(both, labels, ["k", "turn"]).join(size, "c")
-    home = F.col("c") == F.col("own")
+    told = _links(kept, few, labels.join(size, "c").withColumnRenamed("c", "to"), "kc", "turn").withColumnRenamed("to", "c")
+    home = F.col("home")
     gain = move_gain(F.col("w"), F.col("k"), F.col("kc") - F.when(home, F.col("k")).otherwise(0.0), resolution, twice_m)
     best = told.groupBy("node").agg(
-        F.max("k").alias("k"), (F.max("turn") + 1).alias("turn"), F.max("own").alias("was"), F.max(F.when(home, gain)).alias("stay"), F.max(F.when(home, F.col("w"))).alias("inside"), F.max(F.when(home, F.col("kc"))).alias("kc"),
+        F.max("k").alias("k"), (F.max("turn") + 1).alias("turn"), F.max(F.when(home, F.col("c"))).alias("was"), F.max(F.when(home, gain)).alias("stay"), F.max(F.when(home, F.col("w"))).alias("inside"), F.max(F.when(home, F.col("kc"))).alias("kc"),
         F.max(F.when(~home, F.struct(gain.alias("g"), F.xxhash64("c").alias("h"), F.col("c").alias("c")))).alias("best"),
     )
     wants = F.coalesce(F.col("best.g") > F.col("stay") + _LEAST_GAIN * F.col("k"), F.lit(False))
     return best.withColumn("wants", wants).select("node", "k", "turn", F.when(F.col("wants") & _coin("node"), F.col("best.c")).otherwise(F.col("was")).alias("c"), "was", "wants", "inside", "kc")
 
 
-def local_moves(both: DataFrame, labels: DataFrame, resolution: float, twice_m: float, seed: int = 0, patience: int = 2) -> DataFrame:
+def local_moves(kept: DataFrame, few: bool, labels: DataFrame, resolution: float, twice_m: float, seed: int = 0, patience: int = 2) -> DataFrame:
     """(node, k, c) after rounds of moves: until nobody gains, or modularity hasn't risen for some rounds; the best state counts."""
     best, best_q, since = labels, None, 0
     labels = labels.withColumn("turn", F.lit(1000 * seed))
     while True:
-        step = _moved(both, labels, resolution, twice_m)
+        step = _moved(kept, few, labels, resolution, twice_m)
         step, seen = _written(step, "moves", inside=F.col("inside"), kk=F.col("k") * F.col("kc"), wants=F.col("wants").cast("int"))
         q = seen["inside"] / twice_m - resolution * seen["kk"] / twice_m**2
         if best_q is None or q > best_q + _LEAST_RISE:
@@ -81,36 +101,38 @@ def local_moves(both: DataFrame, labels: DataFrame, resolution: float, twice_m:
         labels = step.select("node", "k", "c", "turn")
 
 
-def refined(both: DataFrame, labels: DataFrame, resolution: float, twice_m: float, seed: int = 0) -> DataFrame:
+def refined(kept: DataFrame, few: bool, labels: DataFrame, resolution: float, twice_m: float, seed: int = 0) -> DataFrame:
     """(node, k, c, r): within each community c, nodes merged one by one into connected parts r.
 
     In a round only nodes that are alone move, and only into parts that nobody leaves (larger ones, or single
-    nodes whose coin says stay), so a part is always connected; both node and part must be well connected to
-    the rest of c.
+    nodes whose coin says stay), so a part is always connected, and one that is alone bears its node's name; both
+    node and part must be well connected to the rest of c.
     """
     state = labels.select("node", "k", "c", F.col("node").alias("r"), F.lit(1000 * seed).alias("turn"))
-    inner = both.join(labels.select(F.col("node").alias("src"), "c"), "src").join(labels.select(F.col("node").alias("dst"), F.col("c").alias("_c")), "dst")
-    inner = materialise(inner.where(F.col("c") == F.col("_c")).select("src", "dst", "w"), "inner-edges")
+    inner = kept.join(labels.select(F.col("node").alias("src"), "c"), "src").join(labels.select(F.col("node").alias("dst"), F.col("c").alias("_c")), "dst")
+    inner = _kept(inner.where(F.col("c") == F.col("_c")), few)
     whole = materialise(labels.groupBy("c").agg(F.sum("k").alias("kc")), "community-strengths")
+    home = F.col("home")
     while True:
-        near = inner.join(state.select(F.col("node").alias("dst"), "r"), "dst").groupBy(F.col("src").alias("node"), F.col("r").alias("to")).agg(F.sum("w").alias("w"))
-        near = near.join(state, "node")
         # A node's weight to the rest of its community, and a part's: what leaves the part.
-        part = state.groupBy("r", "c").agg(F.sum("k").alias("kr"), F.count("*").alias("n"))
-        leaving = near.where(F.col("to") != F.col("r")).groupBy("r").agg(F.sum("w").alias("out"))
-        part = part.join(whole, "c").join(leaving, "r", "left")
+        near = _links(inner, few, state.withColumnRenamed("r", "to"), "c")
+        each = near.groupBy("node").agg(F.max(F.when(home, F.col("to"))).alias("r"), F.max("k").alias("k"), F.max("c").alias("c"), F.coalesce(F.sum(F.when(~home, F.col("w"))), F.lit(0.0)).alias("out"))
+        part = each.groupBy("r").agg(F.max("c").alias("c"), F.sum("k").alias("kr"), F.count("*").alias("n"), F.sum("out").alias("out")).join(whole, "c")
         bound = F.col("kr") * (F.col("kc") - F.col("kr")) * F.lit(resolution / twice_m)
-        part = part.select("r", "kr", "n", (F.coalesce("out", F.lit(0.0)) >= bound - _LEAST_GAIN).alias("well"))
-        alone = part.where("n = 1 and well").select("r")
-        into = part.where("well").select(F.col("r").alias("to"), "kr", (F.col("n") > 1).alias("stays"))
+        part = part.select("r", "kr", "n", (F.col("out") >= bound - _LEAST_GAIN).alias("well"))
+        told = _links(inner, few, state.join(part, "r").withColumnRenamed("r", "to"), "c", "turn", "kr", "n", "well")
         gain = move_gain(F.col("w"), F.col("k"), F.col("kr"), resolution, twice_m)
-        offers = near.where(F.col("to") != F.col("r")).join(alone, "r", "left_semi").join(into, "to").where(gain > _LEAST_GAIN * F.col("k"))
-        open_ = _coin("r") & (F.col("stays") | ~_coin("to"))
-        best = offers.groupBy("node").agg(F.max(F.when(open_, F.struct(gain.alias("g"), F.xxhash64("to").alias("h"), F.col("to").alias("to")))).alias("b"))
-        told = state.join(best.withColumn("offered", F.lit(True)), "node", "left")
-        step = told.select("node", "k", "c", F.coalesce("b.to", "r").alias("r"), (F.col("turn") + 1).alias("turn"), F.coalesce("offered", F.lit(False)).alias("offered"))
+        offer = ~home & F.col("well") & (gain > _LEAST_GAIN * F.col("k"))
+        open_ = _coin("node") & ((F.col("n") > 1) | ~_coin("to"))
+        best = told.groupBy("node").agg(
+            F.max("k").alias("k"), F.max("c").alias("c"), (F.max("turn") + 1).alias("turn"), F.max(F.when(home, F.col("to"))).alias("r"),
+            F.max(home & (F.col("n") == 1) & F.col("well")).alias("alone"), F.max(offer).alias("offer"),
+            F.max(F.when(offer & open_, F.struct(gain.alias("g"), F.xxhash64("to").alias("h"), F.col("to").alias("to")))).alias("b"),
+        )
+        step = best.select("node", "k", "c", F.when(F.col("alone"), F.coalesce("b.to", "r")).otherwise(F.col("r")).alias("r"), "turn", (F.col("alone") & F.col("offer")).alias("offered"))
         step, seen = _written(step, "refined", offered=F.col("offered").cast("int"), nodes=F.lit(1))
         if seen["offered"] <= _FEW_OFFERS * seen["nodes"]:
+            inner.unpersist()
             return step.select("node", "k", "c", "r")
         state = step.select("node", "k", "c", "r", "turn")
 
@@ -119,8 +141,11 @@ def _improved(both: DataFrame, labels: DataFrame, n: int, resolution: float, twi
     """(node, k, c): communities of nodes (node, k, c) after moves, refinement and contraction up to the last level."""
     first, members = labels.select("node", "k"), labels.select("node", F.col("node").alias("at"))
     while True:
-        labels = local_moves(both, labels, resolution, twice_m, seed)
-        parts = refined(both, labels, resolution, twice_m, seed)
+        few = n <= FEW_ROWS
+        kept = _kept(_with_loops(both, labels), few)
+        labels = local_moves(kept, few, labels, resolution, twice_m, seed)
+        parts = refined(kept, few, labels, resolution, twice_m, seed)
+        kept.unpersist()
         smaller = materialise(parts.groupBy(F.col("r").alias("node")).agg(F.sum("k").alias("k"), F.max("c").alias("c")), "graph-nodes")
         left = smaller.count()
         if left == n:

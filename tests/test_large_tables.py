@@ -5,7 +5,7 @@ import tracemalloc
 import numpy as np
 from pyspark.sql import functions as F
 
-from mosaicq.operators import images, spatial
+from mosaicq.operators import communities, images, spatial
 from mosaicq.plans import catalog, readout
 
 
@@ -94,3 +94,17 @@ def test_suppression_writes_no_pairs_that_are_decided(spark, monkeypatch):
                     kept.append(r)
             assert got == sorted([r[0] for r in kept + loose] + [r[0] for r in rows if r[3] is None])
             assert most == 10 or sum(w.count() for w in written) < len(rows)
+
+
+def test_rounds_of_communities_deal_edges_once(spark):
+    """Kept edges meet the labels where they lie; what a round groups by node is dealt once at most (before: four times)."""
+    both = spark.createDataFrame([(a, b, 1.0, 2.0) for a in range(6) for b in range(6)], "src long, dst long, w double, k double")
+    labels = spark.createDataFrame([(a, a // 3) for a in range(6)], "node long, to long")
+    for few in (True, False):
+        kept = communities._kept(both, few)
+        near = communities._links(kept, few, labels.hint("merge") if not few else labels).groupBy("node").agg(F.sum("w").alias("w"))
+        plan = near._jdf.queryExecution().executedPlan().toString()
+        dealt = [line for line in plan.splitlines() if "Exchange" in line and "ENSURE_REQUIREMENTS" in line]
+        assert len(dealt) == (0 if few else 1), plan  # the labels; what is found is dealt by the query itself
+        assert {r.node: r.w for r in near.collect()} == {a: 6.0 for a in range(6)}
+        kept.unpersist()
