@@ -7,6 +7,11 @@ of their own, so that neighbours don't swap places for ever.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -185,33 +190,56 @@ def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) ->
     return total.select((F.col("inside") / F.col("m2") - F.lit(resolution) * F.col("kk") / (F.col("m2") * F.col("m2"))).alias("modularity"))
 
 
+#: Places of lists of neighbours, weighed at a time.
+_STEP_PLACES = 1 << 20
+
+
+def _weights(d: np.ndarray, sizes: np.ndarray, rounds: int) -> np.ndarray:
+    """Weights of distances d, lists of the given sizes one after the other: exp(-(d - nearest) / bandwidth) of each list."""
+    start = np.cumsum(sizes) - sizes
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    # Each list from its least distance on, so that sums don't depend on its order; what is missing below the longest weighs 0.
+    sort = np.lexsort((d, row))
+    table = np.full((sizes.max(), len(sizes)), np.inf)
+    place = np.arange(len(d)) - start[row]
+    table[place, row] = d[sort]
+    mean = np.where(np.isinf(table), 0.0, table).sum(0) / sizes
+    rho = np.where(table > 0, table, np.inf).min(0)
+    rho[np.isinf(rho)] = 0.0
+    most = table[sizes - 1, np.arange(len(sizes))]
+    away, want = -np.maximum(table - rho, 0.0), np.log2(sizes.astype(float))
+    # At this width even the farthest weighs almost 1, so the bandwidth lies below it.
+    low, high = np.zeros(len(sizes)), 1000 * (most + 1e-9)
+    for _ in range(rounds):
+        mid = (low + high) / 2
+        many = np.exp(away / mid).sum(0) > want
+        low, high = np.where(many, low, mid), np.where(many, mid, high)
+    width = np.maximum(np.maximum((low + high) / 2, 1e-3 * mean), 1e-300)
+    out = np.empty(len(d))
+    out[sort] = np.exp(away / width)[place, row]
+    return out
+
+
 def fuzzy_weights(neighbours: DataFrame, rounds: int = 64) -> DataFrame:
     """(src, dst, weight) of a kNN graph (src, dst, d2): a row's distances to weights, the two directions united.
 
     A weight is exp(-(d - nearest) / bandwidth), the bandwidth such that a row's weights add up to log2 of their
-    number, found by bisection over the row's own list of neighbours; a + b - a * b unites the directions.
+    number, found by bisection over the row's own list of neighbours, of many rows at a time; a + b - a * b unites
+    the directions.
     """
-    d = F.sqrt("d2")
-    lists = neighbours.groupBy("src").agg(F.collect_list(F.struct("dst", d.alias("d"))).alias("near"))
-    rho = F.array_min(F.transform(F.filter("near", lambda x: x["d"] > 0), lambda x: x["d"]))
-    lists = lists.withColumn("rho", F.coalesce(rho, F.lit(0.0))).withColumn("want", F.log2(F.size("near").cast("double")))
-    mean = F.aggregate("near", F.lit(0.0), lambda s, x: s + x["d"]) / F.size("near")
-
-    def total(width: Column) -> Column:
-        return F.aggregate("near", F.lit(0.0), lambda s, x: s + F.when(x["d"] > F.col("rho"), F.exp(-(x["d"] - F.col("rho")) / width)).otherwise(1.0))
-
-    def halved(s: Column, _: Column) -> Column:
-        mid = (s["lo"] + s["hi"]) / 2
-        many = total(mid) > F.col("want")
-        return F.struct(F.when(many, s["lo"]).otherwise(mid).alias("lo"), F.when(many, mid).otherwise(s["hi"]).alias("hi"))
-
-    # At this width even the farthest weighs almost 1, so the bandwidth lies below it.
-    top = 1000 * (F.array_max(F.transform("near", lambda x: x["d"])) + F.lit(1e-9))
-    ends = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.struct(F.lit(0.0).alias("lo"), top.alias("hi")), halved)
-    lists = lists.withColumn("mean", mean).withColumn("ends", ends)
-    width = F.greatest((F.col("ends.lo") + F.col("ends.hi")) / 2, F.lit(1e-3) * F.col("mean"), F.lit(1e-300))
-    one = lists.withColumn("width", width).select("src", "rho", "width", F.explode("near").alias("x"))
-    one = one.select("src", F.col("x.dst").alias("dst"), F.when(F.col("x.d") > F.col("rho"), F.exp(-(F.col("x.d") - F.col("rho")) / F.col("width"))).otherwise(1.0).alias("w"))
+    lists = neighbours.groupBy("src").agg(F.collect_list(F.struct("dst", F.sqrt("d2").alias("d"))).alias("near")).select("src", "near.dst", "near.d")
+
+    def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.list_value_length(batch.column("d")).to_numpy(zero_copy_only=False)
+            step = max(1, _STEP_PLACES // max(1, sizes.max(initial=0)))
+            for at in range(0, len(sizes), step):
+                some, n = batch.slice(at, step), sizes[at : at + step]
+                w = _weights(some.column("d").flatten().to_numpy(zero_copy_only=False), n, rounds)
+                yield pa.RecordBatch.from_arrays([some.column("src").take(pa.array(np.repeat(np.arange(len(n)), n))), some.column("dst").flatten(), pa.array(w)], names=["src", "dst", "w"])
+
+    kinds = [neighbours.schema[c].dataType.simpleString() for c in ("src", "dst")]
+    one = lists.mapInArrow(weighed, f"src {kinds[0]}, dst {kinds[1]}, w double")
     two = one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
     united = two.groupBy("src", "dst").agg(F.sum("w").alias("s"), F.max("w").alias("hi"))
     return united.select("src", "dst", (F.col("s") - F.col("hi") * (F.col("s") - F.col("hi"))).alias("weight"))

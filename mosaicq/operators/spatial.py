@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, FractionalType, IntegralType
 
-from mosaicq.workspace import materialise
+from mosaicq.workspace import MOST_PARTS, materialise
 
 
 def _cell(c: str, r: float) -> Column:
@@ -250,20 +250,21 @@ def roi_of_points(points: DataFrame, mask: DataFrame, height: int, step: int = 1
     return points.withColumns({"_row": row.cast("int"), "_col": col.cast("int")}).join(won, ["_row", "_col"], "left").drop("_row", "_col")
 
 
-#: Values of a block of vectors, at most; its rows, where there are few tasks otherwise, at least.
-BLOCK_VALUES, LEAST_BLOCK_ROWS = 1 << 19, 256
-#: Places of a product, and pairs whose exact distances are taken, at a time: what a task holds besides its blocks.
-_STEP_PLACES, _STEP_PAIRS = 1 << 21, 1 << 14
+#: Values of a block of vectors, at most; its rows, where there are few tasks otherwise, at least; tasks for each core, at least.
+BLOCK_VALUES, LEAST_BLOCK_ROWS, _TASKS = 1 << 22, 256, 3
+#: Rows of a product, and of those whose least one is taken first; pairs whose exact distances are taken at a time.
+_STEP_ROWS, _PART_ROWS, _STEP_PAIRS = (256, 2048), 32, 1 << 14
 
 
 def _nearest_in_block(p: np.ndarray, q: np.ndarray, order: np.ndarray, same: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of p, row of q, d2) of the k nearest of q for every row of p, ties by order; same[i] is the row of q that is i itself or -1.
 
-    A matrix product in single precision selects, with room for its rounding; the exact distances of what it
-    leaves are compared. No more than a bounded number of either is held, however many rows are alike.
+    Matrix products in single precision select, with room for their rounding: of every few rows the least one
+    first, the others only where that one is as near as the k nearest met so far. The exact distances of what is
+    left are compared. No more than a bounded number of either is held, however many rows are alike.
     """
     left, right, found = [], [], []
-    middle = q.mean(0)
+    middle = q.mean(0, dtype=float)
     with np.errstate(over="ignore"):
         a, b = ((x - middle).astype(np.float32) for x in (p, q))
         aa, bb = (np.einsum("ij,ij->i", x, x) for x in (a, b))
@@ -272,38 +273,70 @@ def _nearest_in_block(p: np.ndarray, q: np.ndarray, order: np.ndarray, same: np.
         a, b = p - middle, q - middle
         bb = (b * b).sum(1)
         most = 2 * (a.shape[1] + 8) * np.sqrt((a * a).sum(1).max() * bb.max()) + 4 * bb.max()
-    slack = 2 * most * np.finfo(a.dtype).eps
+    slack = a.dtype.type(2 * most * np.finfo(a.dtype).eps)
     # The square of a row of p is the same for the whole row, so it is left out.
-    a, b = np.c_[-2 * a, np.ones(len(a), a.dtype)], np.c_[b, bb.astype(a.dtype)].T
-    step, parts = max(1, _STEP_PLACES // len(q)), 4 * k
-    for at in range(0, len(p), step):
-        near = a[at : at + step] @ b
-        own = np.flatnonzero(same[at : at + step] >= 0)
-        near[own, same[at : at + step][own]] = np.inf
-        if len(q) >= 4 * parts:  # k parts have a row as near as the k-th nearest of the parts' nearest ones
-            bound = np.partition(near[:, : len(q) // parts * parts].reshape(len(near), parts, -1).min(2), k - 1, axis=1)[:, k - 1 : k]
-        else:
-            m = min(k, len(q))
-            bound = np.partition(near, m - 1, axis=1)[:, m - 1 : m]
-        rows = np.flatnonzero(near <= bound + near.dtype.type(slack))
-        i, j = rows // len(q), rows % len(q)
-        other = j != same[at + i]
-        i, j = i[other], j[other]
-        d2 = np.concatenate([np.zeros(0), *[((p[at + i[n : n + _STEP_PAIRS]] - q[j[n : n + _STEP_PAIRS]]) ** 2).sum(1) for n in range(0, len(i), _STEP_PAIRS)]])
-        best = np.lexsort((order[j], d2, i))
-        i, j, d2 = i[best], j[best], d2[best]
-        nth = np.arange(len(i)) - np.searchsorted(i, i)
-        left.append(at + i[nth < k])
-        right.append(j[nth < k])
-        found.append(d2[nth < k])
-    return np.concatenate(left), np.concatenate(right), np.concatenate(found)
+    a, b = np.c_[-2 * a, np.ones(len(a), a.dtype)], np.c_[b, bb.astype(a.dtype)]
+
+    def exact(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.zeros(0), *[((p[i[n : n + _STEP_PAIRS]].astype(float) - q[j[n : n + _STEP_PAIRS]]) ** 2).sum(1) for n in range(0, len(i), _STEP_PAIRS)]])
+
+    def best(parts: list[tuple], bound: np.ndarray) -> tuple:
+        i, j, v = (np.concatenate(x) for x in zip(*parts))
+        near = ~(v > bound[i])
+        i, j, v = i[near], j[near], v[near]
+        d2 = exact(at + i, j)
+        sort = np.lexsort((order[j], d2, i))
+        i, j, v, d2 = i[sort], j[sort], v[sort], d2[sort]
+        first = np.arange(len(i)) - np.searchsorted(i, i) < k
+        return i[first], j[first], v[first], d2[first]
+
+    rows, step = _STEP_ROWS
+    held = np.empty(rows * min(step, len(q)), a.dtype)
+    for at in range(0, len(p), rows):
+        some, own = np.ascontiguousarray(a[at : at + rows].T), same[at : at + rows]
+        met, low, n = [], np.full((k, some.shape[1]), np.inf, a.dtype), 0
+        for on in range(0, len(q), step):
+            near = held[: min(step, len(q) - on) * some.shape[1]].reshape(-1, some.shape[1])
+            np.matmul(b[on : on + step], some, out=near)
+            mine = np.flatnonzero((own >= on) & (own < on + len(near)))
+            near[own[mine] - on, mine] = np.inf
+            whole = len(near) // _PART_ROWS * _PART_ROWS
+            least = near[:whole].reshape(-1, _PART_ROWS, near.shape[1]).min(1)
+            if whole < len(near):
+                least = np.concatenate([least, near[whole:].min(0)[None]])
+            # k rows, each of another part, are as near as the k-th least of the parts' nearest ones; later parts count by fours.
+            few = least[: len(least) // 4 * 4].reshape(-1, 4, near.shape[1]).min(1) if on else least
+            low = np.partition(np.concatenate([low, few]), k - 1, axis=0)[:k]
+            bound = low[k - 1] + slack
+            part, i = np.nonzero(~(least > bound))
+            if not len(i):
+                continue
+            for cut in range(0, len(i), _STEP_PAIRS):
+                ic = i[cut : cut + _STEP_PAIRS]
+                j = part[cut : cut + _STEP_PAIRS, None] * _PART_ROWS + np.arange(_PART_ROWS)
+                v = near[np.minimum(j, len(near) - 1), ic[:, None]]
+                r, c = np.nonzero(~(v > bound[ic][:, None]))
+                ic, j, v = ic[r], j[r, c], v[r, c]
+                there = (j < len(near)) & (j + on != own[ic])
+                met.append((ic[there], j[there] + on, v[there]))
+                n += len(ic)
+                if n > 2 * _STEP_PAIRS:
+                    met = [best(met, bound)[:3]]
+                    n = len(met[0][0]) - k * len(own)
+        if met:
+            i, j, _, d2 = best(met, low[k - 1] + slack)
+            left.append(at + i)
+            right.append(j)
+            found.append(d2)
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right]), np.concatenate([np.zeros(0), *found])
 
 
 def knn(vectors: DataFrame, k: int, id_col: str = "id", vec_col: str = "v", block_rows: int | None = None) -> DataFrame:
     """(src, dst, d2, rank) of the k nearest neighbours by squared distance, exactly, ties to the lowest id.
 
-    Rows are dealt into blocks of bounded size; a task multiplies two blocks and keeps k a row, so what is
-    shuffled and ranked after is k rows a row and block, never pairs. Rows without a vector, or with an empty place
+    Rows are dealt into blocks of bounded size, as large as leaves every core some pairs of blocks; a task multiplies
+    two blocks, step by step, and keeps k a row, so what is shuffled and ranked after is k rows a row and block, never pairs. Rows without a vector, or with an empty place
     in it, take no part; vectors of unequal lengths are an error.
     """
     kind = vectors.schema[vec_col].dataType.simpleString()
@@ -314,16 +347,17 @@ def knn(vectors: DataFrame, k: int, id_col: str = "id", vec_col: str = "v", bloc
     if least != most:
         raise ValueError(f"vectors of {least} to {most} values")
     tasks = rows.sparkSession.sparkContext.defaultParallelism
-    blocks = max(1, -(-n // (block_rows or max(1, BLOCK_VALUES // max(1, most or 1)))), min(math.isqrt(max(0, tasks - 1)) + 1, -(-n // LEAST_BLOCK_ROWS)))
+    blocks = max(1, -(-n // (block_rows or max(1, BLOCK_VALUES // max(1, most or 1)))), min(math.isqrt(max(0, _TASKS * tasks - 1)) + 1, -(-n // LEAST_BLOCK_ROWS)))
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    a = dealt.select("id", "v", F.col("block").alias("bi"), every.alias("bj"))
-    b = dealt.select("id", "v", F.col("block").alias("bj"), every.alias("bi"))
+    parts = min(4 * blocks * blocks, MOST_PARTS)  # so many that few tasks get several pairs of blocks
+    a = dealt.select("id", "v", F.col("block").alias("bi"), every.alias("bj")).repartition(parts, "bi", "bj")
+    b = dealt.select("id", "v", F.col("block").alias("bj"), every.alias("bi")).repartition(parts, "bi", "bj")
     kind = rows.schema["id"].dataType.simpleString()
 
     def matrix(table: pa.Table) -> np.ndarray:
         column = table.column("v").combine_chunks()
-        return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(float)
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left) or not len(right):

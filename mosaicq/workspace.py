@@ -75,6 +75,9 @@ def memoised(df: DataFrame, path: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Partitions, at most, to which groups of much work are dealt by their number.
+MOST_PARTS = 2000
+
 #: Rows up to which a side of a join is called few.
 FEW_ROWS = 100_000
 

@@ -1,11 +1,12 @@
 """What larger tables bring about: sums beyond 16 bits, crowds of equal rows, more blocks."""
 
+import re
 import tracemalloc
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from mosaicq.operators import communities, images, spatial
+from mosaicq.operators import communities, images, layout, spatial
 from mosaicq.plans import catalog, readout
 
 
@@ -108,3 +109,47 @@ def test_rounds_of_communities_deal_edges_once(spark):
         assert len(dealt) == (0 if few else 1), plan  # the labels; what is found is dealt by the query itself
         assert {r.node: r.w for r in near.collect()} == {a: 6.0 for a in range(6)}
         kept.unpersist()
+
+
+def test_neighbours_are_sought_in_few_large_blocks(spark):
+    """300,000 rows of 64 are dealt into 5 blocks, or as many as the cores need, not 37; a row is copied once for each."""
+    rows = spark.range(300_000).select("id", F.array_repeat(F.col("id").cast("float"), 64).alias("v"))
+    blocks = max(5, int((3 * spark.sparkContext.defaultParallelism - 1) ** 0.5) + 1)
+    plan = spatial.knn(rows, 3)._jdf.queryExecution().analyzed().toString()
+    assert {int(last) + 1 for last in re.findall(r"sequence\(0, (\d+)", plan)} == {blocks}
+
+
+def test_neighbours_are_the_nearest_of_all_steps():
+    """More rows than a step and a part hold: neighbours equal those of all distances, the row itself left out."""
+    rng = np.random.default_rng(2)
+    q = rng.normal(size=(5000, 8)).astype(np.float32)
+    order, same = rng.permutation(5000), np.arange(4400, 5000)
+    d2 = ((q[4400:, None].astype(float) - q[None]) ** 2).sum(2)
+    d2[np.arange(600), same] = np.inf
+    want = np.lexsort((np.broadcast_to(order, d2.shape), d2), axis=1)[:, :15]
+    i, j, _ = spatial._nearest_in_block(q[4400:], q, order, same, 15)
+    assert (i == np.repeat(np.arange(600), 15)).all() and (j.reshape(600, 15) == want).all()
+
+
+def test_weights_do_not_depend_on_the_order_of_neighbours():
+    rng = np.random.default_rng(1)
+    lists = [rng.random(n) for n in (1, 15, 4, 9)]
+    shuffled = [rng.permutation(len(x)) for x in lists]
+    sizes = np.array([len(x) for x in lists])
+    once = np.split(communities._weights(np.concatenate(lists), sizes, 64), np.cumsum(sizes)[:-1])
+    again = np.split(communities._weights(np.concatenate([x[p] for x, p in zip(lists, shuffled)]), sizes, 64), np.cumsum(sizes)[:-1])
+    assert all((a[p] == b).all() for a, p, b in zip(once, shuffled, again))
+
+
+def test_layout_joins_no_edges_in_its_rounds(spark, monkeypatch):
+    """A round sends places from block to block as arrays (before: every edge was joined with places and dealt anew)."""
+    rng = np.random.default_rng(3)
+    edges = [(f"n{i}", f"n{j}", float(w)) for i, j, w in zip(*rng.integers(0, 120, (2, 900)), rng.random(900))]
+    df = spark.createDataFrame(edges, "src string, dst string, weight double").dropDuplicates(["src", "dst"])
+    start = spark.createDataFrame([(f"n{i}", float(rng.normal()), float(rng.normal())) for i in range(130)], "id string, y double, x double")
+    plans, kept = [], layout.materialise
+    monkeypatch.setattr(layout, "materialise", lambda df, label: plans.append((label, df._jdf.queryExecution().executedPlan().toString())) or kept(df, label))
+    got = layout.layout(df, start, rounds=2, block_nodes=40).collect()
+    rounds = [plan for label, plan in plans if label == "layout"]
+    assert len(rounds) >= 2 and not any("Join" in plan for plan in rounds[1:])
+    assert sorted(r.id for r in got) == sorted(f"n{i}" for i in range(130)) and np.isfinite([(r.y, r.x) for r in got]).all()
